@@ -11,32 +11,50 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from itertools import islice
 
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
+from .common import LOWER
+
 #: Characters with the Unicode property White_Space (fixed values), \s for the tokenizers.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CHUNKS = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 
 
 class ChunkEncoder(dict):
-    """chunk -> number; the ids of chunk k are flat[start[k]:start[k + 1]]. At most `limit` chunks are kept between batches."""
+    """chunk -> number; the ids of chunk k are flat[start[k]:start[k + 1]].
+
+    At most `limit` chunks are kept between batches; beyond that the later half goes, since frequent
+    chunks are met early. A tokenizer that drops white space and lowers letters gets chunks of bytes
+    with A-Z lowered, which makes fewer of them.
+    """
 
-    def __init__(self, path: str, end_id: int, drops_space: bool, limit: int = 300_000):
+    def __init__(self, path: str, end_id: int, drops_space: bool, limit: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.end_id, self.drops_space, self.limit = end_id, drops_space, limit
-        self._forget()
-
-    def _forget(self) -> None:
-        self.clear()
-        self.new: list[str] = []
+        self.new: list = []
         self.start, self.flat = array("q", [0, 1]), array("I", [self.end_id])  # chunk 0 is the end
         self.known = 1
 
-    def __missing__(self, chunk: str) -> int:
+    def _forget(self) -> None:
+        kept = self.limit // 2
+        for chunk in list(islice(self, kept - 1, None)):
+            del self[chunk]
+        del self.start[kept + 1 :]
+        del self.flat[self.start[kept] :]
+        self.known = kept
+
+    def _chunks(self, text: str) -> list:
+        if not self.drops_space:
+            return _CHUNKS.findall(text)
+        data = text.encode("utf-8", "surrogatepass")
+        return (data if b"<|" in data else data.translate(LOWER)).split()  # what may be a special token is left as it is
+
+    def __missing__(self, chunk) -> int:
         self.new.append(chunk)
         self[chunk] = k = self.known
         self.known = k + 1
@@ -44,7 +62,8 @@ class ChunkEncoder(dict):
 
     def _learn(self) -> None:
         for i in range(0, len(self.new), 2000):
-            for e in self.tokenizer.encode_batch(self.new[i : i + 2000], add_special_tokens=False):
+            some = [x if isinstance(x, str) else x.decode("utf-8", "surrogatepass") for x in self.new[i : i + 2000]]
+            for e in self.tokenizer.encode_batch(some, add_special_tokens=False):
                 self.flat.extend(e.ids)
                 self.start.append(len(self.flat))
         self.new.clear()
@@ -55,8 +74,7 @@ class ChunkEncoder(dict):
             self._forget()
         number, counts, all_numbers = self.__getitem__, np.empty(len(texts), np.int64), array("q")
         for k, text in enumerate(texts):
-            # str.split() also cuts at \x1c-\x1f, which are no white space to the tokenizer
-            chunks = text.split() if self.drops_space and not any(c in text for c in "\x1c\x1d\x1e\x1f") else _CHUNKS.findall(text)
+            chunks = self._chunks(text)
             all_numbers.extend(map(number, chunks))
             all_numbers.append(0)
             counts[k] = len(chunks) + 1
