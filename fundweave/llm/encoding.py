@@ -21,7 +21,8 @@ from .common import LOWER
 
 #: Characters with the Unicode property White_Space (fixed values), \s for the tokenizers.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_CHUNKS = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+#: Latin letters before one full stop, comma or exclamation mark at the end of a word are a chunk of their own.
+_CHUNKS = re.compile(f" ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+(?=[.,!](?:[{SPACE}]|\\Z))|[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 
 
 class ChunkEncoder(dict):
@@ -32,7 +33,7 @@ class ChunkEncoder(dict):
     with A-Z lowered, which makes fewer of them.
     """
 
-    def __init__(self, path: str, end_id: int, drops_space: bool, limit: int = 1_000_000):
+    def __init__(self, path: str, end_id: int, drops_space: bool, limit: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.end_id, self.drops_space, self.limit = end_id, drops_space, limit

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import materialise, ship, table
 from .encoding import encoder, text_batches
 
-TOKENIZER, END_ID = "byte_bpe_50k.json", 2
+TOKENIZER, END_ID, BLOCK_CHARS = "byte_bpe_50k.json", 2, 1_000_000
 #: LENGTHS[c]: bytes of the four values of control byte c. MASKS[n]: the bits of an n-byte value.
 LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
@@ -60,7 +60,7 @@ def _encode(docs: DataFrame, tokenizer_path: str | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, block, before = encoder(TOKENIZER, END_ID, False, tokenizer_path), TaskContext.get().partitionId(), 0, 0
         for b in batches:
-            for first, texts in text_batches(b.column(0)):
+            for first, texts in text_batches(b.column(0), BLOCK_CHARS):
                 ids, counts = enc.encode(texts)
                 doc_ids = b.column(1).slice(first, len(texts))
                 one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
@@ -107,9 +107,11 @@ def write(docs: DataFrame, tokenizer_path: str | None = None) -> tuple[DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank_of, base = held.value
         for b in batches:
-            coded = [pack_ints(rank_of[np.frombuffer(x.as_buffer(), "<u4")]) for x in b.column(5)]
-            start = [base[p.as_py()] + x.as_py() for p, x in zip(b.column(0), b.column(2), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(start, pa.int64()), b.column(3), b.column(4), pa.array([c for c, _ in coded], pa.binary()), pa.array([d for _, d in coded], pa.binary())], ["part", "block", "start", "doc_ids", "n_tokens", "control", "data"])
+            for k in range(b.num_rows):
+                one = b.slice(k, 1)
+                control, data = pack_ints(rank_of[np.frombuffer(one.column(5)[0].as_buffer(), "<u4")])
+                start = base[one.column(0)[0].as_py()] + one.column(2)[0].as_py()
+                yield pa.RecordBatch.from_arrays([one.column(0), one.column(1), pa.array([start], pa.int64()), one.column(3), one.column(4), pa.array([control], pa.binary()), pa.array([data], pa.binary())], ["part", "block", "start", "doc_ids", "n_tokens", "control", "data"])
 
     coded = raw.mapInArrow(run, f"part int, block int, start long, doc_ids {kinds['doc_ids']}, n_tokens array<long>, control binary, data binary")
     return materialise(coded, "token-files"), ranks
