@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 
-HIDDEN, CLASS, BINS, STEPS, STREAMS = 16, 64, 40, 16, 128
+HIDDEN, CLASS, BINS, STEPS, STREAMS = 16, 64, 20, 16, 512
 
 
 def shapes(head: int) -> dict[str, tuple[int, ...]]:
@@ -77,7 +77,7 @@ def log_probs(p: dict, states: np.ndarray, y: np.ndarray, head: int, classes: np
     return out
 
 
-def score(vec: np.ndarray, head: int, end: int, codes: np.ndarray, lengths: np.ndarray, together: int = 2048, window: int = 64) -> np.ndarray:
+def score(vec: np.ndarray, head: int, end: int, codes: np.ndarray, lengths: np.ndarray, together: int = 10_000, window: int = 64) -> np.ndarray:
     """log10 probability of each document's codes; the state goes on from window to window through the whole document."""
     p, classes = views(vec, head), class_of(head)
     first = np.cumsum(lengths) - lengths

@@ -101,11 +101,12 @@ class Vocabulary:
         self.code = {w: k for k, (w, _) in enumerate(head)}
         self.counts = np.array([c for _, c in head], np.int64)
         self.mass, words = np.zeros(gru.BINS), np.zeros(gru.BINS)
-        for b, tokens, distinct in bins:
-            self.mass[b], words[b] = tokens, distinct
+        for b, tokens, distinct in bins:  # the last bin takes all that are more frequent
+            self.mass[min(b, gru.BINS - 1)] += tokens
+            words[min(b, gru.BINS - 1)] += distinct
         for _, c in head:
             if c:
-                b = int(c).bit_length() - 1
+                b = min(int(c).bit_length() - 1, gru.BINS - 1)
                 self.mass[b] -= c
                 words[b] -= 1
         self.ones = words[0]
@@ -113,7 +114,7 @@ class Vocabulary:
 
     def codes_of(self, words: list[bytes], c: np.ndarray) -> np.ndarray:
         head = np.fromiter((self.code.get(w, -1) for w in words), np.int64, len(words))
-        tail = len(self.code) + np.maximum(np.frexp(np.maximum(c, 1).astype(float))[1] - 1, 0)
+        tail = len(self.code) + np.clip(np.frexp(np.maximum(c, 1).astype(float))[1] - 1, 0, gru.BINS - 1)
         return np.where(head >= 0, head, tail)
 
     def tail_logs(self, codes: np.ndarray, c: np.ndarray) -> np.ndarray:
