@@ -81,21 +81,21 @@ def drafts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _filter(name: str, predicate, where: str) -> None:
-    query(name, f"SELECT transaction_id, CAST(amount AS DOUBLE) AS amount FROM tx WHERE {where}")(lambda s, sf: adapter.transactions(s, sf).where(predicate).select("transaction_id", _dbl()))
-
-
-_filter("flt_min_amount", filters.min_amount(100), "amount >= 100")
-_filter("flt_text_query", filters.text_query(" 户1 "), "contains(lower(concat_ws(' ', serial_number, payer_account, payer_name, payee_account, payee_name, summary)), '户1')")
-_filter("flt_direction", filters.direction("return"), "contains(summary, '回流')")
-_filter("flt_direction_forward", filters.direction("forward"), "NOT contains(summary, '回流')")
-_filter("flt_channel", filters.channel("网银"), "channel = '网银'")
-_filter("flt_bank", filters.bank("行3"), "contains(payer_bank, '行3') OR contains(payee_bank, '行3')")
-_filter("flt_region", filters.region("区2"), "region = '区2'")
-_filter("flt_date_range", filters.date_range("2024-01-02", "2024-01-20"), "strftime(transaction_time, '%Y-%m-%d') BETWEEN '2024-01-02' AND '2024-01-20'")
-_filter("flt_topology", filters.eligible(), "event_status = 'success' AND amount > 0")
-_filter("flt_evidence", F.col("transaction_id") == "T42", "transaction_id = 'T42'")
-_filter("flt_related", (F.col("payer_account") == "U1") | (F.col("payee_account") == "U1"), "payer_account = 'U1' OR payee_account = 'U1'")
-_filter("flt_combined", filters.graph_filter("户", 50, "forward", "柜台"), "amount >= 50 AND NOT contains(summary, '回流') AND channel = '柜台'")
+    query(name, f"SELECT transaction_id, CAST(amount AS DOUBLE) AS amount FROM tx WHERE {where}")(lambda s, sf: adapter.transactions(s, sf).where(predicate()).select("transaction_id", _dbl()))
+
+
+_filter("flt_min_amount", lambda: filters.min_amount(100), "amount >= 100")
+_filter("flt_text_query", lambda: filters.text_query(" 户1 "), "contains(lower(concat_ws(' ', serial_number, payer_account, payer_name, payee_account, payee_name, summary)), '户1')")
+_filter("flt_direction", lambda: filters.direction("return"), "contains(summary, '回流')")
+_filter("flt_direction_forward", lambda: filters.direction("forward"), "NOT contains(summary, '回流')")
+_filter("flt_channel", lambda: filters.channel("网银"), "channel = '网银'")
+_filter("flt_bank", lambda: filters.bank("行3"), "contains(payer_bank, '行3') OR contains(payee_bank, '行3')")
+_filter("flt_region", lambda: filters.region("区2"), "region = '区2'")
+_filter("flt_date_range", lambda: filters.date_range("2024-01-02", "2024-01-20"), "strftime(transaction_time, '%Y-%m-%d') BETWEEN '2024-01-02' AND '2024-01-20'")
+_filter("flt_topology", lambda: filters.eligible(), "event_status = 'success' AND amount > 0")
+_filter("flt_evidence", lambda: F.col("transaction_id") == "T42", "transaction_id = 'T42'")
+_filter("flt_related", lambda: (F.col("payer_account") == "U1") | (F.col("payee_account") == "U1"), "payer_account = 'U1' OR payee_account = 'U1'")
+_filter("flt_combined", lambda: filters.graph_filter("户", 50, "forward", "柜台"), "amount >= 50 AND NOT contains(summary, '回流') AND channel = '柜台'")
 
 query("flt_status", "SELECT transaction_id FROM two WHERE review_status = 'pending'", f"{TX}, {TWO}")(lambda s, sf: adapter.two_sources(s, sf).where(filters.status("pending")).select("transaction_id"))
 query("flt_pending_count", "SELECT count(*) FILTER (WHERE review_status NOT IN ('confirmed', 'rejected')) AS n FROM two", f"{TX}, {TWO}")(

@@ -2,22 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-LOCATION = T.StructType.fromDDL(
-    "source_file_id string, archive_member_path string, page_number int, sheet_name string, table_number int, paragraph_number int, row_number int, region array<double>"
-)
+LOCATION = "struct<source_file_id:string,archive_member_path:string,page_number:int,sheet_name:string,table_number:int,paragraph_number:int,row_number:int,region:array<double>>"
 MONEY = "decimal(18,2)"
 RECORD_DDL = f"""transaction_id string, record_type string, transaction_time timestamp_ntz, serial_number string,
 payer_account string, payer_name string, payer_institution string, payer_bank string,
 payee_account string, payee_name string, payee_institution string, payee_bank string,
 payer_entity_type string, payee_entity_type string, payer_endpoint_id string, payee_endpoint_id string,
 debit_credit string, currency string, amount {MONEY}, balance_after {MONEY}, channel string, summary string, region string, transaction_type string,
-source {LOCATION.simpleString()}, evidence_locations array<{LOCATION.simpleString()}>, parser_name string, model_id string, prompt_version string,
+source {LOCATION}, evidence_locations array<{LOCATION}>, parser_name string, model_id string, prompt_version string,
 confidence map<string,double>, review_status string, review_note string, duplicate_group string, conflict_status string, event_status string,
 order_id string, batch_id string, merchant_id string, merchant_name string, terminal_id string, authorization_code string, fee {MONEY},
 related_transaction_id string, relation_type string, provenance string"""
-RECORD = T.StructType.fromDDL(RECORD_DDL.replace("\n", " "))
 
 #: Words, codes and limits that results depend on.
 RISK_WORDS = ("涉诈", "博彩", "虚假", "资金拆分", "任务佣金", "跑分", "洗钱")

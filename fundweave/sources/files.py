@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..schema import RECORD_DDL
+
 MAX_BYTES, MAX_MEMBERS, MAX_UNPACKED, ROWS_PER_CHUNK = 100 << 20, 2000, 1 << 30, 8
 IMAGES = (".png", ".jpg", ".jpeg", ".webp", ".bmp", ".tif", ".tiff")
 CHUNK_DDL = """path string, archive_member_path string, suffix string, text string, row_data map<string,string>, sheet_name string, row_number int,
@@ -170,6 +172,4 @@ def read_csv_rows(spark: SparkSession, path: str) -> DataFrame:
 
 def read_drafts(spark: SparkSession, path: str) -> DataFrame:
     """Drafts as JSON lines with the canonical schema."""
-    from ..schema import RECORD
-
-    return spark.read.schema(RECORD).json(path)
+    return spark.read.schema(RECORD_DDL).json(path)
