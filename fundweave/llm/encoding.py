@@ -64,7 +64,7 @@ class ChunkEncoder(dict):
     def _learn(self) -> None:
         for i in range(0, len(self.new), 2000):
             some = [x if isinstance(x, str) else x.decode("utf-8", "surrogatepass") for x in self.new[i : i + 2000]]
-            for e in self.tokenizer.encode_batch(some, add_special_tokens=False):
+            for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False):
                 self.flat.extend(e.ids)
                 self.start.append(len(self.flat))
         self.new.clear()
@@ -93,9 +93,9 @@ class ChunkEncoder(dict):
 _held: dict[tuple, ChunkEncoder] = {}
 
 
-def encoder(name: str, end_id: int, drops_space: bool, path: str | None = None) -> ChunkEncoder:
+def encoder(name: str, end_id: int, drops_space: bool, path: str | None = None, limit: int = 700_000) -> ChunkEncoder:
     """One encoder for each Python worker, kept from task to task."""
-    key = path or public_tokenizers.path(name), end_id, drops_space
+    key = path or public_tokenizers.path(name), end_id, drops_space, limit
     if key not in _held:
         _held[key] = ChunkEncoder(*key)
     return _held[key]

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import materialise, ship, table
 from .encoding import encoder, text_batches
 
-TOKENIZER, END_ID, BLOCK_CHARS = "byte_bpe_50k.json", 2, 1_000_000
+TOKENIZER, END_ID, BLOCK_CHARS, CHUNK_LIMIT = "byte_bpe_50k.json", 2, 1_000_000, 300_000
 #: LENGTHS[c]: bytes of the four values of control byte c. MASKS[n]: the bits of an n-byte value.
 LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
@@ -58,7 +58,7 @@ def _encode(docs: DataFrame, tokenizer_path: str | None) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, block, before = encoder(TOKENIZER, END_ID, False, tokenizer_path), TaskContext.get().partitionId(), 0, 0
+        enc, part, block, before = encoder(TOKENIZER, END_ID, False, tokenizer_path, CHUNK_LIMIT), TaskContext.get().partitionId(), 0, 0
         for b in batches:
             for first, texts in text_batches(b.column(0), BLOCK_CHARS):
                 ids, counts = enc.encode(texts)
