@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 
-HIDDEN, CLASS, BINS, STEPS, STREAMS = 16, 64, 20, 16, 512
+HIDDEN, CLASS, BINS, STEPS, STREAMS, SOFTMAX_ROWS = 16, 64, 20, 16, 512, 8192
 
 
 def shapes(head: int) -> dict[str, tuple[int, ...]]:
@@ -44,61 +44,120 @@ def start(head_counts: np.ndarray, bin_counts: np.ndarray, seed: int = 3) -> np.
     return vec
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+def _gates(p: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What a code adds to the gates, biases of z and r included, the state's weights, and the candidate's bias.
 
+    The part of z and r is halved: sigmoid(x) is (1 + tanh(x / 2)) / 2.
+    """
+    codes, weights = p["E"].copy(), np.ascontiguousarray(p["U"].T)
+    codes[:, : 2 * HIDDEN] += p["bu"][: 2 * HIDDEN]
+    codes[:, : 2 * HIDDEN] *= 0.5
+    weights[: 2 * HIDDEN] *= 0.5
+    return codes, weights, p["bu"][2 * HIDDEN :, None].copy()
 
-def _step(p: dict, h: np.ndarray, x: np.ndarray):
+
+def _inputs(codes: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """What the given codes (steps, streams) add to the gates: (steps, 3 * HIDDEN, streams)."""
+    return np.ascontiguousarray(codes.take(x.ravel(), 0).reshape(*x.shape, -1).transpose(0, 2, 1))
+
+
+def _step(weights: np.ndarray, bn: np.ndarray, h: np.ndarray, a: np.ndarray, out: np.ndarray):
+    """The next state, into out (HIDDEN, streams); z and r, the candidate, and its part from the state."""
     k = HIDDEN
-    a, g = p["E"][x], h @ p["U"] + p["bu"]
-    zr = _sigmoid(a[:, : 2 * k] + g[:, : 2 * k])
-    z, r, gn = zr[:, :k], zr[:, k:], g[:, 2 * k :]
-    n = np.tanh(a[:, 2 * k :] + r * gn)
-    return n + z * (h - n), z, r, n, gn
+    g = weights @ h
+    zr, gn = g[: 2 * k], g[2 * k :]
+    zr += a[: 2 * k]
+    np.tanh(zr, zr)
+    zr += 1
+    zr *= 0.5
+    gn += bn
+    n = zr[k:] * gn
+    n += a[2 * k :]
+    np.tanh(n, n)
+    np.subtract(h, n, out)
+    out *= zr[:k]
+    out += n
+    return zr, n, gn
+
+
+def _rows(x: np.ndarray) -> np.ndarray:
+    """(steps, width, streams) as rows in the order of steps and streams."""
+    return np.ascontiguousarray(x.transpose(0, 2, 1)).reshape(-1, x.shape[1])
 
 
 def _by_class(c: np.ndarray, heads: int):
-    """(class, places) of each head class present."""
+    """The places ordered by class, and (class, first, last) of each head class present among them."""
     order = np.argsort(c.astype(np.uint8) if heads + BINS < 256 else c, kind="stable")
-    edge = np.searchsorted(c[order], np.arange(heads + 1))
-    return [(k, order[edge[k] : edge[k + 1]]) for k in range(heads) if edge[k] < edge[k + 1]]
+    edge = np.searchsorted(c[order], np.arange(heads + 1)).tolist()
+    return order[: edge[-1]], [(k, edge[k], edge[k + 1]) for k in range(heads) if edge[k] < edge[k + 1]]
+
+
+def _softmax(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """In place over the first axis: exponentials of w less its maximum, and their sums."""
+    w -= w.max(0)
+    np.exp(w, w)
+    return w, w.sum(0)
 
 
 def log_probs(p: dict, states: np.ndarray, y: np.ndarray, head: int, classes: np.ndarray) -> np.ndarray:
-    """Natural log of P(code y) after each state."""
+    """Natural log of P(code y) after each state (a row of states)."""
     c = classes[y]
-    logits = states @ p["Wc"] + p["bc"]
-    out = logits[np.arange(len(y)), c] - np.log(np.exp(logits).sum(1))
-    for k, at in _by_class(c, -(-head // CLASS)):
+    e, total = _softmax(p["Wc"].T @ states.T + p["bc"][:, None])
+    tiny = np.finfo(np.float32).tiny
+    out = np.log(np.maximum(e[c, np.arange(len(y))], tiny)) - np.log(total)
+    order, parts = _by_class(c, -(-head // CLASS))
+    own, within = states.take(order, 0), np.empty(len(order), np.float32)
+    word = y[order] % CLASS
+    for k, i, j in parts:
         cut = slice(k * CLASS, min(head, (k + 1) * CLASS))
-        w = states[at] @ p["Wh"][:, cut] + p["bh"][cut]
-        w -= w.max(1, keepdims=True)
-        out[at] += w[np.arange(len(at)), y[at] - k * CLASS] - np.log(np.exp(w).sum(1))
+        e, total = _softmax(p["Wh"][:, cut].T @ own[i:j].T + p["bh"][cut, None])
+        within[i:j] = np.log(np.maximum(e[word[i:j], np.arange(j - i)], tiny)) - np.log(total)
+    out[order] += within
     return out
 
 
-def score(vec: np.ndarray, head: int, end: int, codes: np.ndarray, lengths: np.ndarray, together: int = 10_000, window: int = 64) -> np.ndarray:
-    """log10 probability of each document's codes; the state goes on from window to window through the whole document."""
+def score(vec: np.ndarray, head: int, end: int, codes: np.ndarray, lengths: np.ndarray, together: int = 512, window: int = 16) -> np.ndarray:
+    """log10 probability of each document's codes; the state goes on from window to window through the whole document.
+
+    Documents go from the longest to the shortest; a window takes those that reach it, `together` at a time.
+    """
     p, classes = views(vec, head), class_of(head)
-    first = np.cumsum(lengths) - lengths
+    gates, weights, bn = _gates(p)
     order = np.argsort(-lengths, kind="stable")
-    out = np.zeros(len(lengths))
-    for g in range(0, len(order), together):
-        docs = order[g : g + together]
-        at, n = first[docs], lengths[docs]
-        h, total = np.zeros((len(docs), HIDDEN), np.float32), np.zeros(len(docs))
-        for t0 in range(0, int(n[0]), window):
-            states, ys, rows = [], [], []
-            for t in range(t0, min(t0 + window, int(n[0]))):
-                live = int(np.searchsorted(-n, -t, "left"))
-                h = h[:live]
-                h = _step(p, h, np.full(live, end) if t == 0 else codes[at[:live] + t - 1])[0]
-                states.append(h)
-                ys.append(codes[at[:live] + t])
-                rows.append(np.arange(live))
-            lp = log_probs(p, np.concatenate(states), np.concatenate(ys), head, classes)
-            total += np.bincount(np.concatenate(rows), lp, len(docs))
-        out[docs] = total
+    n = lengths[order]
+    # Before each document stands the end; the rest of a last window reads any code and is not counted.
+    begin = (np.cumsum(lengths) - lengths)[order]
+    state, total = np.zeros((HIDDEN, len(n)), np.float32), np.zeros(len(n))
+    steps, kept, size = np.arange(window)[:, None], [], 0
+
+    def flush():
+        states, ys, rows = (np.concatenate(x) for x in zip(*kept, strict=True))
+        np.add(total, np.bincount(rows, log_probs(p, states, ys, head, classes), len(n)), total)
+        kept.clear()
+
+    for t0 in range(0, int(n.max(initial=0)), window):
+        live = int(np.searchsorted(-n, -t0, "left"))
+        for g in range(0, live, together):
+            docs = slice(g, min(g + together, live))
+            at = begin[docs] + t0 + steps
+            y = codes.take(at, mode="clip")
+            x = np.vstack([codes.take(at[:1] - 1, mode="clip") if t0 else np.full((1, at.shape[1]), end, codes.dtype), y[:-1]])
+            a, h = _inputs(gates, x), state[:, docs]
+            states = np.empty((window, HIDDEN, x.shape[1]), np.float32)
+            for t in range(window):
+                _step(weights, bn, h, a[t], states[t])
+                h = states[t]
+            state[:, docs] = h
+            valid = np.flatnonzero((t0 + steps < n[docs]).ravel())
+            kept.append((_rows(states).take(valid, 0), y.ravel()[valid], g + valid % x.shape[1]))
+            size += len(valid)
+            if size >= SOFTMAX_ROWS:
+                flush()
+                size = 0
+    if kept:
+        flush()
+    out = np.empty(len(n))
+    out[order] = total
     return out / np.log(10)
 
 
@@ -113,53 +172,62 @@ def train(vec: np.ndarray, head: int, end: int, codes: np.ndarray, rate: float)
     target = np.ascontiguousarray(codes.reshape(streams, -1).T.astype(np.int64))
     given = np.vstack([np.full((1, streams), end), target[:-1]])
     m, s, done = np.zeros_like(vec), np.zeros_like(vec), 0
-    h = np.zeros((streams, k), np.float32)
+    grad = np.zeros_like(vec)
+    g = views(grad, head)
+    last = np.zeros((k, streams), np.float32)
     for t0 in range(0, len(target), STEPS):
         x, y = given[t0 : t0 + STEPS], target[t0 : t0 + STEPS].ravel()
-        kept, old, states = (x != end).astype(np.float32)[:, :, None], [], []
-        gates = []
+        kept = (x != end).astype(np.float32)
+        table, weights, bn = _gates(p)
+        a = _inputs(table, x)
+        old, states, gates = np.empty((len(x), k, streams), np.float32), np.empty((len(x), k, streams), np.float32), []
         for t in range(len(x)):
-            before = h * kept[t]
-            h, *gate = _step(p, before, x[t])
-            old.append(before)
-            states.append(h)
-            gates.append(gate)
-        flat = np.concatenate(states)
-        n = len(y)
-        grad = np.zeros_like(vec)
-        g = views(grad, head)
+            np.multiply(last, kept[t], old[t])
+            gates.append(_step(weights, bn, old[t], a[t], states[t]))
+            last = states[t]
+        rows, n = _rows(states), len(y)
+        grad.fill(0)
         c = classes[y]
-        d = flat @ p["Wc"] + p["bc"]
-        d = np.exp(d - d.max(1, keepdims=True))
-        d /= d.sum(1, keepdims=True)
-        d[np.arange(n), c] -= 1
-        g["Wc"][:], g["bc"][:] = flat.T @ d, d.sum(0)
-        dh = d @ p["Wc"].T
-        for j, at in _by_class(c, heads):
-            cut = slice(j * CLASS, min(head, (j + 1) * CLASS))
-            own = flat[at]
-            d = own @ p["Wh"][:, cut] + p["bh"][cut]
-            d = np.exp(d - d.max(1, keepdims=True))
-            d /= d.sum(1, keepdims=True)
-            d[np.arange(len(at)), y[at] - j * CLASS] -= 1
-            g["Wh"][:, cut], g["bh"][cut] = own.T @ d, d.sum(0)
-            dh[at] += d @ p["Wh"][:, cut].T
-        dh = dh.reshape(len(x), streams, k)
-        da, dg, back = np.empty((len(x), streams, 3 * k), np.float32), np.empty((len(x), streams, 3 * k), np.float32), 0.0
+        d, total = _softmax(p["Wc"].T @ rows.T + p["bc"][:, None])
+        d /= total
+        d[c, np.arange(n)] -= 1
+        g["Wc"][:], g["bc"][:] = (d @ rows).T, d.sum(1)
+        dh = d.T @ p["Wc"].T
+        order, parts = _by_class(c, heads)
+        own, word = rows.take(order, 0), y[order] % CLASS
+        back = np.empty_like(own)
+        for q, i, j in parts:
+            cut = slice(q * CLASS, min(head, (q + 1) * CLASS))
+            d, total = _softmax(p["Wh"][:, cut].T @ own[i:j].T + p["bh"][cut, None])
+            d /= total
+            d[word[i:j], np.arange(j - i)] -= 1
+            g["Wh"][:, cut], g["bh"][cut] = (d @ own[i:j]).T, d.sum(1)
+            back[i:j] = d.T @ p["Wh"][:, cut].T
+        dh[order] += back
+        dh = np.ascontiguousarray(dh.reshape(len(x), streams, k).transpose(0, 2, 1))
+        da, dg, carried = np.empty((len(x), 3 * k, streams), np.float32), np.empty((len(x), 3 * k, streams), np.float32), 0.0
         for t in range(len(x) - 1, -1, -1):
-            z, r, cand, gn = gates[t]
-            dt = dh[t] + back
-            dn = dt * (1 - z) * (1 - cand * cand)
-            da[t, :, :k] = dt * (old[t] - cand) * z * (1 - z)
-            da[t, :, k : 2 * k] = dn * gn * r * (1 - r)
-            da[t, :, 2 * k :] = dn
-            dg[t] = da[t]
-            dg[t, :, 2 * k :] *= r
-            back = (dt * z + dg[t] @ p["U"].T) * kept[t]
-        g["U"][:], g["bu"][:] = np.concatenate(old).T @ dg.reshape(-1, 3 * k), dg.sum((0, 1))
-        order = np.argsort(x.ravel(), kind="stable")
-        seen, at = np.unique(x.ravel()[order], return_index=True)
-        g["E"][seen] = np.add.reduceat(da.reshape(-1, 3 * k)[order], at)
+            zr, cand, gn = gates[t]
+            dt, at, gt = dh[t], da[t], dg[t]
+            dt += carried
+            slope = 1 - zr
+            dn = np.multiply(dt, slope[:k], at[2 * k :])
+            slope *= zr
+            dn -= dn * (cand * cand)
+            np.subtract(old[t], cand, at[:k])
+            at[:k] *= dt
+            np.multiply(dn, gn, at[k : 2 * k])
+            at[: 2 * k] *= slope
+            gt[: 2 * k] = at[: 2 * k]
+            np.multiply(dn, zr[k:], gt[2 * k :])
+            carried = p["U"] @ gt
+            dt *= zr[:k]
+            carried += dt
+            carried *= kept[t]
+        g["U"][:], g["bu"][:] = _rows(old).T @ _rows(dg), dg.sum((0, 2))
+        codes_in = x.ravel()
+        for q in range(3 * k):
+            g["E"][:, q] = np.bincount(codes_in, da[:, q].ravel(), len(g["E"]))
         grad /= n
         grad *= min(1.0, 1.0 / max(float(np.sqrt(grad @ grad)), 1e-9))
         done += 1
