@@ -54,6 +54,15 @@ SENTENCES = {
     "spdx-gpl3": "spdx license identifier gpl 3 0 or later",
     "spdx-bsd3": "spdx license identifier bsd 3 clause",
 }
+#: What stands before the cut that the usual punctuation or layout makes inside a known sentence.
+HEADS = (
+    "spdx license identifier",
+    "this program is free software",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+    "this program is distributed in the hope that it will be useful but without any warranty",
+    "this source code form is subject to the terms of the mozilla public license v",
+    "you may obtain a copy of the license at",
+)
 #: (licence, identifiers in order).
 RULES = (
     ("Apache-2.0", ("apache-1", "apache-2", "apache-3", "apache-4", "apache-5")),
@@ -100,12 +109,22 @@ def _norm(s: Column) -> Column:
 def recognise(text: Column) -> tuple[Column, Column]:
     """Identifiers of the known sentences in text order, and the licences of the rules that match, by rule."""
     known = F.create_map(*(F.lit(x) for k, v in SENTENCES.items() for x in (v, k)))
-    looked = F.transform(F.split(text, CUT), lambda u: F.when(F.contains(u, F.lit("\n")), F.concat(F.array(_norm(u)), F.transform(F.split(u, "\n"), _norm))).otherwise(F.array(_norm(u))))
+    heads = F.array(*map(F.lit, HEADS))
+    units = F.transform(F.split(text, CUT), lambda u: F.when(F.contains(u, F.lit("\n")), F.concat(F.array(_norm(u)), F.transform(F.split(u, "\n"), _norm))).otherwise(F.array(_norm(u))))
+    none = F.array().cast("array<string>")
+
+    def step(a: Column, u: Column) -> Column:
+        """ids so far; open: the heads that end with this unit. An open head goes on with the unit or its first line."""
+        made = F.array_distinct(F.flatten(F.transform(a["open"], lambda h: F.transform(F.slice(u, 1, 2), lambda t: F.concat(h, F.lit(" "), t)))))
+        ids = F.array_compact(F.transform(F.concat(made, u), lambda s: F.get(F.array(F.try_element_at(known, s)), F.lit(0))))
+        ends = F.concat(F.array(F.get(u, F.lit(0)), F.element_at(u, -1)), F.transform(a["open"], lambda h: F.concat(h, F.lit(" "), F.get(u, F.lit(0)))))
+        return F.struct(F.concat(a["ids"], ids).alias("ids"), F.array_intersect(heads, ends).alias("open"))
+
     hinted = F.lit(False)
     for h in HINTS:
         hinted = hinted | F.contains(text, F.lit(h))
-    ids = F.array_compact(F.transform(F.flatten(looked), lambda s: F.get(F.array(F.try_element_at(known, s)), F.lit(0))))
-    ids = F.when(hinted, ids).otherwise(F.array().cast("array<string>"))
+    ids = F.aggregate(units, F.struct(none.alias("ids"), none.alias("open")), step, lambda a: a["ids"])
+    ids = F.when(hinted, ids).otherwise(none)
     return ids, rules_of(ids)
 
 

@@ -145,3 +145,51 @@ def test_gru_learns_and_scores_like_a_plain_loop(docs, empty):
     assert np.allclose(gru.score(vec, 4, 0, flat, lengths, together=7, window=5), alone, rtol=1e-4)
     got = lm_scoring.score(docs, head=8, block_chars=50).collect()
     assert len(got) == docs.count() and all(np.isfinite(r.score) for r in got) and lm_scoring.score(empty).count() == 0
+
+
+#: The usual text of each licence sentence, as it is printed.
+STANDARD = {
+    "apache-short": "Licensed under the Apache License, Version 2.0.",
+    "apache-1": 'Licensed under the Apache License, Version 2.0 (the "License");',
+    "apache-2": "you may not use this file except in compliance with the License.",
+    "apache-3": "You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\n",
+    "apache-4": 'Unless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an "AS IS" BASIS,\nWITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
+    "apache-5": "See the License for the specific language governing permissions and\nlimitations under the License.",
+    "mit-short": "Released under the MIT License.",
+    "mit-under": "Licensed under the MIT license.",
+    "mit-head": "MIT License\n",
+    "mit-1": 'Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:',
+    "mit-2": "The above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.",
+    "mit-3": 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\nFITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.',
+    "isc-1": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.",
+    "bsd-head": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:",
+    "bsd-1": "1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.",
+    "bsd-2": "2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.",
+    "bsd-3": "3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.",
+    "gpl3-short": "This work is licensed under the GNU General Public License, version 3.",
+    "gpl3-under": "Licensed under the GNU General Public License version 3.",
+    "gpl-1": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.",
+    "gpl2-1": "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version.",
+    "gpl-2": "This program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "mpl-1": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this",
+    "ccby-short": "Licensed under CC BY 4.0.",
+    "ccbysa-short": "Licensed under CC BY-SA 4.0.",
+    "ccbync-short": "Licensed under CC BY-NC 4.0.",
+    "ccby-1": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "ccbysa-1": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "cc0-1": "This work is dedicated to the public domain.",
+    "reserved": "All rights reserved.",
+    "spdx-mit": "# SPDX-License-Identifier: MIT\n",
+    "spdx-apache": "# SPDX-License-Identifier: Apache-2.0\n",
+    "spdx-gpl3": "# SPDX-License-Identifier: GPL-3.0-or-later\n",
+    "spdx-bsd3": "# SPDX-License-Identifier: BSD-3-Clause\n",
+}
+
+
+def test_licenses_in_their_usual_text(spark):
+    assert STANDARD.keys() == licenses.SENTENCES.keys()
+    texts = [("\n\n".join(["Some words here.", *(STANDARD[i] for i in seq), "More words."]), list(seq), name) for name, seq in licenses.RULES]
+    texts += [(f"#!/bin/sh\n{STANDARD[i]}set -e\n", [i], name) for name, (i, *_) in licenses.RULES if i.startswith("spdx")]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame([(k, t) for k, (t, *_) in enumerate(texts)], "doc_id long, text string")).collect()}
+    for k, (text, ids, name) in enumerate(texts):
+        assert (got[k].sentences, got[k].licenses) == (ids, [name]), text
