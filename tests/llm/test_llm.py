@@ -193,3 +193,9 @@ def test_licenses_in_their_usual_text(spark):
     got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame([(k, t) for k, (t, *_) in enumerate(texts)], "doc_id long, text string")).collect()}
     for k, (text, ids, name) in enumerate(texts):
         assert (got[k].sentences, got[k].licenses) == (ids, [name]), text
+
+
+def test_licenses_need_no_hint(spark):
+    texts = ["This work is dedicated to the public\ndomain.", "This work is dedicated to the public  domain.", "Words. All rights\nreserved.", STANDARD["gpl-2"]]
+    got = {r.doc_id: r.sentences for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: ["cc0-1"], 1: ["cc0-1"], 2: ["reserved"], 3: ["gpl-2"]}
