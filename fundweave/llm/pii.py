@@ -1,7 +1,8 @@
 """PII: regular expressions propose spans, checksums confirm them, nearby context words adjust the score.
 
 Null text: no spans. A kind's matches are leftmost and do not overlap; a match that its validator
-rejects is dropped and not tried again. Every pattern runs in time linear in the text, so very long
+rejects is dropped and not tried again, but an IBAN is sought at every start and, from the longest on, at every
+end of a group, as capital letters that follow it ("BIC") look like groups. Every pattern runs in time linear in the text, so very long
 texts and long runs of digits or letters are harmless. Repeated rows are handled alike.
 """
 
@@ -74,6 +75,17 @@ def _spans_of(pattern: re.Pattern, text: str, holds) -> Iterator[tuple[int, int]
             yield m.span()
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    m = _IBAN.search(text)
+    while m:
+        start, end = m.span()
+        while end > start and not mod97(text[start:end]):
+            end = text.rfind(" ", start, end)
+        if end > start:
+            yield start, end
+        m = _IBAN.search(text, max(end, start + 4))
+
+
 def _is_card(s: str) -> bool:
     d = "".join(_DIGITS.findall(s))
     return 14 <= len(d) <= 19 and luhn(d)
@@ -86,7 +98,7 @@ def find(text: str) -> list[tuple[str, int, int, float]]:
     found += [("card", *x) for x in _spans_of(_CARD, text, _is_card)]
     if "+" in text:
         found += [("phone", *x) for x in _spans_of(_PHONE, text, lambda s: 10 <= sum(map(len, _DIGITS.findall(s))) <= 15)]
-    found += [("iban", *x) for x in _spans_of(_IBAN, text, mod97)]
+    found += [("iban", *x) for x in _ibans(text)]
     found += [("ssn", *x) for x in _spans_of(_SSN, text, lambda s: True)]
     scored = []
     for kind, start, end in found:

@@ -199,3 +199,14 @@ def test_licenses_need_no_hint(spark):
     texts = ["This work is dedicated to the public\ndomain.", "This work is dedicated to the public  domain.", "Words. All rights\nreserved.", STANDARD["gpl-2"]]
     got = {r.doc_id: r.sentences for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert got == {0: ["cc0-1"], 1: ["cc0-1"], 2: ["reserved"], 3: ["gpl-2"]}
+
+
+@pytest.mark.parametrize("iban", ["ES91 2100 0418 4502 0005 1332", "ES9121000418450200051332", "AT61 1904 3002 3457 3201", "BE68 5390 0754 7034", "PL61 1090 1014 0000 0712 1981 2874", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947"])
+def test_iban_before_capitals(iban):
+    for before in ("", "AB12 CODE WORD "):
+        for after in ("", ",", " BIC CAIXESBB", " CAIXESBBXXX", " REF", " A", " EUR 1000 PAID", f" {iban}"):
+            text = f"IBAN {before}{iban}{after}"
+            got = [(s, e) for k, s, e, _ in pii.find(text) if k == "iban"]
+            want = [m.span() for m in re.finditer(iban, text)]
+            assert got == want, text
+    assert pii.redact(f"IBAN {iban} BIC X", pii.find(f"IBAN {iban} BIC X")).startswith("IBAN <IBAN> BIC X")
