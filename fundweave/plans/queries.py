@@ -198,9 +198,10 @@ query("trace_path", f"SELECT array_to_string(p, '>') AS path FROM (SELECT p FROM
 )
 query("trace_bundle")(lambda s, sf: trace.bundle(adapter.transactions(s, sf), START, END, HOPS))
 
+# Every row is given; the SQL ends at its first 200.
 for _o, _sql in (("time_asc", "transaction_time, seq"), ("time_desc", "transaction_time DESC, seq"), ("amount_desc", "amount DESC, seq")):
     query(f"sort_{_o}", f"SELECT transaction_id, CAST(row_number() OVER (ORDER BY {_sql}) AS BIGINT) AS place FROM tx ORDER BY place LIMIT 200")(
-        lambda s, sf, o=_o: adapter.transactions(s, sf).orderBy(*filters.sort_keys(o)).limit(200).select(F.posexplode(F.array("transaction_id")), F.lit(0)).select(F.col("col").alias("transaction_id"), (F.monotonically_increasing_id() + 1).alias("place"))
+        lambda s, sf, o=_o: filters.placed(adapter.transactions(s, sf).select("transaction_id", "transaction_time", "amount", "seq"), o).select("transaction_id", "place")
     )
 query("page", "SELECT transaction_id FROM tx ORDER BY amount DESC, seq LIMIT 50 OFFSET 100")(lambda s, sf: filters.sorted_page(adapter.transactions(s, sf), "amount_desc", 3, 50).select("transaction_id"))
 query("set_union", "SELECT payer_account AS account FROM tx UNION SELECT payee_account FROM tx")(lambda s, sf: (t := adapter.transactions(s, sf)).select(F.col("payer_account").alias("account")).union(t.select("payee_account")).distinct())

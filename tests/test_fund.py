@@ -30,6 +30,15 @@ def test_query_equals_sql(spark, name):
     assert rows(fund.QUERIES[name](spark, SF).toPandas()) == rows(c.sql(fund.SQL[name]).df())
 
 
+@pytest.mark.parametrize("name", ["sort_time_asc", "sort_time_desc", "sort_amount_desc"])
+def test_sort_places_every_row(spark, name):
+    c = duckdb.connect()
+    c.sql(f"create view events as select * from '{SF}/events.parquet'")
+    first, whole = (c.sql(sql).fetchall() for sql in (fund.SQL[name], fund.SQL[name].replace(" LIMIT 200", "")))
+    got = [(r.transaction_id, r.place) for r in fund.QUERIES[name](spark, SF).collect()]
+    assert len(got) > 200 and got == whole and got[:200] == first
+
+
 def tx(spark, items):
     at = datetime(2026, 1, 1)
     data = [(k, f"T{k}", at + timedelta(minutes=m), a, b, Decimal(x), s) for k, (m, a, b, x, s) in enumerate(items)]
