@@ -27,6 +27,7 @@ from xxhash import xxh64_intdigest
 
 from .common import materialise, ship, table, text_of, words_of
 from .components import components
+from .near_dup import keep_one  # noqa: F401
 
 MAX_BITS, SHINGLE, SEED = 3, 3, 42
 BLOCKS, BLOCK_BITS = 4, 16
@@ -225,19 +226,6 @@ def near_duplicates(docs: DataFrame, hot: int = HOT) -> DataFrame:
     return printed.join(ids.select("fp", "component_id"), "fp")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """Rows of docs, one for each class: that with the least doc_id (null last), then least text hash. Of repeated rows one stays."""
-    keyed = docs.withColumn("__h", F.xxhash64("text"))
-    printed = materialise(fingerprints(keyed, "doc_id", "__h"), "simhash")
-    rank = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "__h")
-    best = printed.groupBy("fp").agg(F.min(rank).alias("best"), F.count("*").alias("rows"))
-    best = best.join(classes(printed), "fp").groupBy("root").agg(F.min("best").alias("best"))
-    best = materialise(best.select(F.col("best.doc_id").alias("k_id"), F.col("best.__h").alias("k_h")), "simhash-kept")
-    kept = keyed.join(best, keyed["doc_id"].eqNullSafe(best["k_id"]) & (keyed["__h"] == best["k_h"]), "left_semi").drop("__h")
-    repeats = printed.groupBy("doc_id", "__h").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id", "text"]) if repeats else kept
-
-
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = near_duplicates(table(spark, sf_dir, "documents"))
     return got.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -210,3 +210,27 @@ def test_iban_before_capitals(iban):
             want = [m.span() for m in re.finditer(iban, text)]
             assert got == want, text
     assert pii.redact(f"IBAN {iban} BIC X", pii.find(f"IBAN {iban} BIC X")).startswith("IBAN <IBAN> BIC X")
+
+
+def test_near_dedup_equals_brute_force(spark):
+    import corpus_pipeline
+    from fundweave.llm import near_dup
+
+    rng, rows = np.random.default_rng(7), []
+    for k in range(12):
+        base = [f"w{x}" for x in rng.integers(0, 5000, 150)]
+        for copy in range(20):
+            w = list(base)
+            for at in rng.choice(150, rng.integers(0, 9), replace=False):
+                w[at] = f"e{k}x{copy}x{at}"
+            rows.append((len(rows), " ".join(w)))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for _, t in rows for w in [t.split()]]
+    near = np.array([[len(a & b) / len(a | b) >= 0.8 for b in sets] for a in sets])
+    label = np.arange(len(rows))
+    while (new := np.array([label[n].min() for n in near])).tolist() != label.tolist():
+        label = new
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = sorted(set(label.tolist()))
+    assert 12 < len(want) < len(rows)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == want
+    assert sorted(r.doc_id for r in near_dup.keep_one(docs, 2).collect()) == want
