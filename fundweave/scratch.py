@@ -19,7 +19,18 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df once and read it back: cuts the lineage, survives lost executors."""
+    """Write df once and read it back: cuts the lineage, survives lost executors. drop() removes the table."""
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    got = df.sparkSession.read.schema(df.schema).parquet(path)
+    got._scratch_path = path
+    return got
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Remove tables of materialise() that nothing will read again; other frames are left alone."""
+    for df in tables:
+        if path := getattr(df, "_scratch_path", None):
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
