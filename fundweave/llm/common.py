@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import shutil
 import tempfile
-import uuid
+from contextlib import suppress
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import drop, materialise, scratch_dir  # noqa: F401
+
 PACKAGE = Path(__file__).resolve().parents[1]
 #: ASCII white space of the contracts: [\x20\x09-\x0D].
 WHITE = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -26,23 +30,6 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may lack it."""
-    conf = spark.sparkContext.getConf()
-    if base := conf.get("spark.checkpoint.dir"):
-        return base.rstrip("/")
-    if not conf.get("spark.master", "").startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"file://{tempfile.gettempdir()}/fundweave-scratch"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: cuts the lineage, survives lost executors."""
-    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package where PYTHONPATH does not already show it."""
     sc = spark.sparkContext
@@ -56,6 +43,13 @@ def ship(spark: SparkSession) -> None:
     sc._fundweave_shipped = True
 
 
+def trim() -> None:
+    """Give freed memory of this process back to the system."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def words_of(data: str) -> list[bytes]:
     """Words between ASCII white space, A-Z in lower case, as UTF-8."""
     return data.encode("utf-8", "surrogatepass").translate(LOWER).split()

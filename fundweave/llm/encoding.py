@@ -11,43 +11,53 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from itertools import islice
 
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from .common import LOWER
+from .common import LOWER, trim
 
 #: Characters with the Unicode property White_Space (fixed values), \s for the tokenizers.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Latin letters before one full stop, comma or exclamation mark at the end of a word are a chunk of their own.
 _CHUNKS = re.compile(f" ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+(?=[.,!](?:[{SPACE}]|\\Z))|[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+#: Chunks that an encoder keeps between batches: about 200 bytes each.
+LIMIT = 300_000
+TOGETHER = 100
 
 
 class ChunkEncoder(dict):
     """chunk -> number; the ids of chunk k are flat[start[k]:start[k + 1]].
 
-    At most `limit` chunks are kept between batches; beyond that the later half goes, since frequent
-    chunks are met early. A tokenizer that drops white space and lowers letters gets chunks of bytes
+    At most `limit` chunks are kept between batches; beyond that the half used least goes, and the uses
+    of the others are halved. A tokenizer that drops white space and lowers letters gets chunks of bytes
     with A-Z lowered, which makes fewer of them.
     """
 
-    def __init__(self, path: str, end_id: int, drops_space: bool, limit: int = 700_000):
+    def __init__(self, path: str, end_id: int, drops_space: bool, limit: int = LIMIT):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.end_id, self.drops_space, self.limit = end_id, drops_space, limit
+        special = [k for k, t in sorted(self.tokenizer.get_added_tokens_decoder().items()) if t.special and not (t.normalized or t.single_word or t.lstrip or t.rstrip)]
+        self.mark = special[-1] if special else None
+        self.mark_text = self.tokenizer.id_to_token(self.mark) if special else ""
         self.new: list = []
         self.start, self.flat = array("q", [0, 1]), array("I", [self.end_id])  # chunk 0 is the end
         self.known = 1
+        self.uses = np.zeros(1, np.int64)
 
     def _forget(self) -> None:
-        kept = self.limit // 2
-        for chunk in list(islice(self, kept - 1, None)):
-            del self[chunk]
-        del self.start[kept + 1 :]
-        del self.flat[self.start[kept] :]
-        self.known = kept
+        kept = np.sort(np.argsort(-self.uses[1:], kind="stable")[: self.limit // 2]) + 1
+        chunks, start, flat = list(self), np.array(self.start), np.array(self.flat)
+        self.clear()
+        self.update((chunks[k - 1], n) for n, k in enumerate(kept.tolist(), 1))
+        places = np.r_[0, kept]
+        first, length = start[places], start[places + 1] - start[places]
+        ends = np.cumsum(length)
+        self.flat = array("I", flat[np.repeat(first - (ends - length), length) + np.arange(ends[-1])].astype("I").tobytes())
+        self.start = array("q", np.r_[0, ends].astype("q").tobytes())
+        self.uses, self.known = self.uses[places] // 2, len(places)
 
     def _chunks(self, text: str) -> list:
         if not self.drops_space:
@@ -62,11 +72,20 @@ class ChunkEncoder(dict):
         return k
 
     def _learn(self) -> None:
-        for i in range(0, len(self.new), 2000):
-            some = [x if isinstance(x, str) else x.decode("utf-8", "surrogatepass") for x in self.new[i : i + 2000]]
-            for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False):
-                self.flat.extend(e.ids)
-                self.start.append(len(self.flat))
+        """Encode the new chunks: TOGETHER of them in one call, parted by a special token, at which the tokenizer cuts before anything else."""
+        texts = self.new if not self.drops_space else [x.decode("utf-8", "surrogatepass") for x in self.new]
+        for i in range(0, len(texts), TOGETHER):
+            some = texts[i : i + TOGETHER]
+            if self.mark is None or "<|" in "".join(some):
+                for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False):
+                    self.flat.extend(e.ids)
+                    self.start.append(len(self.flat))
+                continue
+            ids = np.array(self.tokenizer.encode_batch_fast([self.mark_text.join(some)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            cut = np.flatnonzero(ids == self.mark)
+            own, first = ids[ids != self.mark], len(self.flat)
+            self.flat.frombytes(own.tobytes())
+            self.start.frombytes((np.r_[cut - np.arange(len(cut)), len(own)] + first).astype("q").tobytes())
         self.new.clear()
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -84,6 +103,9 @@ class ChunkEncoder(dict):
             return np.empty(0, np.uint32), counts
         start, flat = np.array(self.start), np.array(self.flat, dtype=np.uint32)
         numbers = np.frombuffer(all_numbers, np.int64)
+        now = np.bincount(numbers, minlength=self.known)
+        now[: len(self.uses)] += self.uses
+        self.uses = now
         first, length = start[numbers], start[numbers + 1] - start[numbers]
         ends = np.cumsum(length)
         ids = flat[np.repeat(first - (ends - length), length) + np.arange(ends[-1])]
@@ -93,10 +115,18 @@ class ChunkEncoder(dict):
 _held: dict[tuple, ChunkEncoder] = {}
 
 
-def encoder(name: str, end_id: int, drops_space: bool, path: str | None = None, limit: int = 700_000) -> ChunkEncoder:
-    """One encoder for each Python worker, kept from task to task."""
+def release() -> None:
+    """Drop the encoders of this Python worker: called where a worker turns to an operator that does not encode."""
+    if _held:
+        _held.clear()
+        trim()
+
+
+def encoder(name: str, end_id: int, drops_space: bool, path: str | None = None, limit: int = LIMIT) -> ChunkEncoder:
+    """One encoder at a time for each Python worker, kept from task to task."""
     key = path or public_tokenizers.path(name), end_id, drops_space, limit
     if key not in _held:
+        release()
         _held[key] = ChunkEncoder(*key)
     return _held[key]
 

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ship, table, text_of
+from .encoding import release
 
 PER_CLASS = 3000
 DIM_BITS, GRAM_BITS = 20, 17
@@ -138,8 +139,8 @@ def fit(rows: list[np.ndarray], y: np.ndarray, good_rate: float) -> Model:
     if len(set(y[aside])) < 2 or len(set(y[~aside])) < 2:
         aside[:] = False
     count = np.zeros((2, dim))
-    for f, label in zip(rows, y, strict=True):
-        count[label][f] += 1
+    for i in np.flatnonzero(~aside):  # what is set aside stays unseen until it calibrates
+        count[y[i]][rows[i]] += 1
     seen = count.sum(0) > 0
     smooth = count + 1
     ratio = np.where(seen, np.log(smooth[1] / smooth[1][seen].sum()) - np.log(smooth[0] / smooth[0][seen].sum()), 0.0)
@@ -189,6 +190,7 @@ def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     kinds = "".join(f"c{i} {docs.schema[k].dataType.simpleString()}, " for i, k in enumerate(keep))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         m = held.value
         for b in batches:
             got = pa.array([m.score(v.as_py() or "") for v in b.column(b.num_columns - 1)], pa.float64())
