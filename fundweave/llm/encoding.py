@@ -32,7 +32,9 @@ class ChunkEncoder(dict):
 
     At most `limit` chunks are kept between batches; beyond that the half used least goes, and the uses
     of the others are halved. A tokenizer that drops white space and lowers letters gets chunks of bytes
-    with A-Z lowered, which makes fewer of them.
+    with A-Z lowered, which makes fewer of them. Of another tokenizer's texts a chunk is what a space or a
+    line's start stands before: "word" is " word", "\\nword" itself, "\\0word" is "word". Where white space
+    meets a space, or three line ends meet, the pattern cuts the text.
     """
 
     def __init__(self, path: str, end_id: int, drops_space: bool, limit: int = LIMIT):
@@ -43,6 +45,7 @@ class ChunkEncoder(dict):
         self.mark = special[-1] if special else None
         self.mark_text = self.tokenizer.id_to_token(self.mark) if special else ""
         self.new: list = []
+        self.unsure = False
         self.start, self.flat = array("q", [0, 1]), array("I", [self.end_id])  # chunk 0 is the end
         self.known = 1
         self.uses = np.zeros(1, np.int64)
@@ -60,12 +63,29 @@ class ChunkEncoder(dict):
         self.uses, self.known = self.uses[places] // 2, len(places)
 
     def _chunks(self, text: str) -> list:
-        if not self.drops_space:
-            return _CHUNKS.findall(text)
-        data = text.encode("utf-8", "surrogatepass")
-        return (data if b"<|" in data else data.translate(LOWER)).split()  # what may be a special token is left as it is
+        if self.drops_space:
+            data = text.encode("utf-8", "surrogatepass")
+            return (data if b"<|" in data else data.translate(LOWER)).split()  # what may be a special token is left as it is
+        if "<|" in text or "\0" in text or "\n\n\n" in text or text.endswith("\n\n"):
+            return self._plain(text)
+        first, *lines = text.split("\n")
+        out = ("\0" + first).split(" ")
+        for line in lines:
+            out += ("\n" + line).split(" ")
+        return out
+
+    def _plain(self, text: str) -> list:
+        return ["\0" + x for x in _CHUNKS.findall(text)]
+
+    def _text_of(self, chunk) -> str:
+        if self.drops_space:
+            return chunk.decode("utf-8", "surrogatepass")
+        return chunk[1:] if chunk[0] == "\0" else chunk if chunk[0] == "\n" else " " + chunk
 
     def __missing__(self, chunk) -> int:
+        if not self.drops_space and (not chunk or chunk[0] != "\0" and chunk != "\n" and (chunk[-1].isspace() or chunk[chunk[0] == "\n" :][0].isspace())):
+            self.unsure = True
+            return 0
         self.new.append(chunk)
         self[chunk] = k = self.known
         self.known = k + 1
@@ -73,7 +93,7 @@ class ChunkEncoder(dict):
 
     def _learn(self) -> None:
         """Encode the new chunks: TOGETHER of them in one call, parted by a special token, at which the tokenizer cuts before anything else."""
-        texts = self.new if not self.drops_space else [x.decode("utf-8", "surrogatepass") for x in self.new]
+        texts = list(map(self._text_of, self.new))
         for i in range(0, len(texts), TOGETHER):
             some = texts[i : i + TOGETHER]
             if self.mark is None or "<|" in "".join(some):
@@ -94,8 +114,12 @@ class ChunkEncoder(dict):
             self._forget()
         number, counts, all_numbers = self.__getitem__, np.empty(len(texts), np.int64), array("q")
         for k, text in enumerate(texts):
-            chunks = self._chunks(text)
+            chunks, at = self._chunks(text), len(all_numbers)
             all_numbers.extend(map(number, chunks))
+            if self.unsure:
+                self.unsure, chunks = False, self._plain(text)
+                del all_numbers[at:]
+                all_numbers.extend(map(number, chunks))
             all_numbers.append(0)
             counts[k] = len(chunks) + 1
         self._learn()

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import drop, materialise, ship, table
 from .encoding import encoder, text_batches
 
-TOKENIZER, END_ID, BLOCK_CHARS, BLOCK_IDS = "byte_bpe_50k.json", 2, 1_000_000, 250_000
+TOKENIZER, END_ID, BLOCK_CHARS, BLOCK_IDS, CHUNKS = "byte_bpe_50k.json", 2, 1_000_000, 250_000, 600_000
 #: LENGTHS[c]: bytes of the four values of control byte c. MASKS[n]: the bits of an n-byte value.
 LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
@@ -37,12 +37,16 @@ MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
 def pack_ints(values: np.ndarray) -> tuple[bytes, bytes]:
     """(control, data) of values below 2**32."""
     v = np.ascontiguousarray(values, "<u4")
-    size = 1 + (v > 0xFF).astype(np.uint8) + (v > 0xFFFF) + (v > 0xFFFFFF)
+    small = int(v.max(initial=0)) <= 0xFFFF
+    size = 1 + (v > 0xFF).astype(np.uint8)
+    if not small:
+        size += (v > 0xFFFF) + (v > 0xFFFFFF).astype(np.uint8)
     padded = np.zeros(-(-len(v) // 4) * 4, np.uint8)
     padded[: len(v)] = size - 1
     four = padded.reshape(-1, 4)
     control = four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6
-    data = v.view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]]
+    width = 2 if small else 4
+    data = v.astype(f"<u{width}").view(np.uint8).reshape(-1, width)[np.arange(width) < size[:, None]]
     return control.astype(np.uint8).tobytes(), data.tobytes()
 
 
@@ -61,7 +65,7 @@ def _encode(docs: DataFrame, tokenizer_path: str | None) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(TOKENIZER, END_ID, False, tokenizer_path)
+        enc = encoder(TOKENIZER, END_ID, False, tokenizer_path, CHUNKS)
         width = "<u2" if enc.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         total, names, doc_type = np.zeros(0, np.int64), ["doc_id", "n", "ids", "counts"], None
         for b in batches:
