@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 
-HIDDEN, CLASS, BINS, STEPS, STREAMS, SOFTMAX_ROWS = 16, 64, 20, 16, 512, 8192
+HIDDEN, CLASS, BINS, STEPS, STREAMS, SOFTMAX_ROWS = 16, 128, 40, 16, 128, 8192
 
 
 def shapes(head: int) -> dict[str, tuple[int, ...]]:
@@ -172,7 +172,7 @@ def train(vec: np.ndarray, head: int, end: int, codes: np.ndarray, rate: float)
     target = np.ascontiguousarray(codes.reshape(streams, -1).T.astype(np.int64))
     given = np.vstack([np.full((1, streams), end), target[:-1]])
     m, s, done = np.zeros_like(vec), np.zeros_like(vec), 0
-    grad = np.zeros_like(vec)
+    grad, buffer = np.zeros_like(vec), np.empty_like(vec)
     g = views(grad, head)
     last = np.zeros((k, streams), np.float32)
     for t0 in range(0, len(target), STEPS):
@@ -231,7 +231,18 @@ def train(vec: np.ndarray, head: int, end: int, codes: np.ndarray, rate: float)
         grad /= n
         grad *= min(1.0, 1.0 / max(float(np.sqrt(grad @ grad)), 1e-9))
         done += 1
-        m += 0.1 * (grad - m)
-        s += 0.01 * (grad * grad - s)
-        vec -= rate * (m / (1 - 0.9**done)) / (np.sqrt(s / (1 - 0.99**done)) + 1e-6)
+        # Adam in place: m and s are running means of the gradient and its square
+        np.multiply(grad, grad, buffer)
+        buffer -= s
+        buffer *= 0.01
+        s += buffer
+        grad -= m
+        grad *= 0.1
+        m += grad
+        np.multiply(s, 1 / (1 - 0.99**done), buffer)
+        np.sqrt(buffer, buffer)
+        buffer += 1e-6
+        np.divide(m, buffer, buffer)
+        buffer *= rate / (1 - 0.9**done)
+        vec -= buffer
     return vec

@@ -2,9 +2,10 @@
 
 1. Each task cuts its texts into blocks of about BLOCK_CHARS characters: the block's own word list,
    word counts over training texts, and its texts as numbers into the list.
-2. The lists (a word once for each block) meet by word: every word gets its count over all training
-   texts. The HEAD most frequent words and the mass of each frequency bin go to the driver (bounded).
-3. Each block gets its words' counts back and becomes model codes, with the unigram base scores.
+2. The lists (a word once for each block) are counted by word, known by 96 hash bits. The most frequent
+   words, PER_ROOT times the root of the number of distinct ones and HEAD at least, make the head; their
+   counts and the mass of each frequency bin go to the driver.
+3. Each block gets its words' counts and codes back, with the unigram base scores.
 4. ROUNDS rounds of training: every task trains from the shared parameters on its share of every
    block, all training texts being used once over the rounds; parameters are averaged, weighted by
    tokens, in two levels so that no task reads more than the square root of the blocks.
@@ -24,14 +25,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import gru
-from .common import materialise, ship, table, words_of
+from .common import drop, materialise, ship, table, words_of
 
 FOLDS, HELD_FOLD = 5, 1
-BLOCK_CHARS, HEAD, ROUNDS, RATE, CHUNKS = 16_000_000, 1024, 3, 0.01, 16
+BLOCK_CHARS, HEAD, PER_ROOT, ROUNDS, RATE, CHUNKS = 12_000_000, 1024, 2.0, 3, 0.01, 16
 
 
 class _Words(dict):
@@ -84,62 +85,72 @@ def _cut(docs: DataFrame, block_chars: int) -> DataFrame:
     return slim.mapInArrow(run, f"bid long, doc_ids array<{kind}>, held array<boolean>, n_tokens array<long>, ids binary, words array<binary>, counts array<long>")
 
 
+def _rows(blocks: DataFrame) -> DataFrame:
+    """bid, lid, h (two hashes, 96 bits, that stand for the word) and n of every block's words."""
+    x = F.posexplode(F.arrays_zip("words", "counts")).alias("lid", "x")
+    h = F.struct(F.xxhash64("x.words").alias("a"), F.hash("x.words").alias("b"))
+    return blocks.select("bid", x).select("bid", "lid", h.alias("h"), F.col("x.counts").alias("n"))
+
+
 def _word_counts(blocks: DataFrame) -> DataFrame:
-    """bid, lid, c (count over all training texts), and word in the first row of each word."""
-    rows = blocks.select("bid", F.posexplode(F.arrays_zip("words", "counts")).alias("lid", "x")).select("bid", "lid", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
-    by_word = Window.partitionBy("word").orderBy("bid")
-    total = F.sum("n").over(by_word.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    got = rows.select("bid", "lid", total.alias("c"), F.row_number().over(by_word).alias("k"), "word")
-    return got.select("bid", "lid", "c", (F.col("k") == 1).alias("first"), F.when(F.col("k") == 1, F.col("word")).alias("word"))
+    """h, c (count over all training texts) and is_end of every word; counted before the shuffle, so frequent words are no hot keys."""
+    return _rows(blocks).groupBy("h").agg(F.sum("n").alias("c"), (F.min("lid") == 0).alias("is_end"))
 
 
 class Vocabulary:
-    """head: word -> code. mass: tokens of each tail bin. n, v: tokens and distinct tokens in training texts; ones: words seen once in the tail."""
+    """counts: of the head words, by code. mass: tokens of each tail bin. n, v: tokens and distinct tokens in training texts; ones: words seen once in the tail."""
 
-    def __init__(self, head: list[tuple[bytes, int]], bins: list[tuple[int, int, int]], n: int, v: int):
-        self.n, self.v = n, v
-        self.code = {w: k for k, (w, _) in enumerate(head)}
-        self.counts = np.array([c for _, c in head], np.int64)
+    def __init__(self, counts: list[int], end: int, bins: list[tuple[int, int, int]], n: int, v: int):
+        self.n, self.v, self.end = n, v, end
+        self.counts = np.array(counts, np.int64)
         self.mass, words = np.zeros(gru.BINS), np.zeros(gru.BINS)
         for b, tokens, distinct in bins:  # the last bin takes all that are more frequent
             self.mass[min(b, gru.BINS - 1)] += tokens
             words[min(b, gru.BINS - 1)] += distinct
-        for _, c in head:
+        for c in counts:
             if c:
                 b = min(int(c).bit_length() - 1, gru.BINS - 1)
                 self.mass[b] -= c
                 words[b] -= 1
         self.ones = words[0]
-        self.end = self.code[b""]
+        self.width = "<u2" if len(counts) + gru.BINS <= 1 << 16 else "<u4"
 
-    def codes_of(self, words: list[bytes], c: np.ndarray) -> np.ndarray:
-        head = np.fromiter((self.code.get(w, -1) for w in words), np.int64, len(words))
-        tail = len(self.code) + np.clip(np.frexp(np.maximum(c, 1).astype(float))[1] - 1, 0, gru.BINS - 1)
+    def codes_of(self, head: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """head: the words' codes, -1 for tail words."""
+        tail = len(self.counts) + np.clip(np.frexp(np.maximum(c, 1).astype(float))[1] - 1, 0, gru.BINS - 1)
         return np.where(head >= 0, head, tail)
 
     def tail_logs(self, codes: np.ndarray, c: np.ndarray) -> np.ndarray:
         """log10 of each word's share of its bin; 0 for head words."""
-        head = len(self.code)
+        head = len(self.counts)
         b = np.maximum(codes - head, 0)
         share = np.maximum(c, 1) / np.maximum(self.mass[b], 1)
         rare = np.where(c == 0, 0.5 if self.ones else 1.0, 0.5 / max(self.ones, 1))
         return np.where(codes < head, 0.0, np.log10(np.where(b == 0, rare, share)))
 
 
-def _vocabulary(counts: DataFrame, head: int) -> Vocabulary:
-    words = counts.where("first")
-    n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-    bins = words.where("c > 0").groupBy(F.floor(F.log2("c") + 1e-9).cast("int")).agg(F.sum("c"), F.count("*")).collect()  # BINS rows at most
-    top = words.where((F.col("c") > 0) & (F.length("word") > 0)).orderBy(F.desc("c"), "word").limit(head - 1).select("word", "c").collect()
-    end = words.where(F.length("word") == 0).select("c").first()
-    ranked = sorted([(b"", end[0] if end else 0), *((bytes(r[0]), r[1]) for r in top)], key=lambda x: (-x[1], x[0]))
-    return Vocabulary(ranked, [tuple(r) for r in bins], n, v)
+def head_size(v: int, least: int = HEAD, per_root: float = PER_ROOT) -> int:
+    """Head words for v distinct training words: it grows as their square root, as the classes of the softmax do."""
+    return max(least, int(np.ceil(per_root * v**0.5)))
+
+
+def _vocabulary(counts: DataFrame, least: int) -> tuple[Vocabulary, DataFrame]:
+    """The vocabulary, and the table (h, code) of its head words."""
+    spark = counts.sparkSession
+    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+    bins = counts.where("c > 0").groupBy(F.floor(F.log2("c") + 1e-9).cast("int")).agg(F.sum("c"), F.count("*")).collect()  # 64 rows at most
+    top = counts.where("c > 0 AND NOT is_end").orderBy(F.desc("c"), "h").limit(head_size(v, least) - 1).collect()
+    end = counts.where("is_end").collect()
+    ranked = sorted([*((*r["h"], r["c"], False) for r in top), *((*r["h"], r["c"], True) for r in end)], key=lambda x: (-x[2], x[:2])) or [(0, 0, 0, True)]
+    codes = spark.createDataFrame([((a, b), k) for k, (a, b, *_) in enumerate(ranked)], "h struct<a:long,b:int>, code int")
+    return Vocabulary([x[2] for x in ranked], [x[3] for x in ranked].index(True), [tuple(r) for r in bins], n, v), codes
 
 
-def _coded(blocks: DataFrame, counts: DataFrame, vocabulary) -> DataFrame:
+def _coded(blocks: DataFrame, counts: DataFrame, codes: DataFrame, vocabulary) -> DataFrame:
     """bid, doc_ids, held, n_tokens, n_known, base, tail, codes."""
-    mapping = counts.groupBy("bid").agg(F.collect_list(F.struct("lid", "c")).alias("m"))  # a block's words: bounded by BLOCK_CHARS
-    joined = blocks.drop("counts").join(mapping, "bid")
+    known = counts.join(F.broadcast(codes), "h", "left").select("h", "c", F.coalesce("code", F.lit(-1)).alias("code"))  # the head: head_size() rows
+    mapping = _rows(blocks).join(known, "h").groupBy("bid").agg(F.collect_list(F.struct("lid", "c", "code")).alias("m"))  # a block's words: bounded by BLOCK_CHARS
+    joined = blocks.drop("words", "counts").join(mapping, "bid")
     kind = blocks.schema["doc_ids"].dataType.simpleString()
     names = ["bid", "doc_ids", "held", "n_tokens", "n_known", "base", "tail", "codes"]
 
@@ -148,22 +159,21 @@ def _coded(blocks: DataFrame, counts: DataFrame, vocabulary) -> DataFrame:
         for b in batches:
             at = {n: b.column(b.schema.get_field_index(n)) for n in b.schema.names}
             for k in range(b.num_rows):
-                pairs = at["m"][k].values
-                words = at["words"][k].as_py()
-                c = np.zeros(len(words), np.int64)
-                c[pairs.field("lid").to_numpy()] = pairs.field("c").to_numpy()
-                code = voc.codes_of(words, c)
+                lid, count, head = (at["m"][k].values.field(x).to_numpy() for x in ("lid", "c", "code"))
+                c, own = np.zeros(len(lid), np.int64), np.zeros(len(lid), np.int64)
+                c[lid], own[lid] = count, head
+                code = voc.codes_of(own, c)
                 ids = np.frombuffer(at["ids"][k].as_buffer(), "<u4")
                 n = np.asarray(at["n_tokens"][k].values, np.int64)
                 first = np.cumsum(n) - n
                 base = np.log10((c + 0.5) / (voc.n + 0.5 * (voc.v + 1)))
                 sums = [np.add.reduceat(x[ids], first) for x in ((c > 0).astype(np.int64), base, voc.tail_logs(code, c))]
-                yield pa.RecordBatch.from_arrays([at["bid"].slice(k, 1), at["doc_ids"].slice(k, 1), at["held"].slice(k, 1), at["n_tokens"].slice(k, 1), *(_list_of(pa.array(x)) for x in sums), pa.array([code[ids].astype("<u2").tobytes()], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([at["bid"].slice(k, 1), at["doc_ids"].slice(k, 1), at["held"].slice(k, 1), at["n_tokens"].slice(k, 1), *(_list_of(pa.array(x)) for x in sums), pa.array([code.astype(voc.width)[ids].tobytes()], pa.binary())], names)
 
     return joined.mapInArrow(run, f"bid long, doc_ids {kind}, held array<boolean>, n_tokens array<long>, n_known array<long>, base array<double>, tail array<double>, codes binary")
 
 
-def _round(coded: DataFrame, vec: np.ndarray, voc_size: int, end: int, number: int, rounds: int, salts: int) -> np.ndarray:
+def _round(coded: DataFrame, vec: np.ndarray, voc_size: int, width: str, end: int, number: int, rounds: int, salts: int) -> np.ndarray:
     """The parameters, averaged over all tasks' training on every rounds-th training text from `number` on."""
     held = coded.sparkSession.sparkContext.broadcast(vec)
     rate = RATE / (1 + number)
@@ -174,7 +184,7 @@ def _round(coded: DataFrame, vec: np.ndarray, voc_size: int, end: int, number: i
             for k in range(b.num_rows):
                 n = np.asarray(b.column(2)[k].values, np.int64)
                 use = ~np.asarray(b.column(1)[k].values.to_numpy(zero_copy_only=False), bool) & (np.arange(len(n)) % rounds == number)
-                codes = np.frombuffer(b.column(3)[k].as_buffer(), "<u2")[np.repeat(use, n)]
+                codes = np.frombuffer(b.column(3)[k].as_buffer(), width)[np.repeat(use, n)]
                 own = gru.train(own, voc_size, end, codes, rate)
                 tokens += len(codes)
                 salt = b.column(0)[k].as_py() % salts if salt is None else salt
@@ -200,16 +210,14 @@ def score(docs: DataFrame, head: int = HEAD, block_chars: int = BLOCK_CHARS, rou
     ship(spark)
     blocks = materialise(_cut(docs, block_chars), "lm-blocks")
     counts = materialise(_word_counts(blocks), "lm-counts")
-    if blocks.limit(1).count() == 0:
-        voc = Vocabulary([(b"", 0)], [], 0, 0)
-    else:
-        voc = _vocabulary(counts, head)
-    coded = materialise(_coded(blocks, counts, spark.sparkContext.broadcast(voc)), "lm-coded")
-    size, end = len(voc.code), voc.end
+    voc, head_codes = _vocabulary(counts, head)
+    coded = materialise(_coded(blocks, counts, head_codes, spark.sparkContext.broadcast(voc)), "lm-coded")
+    drop(blocks, counts)
+    size, end, width = len(voc.counts), voc.end, voc.width
     salts = int(np.ceil(np.sqrt(max(1, coded.count()))))
     vec = gru.start(voc.counts, voc.mass)
     for number in range(rounds):
-        vec = _round(coded, vec, size, end, number, rounds, salts)
+        vec = _round(coded, vec, size, width, end, number, rounds, salts)
     held = spark.sparkContext.broadcast(vec)
     kind = coded.schema["doc_ids"].dataType.elementType.simpleString()
     n_train = voc.n
@@ -220,7 +228,7 @@ def score(docs: DataFrame, head: int = HEAD, block_chars: int = BLOCK_CHARS, rou
             for k in range(b.num_rows):
                 doc_ids, is_held, n, known, base, tail, codes = (b.column(i)[k] for i in range(7))
                 lengths = np.asarray(n.values, np.int64)
-                got = gru.score(held.value, size, end, np.frombuffer(codes.as_buffer(), "<u2").astype(np.int64), lengths) + np.asarray(tail.values)
+                got = gru.score(held.value, size, end, np.frombuffer(codes.as_buffer(), width).astype(np.int64), lengths) + np.asarray(tail.values)
                 yield pa.RecordBatch.from_arrays([doc_ids.values, is_held.values, n.values, known.values, pa.array(np.full(len(lengths), n_train, np.int64)), base.values, pa.array(got)], names)
 
     slim = coded.select("doc_ids", "held", "n_tokens", "n_known", "base", "tail", "codes")

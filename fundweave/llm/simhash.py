@@ -1,13 +1,14 @@
 """SimHash near-duplicates by a binary-trie self-join.
 
 Fingerprints are 64-bit SimHashes over the XXH64 (seed 42) of 3-word shingles. Two fingerprints link
-at MAX_BITS or fewer differing bits. Distinct fingerprints only are joined, in four rotations: two
-that differ in at most three bits agree in one of four 16-bit blocks, so each rotation needs to pair
-only what agrees in its leading block. The rows of a block value are one subtree of the rotation's
-trie; a task walks pairs of its nodes together, adds up differing bits and drops a pair as soon as
-they exceed the budget. Block values with more than HOT fingerprints are cut into pairs of deeper
-nodes within the budget, which go to different tasks. A task returns a spanning forest of the links
-it finds, never all pairs; connected components of all forests give the classes.
+at MAX_BITS or fewer differing bits. Distinct fingerprints only are joined. The trie's root meets
+itself; of its pairs of nodes at depth `bits` those within the budget of differing bits are the cells
+that are dealt to tasks, so a fingerprint goes to as many cells as there are ways to flip MAX_BITS or
+fewer of its first bits. In a cell the walk goes on down a path-compressed trie: of two nodes the one
+that branches first is opened, and a pair is dropped as soon as the bits that both have fixed differ
+too often. Cells of more than HOT fingerprints are cut into pairs of deeper nodes. A task returns a
+spanning forest of the links it finds, never all pairs; pairs of subtrees that are one class already
+are not walked. Connected components of all forests give the classes.
 
 Null and empty texts, and texts without words, have fingerprint zero and are linked with each other.
 Fewer than three words are one shingle. Repeated rows share a component. component_id is the least
@@ -17,6 +18,7 @@ doc_id that is not null; a class of null ids only has a null component_id.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -30,10 +32,10 @@ from .components import components
 from .near_dup import keep_one  # noqa: F401
 
 MAX_BITS, SHINGLE, SEED = 3, 3, 42
-BLOCKS, BLOCK_BITS = 4, 16
-HOT = 50_000
-#: Node pairs of at most so many comparisons are compared directly; pairs in one step of the walk.
-DIRECT, STEP = 64, 400_000
+#: Fingerprints of a cell at most before it is cut; depth of the cells at least, and of the cut.
+HOT, LEAST_BITS, DEEPER = 2_000_000, 4, 6
+#: Node pairs in one step of the walk.
+STEP = 400_000
 
 
 def fingerprint(text: str) -> int:
@@ -65,63 +67,78 @@ def fingerprints(docs: DataFrame, *keep: str) -> DataFrame:
     return slim.mapInArrow(run, f"{kinds}, fp long").select(*(F.col(f"c{i}").alias(k) for i, k in enumerate(keep)), "fp")
 
 
-def _rotate(x: np.ndarray, bits: int) -> np.ndarray:
-    return x if bits == 0 else (x << np.uint64(bits)) | (x >> np.uint64(64 - bits))
-
-
-def _first_one(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: np.uint64) -> np.ndarray:
-    """In each sorted range, in which the bits above `bit` agree, the first place that has the bit."""
-    a, b = lo.copy(), hi.copy()
-    while (open_ := a < b).any():
-        mid = (a + b) >> 1
-        one = ((keys[np.minimum(mid, len(keys) - 1)] >> bit) & np.uint64(1)).astype(bool)
-        b = np.where(open_ & one, mid, b)
-        a = np.where(open_ & ~one, mid + 1, a)
-    return a
-
-
-def trie_pairs(keys: np.ndarray, lo_a, hi_a, lo_b, hi_b, diff, depth: int, max_bits: int = MAX_BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places (i, j) of keys within max_bits. A start pair of nodes at `depth` is two ranges of keys, sorted inside; equal ranges: the node with itself."""
-    stack = [(depth, *(np.asarray(x, np.int64) for x in (lo_a, hi_a, lo_b, hi_b, diff)))]
+def trie(keys: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Path-compressed binary trie over sorted distinct keys: first key, end, depth of the branch, children of each node.
+
+    The root is node 0. A node's keys agree in the bits before its depth; a leaf (one key) has depth 64.
+    """
+    lo, hi, depth, left, right = [], [], [], [], []
+    a, b, made = np.zeros(min(1, len(keys)), np.int64), np.full(min(1, len(keys)), len(keys)), 0
+    while len(a):
+        differ = keys[a] ^ keys[b - 1]
+        at = _highest(differ)
+        inner = np.flatnonzero(differ != 0)
+        first = made + len(a) + 2 * np.arange(len(inner))
+        l, r = np.full(len(a), -1), np.full(len(a), -1)
+        l[inner], r[inner] = first, first + 1
+        for kept, x in ((lo, a), (hi, b), (depth, at), (left, l), (right, r)):
+            kept.append(x)
+        made += len(a)
+        # the first key of the right child: the branch's prefix with a one
+        bit = np.uint64(1) << (63 - at[inner]).astype(np.uint64)
+        split = np.searchsorted(keys, (keys[b[inner] - 1] // bit) * bit)
+        a, b = np.stack([a[inner], split], 1).ravel(), np.stack([split, b[inner]], 1).ravel()
+    return tuple(np.concatenate(x) if x else np.empty(0, np.int64) for x in (lo, hi, depth, left, right))
+
+
+def _highest(x: np.ndarray) -> np.ndarray:
+    """Place of the highest set bit, 0 for the top one; 64 for none."""
+    for k in (1, 2, 4, 8, 16, 32):
+        x = x | x >> np.uint64(k)
+    return 64 - np.bitwise_count(x).astype(np.int64)
+
+
+def trie_pairs(keys: np.ndarray, labels: np.ndarray, nodes: tuple[np.ndarray, ...], start: tuple[np.ndarray, np.ndarray], max_bits: int = MAX_BITS) -> tuple[np.ndarray, int]:
+    """labels after joining all pairs of keys within max_bits under the start pairs of nodes, and how many node pairs were visited.
+
+    A pair of nodes is dropped when the bits that both have fixed differ too often, and when all keys of both are one class already.
+    """
+    lo, hi, depth, left, right = nodes
+    stack, steps = [start], 0
+    change = None
     while stack:
-        depth, la, ha, lb, hb, d = stack.pop()
-        if len(la) > STEP:
-            half = len(la) // 2
-            stack += [(depth, *(x[s] for x in (la, ha, lb, hb, d))) for s in (slice(0, half), slice(half, None))]
-            continue
-        na, nb, own = ha - la, hb - lb, la == lb
-        live = (na > 0) & (nb > 0) & ~(own & (na < 2))
-        now = live & ((na * nb <= DIRECT) | (depth == 64))
-        if now.any():
-            yield from _compare(keys, la[now], na[now], lb[now], nb[now], own[now], max_bits)
-        go = live & ~now
-        if not go.any():
-            continue
-        la, ha, lb, hb, d, own = (x[go] for x in (la, ha, lb, hb, d, own))
-        bit = np.uint64(63 - depth)
-        ma, mb = _first_one(keys, la, ha, bit), _first_one(keys, lb, hb, bit)
-        differ, two = d < max_bits, ~own & (d < max_bits)
-        stack.append((
-            depth + 1,
-            np.concatenate([la, ma, la[differ], ma[two]]), np.concatenate([ma, ha, ma[differ], ha[two]]),
-            np.concatenate([lb, mb, mb[differ], lb[two]]), np.concatenate([mb, hb, hb[differ], mb[two]]),
-            np.concatenate([d, d, d[differ] + 1, d[two] + 1]),
-        ))
-
-
-def _compare(keys, la, na, lb, nb, own, max_bits) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    size = na * nb
-    ends = np.cumsum(size)
-    for part in np.split(np.arange(len(la)), np.searchsorted(ends, np.arange(8 * STEP, ends[-1], 8 * STEP))):
-        if not len(part):
+        u, v = stack.pop()
+        if len(u) > STEP:
+            half = len(u) // 2
+            stack += [(u[half:], v[half:]), (u[:half], v[:half])]
             continue
-        s = size[part]
-        k = np.arange(s.sum()) - np.repeat(np.cumsum(s) - s, s)
-        width = np.repeat(nb[part], s)
-        i, j = np.repeat(la[part], s) + k // width, np.repeat(lb[part], s) + k % width
-        hit = (np.bitwise_count(keys[i] ^ keys[j]) <= max_bits) & ((i < j) | ~np.repeat(own[part], s))
-        if hit.any():
-            yield i[hit], j[hit]
+        steps += len(u)
+        fixed = np.minimum(depth[u], depth[v])
+        differ = (keys[lo[u]] ^ keys[lo[v]]) >> (64 - np.maximum(fixed, 1)).astype(np.uint64)
+        near = (fixed == 0) | (np.bitwise_count(differ) <= max_bits)
+        u, v, fixed = u[near], v[near], fixed[near]
+        done = fixed == 64
+        if done.any():
+            i, j = lo[u[done]], lo[v[done]]
+            other = labels[i] != labels[j]
+            if other.any():
+                labels, change = _join_into(labels, i[other], j[other]), None
+        u, v = u[~done], v[~done]
+        if 4 * len(u) > len(keys):
+            if change is None:
+                change = np.r_[0, np.cumsum(labels[1:] != labels[:-1])]
+            one = (labels[lo[u]] == labels[lo[v]]) & (change[hi[u] - 1] == change[lo[u]]) & (change[hi[v] - 1] == change[lo[v]])
+            u, v = u[~one], v[~one]
+        own = u == v
+        first = depth[u] <= depth[v]  # the node that branches first is opened
+        x, y = np.where(first, u, v)[~own], np.where(first, v, u)[~own]
+        inner = u[own]
+        u = np.concatenate([left[inner], right[inner], left[inner], left[x], right[x]])
+        v = np.concatenate([left[inner], right[inner], right[inner], y, y])
+        alone = (u == v) & (depth[u] == 64)
+        if len(u := u[~alone]):
+            stack.append((u, v[~alone]))
+    return labels, steps
 
 
 def _join_into(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -137,83 +154,89 @@ def _join_into(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             labels = labels[labels]
 
 
-def forest(block: np.ndarray, bits: np.ndarray, a: np.ndarray, b: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links of the rows' cells. A cell: rotation block, prefix length bits, prefixes a and b (a = b: the node with itself)."""
-    key = np.zeros(len(fp), np.uint64)
-    for r in range(BLOCKS):
-        key[block == r] = _rotate(fp[block == r], r * BLOCK_BITS)
-    order = np.lexsort((key, b, a, bits, block))
-    block, bits, a, b, key, fp = (x[order] for x in (block, bits, a, b, key, fp))
-    edge = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (bits[1:] != bits[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(fp) else np.empty(0, np.int64)
-    end = np.r_[edge[1:], len(fp)]
-    labels = np.arange(len(fp))
-    same = np.argsort(fp, kind="stable")  # rows of one fingerprint in several cells are one node
-    again = fp[same][1:] == fp[same][:-1]
-    labels = _join_into(labels, same[:-1][again], same[1:][again])
-    for n in np.unique(bits):
-        at = bits[edge] == n
-        lo, hi = edge[at], end[at]
-        own = a[lo] == b[lo]
-        shift = np.uint64(64 - int(n))
-        cut = lo.copy()
-        for c in np.flatnonzero(~own):  # cells of hot block values only
-            cut[c] = lo[c] + np.searchsorted(key[lo[c] : hi[c]] >> shift, b[lo[c]].astype(np.uint64))
-        diff = np.where(own, 0, np.bitwise_count(a[lo].astype(np.uint64) ^ b[lo].astype(np.uint64)))
-        for i, j in trie_pairs(key, lo, np.where(own, hi, cut), np.where(own, lo, cut), hi, diff, int(n)):
-            labels = _join_into(labels, i, j)
-    far = labels != np.arange(len(fp))
-    pairs = np.unique(np.stack([fp[far], fp[labels[far]]], axis=1), axis=0)
-    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-    return pairs[:, 0], pairs[:, 1]
-
-
-def _near(bits: int) -> list[int]:
-    return [0] + [sum(1 << k for k in c) for n in range(1, MAX_BITS + 1) for c in combinations(range(bits), n)]
-
-
-def _cells(distinct: DataFrame, hot: int) -> DataFrame:
-    """(block, bits, a, b, fp): each fingerprint in the cells of its four rotations."""
-    def lead(block: Column, bits: int) -> Column:
-        turned = F.when(block == 0, F.col("fp"))
-        for r in range(1, BLOCKS):
-            turned = turned.when(block == r, F.shiftleft("fp", r * BLOCK_BITS).bitwiseOR(F.shiftrightunsigned("fp", 64 - r * BLOCK_BITS)))
-        return F.shiftrightunsigned(turned, 64 - bits)
-
-    rows = distinct.select("fp", F.explode(F.array(*map(F.lit, range(BLOCKS)))).alias("block"))
-    rows = rows.withColumn("a", lead(F.col("block"), BLOCK_BITS))
-    counts = rows.groupBy("block", "a").count().where(F.col("count") > hot)
-    most = materialise(counts, "hot-blocks")
-    if (top := most.agg(F.max("count")).first()[0]) is None:
-        return rows.select("block", F.lit(BLOCK_BITS).alias("bits"), "a", F.col("a").alias("b"), "fp")
-    more = min(12, max(2, int(np.ceil(np.log2(top / hot))) + 2))
-    bits = BLOCK_BITS + more
-    marked = rows.join(most.select("block", "a", F.lit(True).alias("is_hot")), ["block", "a"], "left")
-    cold = marked.where("is_hot is null").select("block", F.lit(BLOCK_BITS).alias("bits"), "a", F.col("a").alias("b"), "fp")
-    deep = lead(F.col("block"), bits)
-    split = marked.where("is_hot").select("block", F.lit(bits).alias("bits"), deep.alias("x"), F.explode(F.array(*(F.lit(v).cast("long") for v in _near(more)))).alias("flip"), "fp")
-    other = F.col("x").bitwiseXOR(F.col("flip"))
-    return cold.unionByName(split.select("block", "bits", F.least("x", other).alias("a"), F.greatest("x", other).alias("b"), "fp"))
-
-
-def links(distinct: DataFrame, hot: int = HOT) -> DataFrame:
-    """(fp_a, fp_b): links that span every class of the fingerprints in the table of distinct fp."""
+def forest(a: np.ndarray, b: np.ndarray, bits: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Spanning links of the rows' cells, and the node pairs visited. A cell: prefixes a <= b of `bits` bits, whose subtrees meet."""
+    order = np.lexsort((fp, b, a, bits))
+    a, b, bits, fp = (x[order] for x in (a, b, bits, fp))
+    edge = np.flatnonzero(np.r_[True, (bits[1:] != bits[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(fp) else np.empty(0, np.int64)
+    keys = np.unique(fp)
+    labels, steps = np.arange(len(keys)), 0
+    for lo, hi in zip(edge.tolist(), [*edge[1:].tolist(), len(fp)], strict=True):
+        at = np.searchsorted(keys, fp[lo:hi])
+        nodes = trie(fp[lo:hi])
+        local, n = trie_pairs(fp[lo:hi], np.arange(hi - lo), nodes, _roots(nodes, fp[lo:hi], int(a[lo]), int(b[lo]), int(bits[lo])))
+        steps += n
+        far = np.flatnonzero(local != np.arange(len(local)))
+        labels = _join_into(labels, at[far], at[local[far]])
+    far = labels != np.arange(len(keys))
+    return keys[far], keys[labels[far]], steps
+
+
+def _roots(nodes: tuple[np.ndarray, ...], keys: np.ndarray, a: int, b: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pair of nodes at which a cell's walk begins: its root with itself, or the two subtrees that part at its root."""
+    if not len(keys):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    if a == b:
+        return np.zeros(1, np.int64), np.zeros(1, np.int64)
+    own = [int(k) >> (64 - bits) for k in (keys[0], keys[-1])]
+    return (nodes[3][:1], nodes[4][:1]) if own == [a, b] else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+def _flips(bits: int, budget: int) -> list[int]:
+    return [sum(1 << k for k in c) for n in range(min(budget, bits) + 1) for c in combinations(range(bits), n)]
+
+
+def _prefix(bits: int) -> Column:
+    return F.shiftrightunsigned("fp", 64 - bits) if bits else F.lit(0).cast("long")
+
+
+def _cells(distinct: DataFrame, hot: int, bits: int) -> DataFrame:
+    """(bits, a, b, fp): each fingerprint in every pair of nodes at depth `bits`, within the budget of differing bits, to which its own node belongs.
+
+    Pairs of more than `hot` fingerprints are cut into the pairs of nodes DEEPER bits further down that they are made of.
+    """
+    def meet(rows: DataFrame, depth: int, flip: Column) -> DataFrame:
+        own = _prefix(depth)
+        return rows.select(F.lit(depth).alias("bits"), F.least(own, own.bitwiseXOR(flip)).alias("a"), F.greatest(own, own.bitwiseXOR(flip)).alias("b"), "fp")
+
+    longs = lambda xs: F.array(*(F.lit(x).cast("long") for x in xs))
+    cells = meet(distinct.select("fp", F.explode(longs(_flips(bits, MAX_BITS))).alias("flip")), bits, F.col("flip"))
+    done = []
+    while not (most := materialise(cells.groupBy("a", "b").count().where(F.col("count") > hot), "hot-cells")).isEmpty() and bits + DEEPER <= 60:
+        marked = cells.join(most.select("a", "b", F.lit(True).alias("is_hot")), ["a", "b"], "left")
+        done.append(marked.where("is_hot is null").select("bits", "a", "b", "fp"))
+        top = F.col("a").bitwiseXOR(F.col("b"))
+        low = F.when(top == 0, longs(_flips(DEEPER, MAX_BITS)))
+        for used in range(1, MAX_BITS + 1):
+            low = low.when(F.bit_count(top) == used, longs(_flips(DEEPER, MAX_BITS - used)))
+        cut = marked.where("is_hot").select("fp", F.shiftleft(top, DEEPER).alias("top"), F.explode(low).alias("low"))
+        bits += DEEPER
+        cells = materialise(meet(cut, bits, F.col("top").bitwiseOR(F.col("low"))), "deeper-cells")
+    return reduce(DataFrame.unionByName, [*done, cells])
+
+
+def links(distinct: DataFrame, hot: int = HOT, bits: int | None = None) -> DataFrame:
+    """(fp_a, fp_b, steps): links that span every class of the table of distinct fp; a row of nulls for each task has the node pairs it visited."""
     ship(distinct.sparkSession)
-    cells = _cells(distinct, hot).repartition("block", "bits", "a", "b")
+    if bits is None:
+        bits = max(LEAST_BITS, int(distinct.count() // hot).bit_length())
+    cells = _cells(distinct, hot, bits).repartition("bits", "a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if got := list(batches):
             t = pa.Table.from_batches(got)
-            columns = [t.column(n).to_numpy() for n in ("block", "bits", "a", "b", "fp")]
-            a, b = forest(*columns[:4], columns[4].view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (a, b)], ["fp_a", "fp_b"])
+            cell, fp = [t.column(n).to_numpy() for n in ("a", "b", "bits")], t.column("fp").to_numpy().view(np.uint64)
+            a, b, steps = forest(*cell, fp)
+            none = lambda x: pa.array([*x.view(np.int64).tolist(), None], pa.int64())
+            yield pa.RecordBatch.from_arrays([none(a), none(b), pa.array([0] * len(a) + [steps], pa.int64())], ["fp_a", "fp_b", "steps"])
 
-    return cells.mapInArrow(run, "fp_a long, fp_b long")
+    return cells.mapInArrow(run, "fp_a long, fp_b long, steps long")
 
 
 def classes(printed: DataFrame, hot: int = HOT) -> DataFrame:
     """(fp, root) of every fingerprint in printed; root: the class's least fingerprint as a signed long."""
     distinct = materialise(printed.select("fp").distinct(), "simhash-distinct")
-    roots = components(links(distinct, hot))
+    roots = components(links(distinct, hot).where("fp_a is not null").select("fp_a", "fp_b"))
     return distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
