@@ -30,8 +30,7 @@ TOGETHER = 100
 class ChunkEncoder(dict):
     """chunk -> number; the ids of chunk k are flat[start[k]:start[k + 1]].
 
-    At most `limit` chunks are kept between batches; beyond that the half used least goes, and the uses
-    of the others are halved. A tokenizer that drops white space and lowers letters gets chunks of bytes
+    At most `limit` chunks are kept between batches; beyond that the half not used for longest goes. A tokenizer that drops white space and lowers letters gets chunks of bytes
     with A-Z lowered, which makes fewer of them. Of another tokenizer's texts a chunk is what a space or a
     line's start stands before: "word" is " word", "\\nword" itself, "\\0word" is "word". Where white space
     meets a space, or three line ends meet, the pattern cuts the text.
@@ -46,12 +45,12 @@ class ChunkEncoder(dict):
         self.mark_text = self.tokenizer.id_to_token(self.mark) if special else ""
         self.new: list = []
         self.unsure = False
-        self.start, self.flat = array("q", [0, 1]), array("I", [self.end_id])  # chunk 0 is the end
+        self.start, self.flat = array("i", [0, 1]), array("I", [self.end_id])  # chunk 0 is the end
         self.known = 1
-        self.uses = np.zeros(1, np.int64)
+        self.calls, self.used = 0, np.zeros(1, np.int32)  # used: the call that last used each chunk
 
     def _forget(self) -> None:
-        kept = np.sort(np.argsort(-self.uses[1:], kind="stable")[: self.limit // 2]) + 1
+        kept = np.sort(np.argsort(-self.used[1 : self.known], kind="stable")[: self.limit // 2]) + 1
         chunks, start, flat = list(self), np.array(self.start), np.array(self.flat)
         self.clear()
         self.update((chunks[k - 1], n) for n, k in enumerate(kept.tolist(), 1))
@@ -59,8 +58,8 @@ class ChunkEncoder(dict):
         first, length = start[places], start[places + 1] - start[places]
         ends = np.cumsum(length)
         self.flat = array("I", flat[np.repeat(first - (ends - length), length) + np.arange(ends[-1])].astype("I").tobytes())
-        self.start = array("q", np.r_[0, ends].astype("q").tobytes())
-        self.uses, self.known = self.uses[places] // 2, len(places)
+        self.start = array("i", np.r_[0, ends].astype("i").tobytes())
+        self.used, self.known = self.used[places], len(places)
 
     def _chunks(self, text: str) -> list:
         if self.drops_space:
@@ -105,14 +104,14 @@ class ChunkEncoder(dict):
             cut = np.flatnonzero(ids == self.mark)
             own, first = ids[ids != self.mark], len(self.flat)
             self.flat.frombytes(own.tobytes())
-            self.start.frombytes((np.r_[cut - np.arange(len(cut)), len(own)] + first).astype("q").tobytes())
+            self.start.frombytes((np.r_[cut - np.arange(len(cut)), len(own)] + first).astype("i").tobytes())
         self.new.clear()
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, each with the end id, and how many each text has."""
         if self.known > self.limit:
             self._forget()
-        number, counts, all_numbers = self.__getitem__, np.empty(len(texts), np.int64), array("q")
+        number, counts, all_numbers = self.__getitem__, np.empty(len(texts), np.int64), array("i")
         for k, text in enumerate(texts):
             chunks, at = self._chunks(text), len(all_numbers)
             all_numbers.extend(map(number, chunks))
@@ -125,15 +124,17 @@ class ChunkEncoder(dict):
         self._learn()
         if not texts:
             return np.empty(0, np.uint32), counts
-        start, flat = np.array(self.start), np.array(self.flat, dtype=np.uint32)
-        numbers = np.frombuffer(all_numbers, np.int64)
-        now = np.bincount(numbers, minlength=self.known)
-        now[: len(self.uses)] += self.uses
-        self.uses = now
-        first, length = start[numbers], start[numbers + 1] - start[numbers]
-        ends = np.cumsum(length)
-        ids = flat[np.repeat(first - (ends - length), length) + np.arange(ends[-1])]
-        return ids, np.add.reduceat(length, np.cumsum(counts) - counts)
+        numbers = np.frombuffer(all_numbers, np.int32)
+        if self.known > len(self.used):
+            self.used = np.r_[self.used, np.zeros(self.known, np.int32)]
+        self.calls += 1
+        self.used[numbers] = self.calls
+        start, flat = np.frombuffer(self.start, np.int32), np.frombuffer(self.flat, np.uint32)  # views: gone before the next chunk is learnt
+        first, length = start[numbers], np.diff(start)[numbers]
+        ends = np.cumsum(length, dtype=np.int32)
+        at = np.repeat(first - (ends - length), length)
+        at += np.arange(ends[-1], dtype=np.int32)
+        return flat[at], np.add.reduceat(length, np.cumsum(counts) - counts, dtype=np.int64)
 
 
 _held: dict[tuple, ChunkEncoder] = {}

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import drop, materialise, ship, table
 from .encoding import encoder, text_batches
 
-TOKENIZER, END_ID, BLOCK_CHARS, BLOCK_IDS, CHUNKS = "byte_bpe_50k.json", 2, 1_000_000, 250_000, 600_000
+TOKENIZER, END_ID, BLOCK_CHARS, BLOCK_IDS, CHUNKS = "byte_bpe_50k.json", 2, 1_000_000, 250_000, 1_000_000
 #: LENGTHS[c]: bytes of the four values of control byte c. MASKS[n]: the bits of an n-byte value.
 LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
