@@ -1,11 +1,11 @@
 """Language-model scoring with the recurrent model of gru.py, trained on the corpus itself.
 
-1. Each task cuts its texts into blocks of about BLOCK_CHARS characters: the block's own word list,
-   word counts over training texts, and its texts as numbers into the list.
-2. The lists (a word once for each block) are counted by word, known by 96 hash bits. The most frequent
-   words, PER_ROOT times the root of the number of distinct ones and HEAD at least, make the head; their
-   counts and the mass of each frequency bin go to the driver.
-3. Each block gets its words' counts and codes back, with the unigram base scores.
+1. Each task cuts its texts into blocks of about BLOCK_CHARS characters: the block's own word list with
+   word counts over training texts, parted into buckets by the words' CRC32, and its texts as numbers.
+2. The lists of a bucket meet and are counted by the words' 64-bit XXH64. The most frequent words,
+   PER_ROOT times the root of the number of distinct ones and HEAD at least, make the head; their counts
+   and the mass of each frequency bin go to the driver.
+3. Each block gets its words' counts back and becomes model codes, with the unigram base scores.
 4. ROUNDS rounds of training: every task trains from the shared parameters on its share of every
    block, all training texts being used once over the rounds; parameters are averaged, weighted by
    tokens, in two levels so that no task reads more than the square root of the blocks.
@@ -21,18 +21,23 @@ seen once (all of it if there are none), as one event, as in the base score.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from . import gru
 from .common import drop, materialise, ship, table, words_of
 
 FOLDS, HELD_FOLD = 5, 1
 BLOCK_CHARS, HEAD, PER_ROOT, ROUNDS, RATE, CHUNKS = 12_000_000, 1024, 2.0, 3, 0.01, 16
+#: Words are counted in buckets: one for so many documents, within bounds that keep both a list and a bucket small.
+BUCKET_DOCS, LEAST_BUCKETS, MOST_BUCKETS = 1000, 64, 65536
+END_HASH = xxh64_intdigest(b"")
 
 
 class _Words(dict):
@@ -45,11 +50,15 @@ def _list_of(values: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
-def _cut(docs: DataFrame, block_chars: int) -> DataFrame:
-    """bid, doc_ids, held, n_tokens, ids (numbers into words), words (0: the end), counts (in training texts)."""
+def _cut(docs: DataFrame, block_chars: int, buckets: int) -> DataFrame:
+    """Two kinds of rows. Blocks: bid, doc_ids, held, n_tokens, ids (numbers into the block's words).
+
+    Lists: bid, bucket, h and n: the hashes of the block's words of a bucket and their counts in training texts. A block numbers its words
+    in the order of its lists.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS
-    names = ["bid", "doc_ids", "held", "n_tokens", "ids", "words", "counts"]
+    names = ["bid", "doc_ids", "held", "n_tokens", "ids", "bucket", "h", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bid = TaskContext.get().partitionId() << 24
@@ -61,8 +70,17 @@ def _cut(docs: DataFrame, block_chars: int) -> DataFrame:
             lengths = np.array([len(x) for x in ids], np.int64)
             flat = np.concatenate(ids)
             counts = np.bincount(flat[np.repeat(~np.array(held, bool), lengths)], minlength=len(known))
-            columns = [pa.array([bid]), _list_of(pa.concat_arrays(doc_ids)), _list_of(pa.array(held, pa.bool_())), _list_of(pa.array(lengths)), pa.array([flat.astype("<u4").tobytes()], pa.binary()), _list_of(pa.array(list(known), pa.binary())), _list_of(pa.array(counts.astype(np.int64)))]
-            return pa.RecordBatch.from_arrays(columns, names)
+            h = np.fromiter((xxh64_intdigest(w) for w in known), np.uint64, len(known))
+            bucket = np.fromiter(map(crc32, known), np.int64, len(known)) * buckets >> 32
+            order = np.argsort(bucket, kind="stable")
+            number = np.empty(len(order), np.uint32)
+            number[order] = np.arange(len(order))
+            edge = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+            of_list = lambda x, t: pa.array([y.tobytes() for y in np.split(x[order].astype(t), edge[1:])], pa.binary())
+            owned = pa.concat_arrays(doc_ids)
+            yield pa.RecordBatch.from_arrays([pa.array([bid]), _list_of(owned), _list_of(pa.array(held, pa.bool_())), _list_of(pa.array(lengths)), pa.array([number[flat].astype("<u4").tobytes()], pa.binary()), pa.nulls(1, pa.int32()), *(pa.nulls(1, pa.binary()),) * 2], names)
+            k = len(edge)
+            yield pa.RecordBatch.from_arrays([pa.array([bid] * k), pa.nulls(k, pa.list_(owned.type)), pa.nulls(k, pa.list_(pa.bool_())), pa.nulls(k, pa.list_(pa.int64())), pa.nulls(k, pa.binary()), pa.array(bucket[order][edge].astype(np.int32)), of_list(h, "<u8"), of_list(counts, "<i8")], names)
 
         known, ids, doc_ids, held, _, size = fresh()
         for b in batches:
@@ -75,34 +93,72 @@ def _cut(docs: DataFrame, block_chars: int) -> DataFrame:
                 held.append(b.column(2)[k].as_py())
                 size += len(text)
                 if size >= block_chars:
-                    yield block()
+                    yield from block()
                     bid += 1
                     known, ids, doc_ids, held, _, size = fresh()
         if ids:
-            yield block()
+            yield from block()
 
     slim = docs.select("doc_id", "text", (fold == HELD_FOLD).alias("held"))
-    return slim.mapInArrow(run, f"bid long, doc_ids array<{kind}>, held array<boolean>, n_tokens array<long>, ids binary, words array<binary>, counts array<long>")
+    return slim.mapInArrow(run, f"bid long, doc_ids array<{kind}>, held array<boolean>, n_tokens array<long>, ids binary, bucket int, h binary, n binary")
 
 
-def _rows(blocks: DataFrame) -> DataFrame:
-    """bid, lid, h (two hashes, 96 bits, that stand for the word) and n of every block's words."""
-    x = F.posexplode(F.arrays_zip("words", "counts")).alias("lid", "x")
-    h = F.struct(F.xxhash64("x.words").alias("a"), F.hash("x.words").alias("b"))
-    return blocks.select("bid", x).select("bid", "lid", h.alias("h"), F.col("x.counts").alias("n"))
+def _word_counts(blocks: DataFrame) -> DataFrame:
+    """The lists meet by bucket, one bucket in memory at a time. Three kinds of rows:
+
+    for each list bid, bucket, places and counts (over all training texts) of its words; for each word that occurs twice or more, and for
+    the end, bucket, place, h and c; for each bucket tokens and distinct: the mass and the words of each frequency bin.
+    """
+    types = {"bid": pa.int64(), "bucket": pa.int32(), "places": pa.binary(), "counts": pa.binary(), "place": pa.int32(), "h": pa.int64(), "c": pa.int64(), "tokens": pa.list_(pa.int64()), "distinct": pa.list_(pa.int64())}
+
+    def rows(**columns) -> pa.RecordBatch:
+        n = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([pa.array(columns[k], t) if k in columns else pa.nulls(n, t) for k, t in types.items()], list(types))
+
+    def close(bucket: int, bids: list[int], hs: list[bytes], ns: list[bytes]) -> Iterator[pa.RecordBatch]:
+        h = np.frombuffer(b"".join(hs), "<u8")
+        words, place = np.unique(h, return_inverse=True)
+        c = np.zeros(len(words), np.int64)
+        np.add.at(c, place, np.frombuffer(b"".join(ns), "<i8"))
+        edge = np.cumsum([len(x) // 8 for x in hs])[:-1]
+        split = lambda x, t: [y.tobytes() for y in np.split(x.astype(t), edge)]
+        yield rows(bid=bids, bucket=[bucket] * len(bids), places=split(place, "<i4"), counts=split(c[place], "<i8"))
+        shown = np.flatnonzero((c > 1) | (words == END_HASH))
+        yield rows(bucket=np.full(len(shown), bucket, np.int32), place=shown.astype(np.int32), h=words[shown].view(np.int64), c=c[shown])
+        own = c[c > 0]
+        b = np.frexp(own.astype(float))[1] - 1
+        mass, distinct = np.zeros(64, np.int64), np.bincount(b, minlength=64)
+        np.add.at(mass, b, own)
+        yield rows(bucket=[bucket], tokens=[mass.tolist()], distinct=[distinct.tolist()])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, ([], [], [])
+        for b in batches:
+            for bucket, *row in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                if bucket != now and now is not None:
+                    yield from close(now, *held)
+                    held = [], [], []
+                now = bucket
+                for kept, x in zip(held, row, strict=True):
+                    kept.append(x)
+        if now is not None:
+            yield from close(now, *held)
 
-def _word_counts(blocks: DataFrame) -> DataFrame:
-    """h, c (count over all training texts) and is_end of every word; counted before the shuffle, so frequent words are no hot keys."""
-    return _rows(blocks).groupBy("h").agg(F.sum("n").alias("c"), (F.min("lid") == 0).alias("is_end"))
+    lists = blocks.where("bucket is not null").select("bucket", "bid", "h", "n").repartition("bucket").sortWithinPartitions("bucket", "bid")
+    return lists.mapInArrow(run, "bid long, bucket int, places binary, counts binary, place int, h long, c long, tokens array<long>, distinct array<long>")
 
 
 class Vocabulary:
-    """counts: of the head words, by code. mass: tokens of each tail bin. n, v: tokens and distinct tokens in training texts; ones: words seen once in the tail."""
+    """counts: of the head words, by code. keys, codes: the head words' bucket and place in it as one number, ascending, and their codes.
+
+    mass: tokens of each tail bin. n, v: tokens and distinct tokens in training texts; ones: words seen once in the tail.
+    """
 
-    def __init__(self, counts: list[int], end: int, bins: list[tuple[int, int, int]], n: int, v: int):
-        self.n, self.v, self.end = n, v, end
-        self.counts = np.array(counts, np.int64)
+    def __init__(self, counts: list[int], keys: list[int], end: int, bins: list[tuple[int, int, int]]):
+        self.n, self.v, self.end = sum(b[1] for b in bins), sum(b[2] for b in bins), end
+        self.counts, own = np.array(counts, np.int64), np.array(keys, np.int64)
+        self.codes = np.argsort(own)
+        self.keys = own[self.codes]
         self.mass, words = np.zeros(gru.BINS), np.zeros(gru.BINS)
         for b, tokens, distinct in bins:  # the last bin takes all that are more frequent
             self.mass[min(b, gru.BINS - 1)] += tokens
@@ -115,10 +171,10 @@ class Vocabulary:
         self.ones = words[0]
         self.width = "<u2" if len(counts) + gru.BINS <= 1 << 16 else "<u4"
 
-    def codes_of(self, head: np.ndarray, c: np.ndarray) -> np.ndarray:
-        """head: the words' codes, -1 for tail words."""
+    def codes_of(self, keys: np.ndarray, c: np.ndarray) -> np.ndarray:
         tail = len(self.counts) + np.clip(np.frexp(np.maximum(c, 1).astype(float))[1] - 1, 0, gru.BINS - 1)
-        return np.where(head >= 0, head, tail)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.codes[at], tail)
 
     def tail_logs(self, codes: np.ndarray, c: np.ndarray) -> np.ndarray:
         """log10 of each word's share of its bin; 0 for head words."""
@@ -134,23 +190,22 @@ def head_size(v: int, least: int = HEAD, per_root: float = PER_ROOT) -> int:
     return max(least, int(np.ceil(per_root * v**0.5)))
 
 
-def _vocabulary(counts: DataFrame, least: int) -> tuple[Vocabulary, DataFrame]:
-    """The vocabulary, and the table (h, code) of its head words."""
-    spark = counts.sparkSession
-    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-    bins = counts.where("c > 0").groupBy(F.floor(F.log2("c") + 1e-9).cast("int")).agg(F.sum("c"), F.count("*")).collect()  # 64 rows at most
-    top = counts.where("c > 0 AND NOT is_end").orderBy(F.desc("c"), "h").limit(head_size(v, least) - 1).collect()
-    end = counts.where("is_end").collect()
-    ranked = sorted([*((*r["h"], r["c"], False) for r in top), *((*r["h"], r["c"], True) for r in end)], key=lambda x: (-x[2], x[:2])) or [(0, 0, 0, True)]
-    codes = spark.createDataFrame([((a, b), k) for k, (a, b, *_) in enumerate(ranked)], "h struct<a:long,b:int>, code int")
-    return Vocabulary([x[2] for x in ranked], [x[3] for x in ranked].index(True), [tuple(r) for r in bins], n, v), codes
+def _vocabulary(counts: DataFrame, least: int) -> Vocabulary:
+    bins = counts.where("tokens is not null").select(F.posexplode(F.arrays_zip("tokens", "distinct")).alias("b", "x")).groupBy("b").agg(F.sum("x.tokens"), F.sum("x.distinct")).collect()  # 64 rows
+    words = counts.where("place is not null").select("h", "c", "bucket", "place")
+    is_end = F.col("h") == int(np.uint64(END_HASH).view(np.int64))
+    v = sum(r[2] for r in bins)
+    top = words.where(~is_end & (F.col("c") > 0)).orderBy(F.desc("c"), "h").limit(head_size(v, least) - 1).collect()
+    end = words.where(is_end).collect()
+    ranked = sorted([*(tuple(r) for r in top), *(tuple(r) for r in end)], key=lambda x: (-x[1], x[0])) or [(0, 0, 0, 0)]
+    ends = [k for k, x in enumerate(ranked) if end and x[0] == end[0][0]] or [0]
+    return Vocabulary([x[1] for x in ranked], [x[2] << 32 | x[3] for x in ranked], ends[0], sorted(tuple(r) for r in bins))
 
 
-def _coded(blocks: DataFrame, counts: DataFrame, codes: DataFrame, vocabulary) -> DataFrame:
+def _coded(blocks: DataFrame, counts: DataFrame, vocabulary) -> DataFrame:
     """bid, doc_ids, held, n_tokens, n_known, base, tail, codes."""
-    known = counts.join(F.broadcast(codes), "h", "left").select("h", "c", F.coalesce("code", F.lit(-1)).alias("code"))  # the head: head_size() rows
-    mapping = _rows(blocks).join(known, "h").groupBy("bid").agg(F.collect_list(F.struct("lid", "c", "code")).alias("m"))  # a block's words: bounded by BLOCK_CHARS
-    joined = blocks.drop("words", "counts").join(mapping, "bid")
+    lists = counts.where("bid is not null").groupBy("bid").agg(F.array_sort(F.collect_list(F.struct("bucket", "places", "counts"))).alias("m"))  # a block's words: bounded by BLOCK_CHARS
+    joined = blocks.where("bucket is null").drop("bucket", "h", "n").join(lists, "bid")
     kind = blocks.schema["doc_ids"].dataType.simpleString()
     names = ["bid", "doc_ids", "held", "n_tokens", "n_known", "base", "tail", "codes"]
 
@@ -159,10 +214,10 @@ def _coded(blocks: DataFrame, counts: DataFrame, codes: DataFrame, vocabulary) -
         for b in batches:
             at = {n: b.column(b.schema.get_field_index(n)) for n in b.schema.names}
             for k in range(b.num_rows):
-                lid, count, head = (at["m"][k].values.field(x).to_numpy() for x in ("lid", "c", "code"))
-                c, own = np.zeros(len(lid), np.int64), np.zeros(len(lid), np.int64)
-                c[lid], own[lid] = count, head
-                code = voc.codes_of(own, c)
+                bucket, places, counts = (at["m"][k].values.field(x) for x in ("bucket", "places", "counts"))
+                place, c = np.frombuffer(b"".join(places.to_pylist()), "<i4"), np.frombuffer(b"".join(counts.to_pylist()), "<i8")
+                per_list = np.array([len(x) // 4 for x in places.to_pylist()])
+                code = voc.codes_of(np.repeat(bucket.to_numpy().astype(np.int64), per_list) << 32 | place, c)
                 ids = np.frombuffer(at["ids"][k].as_buffer(), "<u4")
                 n = np.asarray(at["n_tokens"][k].values, np.int64)
                 first = np.cumsum(n) - n
@@ -208,10 +263,11 @@ def score(docs: DataFrame, head: int = HEAD, block_chars: int = BLOCK_CHARS, rou
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     spark = docs.sparkSession
     ship(spark)
-    blocks = materialise(_cut(docs, block_chars), "lm-blocks")
+    buckets = int(np.clip(docs.count() // BUCKET_DOCS, LEAST_BUCKETS, MOST_BUCKETS))
+    blocks = materialise(_cut(docs, block_chars, buckets), "lm-blocks")
     counts = materialise(_word_counts(blocks), "lm-counts")
-    voc, head_codes = _vocabulary(counts, head)
-    coded = materialise(_coded(blocks, counts, head_codes, spark.sparkContext.broadcast(voc)), "lm-coded")
+    voc = _vocabulary(counts, head)
+    coded = materialise(_coded(blocks, counts, spark.sparkContext.broadcast(voc)), "lm-coded")
     drop(blocks, counts)
     size, end, width = len(voc.counts), voc.end, voc.width
     salts = int(np.ceil(np.sqrt(max(1, coded.count()))))
