@@ -46,13 +46,13 @@ def pack_ints(values: np.ndarray) -> tuple[bytes, bytes]:
     four = padded.reshape(-1, 4)
     control = four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6
     width = 2 if small else 4
-    data = v.astype(f"<u{width}").view(np.uint8).reshape(-1, width)[np.arange(width) < size[:, None]]
-    return control.astype(np.uint8).tobytes(), data.tobytes()
+    kept = np.arange(width) < size[:, None] if not small else np.stack([np.ones(len(v), bool), size == 2], 1)
+    return control.astype(np.uint8).tobytes(), v.astype(f"<u{width}").view(np.uint8)[kept.ravel()].tobytes()
 
 
 def unpack_ints(control: bytes, data: bytes, n: int) -> np.ndarray:
     size = LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
-    at = np.cumsum(size, dtype=np.int64) - size
+    at = np.cumsum(size, dtype=np.int64 if len(size) >= 1 << 29 else np.int32) - size
     d = np.frombuffer(data + b"\0\0\0", np.uint8)
     out = d[at].astype(np.uint32)
     for k in range(1, int(size.max(initial=1))):

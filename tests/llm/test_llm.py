@@ -27,9 +27,14 @@ def test_encoder_equals_tokenizer():
     for name, drops in (("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)):
         t, e = Tokenizer.from_file(public_tokenizers.path(name)), ChunkEncoder(public_tokenizers.path(name), 7, drops, limit=50)
         rng, parts = np.random.default_rng(1), [" ", "  ", "\n", "\t", "\x1c", "\xa0", "a", "É", "Foo.", "bar,", "12", "'s", "<|endoftext|>", "<|STARTOFTEXT|>", "日本", "😀"]
-        for _ in range(300):
-            text = "".join(rng.choice(parts, 10))
-            assert e.encode([text])[0].tolist() == [*t.encode(text, add_special_tokens=False).ids, 7]
+        for _ in range(200):
+            texts = ["".join(rng.choice(parts, rng.integers(0, 12))) for _ in range(4)]
+            want = [[*t.encode(x, add_special_tokens=False).ids, 7] for x in texts]
+            ids, n = e.encode(texts)
+            assert ids.tolist() == sum(want, []) and n.tolist() == list(map(len, want)), texts
+        long = "".join(rng.choice(["a b", " c.", "\n", "  "], 300_000))  # beyond a block
+        assert e.encode([long])[0].tolist() == [*t.encode(long, add_special_tokens=False).ids, 7]
+        assert e.encode([])[0].tolist() == []
 
 
 def test_ints_round_trip():
