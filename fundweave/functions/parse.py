@@ -10,27 +10,33 @@ from .text import blank_to_null, normal_header
 
 
 def amount(c: Column) -> Column:
-    """Digits, dots, minus and round brackets are kept; the value is absolute; null if no number is left."""
+    """Digits, dots, minus and round brackets are kept; the value is absolute; null if no number is left or it is beyond MONEY."""
     kept = F.regexp_replace(F.coalesce(c, F.lit("")), r"[^0-9.\-()]", "")
-    return F.abs(F.regexp_replace(kept, r"^[()]+|[()]+$", "").try_cast("decimal(38,6)")).cast(S.MONEY)
+    return F.abs(F.regexp_replace(kept, r"^[()]+|[()]+$", "").try_cast("decimal(38,6)")).try_cast(S.MONEY)
 
 
-#: Patterns are tried in order.
-TIME_PATTERNS = ("yyyy-M-d H:m:s", "yyyy-M-d H:m", "yyyy-M-d'T'H:m:s", "yyyy-M-d'T'H:m", "yyyy-M-d-H:m:s", "yyyy-M-d", "yyyyMMdd")
+#: Year, month and day, then perhaps hours, minutes, seconds and their fraction.
+TIME_FORM = r"^(\d{4})-(\d{1,2})-(\d{1,2})(?:[ T-]\s*(\d{1,2}):(\d{1,2})(?::(\d{1,2})(\.\d+)?)?)?\s*$"
 
 
 def time(c: Column) -> Column:
-    """Wall-clock time; a zone suffix is dropped, not applied."""
+    """Wall-clock time without a zone, so that no hour is missing or twice; a zone suffix is dropped, not applied. Fractions of seconds stay."""
     text = F.trim(F.coalesce(c, F.lit("")))
     text = F.translate(F.replace(F.replace(text, F.lit("日"), F.lit(" ")), F.lit("/"), F.lit("-")), "年月", "--")
     text = F.regexp_replace(text, r"(?<=\d:\d\d)(\.\d+)?(Z|[+-]\d\d:?\d\d)$", "$1")
-    text = F.regexp_replace(text, r"(:\d\d)\.\d+$", "$1")
-    return F.coalesce(*(F.try_to_timestamp(text, F.lit(p)) for p in TIME_PATTERNS)).cast("timestamp_ntz")
+    parts = F.regexp_extract_all(text, F.lit(TIME_FORM), F.lit(0))
+    at = lambda k: F.regexp_extract(text, TIME_FORM, k)
+    pad = lambda k, n: F.lpad(F.coalesce(blank_to_null(at(k)), F.lit("0")), n, "0")
+    dashed = F.concat(at(1), F.lit("-"), pad(2, 2), F.lit("-"), pad(3, 2), F.lit(" "), pad(4, 2), F.lit(":"), pad(5, 2), F.lit(":"), pad(6, 2), F.substring(at(7), 1, 7))
+    solid = F.concat(F.substring(text, 1, 4), F.lit("-"), F.substring(text, 5, 2), F.lit("-"), F.substring(text, 7, 2))
+    return F.when(F.size(parts) > 0, dashed.try_cast("timestamp_ntz")).when(F.regexp_like(text, F.lit(r"^\d{8}$")), solid.try_cast("timestamp_ntz"))
 
 
 def mapped_fields(row: Column) -> dict[str, Column]:
     """Canonical fields of a map of header -> text: the first alias that is not blank."""
-    normal = F.transform_keys(row, lambda k, _: normal_header(k))
+    cells = F.transform(F.map_entries(row), lambda e: F.struct(normal_header(e["key"]).alias("key"), e["value"].alias("value")))
+    # of headers that are alike once normalised the last one counts
+    normal = F.map_from_entries(F.filter(cells, lambda e, i: ~F.exists(F.slice(cells, i + 2, F.size(cells)), lambda x: x["key"] == e["key"])))
     look = lambda names: F.coalesce(*(blank_to_null(F.try_element_at(normal, normal_header(F.lit(a)))) for a in names), F.lit(""))
     out = {field: look(names) for field, names in S.ALIASES.items()}
     first = lambda names: F.coalesce(*(F.try_element_at(row, F.lit(a)) for a in names), F.lit(""))  # noqa: E731  the second only if the first header is absent

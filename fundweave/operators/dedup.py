@@ -24,8 +24,11 @@ def mark(df: DataFrame) -> DataFrame:
     """
     keyed = df.drop("duplicate_group", "conflict_status").withColumns({"__serial": clean_identifier(F.col("serial_number")), "__key": exact_key()})
     exact = keyed.groupBy("__serial", "__key").agg(F.count("*").alias("__n"))
-    serials = exact.where(F.col("__serial") != "").groupBy("__serial").agg(F.count("*").alias("__kinds"))
-    marks = exact.join(serials, "__serial", "left").where((F.col("__n") > 1) | (F.col("__kinds") > 1))
+    # rows without a serial can be duplicates but not in conflict; they stay out of the join, where "" would be one hot key
+    named, blank = exact.where(F.col("__serial") != ""), exact.where((F.col("__serial") == "") & (F.col("__n") > 1))
+    serials = named.groupBy("__serial").agg(F.count("*").alias("__kinds"))
+    marks = named.join(serials, "__serial").where((F.col("__n") > 1) | (F.col("__kinds") > 1))
+    marks = marks.unionByName(blank.withColumn("__kinds", F.lit(1).cast("long")))
     group = F.when(F.col("__n") > 1, F.concat(F.lit("DUP-"), F.upper(F.substring(F.sha2("__key", 256), 1, 12))))
     conflict = F.when(F.col("__kinds") > 1, F.lit("same_serial_conflicting_fields"))
     marks = marks.select("__key", group.alias("duplicate_group"), conflict.alias("conflict_status"))
@@ -35,8 +38,8 @@ def mark(df: DataFrame) -> DataFrame:
 def canonical(df: DataFrame) -> DataFrame:
     """The first row, by seq, of each duplicate group; rows without a group all stay."""
     first = df.where("duplicate_group is not null").groupBy("duplicate_group").agg(F.min("seq").alias("__first"))
-    joined = df.join(first, "duplicate_group", "left")
-    return joined.where(F.col("__first").isNull() | (F.col("seq") == F.col("__first"))).drop("__first")
+    kept = df.where("duplicate_group is not null").join(first, "duplicate_group").where(F.col("seq") == F.col("__first")).select(*df.columns)
+    return df.where("duplicate_group is null").unionByName(kept)  # most rows have no group and are not shuffled
 
 
 def histogram(df: DataFrame) -> DataFrame:

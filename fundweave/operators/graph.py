@@ -71,6 +71,16 @@ def splits(both: DataFrame) -> DataFrame:
     return rows.withColumn("n", F.count("*").over(_before(S.SPLIT_MINUTES))).where("own").groupBy("account").agg((F.max("n") >= S.SPLIT_COUNT).alias("split"))
 
 
+def rapid_range_join(tx: DataFrame) -> DataFrame:
+    """rapid_pairs() as a range join: rows meet by account and half-hour slot, so a pair of rows is looked at only if it is near in time."""
+    slot = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / (60 * S.RAPID_MINUTES))
+    out = tx.select(endpoint("payer").alias("account"), F.col("transaction_time").alias("t_out")).withColumn("slot", slot("t_out"))
+    into = tx.select(endpoint("payee").alias("account"), F.col("transaction_time").alias("t_in"))
+    into = into.withColumn("slot", F.explode(F.array(slot("t_in"), slot("t_in") + 1)))
+    near = (F.col("t_out") >= F.col("t_in")) & (F.col("t_out") <= F.col("t_in") + F.expr(f"INTERVAL {S.RAPID_MINUTES} MINUTES"))
+    return out.join(into, ["account", "slot"]).where(near).groupBy("account").agg(F.count("*").alias("rapid"))
+
+
 def nodes(both: DataFrame) -> DataFrame:
     """One row for each account with all that the scores need."""
     first = F.min_by(F.struct("label", "bank", "entity_type"), "ord")

@@ -37,12 +37,12 @@ def reach(edges: DataFrame, start: str, hops: int, clamp: bool = True) -> DataFr
     return seen
 
 
-def shortest_path(edges: DataFrame, start: str, end: str, most: int = 10_000) -> DataFrame:
+def shortest_path(edges: DataFrame, start: str, end: str) -> DataFrame:
     """One row, path: the least path in array order among the shortest, or an empty array."""
     spark = edges.sparkSession
     edges = materialise(edges, "trace-edges")
     seen = frontier = spark.createDataFrame([(start, [start])], "node string, path array<string>")
-    for _ in range(most):
+    while True:  # ends when the frontier has no new node
         hit = frontier.where(F.col("node") == end)
         if not hit.isEmpty():
             return hit.select("path")

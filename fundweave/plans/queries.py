@@ -148,9 +148,8 @@ query("win_split", "SELECT account, split FROM split", f"{TX}, {SIDES}")(lambda
 @query("win_rapid_rangejoin", "SELECT account, rapid FROM rapid", f"{TX}, {SIDES}")
 def win_rapid_rangejoin(spark, sf):
     t = live(spark, sf)
-    out, into = t.select(F.col("payer_account").alias("account"), F.col("transaction_time").alias("t_out")), t.select(F.col("payee_account").alias("account"), F.col("transaction_time").alias("t_in"))
-    pairs = out.join(into, "account").where("t_out BETWEEN t_in AND t_in + INTERVAL 30 MINUTES")
-    return pairs.groupBy("account").agg(F.count("*").alias("rapid"))
+    return graph.rapid_range_join(t)
+
 
 
 _GROUP = "CASE WHEN same > 1 THEN 'DUP-' || upper(left(sha256('serial|' || serial_number || '|' || strftime(transaction_time, '%Y-%m-%dT%H:%M:%S') || '|' || payer_account || '|' || payee_account || '|CNY|' || amount), 12)) END"
@@ -198,14 +197,13 @@ query("trace_path", f"SELECT array_to_string(p, '>') AS path FROM (SELECT p FROM
 )
 query("trace_bundle")(lambda s, sf: trace.bundle(adapter.transactions(s, sf), START, END, HOPS))
 
-# Every row is given; the SQL ends at its first 200.
 for _o, _sql in (("time_asc", "transaction_time, seq"), ("time_desc", "transaction_time DESC, seq"), ("amount_desc", "amount DESC, seq")):
-    query(f"sort_{_o}", f"SELECT transaction_id, CAST(row_number() OVER (ORDER BY {_sql}) AS BIGINT) AS place FROM tx ORDER BY place LIMIT 200")(
+    query(f"sort_{_o}", f"SELECT transaction_id, CAST(row_number() OVER (ORDER BY {_sql}) AS BIGINT) AS place FROM tx")(
         lambda s, sf, o=_o: filters.placed(adapter.transactions(s, sf).select("transaction_id", "transaction_time", "amount", "seq"), o).select("transaction_id", "place")
     )
 query("page", "SELECT transaction_id FROM tx ORDER BY amount DESC, seq LIMIT 50 OFFSET 100")(lambda s, sf: filters.sorted_page(adapter.transactions(s, sf), "amount_desc", 3, 50).select("transaction_id"))
 query("set_union", "SELECT payer_account AS account FROM tx UNION SELECT payee_account FROM tx")(lambda s, sf: (t := adapter.transactions(s, sf)).select(F.col("payer_account").alias("account")).union(t.select("payee_account")).distinct())
-query("set_except", "SELECT serial_number FROM two WHERE source_file_id = 'A' EXCEPT SELECT serial_number FROM two WHERE source_file_id = 'B'", f"{TX}, {TWO}")(lambda s, sf: (t := adapter.two_sources(s, sf)).where("source_file_id = 'A'").select("serial_number").exceptAll(t.where("source_file_id = 'B'").select("serial_number")))
+query("set_except", "SELECT serial_number FROM two WHERE source_file_id = 'A' EXCEPT SELECT serial_number FROM two WHERE source_file_id = 'B'", f"{TX}, {TWO}")(lambda s, sf: (t := adapter.two_sources(s, sf)).where("source_file_id = 'A'").select("serial_number").subtract(t.where("source_file_id = 'B'").select("serial_number")))
 
 
 @query("jon_oracle_report", "SELECT 'A' AS source_file_id, (SELECT count(*) FROM b) AS expected, count(*) FILTER (WHERE b.amount = a.amount) AS correct, (SELECT count(*) FROM b) - count(b.seq) AS missing, count(*) FILTER (WHERE b.amount <> a.amount) AS mismatched, count(*) - count(b.seq) AS extra, count(*) FILTER (WHERE b.amount = a.amount) / (SELECT count(*) FROM b) AS accuracy FROM a LEFT JOIN b USING (serial_number)", f"{TX}, {TWO}")

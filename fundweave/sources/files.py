@@ -43,7 +43,7 @@ def _row_chunks(sheet: str, rows: list[list[str]]) -> Iterator[dict]:
         return
     header = rows[0]
     for n, row in enumerate(rows[1:], start=2):
-        if any(row):
+        if row:  # a row of blank cells is a row; an empty line is none
             data = dict(zip(header, row + [""] * (len(header) - len(row)), strict=False))
             yield {"text": json.dumps(data, ensure_ascii=False), "row_data": data, "sheet_name": sheet, "row_number": n}
 
@@ -139,28 +139,31 @@ def _zip(data: bytes) -> Iterator[dict]:
 READERS = {".csv": _csv, ".xlsx": _xlsx, ".docx": _docx, ".zip": _zip} | dict.fromkeys(IMAGES, _image)
 
 
-def chunks_of(path: str, data: bytes) -> Iterator[dict]:
+def chunks_of(path: str, data: bytes | None, length: int | None = None) -> Iterator[dict]:
     """A file's chunks; a file that can't be read is one row with the reason in error."""
     suffix = posixpath.splitext(path)[1].lower()
     try:
         if suffix not in READERS:
             raise Unsupported(f"unsupported format {suffix}")
-        if len(data) > MAX_BYTES:
+        if data is None or (length or len(data)) > MAX_BYTES:
             raise Unsupported("file over the size limit")
-        for c in list(READERS[suffix](data)):
+        for c in list(READERS[suffix](bytes(data))):
             yield {"path": path, "suffix": suffix} | c
-    except (Unsupported, zipfile.BadZipFile, KeyError, ElementTree.ParseError, UnicodeDecodeError, csv.Error) as e:
+    except Exception as e:  # noqa: BLE001  whatever a broken file raises concerns that file alone
         yield {"path": path, "suffix": suffix, "text": "", "error": f"{type(e).__name__}: {e}"}
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for p, data in zip(pdf["path"], pdf["content"], strict=True):
-                if got := list(chunks_of(p, bytes(data))):
+            for p, data, length in zip(pdf["path"], pdf["content"], pdf["length"], strict=True):
+                if got := list(chunks_of(p, data, length)):
                     yield pd.DataFrame(got, columns=FIELDS).astype(object).where(lambda d: d.notna(), None)
 
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInPandas(run, CHUNK_DDL)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    small = files.where(F.col("length") <= MAX_BYTES).select("path", "length", "content")  # reaches the source: larger files are not loaded
+    large = files.where(F.col("length") > MAX_BYTES).select("path", "length", F.lit(None).cast("binary").alias("content"))
+    return small.unionByName(large).mapInPandas(run, CHUNK_DDL)
 
 
 def read_csv_rows(spark: SparkSession, path: str) -> DataFrame:

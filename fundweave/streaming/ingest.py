@@ -25,12 +25,3 @@ def hourly_totals(stream: DataFrame, late: str = "1 hour") -> DataFrame:
 
 def write(stream: DataFrame, path: str, checkpoint: str):
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def self_check(spark: SparkSession, folder: str) -> int:
-    """Rows left of three of which one repeats."""
-    schema = "transaction_time timestamp_ntz, serial_number string, payer_account string, payee_account string, currency string, amount decimal(18,2)"
-    spark.sql("""SELECT timestamp_ntz'2026-01-01 00:00:00' AS transaction_time, s AS serial_number, 'a' AS payer_account, 'b' AS payee_account, 'CNY' AS currency, 1.5 AS amount
-                 FROM VALUES ('1'), ('1'), ('2') AS t(s)""").write.json(f"{folder}/in")
-    write(distinct_records(read(spark, f"{folder}/in", schema)), f"{folder}/out", f"{folder}/cp").awaitTermination()
-    return spark.read.parquet(f"{folder}/out").count()
