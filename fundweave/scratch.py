@@ -18,10 +18,10 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"file://{tempfile.gettempdir()}/fundweave-scratch"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write df once and read it back: cuts the lineage, survives lost executors. drop() removes the table."""
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     got = df.sparkSession.read.schema(df.schema).parquet(path)
     got._scratch_path = path
     return got
