@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, table, text_of
+from .common import ship, table, text_of, trim
 from .encoding import release
 
 PER_CLASS = 3000
@@ -146,7 +146,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, good_rate: float) -> Model:
     ratio = np.where(seen, np.log(smooth[1] / smooth[1][seen].sum()) - np.log(smooth[0] / smooth[0][seen].sum()), 0.0)
     values = []
     for f in rows:
-        v = ratio[f]
+        v = ratio[f].astype(np.float32)
         norm = float(np.sqrt(v @ v))
         values.append(v / norm if norm > 0 else v)
     own = np.flatnonzero(~aside)
@@ -179,7 +179,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(got, pa.binary())], ["doc_id", "quality", "f"])
 
     got = sorted(map(tuple, texts.mapInArrow(run, f"doc_id {kind.simpleString()}, quality int, f binary").collect()))
-    return fit([np.frombuffer(r[2], "<u4").astype(np.int64) for r in got], np.array([r[1] for r in got], int), good_rate)
+    model = fit([np.frombuffer(r[2], "<u4").astype(np.int32) for r in got], np.array([r[1] for r in got], int), good_rate)
+    del got
+    trim()
+    return model
 
 
 def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import drop, materialise, ship, table
 from .encoding import encoder, text_batches
 
-TOKENIZER, END_ID, BLOCK_CHARS, BLOCK_IDS, CHUNKS = "byte_bpe_50k.json", 2, 1_000_000, 250_000, 1_000_000
+TOKENIZER, END_ID, BLOCK_CHARS, BLOCK_IDS, CHUNKS = "byte_bpe_50k.json", 2, 1_000_000, 250_000, 800_000
 #: LENGTHS[c]: bytes of the four values of control byte c. MASKS[n]: the bits of an n-byte value.
 LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
@@ -107,7 +107,7 @@ def write(docs: DataFrame, tokenizer_path: str | None = None) -> tuple[DataFrame
     """The two tables of the file format, written to the shared folder: blocks, and ranks."""
     spark = docs.sparkSession
     ship(spark)
-    raw = materialise(_encode(docs, tokenizer_path), "token-raw")
+    raw = materialise(_encode(docs, tokenizer_path), "token-raw", "zstd")
     by_rank = _ranks(raw)
     ranks = materialise(spark.createDataFrame(list(enumerate(by_rank)), "rank long, id long").coalesce(1), "token-ranks")
     rank_of = np.zeros(1 + max(by_rank, default=0), np.uint32)
