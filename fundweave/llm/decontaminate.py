@@ -3,8 +3,8 @@
 A word is a symbol. For each pattern length a shift table over blocks of two words (one word for
 one-word patterns) tells how far the search may jump; where the shift is zero the bucket of the
 pattern's suffix hash lists the patterns to compare directly. Null texts have no words; an item of no
-words has no window; repeated rows and items count once per row and per item_id. A null item_id is
-no item. Documents are scanned once for each block of PATTERNS_PER_BLOCK windows, so that what is
+words has no window; repeated rows and items count once per row and per item_id. The windows of rows
+with a null item_id count as hits, but name no item. Documents are scanned once for each block of PATTERNS_PER_BLOCK windows, so that what is
 broadcast stays bounded however large the benchmark is; with more than one block the hits of each
 block are merged by document row.
 """
@@ -85,13 +85,13 @@ def scan(text: str, searches: list[WuManber]) -> tuple[int, list[tuple[int, int]
             ranges[-1][1] = max(ranges[-1][1], end)
         else:
             ranges.append([first, end])
-    return len(w), [tuple(r) for r in ranges], {i for x in found for i in x[2]}
+    return len(w), [tuple(r) for r in ranges], {i for x in found for i in x[2] if i is not None}
 
 
 def _item_blocks(bench: DataFrame, per_block: int) -> Iterator[list]:
     """Blocks of (item_id, window), streamed to the driver one block at a time."""
     block: list = []
-    for row in bench.where("item_id is not null and text is not null").select("item_id", "text").toLocalIterator():
+    for row in bench.where("text is not null").select("item_id", "text").toLocalIterator():
         for p in windows(row[1]):
             block.append((row[0], p))
             if len(block) >= per_block:
@@ -136,7 +136,7 @@ def hits(docs: DataFrame, bench: DataFrame, per_block: int = PATTERNS_PER_BLOCK)
     if len(made) == 1:
         return made[0]
     rest = reduce(DataFrame.unionByName, (d.select("__row", "__ranges", "__items") for d in made[1:]))
-    rest = rest.where(F.size("__items") > 0).groupBy("__row").agg(F.flatten(F.collect_list("__ranges")).alias("__r"), F.flatten(F.collect_list("__items")).alias("__i"))
+    rest = rest.where(F.size("__ranges") > 0).groupBy("__row").agg(F.flatten(F.collect_list("__ranges")).alias("__r"), F.flatten(F.collect_list("__items")).alias("__i"))
     joined = made[0].join(rest, "__row", "left")
     none = F.array().cast("array<struct<first:int,end:int>>")
     ranges = F.array_sort(F.concat("__ranges", F.coalesce("__r", none)))
@@ -160,7 +160,7 @@ def contamination(docs: DataFrame, bench: DataFrame, per_block: int = PATTERNS_P
 def drop_contaminated(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """The rows of docs in which no benchmark window occurs."""
     renamed = docs.select(*(F.col(f"`{c}`").alias(c if c == "text" else f"c{k}") for k, c in enumerate(docs.columns)))
-    clean = hits(renamed, bench).where(F.size("__items") == 0)
+    clean = hits(renamed, bench).where(F.size("__ranges") == 0)
     return clean.select(*(F.col(c if c == "text" else f"c{k}").alias(c) for k, c in enumerate(docs.columns)))
 
 
@@ -174,13 +174,13 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
-b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
 p AS (SELECT DISTINCT item_id, least(len(w), 10) AS m, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS win FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
 ms AS (SELECT DISTINCT m FROM p),
 dw AS (SELECT doc_id, m, i, array_to_string(w[i:i + m - 1], ' ') AS win FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d, ms WHERE len(w) >= m)),
 h AS (SELECT dw.doc_id, dw.i, dw.m, p.item_id FROM dw JOIN p ON dw.m = p.m AND dw.win = p.win),
 hw AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS pos FROM h) GROUP BY doc_id),
-hi AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM h) GROUP BY doc_id)
+hi AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM h WHERE item_id IS NOT NULL) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)

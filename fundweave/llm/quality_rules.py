@@ -22,7 +22,7 @@ from .common import WHITE, materialise, table, text_of
 #: feature -> least spread; all have upper fences, LOWER_FENCED also lower ones.
 SPREAD = {"symbol_ratio": 0.05, "dup_line_ratio": 0.1, "repeat_ratio": 0.1, "mean_word_chars": 0.4}
 LOWER_FENCED = ("mean_word_chars",)
-REACH, SLACK, LEAST_ROWS, SKETCH_K = 4.0, 2.0, 30, 2000
+REACH, SLACK, LEAST_ROWS, SKETCH_K, MOST_BROADCAST = 4.0, 2.0, 30, 2000, 100_000
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
 
@@ -108,7 +108,9 @@ def thresholds(measured: DataFrame) -> DataFrame:
 def judge(docs: DataFrame) -> DataFrame:
     """metrics() of every row, its group's fences, and kept."""
     measured = materialise(metrics(docs), "quality-metrics")
-    fences = thresholds(measured)
+    fences = materialise(thresholds(measured), "quality-fences")
+    if fences.count() <= MOST_BROADCAST:  # a row for each (lang, source); a hot one then needs no shuffle
+        fences = F.broadcast(fences)
     keyed = measured.withColumns({"g_lang": F.struct("lang"), "g_source": F.struct("source")})
     ok = ~F.col("base_failed")
     for f in SPREAD:
