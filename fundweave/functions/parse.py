@@ -32,11 +32,17 @@ def time(c: Column) -> Column:
     return F.when(F.size(parts) > 0, dashed.try_cast("timestamp_ntz")).when(F.regexp_like(text, F.lit(r"^\d{8}$")), solid.try_cast("timestamp_ntz"))
 
 
-def mapped_fields(row: Column) -> dict[str, Column]:
-    """Canonical fields of a map of header -> text: the first alias that is not blank."""
+def normal_cells(row: Column) -> Column:
+    """A map of header -> text by normalised header; of headers that are alike the last one counts."""
     cells = F.transform(F.map_entries(row), lambda e: F.struct(normal_header(e["key"]).alias("key"), e["value"].alias("value")))
-    # of headers that are alike once normalised the last one counts
-    normal = F.map_from_entries(F.filter(cells, lambda e, i: ~F.exists(F.slice(cells, i + 2, F.size(cells)), lambda x: x["key"] == e["key"])))
+    later = lambda e, i: F.exists(F.slice(cells, i + 2, F.size(cells)), lambda x: x["key"] == e["key"])
+    alike = F.size(F.array_distinct(F.transform(cells, lambda e: e["key"]))) < F.size(cells)
+    return F.map_from_entries(F.when(alike, F.filter(cells, lambda e, i: ~later(e, i))).otherwise(cells))
+
+
+def mapped_fields(row: Column, normal: Column | None = None) -> dict[str, Column]:
+    """Canonical fields of a map of header -> text: the first alias that is not blank. normal: normal_cells(row) as a column, if there is one."""
+    normal = normal_cells(row) if normal is None else normal
     look = lambda names: F.coalesce(*(blank_to_null(F.try_element_at(normal, normal_header(F.lit(a)))) for a in names), F.lit(""))
     out = {field: look(names) for field, names in S.ALIASES.items()}
     first = lambda names: F.coalesce(*(F.try_element_at(row, F.lit(a)) for a in names), F.lit(""))  # noqa: E731  the second only if the first header is absent
@@ -49,12 +55,12 @@ def mapped_fields(row: Column) -> dict[str, Column]:
 
 def normalise_rows(rows: DataFrame, row_col: str = "row_data") -> DataFrame:
     """rows with the canonical fields and reject_reason (null: accepted). Checks: accounts, time, amount (0 is rejected)."""
-    got = {k: F.trim(v) for k, v in mapped_fields(F.col(row_col)).items()}
+    got = {k: F.trim(v) for k, v in mapped_fields(F.col(row_col), F.col("__normal")).items()}
     or_else = lambda k, v: F.coalesce(blank_to_null(got[k]), F.lit(v))
     fields = got | {"transaction_time": time(got["transaction_time"]), "amount": amount(got["amount"]), "balance_after": amount(got["balance_after"])}
     fields |= {"debit_credit": or_else("debit_credit", "借"), "currency": or_else("currency", "CNY"), "transaction_type": or_else("transaction_type", "转账")}
     # one projection for the parsed values, one for what follows from them
-    parsed = rows.select("*", *(v.alias(k) for k, v in fields.items()))
+    parsed = rows.withColumn("__normal", normal_cells(F.col(row_col))).select(*rows.columns, *(v.alias(k) for k, v in fields.items()))
     bad = F.when((F.col("payer_account") == "") | (F.col("payee_account") == ""), S.REJECT_ACCOUNT)
     bad = bad.when(F.col("transaction_time").isNull(), S.REJECT_TIME).when(F.coalesce("amount", F.lit(0)) == 0, S.REJECT_AMOUNT)
     return parsed.withColumns({"reject_reason": bad, "review_status": F.lit("pending"), "provenance": F.lit("original"), "parser_name": F.lit("structured")})

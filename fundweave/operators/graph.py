@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.text import blank_to_null, contains_any
-from .filters import endpoint
+from .dedup import canonical
+from .filters import eligible, endpoint, graph_filter
 
 #: Width of a time bucket. A busy account's rows are spread over its buckets; a bucket also sees the rows just before it.
 BUCKET_MINUTES = 6 * 60
@@ -101,5 +102,15 @@ def nodes(both: DataFrame) -> DataFrame:
     )
 
 
+def topology(drafts: DataFrame, **filtered) -> DataFrame:
+    """The records of a graph: one of each duplicate group, eligible, and within the filters of graph_filter()."""
+    return canonical(drafts).where(eligible()).where(graph_filter(**filtered))
+
+
+def in_time_order(edge_rows: DataFrame) -> DataFrame:
+    """Edges as they are played back: by first transaction, then by first sight."""
+    return edge_rows.orderBy("first_transaction_time", "first_seq")
+
+
 def totals(tx: DataFrame) -> DataFrame:
     return tx.agg(F.count("*").alias("transaction_count"), F.coalesce(F.sum("amount"), F.lit(0)).cast("double").alias("total_amount"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import materialise
 from . import graph
 
 METHOD, DISCLAIMER = "internal_rules_v1", "内部规则风险提示，不构成犯罪事实或司法认定。"
@@ -91,3 +92,8 @@ def ranked(nodes: DataFrame, k: int) -> DataFrame:
     return nodes.orderBy(F.desc("risk"), "first_ord").limit(k)
 
 
+def build_graph(drafts: DataFrame, victims: list[str] = (), **filtered) -> dict[str, DataFrame]:
+    """nodes (scored), edges, totals and summary of the drafts' graph. The records are written once and shared by all four."""
+    tx = materialise(graph.topology(drafts, **filtered), "graph-records")
+    nodes = materialise(scored(tx, victims), "graph-nodes")
+    return {"nodes": nodes, "edges": graph.edges(tx), "totals": graph.totals(tx), "summary": summary(nodes)}

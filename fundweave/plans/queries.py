@@ -246,5 +246,17 @@ query("lay_primary_edges")(lambda s, sf: _layout(s, sf).where("primary_edge is n
 query("lay_focus", "SELECT node, CASE WHEN node = 'U0' THEN 'selected' WHEN max(last_in) > max(last_out) THEN 'incoming-neighbor' WHEN max(last_out) >= 0 THEN 'outgoing-neighbor' ELSE 'inactive' END AS state FROM (SELECT payer_account AS node, CASE WHEN payee_account = 'U0' THEN min(seq) ELSE -1 END AS last_in, -1 AS last_out FROM live GROUP BY payer_account, payee_account UNION ALL SELECT payee_account, -1, CASE WHEN payer_account = 'U0' THEN min(seq) ELSE -1 END FROM live GROUP BY payer_account, payee_account) GROUP BY node")(lambda s, sf: layout.focus(graph.edges(live(s, sf)), "U0"))
 
 
+_GRAPH = f"{TX[: TX.index(',' + chr(10) + 'live AS')]}, {TWO}, live AS (SELECT * FROM marked WHERE (same = 1 OR seq < 1000000000) AND review_status = 'confirmed' AND event_status = 'success' AND amount >= 50 AND channel = '柜台'), {SIDES}"
+
+
+@query("grf_build", "SELECT account, label, incoming, outgoing, risk, risk_level, priority_score, priority_level FROM levels", _GRAPH)
+def grf_build(spark, sf):
+    made = scoring.build_graph(drafts(spark, sf), VICTIMS, least=50, channel_name="柜台")["nodes"]
+    return made.select("account", "label", _dbl("incoming"), _dbl("outgoing"), "risk", "risk_level", "priority_score", "priority_level")
+
+
+query("grf_build_totals", "SELECT count(*) AS transaction_count, CAST(coalesce(sum(amount), 0) AS DOUBLE) AS total_amount FROM live", _GRAPH)(lambda s, sf: scoring.build_graph(drafts(s, sf), VICTIMS, least=50, channel_name="柜台")["totals"])
+
+
 def entry(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.scored(live(spark, sf), VICTIMS).select("account", "label", _dbl("incoming"), _dbl("outgoing"), "risk", "risk_level", "priority_score", "priority_level")

@@ -1,3 +1,5 @@
+import csv
+import hashlib
 import io
 import random
 import zipfile
@@ -8,10 +10,11 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from fundweave import schema as S
 from fundweave.functions import parse
 from fundweave.operators import attribution, graph, reconcile, scoring, trace
 from fundweave.plans import queries as fund
-from fundweave.sources import files, generators
+from fundweave.sources import files, generators, repository
 from fundweave.streaming import ingest
 
 SF = "/root/testdata/sf0.001"
@@ -145,3 +148,30 @@ def test_broken_files_are_one_error_row(name, data):
     assert len(got) == 1 and got[0]["error"]
     assert "size limit" in next(files.chunks_of(name, None, files.MAX_BYTES + 1))["error"]
 
+
+
+def test_case_folder(spark, tmp_path):
+    folder = f"file://{tmp_path}/case"
+    assert repository.list_drafts(spark, folder).count() == 0 and repository.list_versions(spark, folder).count() == 0
+    with pytest.raises(ValueError, match="confirmed"):
+        repository.create_version(spark, folder, "none")
+    ddl = f"seq long, {S.RECORD_DDL}"
+    made = tx(spark, [(0, "1", "2", 5, 'a "b", c'), (1, "2", "3", 6, "")]).withColumn("serial_number", F.concat(F.lit("S"), "seq"))
+    full = made.select(*(F.col(c) if c in made.columns else F.lit(None).cast(f.dataType).alias(c) for f in spark.createDataFrame([], ddl).schema for c in [f.name]))
+    assert repository.add_drafts(full, folder).count() == 2
+    again = repository.add_drafts(full.where("seq = 0").withColumn("transaction_id", F.lit("T9")), folder).collect()
+    assert len(again) == 1 and again[0].duplicate_group.startswith("DUP-") and repository.list_drafts(spark, folder).count() == 3
+    v = repository.create_version(spark, folder, "first")
+    data = (tmp_path / "case" / "versions" / "V001.csv").read_bytes()
+    assert (v["record_count"], v["sha256"]) == (2, hashlib.sha256(data).hexdigest()) and data.startswith(b"\xef\xbb\xbftransaction_id,")
+    parsed = list(csv.DictReader(io.StringIO(data.decode("utf-8-sig"))))
+    assert [r["summary"] for r in parsed] == ['a "b", c', ""] and len(parsed[0]) == 45
+    repository.save_drafts(reconcile.update(repository.list_drafts(spark, folder), "T1", {"review_status": "pending"}), folder)
+    with pytest.raises(ValueError, match="confirmed"):
+        repository.create_version(spark, folder, "second")
+    seed = {"seed_id": "s1", "victim_id": "v", "transaction_id": "T0", "amount": Decimal("5.00"), "note": None}
+    repository.save_seed(spark, folder, seed)
+    assert repository.list_seeds(spark, folder).count() == 1 and not repository.delete_seed(spark, folder, "s2")
+    assert repository.delete_seed(spark, folder, "s1") and repository.list_seeds(spark, folder).count() == 0
+    assert repository.latest_version(spark, folder).first().version_id == "V001"
+    assert {r.event for r in spark.read.json(f"{folder}/audit").collect()} == {"drafts_created", "version_created", "seed_confirmed", "seed_cancelled"}
