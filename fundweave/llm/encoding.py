@@ -182,7 +182,10 @@ class ChunkEncoder:
             np.multiply(self.power[: len(a)], a, out=total[1:])  # a part's byte 0 counts by its place alone
             np.cumsum(total, out=total)
             h = (total[e] - total[s]) * self.inverse[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-            h ^= h >> np.uint64(32)
+            for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):  # every bit must tell words apart before the last one is set
+                h ^= h >> np.uint64(shift)
+                h *= np.uint64(factor)
+            h ^= h >> np.uint64(31)
             h |= np.uint64(1)
 
             def text_of(k: int) -> str | None:

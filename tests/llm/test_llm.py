@@ -253,3 +253,134 @@ def test_near_dedup_equals_brute_force(spark):
     assert 12 < len(want) < len(rows)
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == want
     assert sorted(r.doc_id for r in near_dup.keep_one(docs, 3).collect()) == want
+
+
+SF = "/root/testdata/sf0.001"
+LONG = "word " * 60_000
+
+
+@pytest.fixture(scope="module")
+def real(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+def test_base_scores_equal_brute_force(spark, docs):
+    """Nulls, repeats, an extra column and a very long text."""
+    from collections import Counter
+    from math import log10
+
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(100, LONG)]
+    table = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, ids int").repartition(3)
+    words = [(k, t, decontaminate.LOWER and (t or "").encode().translate(decontaminate.LOWER).split() + [b""]) for k, t in rows]
+    held = lambda k: zlib.crc32(("" if k is None else str(k)).encode()) % 5 == 1
+    c = Counter(w for k, _, ws in words if not held(k) for w in ws)
+    n, v = sum(c.values()), len(c)
+    want = sorted((str(k), held(k), len(ws), sum(c[w] > 0 for w in ws), n, round(sum(log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws), 4)) for k, _, ws in words)
+    for block in (10**7, 50):
+        got = lm_scoring.score(table, head=8, block_chars=block).collect()
+        assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got) == want
+
+
+def test_model_beats_base(spark, real):
+    got = lm_scoring.score(real).where("n_known = n_tokens").groupBy("held_out").sum("base_score", "score").collect()
+    assert all(r["sum(score)"] > r["sum(base_score)"] for r in got if not r.held_out)
+
+
+def plain_fingerprint(text):
+    from xxhash import xxh64_intdigest
+
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")) if x]
+    if not w:
+        return 0
+    h = [xxh64_intdigest(" ".join(w[i : i + 3]).encode(), 42) for i in range(max(1, len(w) - 2))]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+@pytest.mark.parametrize("source", ["docs", "real", "empty"])
+def test_simhash_equals_brute_force(request, source):
+    table = request.getfixturevalue(source)
+    rows = [(r.doc_id, plain_fingerprint(r.text)) for r in table.collect()]
+    label = list(range(len(rows)))
+    changed = True
+    while changed:
+        changed = False
+        for i, (_, x) in enumerate(rows):
+            for j, (_, y) in enumerate(rows):
+                if label[j] < label[i] and (x ^ y).bit_count() <= 3:
+                    label[i], changed = label[j], True
+    least = {}
+    for (k, _), x in zip(rows, label, strict=True):
+        if k is not None:
+            least[x] = min(least.get(x, k), k)
+    want = sorted((str(k), f"{x:016x}", least.get(c)) for (k, x), c in zip(rows, label, strict=True))
+    got = simhash.near_duplicates(table).collect()
+    assert sorted((str(r.doc_id), f"{r.fp & (2**64 - 1):016x}", r.component_id) for r in got) == want
+
+
+def test_trie_walk_takes_steps(real):
+    distinct = simhash.fingerprints(real, "doc_id").select("fp").distinct()
+    assert simhash.links(distinct).agg({"steps": "sum"}).first()[0] > 10 * distinct.count()
+
+
+@pytest.mark.parametrize("capacity,rows", [(2048, 400_000), (2048, 60), (64, 100)])
+def test_packing_equals_tokenizer_and_nears_best_fit(real, docs, capacity, rows):
+    from bisect import bisect_left, insort
+
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    for table in (real, docs):
+        texts = [(r.doc_id, r.text or "") for r in table.collect()]
+        want = []
+        for k, text in texts:
+            ids = np.array([*t.encode(text, add_special_tokens=False).ids, 0], "<u4")
+            want += [(str(k), p, at, len(ids[at : at + capacity]), zlib.crc32(ids[at : at + capacity].tobytes())) for p, at in enumerate(range(0, len(ids), capacity))]
+        got = packing.pack(table, capacity, rows=rows).collect()
+        assert sorted((str(r.doc_id), r.piece, r.start, r.length, r.ids_crc32) for r in got) == sorted(want)
+        fill, gaps, n = {}, [], 0
+        for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+            assert r.offset == fill.get(r.sequence_id, 0)
+            fill[r.sequence_id] = r.offset + r.length
+        for x in sorted((w[3] for w in want), reverse=True):  # best fit decreasing, one by one
+            at = bisect_left(gaps, x)
+            n, gap = (n + 1, capacity) if at == len(gaps) else (n, gaps.pop(at))
+            insort(gaps, gap - x)
+        assert max(fill.values()) <= capacity and len(fill) <= 1.02 * n + 2
+
+
+def test_dual_descent_nears_the_optimum():
+    """Against plain subgradient descent on |w|**2 / 2 + sum of hinge losses."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 8))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y = np.where(x[:, 0] + 0.3 * rng.normal(size=60) > 0, 1.0, -1.0)
+    full = np.c_[x, np.ones(60)]
+    loss = lambda w: w @ w / 2 + np.maximum(0, 1 - y * (full @ w)).sum()
+    best, w = np.inf, np.zeros(9)
+    for k in range(1, 20_000):
+        w -= (w - ((y * (full @ w) < 1) * y) @ full) / (k + 10)
+        best = min(best, loss(w))
+    got, b = quality_model.dual_descent([np.arange(8)] * 60, list(x), y, 8, epochs=500)
+    assert loss(np.r_[got, b]) <= best * 1.001
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """Stages one after the other on a fixture with nulls, repeats, near copies, benchmark passages and personal data; and on an empty table."""
+    import corpus_pipeline
+
+    passage = " ".join(f"q{i}" for i in range(12))
+    base = [f"w{i}" for i in range(80)]
+    texts = {1: " ".join(base), 2: " ".join([*base[:-1], "other"]), 3: " ".join(base), 4: f"{passage} and words", 5: "write to a.b@c.org now " * 3, 6: None, 7: "", 8: "spam*** junk$$$ " * 20, 9: " ".join(f"z{i}" for i in range(3000))}
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in texts.items()] + [(5, texts[5], "en", "s", len(texts[5]))], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    for name, table in (("full", docs), ("none", docs.limit(0))):
+        for n, t in (("documents", table), ("labels", labels), ("benchmark", bench)):
+            t.write.parquet(f"{tmp_path}/{name}/{n}.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/full").collect()
+    # no label: all stay; 1 for 1, 2 and 3; 6 for 6 and 7; 4 holds the passage; one row of 5
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    kept = {1: texts[1], 5: texts[5].replace("a.b@c.org", "<EMAIL>"), 6: "", 8: texts[8], 9: texts[9]}
+    want = {k: len(t.encode(x, add_special_tokens=False).ids) + 1 for k, x in kept.items()}
+    total = {}
+    for r in got:
+        total[r.doc_id] = total.get(r.doc_id, 0) + r.length
+    assert total == want and corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
