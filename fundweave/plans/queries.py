@@ -233,6 +233,9 @@ query("mut_update", "SELECT transaction_id, CASE transaction_id WHEN 'T42' THEN
 query("mut_material_dedupe", "SELECT doc_id, doc_id > min(doc_id) OVER (PARTITION BY text) AS duplicate FROM documents", "")(lambda s, sf: reconcile.first_by_content(s.read.parquet(f"{sf}/documents.parquet").withColumn("seq", F.col("doc_id")), "text").select("doc_id", "duplicate"))
 query("mut_material_status", "SELECT event_id, CASE WHEN event_id % 3 > 0 AND event_id % 2 > 0 THEN 'partial' WHEN event_id % 3 > 0 THEN 'failed' WHEN event_id % 2 > 0 OR event_id % 5 = 0 THEN 'parsed' ELSE 'extracted' END AS status FROM events", "")(lambda s, sf: s.read.parquet(f"{sf}/events.parquet").select("event_id", reconcile.material_status(F.col("event_id") % 3, F.col("event_id") % 2, F.col("event_id") % 5 == 0).alias("status")))
 query("src_benchmark", "SELECT 500 AS nodes, 500 AS edges, 59950000.0::DOUBLE AS total", "")(lambda s, sf: (e := graph.edges(generators.benchmark(s))).agg(F.count_distinct("source").cast("int").alias("nodes"), F.count("*").cast("int").alias("edges"), F.sum("amount").cast("double").alias("total")))
+query("grf_benchmark", "SELECT 500 AS nodes, 500 AS edges, 59950000.0::DOUBLE AS incoming", "")(
+    lambda s, sf: (g := scoring.build_graph(generators.benchmark(s).withColumn("duplicate_group", F.lit(None).cast("string"))))["nodes"].agg(F.count("*").cast("int").alias("nodes"), F.sum("incoming").cast("double").alias("incoming")).withColumn("edges", g["edges"].agg(F.count("*").cast("int")).scalar())
+)
 query("src_demo")(lambda s, sf: graph.edges(generators.layered(s)).select("source", "target", _dbl(), "count"))
 
 
