@@ -2,30 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-METHODS = ("fifo", "conservative", "proportional", "possible_max")
-
-
-def running_sum(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], bucket_order: Column, value: str, name: str) -> DataFrame:
-    """df with the running sum of value, and value's total, over keys in the order (bucket, order).
+from .running import running_sum
 
-    A key is cut into buckets: sums run inside a bucket, and the buckets' totals run over the key, so a
-    key with very many rows is no single window partition.
-    """
-    df = df.withColumn("__b", bucket)
-    inner = Window.partitionBy(*keys, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    sums = df.groupBy(*keys, "__b").agg(F.sum(value).alias("__s"), F.count("*").alias("__c"))
-    over = Window.partitionBy(*keys).orderBy(bucket_order)
-    sums = sums.select(
-        *keys, "__b", (F.sum("__s").over(over.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__s")).alias("__before"),
-        F.sum("__s").over(Window.partitionBy(*keys)).alias(f"{name}_total"), (F.row_number().over(Window.partitionBy(*keys).orderBy(bucket_order)) == F.count("*").over(Window.partitionBy(*keys))).alias("__last_bucket"),
-        "__c",
-    )
-    rows = df.withColumns({name: F.sum(value).over(inner), "__n": F.row_number().over(Window.partitionBy(*keys, "__b").orderBy(*order))})
-    joined = rows.join(sums, [*keys, "__b"])
-    return joined.withColumns({name: F.col(name) + F.col("__before"), f"{name}_last": F.col("__last_bucket") & (F.col("__n") == F.col("__c"))}).drop("__b", "__before", "__n", "__c", "__last_bucket")
+METHODS = ("fifo", "conservative", "proportional", "possible_max")
+#: Fixed value: the note that goes with every result.
+DISCLAIMER = "本结果为资金研判推定，不代表银行原始事实或司法认定。"
 
 
 def attribute(tx: DataFrame, victim_amount: float, prior_balance: float, source: str | None = None) -> DataFrame:
@@ -39,8 +23,8 @@ def attribute(tx: DataFrame, victim_amount: float, prior_balance: float, source:
     v, p = float(victim_amount), float(prior_balance)
     rows = tx.where(F.col("payer_account") == source) if source is not None else tx
     rows = rows.select("payer_account", "payee_account", "transaction_id", "transaction_time", "seq", "amount")
-    by_time = running_sum(rows, ["payer_account"], F.to_date("transaction_time"), [F.asc("transaction_time"), F.asc("seq")], F.asc("__b"), "amount", "c")
-    by_size = running_sum(rows, ["payer_account"], F.floor("amount"), [F.desc("amount"), F.asc("transaction_time"), F.asc("seq")], F.desc("__b"), "amount", "c")
+    by_time = running_sum(rows, "payer_account", [F.asc("transaction_time"), F.asc("seq")], "amount", "c")
+    by_size = running_sum(rows, "payer_account", [F.desc("amount"), F.asc("transaction_time"), F.asc("seq")], "amount", "c")
     c = F.col("c").cast("double")
     before = (F.col("c") - F.col("amount")).cast("double")
     r = v / (v + p) if v + p else 0.0
@@ -60,4 +44,4 @@ def attribute(tx: DataFrame, victim_amount: float, prior_balance: float, source:
 def summarise(shares: DataFrame, victim_amount: float) -> DataFrame:
     v = F.lit(float(victim_amount)).cast("decimal(18,2)")
     total = F.least(v, F.sum("attributed_amount"))
-    return shares.groupBy("payer_account", "method").agg(F.count("*").alias("n_edges"), total.cast("double").alias("total_attributed"), F.greatest(F.lit(0).cast("decimal(18,2)"), v - total).cast("double").alias("remaining_amount"))
+    return shares.groupBy("payer_account", "method").agg(F.count("*").alias("n_edges"), total.cast("double").alias("total_attributed"), F.greatest(F.lit(0).cast("decimal(18,2)"), v - total).cast("double").alias("remaining_amount"), F.lit(True).alias("is_inference"), F.lit(DISCLAIMER).alias("disclaimer"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.text import blank_to_null
-from ..scratch import materialise
+from .running import places
 
 TEXT_FIELDS = ("serial_number", "payer_account", "payer_name", "payee_account", "payee_name", "summary")
 
@@ -99,17 +99,17 @@ def sorted_page(df: DataFrame, order: str = "time_asc", page: int = 1, size: int
 
 
 def placed(df: DataFrame, order: str = "time_asc") -> DataFrame:
-    """Every row with its place from 1 on in the total order: row numbers within range partitions plus the rows of those before."""
-    keys, spark = sort_keys(order), df.sparkSession
-    local = F.monotonically_increasing_id()  # partition * 2^33 + row
-    ranked = materialise(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__at", local), "placed")
-    ranked = ranked.withColumns({"__part": F.shiftright("__at", 33), "__row": F.col("__at").bitwiseAND(F.lit(2**33 - 1))})
-    bases, done = [], 0
-    for part, n in sorted(map(tuple, ranked.groupBy("__part").count().collect())):  # a number for each partition
-        bases.append((part, done))
-        done += n
-    offsets = F.broadcast(spark.createDataFrame(bases, "__part long, __base long"))
-    return ranked.join(offsets, "__part").withColumn("place", F.col("__base") + F.col("__row") + 1).drop("__at", "__part", "__row", "__base").orderBy("place")
+    """Every row with its place from 1 on in the total order."""
+    return places(df, sort_keys(order), "placed").orderBy("place")
+
+
+def related(transaction: str = "", edge: str = "", node: str = "") -> Column:
+    """Rows that belong to a selected transaction, else to an edge (payer>payee), else to an account; all rows if nothing is selected."""
+    if transaction:
+        return F.col("transaction_id") == transaction
+    if edge:
+        return F.concat("payer_account", F.lit(">"), "payee_account") == edge
+    return (F.col("payer_account") == node) | (F.col("payee_account") == node) if node else F.lit(True)
 
 
 def sort_keys(order: str) -> list[Column]:

@@ -8,13 +8,26 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions.text import blank_to_null, contains_any
 from .dedup import canonical
-from .filters import eligible, endpoint, graph_filter
+from .filters import edge_id, eligible, endpoint, graph_filter
 
 #: Width of a time bucket. A busy account's rows are spread over its buckets; a bucket also sees the rows just before it.
 BUCKET_MINUTES = 6 * 60
 
 
+def edge_totals(tx: DataFrame) -> DataFrame:
+    """edges() without the lists of transactions: sums are made before the shuffle, and no row grows with the data."""
+    ends = tx.select(endpoint("payer").alias("source"), endpoint("payee").alias("target"), "seq", "amount", "transaction_time")
+    got = ends.groupBy("source", "target").agg(F.sum("amount").alias("amount"), F.count("*").alias("count"), F.min("transaction_time").alias("first_transaction_time"), F.min("seq").alias("first_seq"))
+    return got.withColumn("id", F.concat("source", F.lit(">"), "target"))
+
+
+def edge_transactions(tx: DataFrame) -> DataFrame:
+    """(id, seq, transaction_id): which transactions an edge has, as rows, for edges with too many for one list."""
+    return tx.select(edge_id().alias("id"), "seq", "transaction_id")
+
+
 def edges(tx: DataFrame) -> DataFrame:
+    """Edges with the list of their transactions in one row; edge_totals() and edge_transactions() are the form without lists."""
     return (
         tx.select(endpoint("payer").alias("source"), endpoint("payee").alias("target"), "seq", "transaction_id", "amount", "transaction_time")
         .groupBy("source", "target")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import materialise
+from .running import places
 
 
 def _spread(frontier: DataFrame, seen: DataFrame, edges: DataFrame) -> DataFrame:
@@ -30,17 +31,17 @@ def depths(edges: DataFrame) -> DataFrame:
 
 
 def layered(edges: DataFrame) -> DataFrame:
-    """(node, depth, primary_edge, x, y). Nodes of a layer stand by their parent's place, then id; the windows run over one layer's nodes for display."""
+    """(node, depth, primary_edge, x, y). Nodes of a layer stand by their parent's place, then id."""
     d = materialise(depths(edges), "layout-depths")
     up = edges.join(d.select(F.col("node").alias("source"), F.col("depth").alias("d0")), "source").join(d.select(F.col("node").alias("target"), F.col("depth").alias("d1")), "target")
     best = up.where("d0 = d1 - 1").groupBy(F.col("target").alias("node")).agg(F.min_by(F.struct("id", "source"), F.struct("first_transaction_time", -F.col("amount"), "id")).alias("p"))
     rows = materialise(d.join(best, "node", "left").select("node", "depth", F.col("p.id").alias("primary_edge"), F.col("p.source").alias("parent")), "layout-rows")
-    placed = rows.where("depth = 0").withColumn("place", F.row_number().over(Window.partitionBy("depth").orderBy("node")) - 1)
+    placed = places(rows.where("depth = 0"), [F.asc("node")], "layout-level").withColumn("place", F.col("place") - 1)
     out, deepest = placed, rows.agg(F.max("depth")).first()[0] or 0
     for level in range(1, deepest + 1):
         above = placed.select(F.col("node").alias("parent"), F.col("place").alias("pp"))
-        placed = rows.where(F.col("depth") == level).join(above, "parent", "left").withColumn("place", F.row_number().over(Window.partitionBy("depth").orderBy(F.asc_nulls_last("pp"), "node")) - 1).drop("pp")
-        placed = materialise(placed.select(out.columns), "layout-level")
+        met = rows.where(F.col("depth") == level).join(above, "parent", "left")
+        placed = places(met, [F.asc_nulls_last("pp"), F.asc("node")], "layout-level").withColumn("place", F.col("place") - 1).select(out.columns)
         out = out.unionByName(placed)
     out = materialise(out, "layout-places")
     sizes = out.groupBy("depth").agg(F.count("*").alias("n"))
@@ -52,3 +53,23 @@ def focus(edges: DataFrame, selected: str) -> DataFrame:
     ends = edges.select(F.explode(F.array(F.struct(F.col("source").alias("node"), (F.col("target") == selected).alias("near"), F.lit("incoming-neighbor").alias("state")), F.struct(F.col("target").alias("node"), (F.col("source") == selected).alias("near"), F.lit("outgoing-neighbor").alias("state")))).alias("e"), "first_seq")
     last = ends.groupBy("e.node").agg(F.max_by("e.state", F.when(F.col("e.near"), F.col("first_seq"))).alias("s"))
     return last.select("node", F.when(F.col("node") == selected, "selected").otherwise(F.coalesce("s", F.lit("inactive"))).alias("state"))
+
+
+def focus_states(edges: DataFrame, node: str = "", edge: str = "", playing: str = "") -> DataFrame:
+    """(kind, id, state) of nodes and edges. A playing edge decides before a selected edge, that before a selected node; with none, states are null."""
+    one = playing or edge
+    own = F.col("id") == one if one else F.lit(False)
+    if one:
+        names = ("playing", "playing-source", "playing-target") if playing else ("selected", "edge-endpoint", "edge-endpoint")
+        mine, near, far = (F.when(own, x) for x in names)
+    else:
+        mine = F.when(F.col("target") == node, "incoming").when(F.col("source") == node, "outgoing")
+        near = far = F.lit(None).cast("string")
+    row = lambda kind, c, state, n: F.struct(F.lit(kind).alias("kind"), F.col(c).alias("id"), state.alias("state"), F.lit(n).alias("n"))
+    rows = edges.select(F.explode(F.array(row("node", "source", near, 0), row("node", "target", far, 1), row("edge", "id", mine, 0))).alias("r")).select("r.*")
+    states = rows.groupBy("kind", "id").agg(F.max_by("state", F.when(F.col("state").isNotNull(), F.col("n"))).alias("state"))
+    if one:
+        return states.fillna("inactive", "state")
+    if not node:
+        return states
+    return states.where("kind = 'edge'").fillna("inactive", "state").unionByName(focus(edges, node).select(F.lit("node").alias("kind"), F.col("node").alias("id"), "state"))

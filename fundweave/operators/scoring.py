@@ -93,7 +93,7 @@ def ranked(nodes: DataFrame, k: int) -> DataFrame:
 
 
 def build_graph(drafts: DataFrame, victims: list[str] = (), **filtered) -> dict[str, DataFrame]:
-    """nodes (scored), edges, totals and summary of the drafts' graph. The records are written once and shared by all four."""
+    """nodes (scored), edges, edge_transactions, totals and summary of the drafts' graph. The records are written once and shared by all."""
     tx = materialise(graph.topology(drafts, **filtered), "graph-records")
     nodes = materialise(scored(tx, victims), "graph-nodes")
-    return {"nodes": nodes, "edges": graph.edges(tx), "totals": graph.totals(tx), "summary": summary(nodes)}
+    return {"nodes": nodes, "edges": graph.edges(tx), "edge_transactions": graph.edge_transactions(tx), "totals": graph.totals(tx), "summary": summary(nodes)}

@@ -55,34 +55,50 @@ def shortest_path(edges: DataFrame, start: str, end: str) -> DataFrame:
     return spark.createDataFrame([([],)], "path array<string>")
 
 
-def cycles(edges: DataFrame, start: str, hops: int, most: int = MAX_CYCLES) -> DataFrame:
+def cycles(edges: DataFrame, start: str, hops: int, most: int = MAX_CYCLES, width: int = 4096) -> DataFrame:
     """Simple cycles through start of at most hops + 2 edges, self-loops left out: the first `most` in array order.
 
-    Only nodes from which start can be reached in what is left of the edges stay in a path.
+    Only nodes from which start can be reached in what is left of the edges stay in a path. Each length
+    keeps its `width` least paths; everything that grows from a path dropped is greater than it, so the
+    answer holds if `most` cycles are less than the least path dropped. Else the search runs anew, eight
+    times as wide.
     """
     longest = hops + 2
+    edges = materialise(edges, "trace-edges")
     back = reach(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), start, longest - 1, clamp=False)
     back = materialise(back.withColumnRenamed("depth", "to_start"), "trace-back")
-    edges = materialise(edges.join(back, edges["dst"] == back["node"]).select("src", "dst", "to_start"), "trace-edges")
+    closing = materialise(edges.join(back, edges["dst"] == back["node"]).select("src", "dst", "to_start"), "trace-edges")
+    while True:
+        found, dropped = _least_cycles(closing, start, longest, most, width)
+        sure = found if dropped is None else [p for p in found if p < dropped]
+        if dropped is None or len(sure) == most:
+            return edges.sparkSession.createDataFrame([(p,) for p in sure], "path array<string>")
+        width *= 8
+
+
+def _least_cycles(edges: DataFrame, start: str, longest: int, most: int, width: int) -> tuple[list, list | None]:
+    """The least `most` cycles that the `width` least paths of each length give, and the least path that was dropped."""
     paths = edges.sparkSession.createDataFrame([(start, [start])], "node string, path array<string>")
-    found = []
+    found, dropped = [], None
     for n in range(1, longest + 1):
         step = paths.join(edges, paths["node"] == edges["src"])
+        path = F.concat("path", F.array("dst")).alias("path")
         if n > 1:
-            found.append(step.where(F.col("dst") == start).select(F.concat("path", F.array("dst")).alias("path")))
-        grown = step.where(~F.array_contains("path", F.col("dst")) & (F.col("to_start") + n <= longest))
-        paths = materialise(grown.select(F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path")), "trace-paths")
-        if paths.isEmpty():
+            found += [list(r.path) for r in step.where(F.col("dst") == start).select(path).orderBy("path").limit(most).collect()]
+        grown = step.where(~F.array_contains("path", F.col("dst")) & (F.col("to_start") + n <= longest)).select(F.col("dst").alias("node"), path)
+        grown = materialise(grown.orderBy("path").limit(width + 1), "trace-paths")
+        paths = grown.orderBy("path").limit(width)
+        if over := grown.orderBy("path").offset(width).limit(1).collect():
+            dropped = min(dropped or list(over[0].path), list(over[0].path))
+        if grown.isEmpty():
             break
-    out = found[0] if found else paths.select("path").limit(0)
-    for d in found[1:]:
-        out = out.unionByName(d)
-    return out.orderBy("path").limit(most)
+    return sorted(found)[:most], dropped
 
 
 def bundle(tx: DataFrame, start: str, end: str, hops: int) -> DataFrame:
     """One row with all of the above, lists sorted. A report on one account: the lists are bounded by what its hops reach."""
-    forward, backward = account_edges(tx), account_edges(tx, True)
+    forward = materialise(account_edges(tx), "trace-edges")
+    backward = forward.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     listed = lambda d, c: d.agg(F.array_sort(F.collect_list(c))).scalar()
     one = tx.sparkSession.createDataFrame([(start, end, hops)], "start string, end string, hops int")
     return one.withColumns({

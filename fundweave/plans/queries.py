@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions import classify as C
 from ..functions import parse, text
-from ..operators import attribution, dedup, filters, graph, layout, reconcile, scoring, trace
+from ..operators import attribution, dedup, filters, graph, layout, reconcile, running, scoring, trace
 from ..scratch import materialise
-from ..sources import adapter, generators
+from ..sources import adapter, generators, repository
 
 VICTIMS = ["U0", "U5", "U10"]
 V, P = 5000.0, 2000.0
@@ -94,7 +94,9 @@ _filter("flt_region", lambda: filters.region("区2"), "region = '区2'")
 _filter("flt_date_range", lambda: filters.date_range("2024-01-02", "2024-01-20"), "strftime(transaction_time, '%Y-%m-%d') BETWEEN '2024-01-02' AND '2024-01-20'")
 _filter("flt_topology", lambda: filters.eligible(), "event_status = 'success' AND amount > 0")
 _filter("flt_evidence", lambda: F.col("transaction_id") == "T42", "transaction_id = 'T42'")
-_filter("flt_related", lambda: (F.col("payer_account") == "U1") | (F.col("payee_account") == "U1"), "payer_account = 'U1' OR payee_account = 'U1'")
+_filter("flt_related", lambda: filters.related(node="U1"), "payer_account = 'U1' OR payee_account = 'U1'")
+_filter("flt_related_edge", lambda: filters.related(edge="U0>U1", node="U2"), "payer_account = 'U0' AND payee_account = 'U1'")
+_filter("flt_related_tx", lambda: filters.related("T42", "U0>U1"), "transaction_id = 'T42'")
 _filter("flt_combined", lambda: filters.graph_filter("户", 50, "forward", "柜台"), "amount >= 50 AND NOT contains(summary, '回流') AND channel = '柜台'")
 
 query("flt_status", "SELECT transaction_id FROM two WHERE review_status = 'pending'", f"{TX}, {TWO}")(lambda s, sf: adapter.two_sources(s, sf).where(filters.status("pending")).select("transaction_id"))
@@ -183,7 +185,7 @@ for _m in attribution.METHODS:
         lambda s, sf, m=_m: attribution.attribute(adapter.transactions(s, sf), V, P, SOURCE).where(F.col("method") == m).select("transaction_id", _dbl("attributed_amount"))
     )
 query("attr_bulk", "SELECT payer_account, method, transaction_id, attributed_amount FROM shares", f"{TX}, {SHARES}")(lambda s, sf: attribution.attribute(adapter.transactions(s, sf), V, P).select("payer_account", "method", "transaction_id", _dbl("attributed_amount")))
-query("attr_summary", f"SELECT payer_account, method, count(*) AS n_edges, CAST(least({V}, sum(d)) AS DOUBLE) AS total_attributed, CAST(greatest(0, {V} - least({V}, sum(d))) AS DOUBLE) AS remaining_amount FROM shares GROUP BY ALL", f"{TX}, {SHARES}")(lambda s, sf: attribution.summarise(attribution.attribute(adapter.transactions(s, sf), V, P), V))
+query("attr_summary", f"SELECT payer_account, method, count(*) AS n_edges, CAST(least({V}, sum(d)) AS DOUBLE) AS total_attributed, CAST(greatest(0, {V} - least({V}, sum(d))) AS DOUBLE) AS remaining_amount, true AS is_inference, '{attribution.DISCLAIMER}' AS disclaimer FROM shares GROUP BY ALL", f"{TX}, {SHARES}")(lambda s, sf: attribution.summarise(attribution.attribute(adapter.transactions(s, sf), V, P), V))
 
 _E = ", e AS (SELECT DISTINCT payer_account AS src, payee_account AS dst FROM tx)"
 _walk = lambda a, b: f", w AS (SELECT '{START}' AS node, 0 AS depth UNION SELECT e.{b}, depth + 1 FROM w JOIN e ON e.{a} = w.node WHERE depth < {HOPS})"
@@ -240,13 +242,13 @@ query("src_demo")(lambda s, sf: graph.edges(generators.layered(s)).select("sourc
 
 
 def _layout(spark, sf):
-    e = materialise(graph.edges(live(spark, sf)), "layout-edges")
+    e = materialise(graph.edge_totals(live(spark, sf)), "layout-edges")
     return layout.layered(e)
 
 
 query("lay_positions")(lambda s, sf: _layout(s, sf).select("node", "depth", "x", "y"))
 query("lay_primary_edges")(lambda s, sf: _layout(s, sf).where("primary_edge is not null").select("node", "primary_edge"))
-query("lay_focus", "SELECT node, CASE WHEN node = 'U0' THEN 'selected' WHEN max(last_in) > max(last_out) THEN 'incoming-neighbor' WHEN max(last_out) >= 0 THEN 'outgoing-neighbor' ELSE 'inactive' END AS state FROM (SELECT payer_account AS node, CASE WHEN payee_account = 'U0' THEN min(seq) ELSE -1 END AS last_in, -1 AS last_out FROM live GROUP BY payer_account, payee_account UNION ALL SELECT payee_account, -1, CASE WHEN payer_account = 'U0' THEN min(seq) ELSE -1 END FROM live GROUP BY payer_account, payee_account) GROUP BY node")(lambda s, sf: layout.focus(graph.edges(live(s, sf)), "U0"))
+query("lay_focus", "SELECT node, CASE WHEN node = 'U0' THEN 'selected' WHEN max(last_in) > max(last_out) THEN 'incoming-neighbor' WHEN max(last_out) >= 0 THEN 'outgoing-neighbor' ELSE 'inactive' END AS state FROM (SELECT payer_account AS node, CASE WHEN payee_account = 'U0' THEN min(seq) ELSE -1 END AS last_in, -1 AS last_out FROM live GROUP BY payer_account, payee_account UNION ALL SELECT payee_account, -1, CASE WHEN payer_account = 'U0' THEN min(seq) ELSE -1 END FROM live GROUP BY payer_account, payee_account) GROUP BY node")(lambda s, sf: layout.focus(graph.edge_totals(live(s, sf)), "U0"))
 
 
 _GRAPH = f"{TX[: TX.index(',' + chr(10) + 'live AS')]}, {TWO}, live AS (SELECT * FROM marked WHERE (same = 1 OR seq < 1000000000) AND review_status = 'confirmed' AND event_status = 'success' AND amount >= 50 AND channel = '柜台'), {SIDES}"
@@ -261,5 +263,76 @@ def grf_build(spark, sf):
 query("grf_build_totals", "SELECT count(*) AS transaction_count, CAST(coalesce(sum(amount), 0) AS DOUBLE) AS total_amount FROM live", _GRAPH)(lambda s, sf: scoring.build_graph(drafts(s, sf), VICTIMS, least=50, channel_name="柜台")["totals"])
 
 
+_STATES = "SELECT 'node' AS kind, node AS id, {} AS state FROM (SELECT payer_account AS node FROM live UNION SELECT payee_account FROM live) UNION ALL SELECT DISTINCT 'edge', payer_account || '>' || payee_account, {} FROM live"
+_EDGE = "payer_account = 'U0' AND payee_account = 'U1'"
+query("lay_playback", _STATES.format("CASE node WHEN 'U0' THEN 'playing-source' WHEN 'U1' THEN 'playing-target' ELSE 'inactive' END", f"CASE WHEN {_EDGE} THEN 'playing' ELSE 'inactive' END"))(lambda s, sf: layout.focus_states(graph.edge_totals(live(s, sf)), edge="U2>U3", playing="U0>U1"))
+query("lay_focus_edge", _STATES.format("CASE WHEN node IN ('U0', 'U1') THEN 'edge-endpoint' ELSE 'inactive' END", f"CASE WHEN {_EDGE} THEN 'selected' ELSE 'inactive' END"))(lambda s, sf: layout.focus_states(graph.edge_totals(live(s, sf)), node="U2", edge="U0>U1"))
+query("lay_focus_edges", "SELECT DISTINCT payer_account || '>' || payee_account AS id, CASE 'U0' WHEN payee_account THEN 'incoming' WHEN payer_account THEN 'outgoing' ELSE 'inactive' END AS state FROM live")(
+    lambda s, sf: layout.focus_states(graph.edge_totals(live(s, sf)), "U0").where("kind = 'edge'").select("id", "state")
+)
+query("sort_playback", "SELECT payer_account || '>' || payee_account AS id, row_number() OVER (ORDER BY min(transaction_time), min(seq)) AS place FROM live GROUP BY payer_account, payee_account")(
+    lambda s, sf: running.places(graph.edge_totals(live(s, sf)), [F.asc("first_transaction_time"), F.asc("first_seq")]).select("id", "place")
+)
+query("agg_edge_transactions", "SELECT payer_account || '>' || payee_account AS id, seq, transaction_id FROM live")(lambda s, sf: graph.edge_transactions(live(s, sf)))
+query("agg_appearances", "SELECT serial_number, count(*) AS n FROM two GROUP BY 1 HAVING count(*) > 1", f"{TX}, {TWO}")(lambda s, sf: repository.appearances(adapter.two_sources(s, sf)))
+query("agg_material_counts", "SELECT 0::BIGINT AS active, count(*) FILTER (WHERE event_id % 3 > 0 AND event_id % 2 = 0) AS failed, count(*) FILTER (WHERE event_id % 3 > 0 AND event_id % 2 > 0) AS partial FROM events", "")(
+    lambda s, sf: repository.material_counts(s.read.parquet(f"{sf}/events.parquet").select(reconcile.material_status(F.col("event_id") % 3, F.col("event_id") % 2, F.col("event_id") % 5 == 0).alias("status")))
+)
+query("set_first_seen", "SELECT region, row_number() OVER (ORDER BY min(seq)) AS place FROM tx GROUP BY region")(
+    lambda s, sf: running.places(adapter.transactions(s, sf).groupBy("region").agg(F.min("seq").alias("first")), [F.asc("first")]).select("region", "place")
+)
+query("jon_material_label", "SELECT transaction_id, CASE source_file_id WHEN 'A' THEN 'a.csv' END AS file_name FROM two", f"{TX}, {TWO}")(
+    lambda s, sf: repository.labelled(adapter.two_sources(s, sf), s.createDataFrame([("A", "a.csv"), ("C", "c.csv")], "material_id string, file_name string")).select("transaction_id", "file_name")
+)
+
+
+@query("jon_evidence", "SELECT transaction_id, CASE WHEN seq % 4 < 2 THEN -1 ELSE CAST(seq % 100 AS INT) END AS row_number FROM tx")
+def jon_evidence(spark, sf):
+    """A fourth of the records have no chunk, another fourth two rows with their serial: -1."""
+    t = adapter.transactions(spark, sf).withColumn("chunk_id", F.concat(F.lit("C"), F.col("seq").cast("string")))
+    row = lambda text, n: F.struct(text.alias("text"), n.cast("int").alias("row_number"))
+    own = row(F.concat(F.lit("| "), F.col("serial_number"), F.lit(" | 1.00")), F.col("seq") % 100)
+    other = row(F.when(F.col("seq") % 4 == 1, F.col("serial_number")).otherwise("none"), F.lit(7))
+    return reconcile.evidence_rows(t, t.where("seq % 4 > 0").select("chunk_id", F.array(own, other).alias("row_evidence"))).fillna(-1, "row_number")
+
+
+@query("prj_endpoints", """SELECT transaction_id, CASE seq % 4 WHEN 1 THEN 'MERCHANT:M7' WHEN 2 THEN 'ATM:T9' END AS payee_endpoint_id, CASE seq % 4 WHEN 1 THEN 'merchant' WHEN 2 THEN 'atm' ELSE 'bank_account' END AS payee_entity_type,
+CASE seq % 4 WHEN 3 THEN 'ATM:T9' END AS payer_endpoint_id, CASE seq % 4 WHEN 3 THEN 'atm' ELSE 'bank_account' END AS payer_entity_type FROM tx""")
+def prj_endpoints(spark, sf):
+    kind = F.element_at(F.array(*map(F.lit, ("bank_transfer", "card_payment", "cash_withdrawal", "cash_deposit"))), (F.col("seq") % 4 + 1).cast("int"))
+    t = adapter.transactions(spark, sf).withColumns({"record_type": kind, "merchant_id": F.lit("M7"), "terminal_id": F.when(kind != "card_payment", "T9"), "payee_account": F.when(kind == "card_payment", "").otherwise(F.col("payee_account"))})
+    return filters.synthetic_endpoints(t).select("transaction_id", "payee_endpoint_id", "payee_entity_type", "payer_endpoint_id", "payer_entity_type")
+
+
+query("prj_blank_defaults", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_type ELSE '' END AS summary, CASE WHEN event_id % 3 = 0 THEN 'USD' ELSE 'CNY' END AS currency FROM events", "")(
+    lambda s, sf: filters.blank_defaults(s.read.parquet(f"{sf}/events.parquet").select("event_id", F.when(F.col("event_id") % 2 == 0, F.col("event_type")).alias("summary"), F.when(F.col("event_id") % 3 == 0, "USD").alias("currency")), ["summary", "currency"])
+)
+query("prj_source_label", "SELECT event_id, concat_ws(' · ', event_type, CASE WHEN event_id % 2 = 0 THEN 'p' || event_id END, CASE WHEN event_id % 3 = 0 THEN 's' END, CASE WHEN event_id % 5 = 0 THEN 'r' || event_id END) AS label FROM events", "")(
+    lambda s, sf: s.read.parquet(f"{sf}/events.parquet").select("event_id", filters.source_label(F.col("event_type"), F.when(F.col("event_id") % 2 == 0, F.col("event_id")), F.when(F.col("event_id") % 3 == 0, "s").otherwise(""), F.when(F.col("event_id") % 5 == 0, F.col("event_id"))).alias("label"))
+)
+query("snk_version_rows", "SELECT transaction_id, serial_number, CAST(amount AS VARCHAR) AS amount, review_status FROM marked WHERE same = 1 OR seq < 1000000000", f"{TX}, {TWO}")(
+    lambda s, sf: repository.version_rows(drafts(s, sf)).select("transaction_id", "serial_number", "amount", "review_status")
+)
+query("src_truth", "SELECT 32::BIGINT AS nodes, 112::BIGINT AS edges, 120::BIGINT AS transactions, 2928760.0::DOUBLE AS total", "")(lambda s, sf: _fixture(generators.truth(s)))
+query("src_distribution", "SELECT 135::BIGINT AS n_rows, 15::BIGINT AS n_groups, 120::BIGINT AS n_canonical, 0::BIGINT AS n_conflict_rows", "")(lambda s, sf: dedup.histogram(dedup.mark(generators.appearances(s))))
+query("agg_format_metrics", "SELECT * FROM (VALUES ('.csv', 30::BIGINT, 30::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 1.0::DOUBLE), ('.xlsx', 35, 34, 0, 1, 0, 34 / 35), ('.pdf', 25, 25, 0, 0, 0, 1), ('.docx', 25, 24, 1, 0, 0, 24 / 25), ('.png', 10, 10, 0, 0, 0, 1), ('.jpg', 10, 10, 0, 0, 0, 1)) v(suffix, expected, correct, missing, mismatched, extra, accuracy)", "")(
+    lambda s, sf: fixture_metrics(s)
+)
+
+
+def _fixture(tx: DataFrame) -> DataFrame:
+    e = graph.edge_totals(tx)
+    accounts = e.select(F.col("source").alias("node")).union(e.select("target")).distinct()
+    return e.agg(F.count("*").alias("edges"), F.sum("count").alias("transactions"), F.sum("amount").cast("double").alias("total")).withColumn("nodes", accounts.agg(F.count("*")).scalar())
+
+
+def fixture_metrics(spark: SparkSession) -> DataFrame:
+    """Metrics by file format of the fixture's files, read with two faults: a record of the second file has another summary, the last file lacks one."""
+    expected = generators.appearances(spark)
+    actual = expected.where("seq != 9000").withColumn("summary", F.when(F.col("seq") == 1000, "x").otherwise(F.col("summary")))
+    suffixes = generators.distribution(spark).select("source_file_id", "suffix").distinct()
+    return reconcile.format_metrics(reconcile.compare(expected, actual).join(F.broadcast(suffixes), "source_file_id"), "suffix")
+
+
 def entry(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.scored(live(spark, sf), VICTIMS).select("account", "label", _dbl("incoming"), _dbl("outgoing"), "risk", "risk_level", "priority_score", "priority_level")

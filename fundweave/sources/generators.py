@@ -35,3 +35,46 @@ def layered(spark: SparkSession, layers: tuple[int, ...] = (4, 12, 14, 14, 8), n
     account = lambda layer, k: F.concat(F.lit("L"), layer.cast("string"), F.lit("-"), (k % pick(layer, k)).cast("string"))
     time = F.timestamp_seconds(F.lit(1767225600) + i * 420)
     return _rows(spark.range(n), account(at, F.floor(i / hops)), account(at + 1, i), 1000 + (i * 137) % 9000, time, "D")
+
+
+#: Fixed values. Stages of the case: name, transactions, first payer, payers, first payee, payees; payee = (a * j + j div b) mod payees + c, for the j-th.
+STAGES = (
+    ("victim_input", 16, 0, 4, 4, 8, 3, None, 0), ("split", 32, 4, 8, 12, 8, 3, 8, 0), ("aggregate", 32, 12, 8, 20, 6, 5, 8, 0),
+    ("exit", 24, 20, 6, 26, 6, 2, 6, 0), ("return", 8, 20, 6, 4, 8, 1, None, 2), ("third_party", 8, 12, 8, 26, 6, 1, None, 1),
+)
+#: Fixed values. Files of the case: suffix, transactions of their own, transactions repeated from other files.
+FILES = ((".csv", 18, 2), (".xlsx", 18, 2), (".pdf", 14, 1), (".docx", 14, 1), (".png", 9, 1), (".xlsx", 13, 2), (".jpg", 9, 1), (".csv", 9, 1), (".pdf", 8, 2), (".docx", 8, 2))
+
+
+def truth(spark: SparkSession) -> DataFrame:
+    """The 120 true transactions of a case of 32 entities, with their stage."""
+    i = F.col("id")
+    first, payer, payee, stage = 0, F.lit(None), F.lit(None), F.lit(None)
+    for name, n, payer0, payers, payee0, payees, a, b, c in reversed(STAGES):
+        first = sum(s[1] for s in STAGES[: [s[0] for s in STAGES].index(name)])
+        j, here = i - first, (i >= first) & (i < first + n)
+        to = a * j + (F.floor(j / b) if b else F.lit(0)) + c
+        payer, payee, stage = F.when(here, payer0 + j % payers).otherwise(payer), F.when(here, payee0 + to % payees).otherwise(payee), F.when(here, name).otherwise(stage)
+    account = lambda k: F.concat(F.lit("62"), (17 + k % 7).cast("string"), F.lpad(k.cast("string"), 15, "0"))
+    amount = 5800 + i % 11 * 3700 + (i % 3).cast(S.MONEY) * F.lit("260.50").cast(S.MONEY)
+    time = F.timestamp_seconds(F.lit(1781773200) + 60 * (11 * i + i % 7))  # 2026-06-18 09:00:00
+    made = _rows(spark.range(sum(s[1] for s in STAGES)).select("id", account(payer).alias("p"), account(payee).alias("q"), amount.alias("a"), time.alias("t"), stage.alias("stage")), F.col("p"), F.col("q"), F.col("a"), F.col("t"), "F")
+    serial = F.concat(F.lit("SN20260618"), F.lpad((F.col("seq") + 1).cast("string"), 6, "0"))
+    return made.withColumns({"serial_number": serial, "transaction_id": F.concat(F.lit("FT"), F.lpad((F.col("seq") + 1).cast("string"), 4, "0"))})
+
+
+def distribution(spark: SparkSession) -> DataFrame:
+    """(source_file_id, suffix, transaction_id, place): which file shows which transactions. Every file repeats some of others', none is repeated twice."""
+    total, done, repeated, out = sum(f[1] for f in FILES), 0, set(), []
+    for k, (suffix, own, again) in enumerate(FILES):
+        mine = range(done, done + own)
+        others = [t for t in ((5 + 13 * k + 17 * s) % total for s in range(total)) if t not in mine and t not in repeated][:again]
+        repeated.update(others)
+        out += [(f"F{k:02d}", suffix, f"FT{t + 1:04d}", 1000 * k + at) for at, t in enumerate([*mine, *others])]
+        done += own
+    return spark.createDataFrame(out, "source_file_id string, suffix string, transaction_id string, place long")
+
+
+def appearances(spark: SparkSession) -> DataFrame:
+    """truth() as the files show it: one record for each appearance, in the files' order."""
+    return distribution(spark).join(truth(spark).drop("seq"), "transaction_id").withColumnRenamed("place", "seq")

@@ -8,6 +8,7 @@ table, never half of one.
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 from datetime import UTC, datetime
 
@@ -199,3 +200,23 @@ def appearances(found: DataFrame) -> DataFrame:
 def first_seen(rows: DataFrame, column: str) -> DataFrame:
     """Distinct values of a column in the order in which they first occur by seq."""
     return rows.groupBy(column).agg(F.min("seq").alias("first")).orderBy("first").select(column)
+
+
+#: The share of records that must be right, by suffix; for all others the last.
+ACCURACY = {".csv": 1.0, ".xlsx": 1.0, "": 0.9}
+
+
+def write_report(metrics: DataFrame, totals: DataFrame, folder: str) -> dict:
+    """Write report.json and report.md. metrics: reconcile.format_metrics() by suffix, a row for each file format; totals: one row."""
+    spark = metrics.sparkSession
+    formats = {r["suffix"]: r.asDict() for r in metrics.orderBy("suffix").collect()}
+    failures = [f"{s}: {m['accuracy']:.2%}" for s, m in formats.items() if m["accuracy"] < ACCURACY.get(s, ACCURACY[""])]
+    graph = {k: int(v) if isinstance(v, int) else float(v) for k, v in totals.first().asDict().items()}
+    report = {"passed": not failures, "format_metrics": formats, "graph": graph, "failures": failures}
+    head = ("suffix", "expected", "correct", "accuracy", "missing", "mismatched", "extra")
+    lines = [f"# {'passed' if not failures else 'failed'}", "", "| " + " | ".join(head) + " |", "|" + "---|" * len(head)]
+    lines += ["| " + " | ".join(f"{m[h]:.2%}" if h == "accuracy" else str(m[h]) for h in head) + " |" for m in formats.values()]
+    lines += ["", *(f"- {k}: {v}" for k, v in graph.items()), *(f"- failed: {f}" for f in failures)]
+    _put(spark, f"{folder}/report.json", json.dumps(report, ensure_ascii=False, indent=2).encode())
+    _put(spark, f"{folder}/report.md", ("\n".join(lines) + "\n").encode())
+    return report

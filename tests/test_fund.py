@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from fundweave import schema as S
 from fundweave.functions import parse
-from fundweave.operators import attribution, graph, reconcile, scoring, trace
+from fundweave.operators import attribution, graph, layout, reconcile, running, scoring, trace
 from fundweave.plans import queries as fund
 from fundweave.sources import files, generators, repository
 from fundweave.streaming import ingest
@@ -27,7 +27,7 @@ def rows(df):
     return sorted((tuple(map(plain, r)) for r in df[columns].astype(object).values.tolist()), key=repr)
 
 
-@pytest.mark.parametrize("name", ["flt_text_query", "ded_groups", "agg_nodes", "score_factors", "attr_bulk", "trace_cycles", "jon_reconcile", "nrm_rows"])
+@pytest.mark.parametrize("name", ["flt_text_query", "ded_groups", "agg_nodes", "score_factors", "attr_bulk", "trace_cycles", "jon_reconcile", "nrm_rows", "jon_evidence", "prj_source_label", "lay_playback", "lay_focus_edges", "src_truth", "src_distribution", "agg_format_metrics"])
 def test_query_equals_sql(spark, name):
     c = duckdb.connect()
     for t in TABLES:
@@ -175,3 +175,55 @@ def test_case_folder(spark, tmp_path):
     assert repository.delete_seed(spark, folder, "s1") and repository.list_seeds(spark, folder).count() == 0
     assert repository.latest_version(spark, folder).first().version_id == "V001"
     assert {r.event for r in spark.read.json(f"{folder}/audit").collect()} == {"drafts_created", "version_created", "seed_confirmed", "seed_cancelled"}
+
+
+def test_running_sums_of_a_hot_key_span_partitions(spark):
+    n = 6000
+    d = spark.range(n).select(F.when(F.col("id") % 100 == 0, F.concat(F.lit("k"), (F.col("id") % 700).cast("string"))).otherwise("hot").alias("k"), (F.col("id") * 7919 % n).alias("seq"), (F.col("id") % 13).alias("v"))
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # or the small partitions are put together
+    try:
+        assert running.ranged(d, [F.asc("k"), F.asc("seq")], "test").where("k = 'hot'").select("__part").distinct().count() > 1
+        got = running.running_sum(d, "k", [F.asc("seq")], "v", "c").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+    want, sums, last = {}, {}, {}
+    for r in sorted(d.collect(), key=lambda r: r.seq):
+        sums[r.k] = sums.get(r.k, 0) + r.v
+        want[r.k, r.seq], last[r.k] = sums[r.k], r.seq
+    assert {(r.k, r.seq): r.c for r in got} == want
+    assert {r.k: r.seq for r in got if r.c_last} == last
+
+
+def test_cycles_with_a_narrow_search_equal_a_full_one(spark):
+    rng = random.Random(5)
+    pairs = sorted({(str(rng.randrange(8)), str(rng.randrange(8))) for _ in range(30)})
+    forward = {a: [b for x, b in pairs if x == a] for a, _ in pairs}
+
+    def walk(path):
+        for b in forward.get(path[-1], []):
+            if b == "0" and len(path) > 1:
+                yield [*path, b]
+            elif b not in path and len(path) < 5:
+                yield from walk([*path, b])
+
+    want = sorted(walk(["0"]))
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    assert len(want) > 6
+    for most, width in ((4, 1), (1000, 3), (50, 4096)):
+        assert [list(r.path) for r in trace.cycles(edges, "0", 3, most, width).orderBy("path").collect()] == want[:most]
+
+
+def test_layout_places_a_layer_in_order(spark):
+    rows = [("a", "x", 1), ("b", "y", 2), ("b", "w", 3), ("x", "z", 4)]
+    made = [(f"{s}>{t}", s, t, Decimal(1), 1, datetime(2026, 1, 1, 0, m), m) for s, t, m in rows]
+    e = spark.createDataFrame(made, "id string, source string, target string, amount decimal(18,2), count long, first_transaction_time timestamp_ntz, first_seq long")
+    got = {r.node: (r.depth, r.x, r.y) for r in layout.layered(e).collect()}
+    assert got == {"a": (0, 80, 80.0), "b": (0, 80, 120.0), "x": (1, 340, 60.0), "w": (1, 340, 100.0), "y": (1, 340, 140.0), "z": (2, 600, 100.0)}
+
+
+def test_report(spark, tmp_path):
+    metrics, totals = fund.fixture_metrics(spark), graph.totals(generators.truth(spark))
+    report = repository.write_report(metrics, totals, f"file://{tmp_path}")
+    assert not report["passed"] and [f[:5] for f in report["failures"]] == [".xlsx"] and report["graph"] == {"transaction_count": 120, "total_amount": 2928760.0}
+    assert "| .docx | 25 | 24 | 96.00% | 1 | 0 | 0 |" in (tmp_path / "report.md").read_text()
