@@ -138,19 +138,22 @@ def fit(rows: list[np.ndarray], y: np.ndarray, good_rate: float) -> Model:
     aside = np.random.default_rng(11).permutation(len(y)) % 5 == 0
     if len(set(y[aside])) < 2 or len(set(y[~aside])) < 2:
         aside[:] = False
-    count = np.zeros((2, dim))
-    for i in np.flatnonzero(~aside):  # what is set aside stays unseen until it calibrates
+    own = np.flatnonzero(~aside)
+    count = np.zeros((2, dim), np.int32)
+    for i in own:  # what is set aside stays unseen until it calibrates
         count[y[i]][rows[i]] += 1
-    seen = count.sum(0) > 0
-    smooth = count + 1
-    ratio = np.where(seen, np.log(smooth[1] / smooth[1][seen].sum()) - np.log(smooth[0] / smooth[0][seen].sum()), 0.0)
+    seen = count.any(0)
+    bad, good = (np.log(smooth / smooth.sum()) for smooth in count[:, seen] + 1.0)
+    ratio = np.zeros(dim)
+    ratio[seen] = good - bad
+    del count, bad, good
     values = []
-    for f in rows:
-        v = ratio[f].astype(np.float32)
+    for i in own:
+        v = ratio[rows[i]].astype(np.float32)
         norm = float(np.sqrt(v @ v))
         values.append(v / norm if norm > 0 else v)
-    own = np.flatnonzero(~aside)
-    w, b = dual_descent([rows[i] for i in own], [values[i] for i in own], np.where(y[own] == 1, 1.0, -1.0), dim)
+    w, b = dual_descent([rows[i] for i in own], values, np.where(y[own] == 1, 1.0, -1.0), dim)
+    del values
     model = Model((w * ratio).astype(np.float32), (ratio**2).astype(np.float32), b)
     test = np.flatnonzero(aside) if aside.any() else own
     model.slope, model.shift = _logistic(np.array([model.margin(rows[i]) for i in test]), y[test])
@@ -175,11 +178,11 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [features(v.as_py()).astype("<u4").tobytes() for v in b.column(1)]
+            got = [features(v.as_py()).astype("<i4").tobytes() for v in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(got, pa.binary())], ["doc_id", "quality", "f"])
 
     got = sorted(map(tuple, texts.mapInArrow(run, f"doc_id {kind.simpleString()}, quality int, f binary").collect()))
-    model = fit([np.frombuffer(r[2], "<u4").astype(np.int32) for r in got], np.array([r[1] for r in got], int), good_rate)
+    model = fit([np.frombuffer(r[2], "<i4") for r in got], np.array([r[1] for r in got], int), good_rate)
     del got
     trim()
     return model
