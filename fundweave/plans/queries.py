@@ -119,6 +119,53 @@ query("nrm_amount", "SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(18,2))
 query("nrm_datetime", "SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) AS t FROM orders", "")(
     lambda s, sf: s.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", parse.time(F.date_format("o_orderdate", "yyyy年M月d日HH:mm:ss")).alias("t"))
 )
+# statement cells as files spell them, by order: what the parsers make of each is known from the order itself
+_PRICE = "CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE)"
+
+
+@query("nrm_amount_forms", f"SELECT o_orderkey, CASE WHEN o_orderkey % 10 < 6 THEN {_PRICE} WHEN o_orderkey % 10 = 6 THEN CAST(o_orderkey AS DOUBLE) END AS amount FROM orders", "")
+def nrm_amount_forms(spark, sf):
+    price, key = F.format_number("o_totalprice", 2), F.col("o_orderkey").cast("string")
+    plain = F.replace(price, F.lit(","), F.lit(""))
+    around = lambda a, x, b="": F.concat(F.lit(a), x, F.lit(b))
+    cells = [price, plain, around("-", plain), around("(", price, ")"), around("人民币 ", price, " 元"), around("（￥", plain, "）"), key, F.rpad(around("6222021234567890", key), 19, "1"), around("1-", plain), F.lit("n/a")]
+    cell = F.coalesce(*(F.when(F.col("o_orderkey") % 10 == k, c) for k, c in enumerate(cells)))
+    return spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", parse.amount(cell).cast("double").alias("amount"))
+
+
+@query("nrm_datetime_forms", """SELECT o_orderkey, strftime(CASE WHEN k < 4 THEN day + to_seconds(second) WHEN k = 4 THEN day + to_minutes(second // 60) WHEN k < 7 THEN day WHEN k = 7 THEN day + to_seconds(second) + to_milliseconds(250) WHEN k = 8 THEN TIMESTAMP '2026-03-08 02:30:00' END, '%Y-%m-%d %H:%M:%S.%g') AS t
+FROM (SELECT o_orderkey, o_orderkey % 11 AS k, date_trunc('day', o_orderdate) AS day, o_orderkey * 7919 % 86400 AS second FROM orders)""", "")
+def nrm_datetime_forms(spark, sf):
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    at = F.col("o_orderkey") * 7919 % 86400
+    clock = F.concat_ws(":", *(F.lpad((F.floor(at / size) % most).cast("string"), 2, "0") for size, most in ((3600, 24), (60, 60), (1, 60))))
+    day = lambda form: F.date_format("o_orderdate", form)
+    cells = [
+        F.concat(day("yyyy-MM-dd "), clock), F.concat(day("yyyy/M/d-"), clock), F.concat(day("yyyy年M月d日"), clock), F.concat(day("yyyy-MM-dd'T'"), clock, F.lit("+08:00")),
+        F.concat(day("yyyy-M-d "), F.substring(clock, 1, 5)), day("yyyyMMdd"), day(" yyyy年MM月dd日 "), F.concat(day("yyyy-MM-dd "), clock, F.lit(".250")),
+        F.lit("2026-03-08 02:30:00"), F.lit("2024-13-45"), F.lit("昨天"),
+    ]
+    cell = F.coalesce(*(F.when(F.col("o_orderkey") % 11 == k, c) for k, c in enumerate(cells)))
+    return o.select("o_orderkey", F.date_format(parse.time(cell), "yyyy-MM-dd HH:mm:ss.SSS").alias("t"))
+
+
+_CLASSES = [  # text, suffix, seen as an image only, document type, record type
+    ("付款账号 12 收款账号 34 POS", ".jpg", True, "bank_statement", "bank_transfer"), ("PAYER_ACCOUNT,payee_account", ".txt", False, "bank_statement", "bank_transfer"), ("Pos 小票", ".txt", False, "pos_receipt", "card_payment"),
+    ("商户号 1 授权码 2", ".jpg", True, "pos_receipt", "card_payment"), ("ATM 回执", ".txt", False, "atm_receipt", "cash_withdrawal"), ("自助柜员机 商户号", ".png", True, "atm_receipt", "cash_withdrawal"),
+    ("微信支付", ".png", True, "image_statement", "unknown"), ("微信支付 余额", ".pdf", False, "payment_platform_bill", "payment_order"), ("期末余额", ".csv", False, "account_snapshot", "balance_snapshot"),
+    ("余额 交易金额", ".txt", False, "unknown", "unknown"), ("余额 流水号", ".txt", False, "bank_statement", "bank_transfer"), ("x", ".CSV", False, "bank_statement", "bank_transfer"), ("借贷", ".txt", False, "bank_statement", "bank_transfer"),
+    ("付款账号 商户号", ".txt", False, "bank_statement", "bank_transfer"), ("x", ".txt", False, "unknown", "unknown"),
+]
+_of_class = lambda k: "CASE " + " ".join(f"WHEN o_orderkey % {len(_CLASSES)} = {i} THEN '{c[k]}'" for i, c in enumerate(_CLASSES)) + " END"
+
+
+@query("cls_all_rules", f"SELECT o_orderkey, {_of_class(3)} AS document_type, {_of_class(4)} AS record_type FROM orders", "")
+def cls_all_rules(spark, sf):
+    cell = lambda k: F.coalesce(*(F.when(F.col("o_orderkey") % len(_CLASSES) == i, F.lit(c[k])) for i, c in enumerate(_CLASSES)))
+    got = C.classify(F.concat(cell(0), F.lit(" "), F.col("o_orderkey").cast("string")), cell(1), cell(2))
+    return spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", got["document_type"].alias("document_type"), got["record_type"].alias("record_type"))
+
+
 query("cls_rules", "SELECT doc_id, CASE WHEN contains(lower(text), 'pos') THEN 'card_payment' WHEN contains(lower(text), 'atm') THEN 'cash_withdrawal' ELSE 'unknown' END AS record_type FROM documents", "")(
     lambda s, sf: s.read.parquet(f"{sf}/documents.parquet").select("doc_id", C.classify(F.col("text"), F.lit(".txt"), F.lit(False))["record_type"].alias("record_type"))
 )
@@ -222,6 +269,19 @@ def jon_reconcile(spark, sf):
     return reconcile.reconcile(two, new, "B", False).select("transaction_id", _dbl(), "origin")
 
 
+@query("jon_replace", """SELECT transaction_id, CAST(amount AS DOUBLE) AS amount, review_status, 'other' AS origin FROM b UNION ALL
+SELECT transaction_id, CAST(CASE WHEN kept THEN amount ELSE amount + 1 END AS DOUBLE), review_status, CASE WHEN kept THEN 'kept' ELSE 'updated' END FROM (SELECT *, review_status IN ('confirmed', 'conflict') OR seq % 13 = 0 AS kept FROM a WHERE seq % 20 = 0)
+UNION ALL SELECT 'X' || transaction_id, CAST(amount AS DOUBLE), 'pending', 'new' FROM a WHERE seq % 20 = 5""", f"{TX}, {TWO}")
+def jon_replace(spark, sf):
+    two = adapter.two_sources(spark, sf).withColumn("provenance", F.when(F.col("seq") % 13 == 0, "human_confirmed").otherwise("original"))
+    met = F.col("seq") % 20 == 0
+    new = two.where("source_file_id = 'A' AND seq % 20 IN (0, 5)").withColumns({
+        "transaction_id": F.concat(F.when(met, "N").otherwise("X"), "transaction_id"), "serial_number": F.concat(F.when(met, "").otherwise("X"), "serial_number"),
+        "amount": F.when(met, F.col("amount") + 1).otherwise(F.col("amount")).cast(S.MONEY), "review_status": F.lit("pending"), "provenance": F.lit("original"),
+    })
+    return reconcile.reconcile(two, new, "A", True).select("transaction_id", _dbl(), "review_status", "origin")
+
+
 @query("jon_seed_gate", """SELECT transaction_id, CASE WHEN seq % 9 = 0 THEN '所选受害人不存在' WHEN review_status <> 'confirmed' THEN '起点必须来自已确认流水' WHEN payer_account NOT IN ('U0', 'U5', 'U10') THEN '起点流水的付款账号必须属于所选受害人' END AS reason FROM a""", f"{TX}, {TWO}")
 def jon_seed_gate(spark, sf):
     a = adapter.two_sources(spark, sf).where("source_file_id = 'A'")
