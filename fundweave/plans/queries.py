@@ -99,6 +99,21 @@ _filter("flt_related_edge", lambda: filters.related(edge="U0>U1", node="U2"), "p
 _filter("flt_related_tx", lambda: filters.related("T42", "U0>U1"), "transaction_id = 'T42'")
 _filter("flt_combined", lambda: filters.graph_filter("户", 50, "forward", "柜台"), "amount >= 50 AND NOT contains(summary, '回流') AND channel = '柜台'")
 
+_ENDS = "coalesce(nullif(CASE seq % 5 WHEN 0 THEN 'E' || seq WHEN 1 THEN '' END, ''), CASE WHEN seq % 11 <> 0 THEN payer_account END)"
+
+
+@query("flt_topology_relations", f"""SELECT transaction_id, {_ENDS} || '>' || payee_account AS id FROM tx WHERE {_ENDS} <> '' AND amount > 0 AND event_status = 'success' AND seq % 7 NOT IN (1, 2) AND seq % 13 NOT IN (3, 4)
+UNION ALL SELECT transaction_id, {_ENDS} || '>' || payee_account FROM tx WHERE {_ENDS} <> '' AND amount > 0 AND event_status <> 'success' AND seq % 2 = 0 AND seq % 7 NOT IN (1, 2) AND seq % 13 NOT IN (3, 4)""")
+def flt_topology_relations(spark, sf):
+    at = lambda n, *values: F.coalesce(*(F.when(F.col("seq") % n == k, F.lit(v)) for k, v in values))
+    t = adapter.transactions(spark, sf).withColumns({
+        "payer_endpoint_id": F.when(F.col("seq") % 5 == 0, F.concat(F.lit("E"), "seq")).when(F.col("seq") % 5 == 1, ""), "payer_account": F.when(F.col("seq") % 11 != 0, F.col("payer_account")),
+        "relation_type": at(7, (1, "same_business_event"), (2, "corroborates"), (3, "derived"), (4, "")), "review_status": F.coalesce(at(13, (3, "pending"), (4, "rejected")), F.lit("confirmed")),
+        "event_status": F.when((F.col("event_status") != "success") & (F.col("seq") % 2 == 0), "returned").otherwise(F.col("event_status")),
+    })
+    return t.where(filters.eligible()).select("transaction_id", filters.edge_id().alias("id"))
+
+
 query("flt_status", "SELECT transaction_id FROM two WHERE review_status = 'pending'", f"{TX}, {TWO}")(lambda s, sf: adapter.two_sources(s, sf).where(filters.status("pending")).select("transaction_id"))
 query("flt_pending_count", "SELECT count(*) FILTER (WHERE review_status NOT IN ('confirmed', 'rejected')) AS n FROM two", f"{TX}, {TWO}")(
     lambda s, sf: adapter.two_sources(s, sf).agg(F.count_if(~F.col("review_status").isin("confirmed", "rejected")).alias("n"))
