@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, gru, licenses, lm_scoring, merkle, packing, pii, quality_model, quality_rules, simhash, token_ids  # noqa: F401
+from . import chat, decontaminate, gru, licenses, lm_scoring, merkle, packing, pii, quality_model, quality_rules, runs, simhash, token_ids  # noqa: F401
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_simhash": simhash.op8_simhash,
         "op9_packing": packing.op9_packing,
         "op10_licenses": licenses.op10_licenses,
+        "op12_runs": runs.op12_runs,
         "op13_merkle": merkle.op13_merkle,
     }
 
