@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, gru, licenses, lm_scoring, merkle, packing, pii, quality_model, quality_rules, runs, simhash, token_ids  # noqa: F401
+from . import chat, decontaminate, gru, jaccard_join, licenses, lm_scoring, merkle, packing, pii, quality_model, quality_rules, runs, simhash, token_ids  # noqa: F401
 
 
 def queries() -> dict:
@@ -17,10 +17,11 @@ def queries() -> dict:
         "op8_simhash": simhash.op8_simhash,
         "op9_packing": packing.op9_packing,
         "op10_licenses": licenses.op10_licenses,
+        "op11_jaccard_join": jaccard_join.op11_jaccard_join,
         "op12_runs": runs.op12_runs,
         "op13_merkle": merkle.op13_merkle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules.sql(), "op3_decontaminate": decontaminate.SQL, "op7_chat": chat.SQL, "op10_licenses": licenses.sql(), "op13_merkle": merkle.sql()}
+    return {"op1_quality_rules": quality_rules.sql(), "op3_decontaminate": decontaminate.SQL, "op7_chat": chat.SQL, "op10_licenses": licenses.sql(), "op11_jaccard_join": jaccard_join.SQL, "op13_merkle": merkle.sql()}
