@@ -52,7 +52,8 @@ def leaves(docs: DataFrame) -> DataFrame:
 def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
     """rows with place, from 0 within their g, and n, the rows of their g. A g of any size is spread over range partitions."""
     placed = places(rows, [F.asc("g"), *order], name)
-    groups = placed.groupBy("g").agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    # written first, so that its size is known: joined by broadcast while it is small, and the rows are not dealt by g
+    groups = materialise(placed.groupBy("g").agg(F.min("place").alias("first"), F.count("*").alias("n")), f"{name}-groups")
     return placed.join(groups, "g").withColumn("place", F.col("place") - F.col("first")).drop("first")
 
 
@@ -100,7 +101,9 @@ def climb(nodes: DataFrame, item: list[str], levels: int = LEVELS) -> tuple[Data
 
 def manifest(docs: DataFrame, levels: int = LEVELS) -> DataFrame:
     """doc_id, leaf, changed, subroot, root and siblings (from the leaf through the subroot to the root) of every row."""
-    nodes = numbered(leaves(docs).withColumn("__r", F.rand(7)), [F.asc_nulls_first("doc_id"), F.asc("leaf"), F.asc("__r")], "merkle-leaves").withColumnRenamed("leaf", "digest")
+    hashed = materialise(leaves(docs).withColumn("__r", F.rand(7)), "merkle-hashed")  # the sort reads its rows twice
+    nodes = numbered(hashed, [F.asc_nulls_first("doc_id"), F.asc("leaf"), F.asc("__r")], "merkle-leaves").withColumnRenamed("leaf", "digest")
+    drop(hashed)
     rows, tops = climb(nodes, ["doc_id", "changed"], levels)
     tops = materialise(tops, "merkle-subroots")
     langs = numbered(tops.select(F.lit("").alias("g"), F.col("g").alias("lang"), F.col("top").alias("digest")), [F.asc("lang")], "merkle-langs")
