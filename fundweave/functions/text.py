@@ -37,3 +37,8 @@ def mask_account(c: Column) -> Column:
     """Over 8 characters: the first and last four show."""
     n = F.length(c)
     return F.when(n > 8, F.concat(F.substr(c, F.lit(1), F.lit(4)), F.repeat(F.lit("*"), n - 8), F.right(c, F.lit(4)))).otherwise(c)
+
+
+def random_id(prefix: str, digits: int) -> Column:
+    """A prefix and random upper-case hexadecimal digits, 32 at most, of a version 4 UUID. Write the rows before reading them twice."""
+    return F.concat(F.lit(prefix), F.upper(F.substring(F.replace(F.uuid(), F.lit("-"), F.lit("")), 1, digits)))

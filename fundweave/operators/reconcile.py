@@ -11,13 +11,18 @@ from ..functions.text import clean_account, clean_identifier
 
 #: Records are ordered: other sources by seq, then the new rows by theirs, then leftovers.
 ORDER = 10**15
+#: Where a record stands in its source; a struct named source holds the same.
+COORDINATES = ("source_file_id", "archive_member_path", "page_number", "sheet_name", "table_number", "paragraph_number", "row_number", "region")
 
 
-def identity() -> Column:
-    """Source coordinates with the serial, or time, accounts and amount where there is none."""
+def identity(columns: list[str]) -> Column:
+    """All source coordinates with the serial, or with time, accounts and amount where there is none. Nulls count: a null coordinate is not a blank one, nor the next one's value."""
+    kept = lambda *c: F.to_json(F.struct(*c), {"ignoreNullFields": "false"})
+    where = ["source"] if "source" in columns else [c for c in COORDINATES if c in columns]
     serial = clean_identifier(F.col("serial_number"))
-    rest = F.concat_ws("|", F.date_format("transaction_time", "yyyy-MM-dd'T'HH:mm:ss"), "payer_account", "payee_account", F.col("amount").cast("string"))
-    return F.concat_ws("|", F.col("source_file_id"), F.when(serial != "", serial).otherwise(rest))
+    time = F.date_format("transaction_time", "yyyy-MM-dd'T'HH:mm:ss").alias("t")
+    rest = kept(time, "payer_account", "payee_account", F.col("amount").cast(S.MONEY).cast("string").alias("a"))
+    return F.concat_ws("|", kept(*where), F.when(serial != "", serial).otherwise(rest))
 
 
 def reconcile(drafts: DataFrame, new: DataFrame, source_file_id: str, replace_missing: bool) -> DataFrame:
@@ -27,9 +32,10 @@ def reconcile(drafts: DataFrame, new: DataFrame, source_file_id: str, replace_mi
     conflict or was confirmed by a person; else the new values come with the old id, status and note.
     Earlier rows that meet none stay only without replace_missing. Columns of new are those of drafts.
     """
-    is_source = F.col("source_file_id").eqNullSafe(F.lit(source_file_id))
+    file = F.col("source.source_file_id" if "source" in drafts.columns else "source_file_id")
+    is_source = file.eqNullSafe(F.lit(source_file_id))
     nth = Window.partitionBy("__id").orderBy("seq")  # repeats of one identity inside one source
-    number = lambda d: d.withColumn("__id", identity()).withColumn("__k", F.row_number().over(nth))
+    number = lambda d: d.withColumn("__id", identity(d.columns)).withColumn("__k", F.row_number().over(nth))
     old, fresh = number(drafts.where(is_source)).alias("o"), number(new).alias("n")
     both = fresh.join(old, ["__id", "__k"], "full")
     met, has_new = F.col("o.seq").isNotNull() & F.col("n.seq").isNotNull(), F.col("n.seq").isNotNull()
