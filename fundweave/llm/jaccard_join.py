@@ -1,20 +1,25 @@
 """Self-join of documents by the Jaccard similarity of their sets of word n-grams: prefix filters under several global orders.
 
 Sets of SHINGLE-word shingles link at a similarity of LEAST percent or more. A set of n shingles shares ceil(LEAST n / 100) of them at
-least with any partner, so under *any* order of all shingles the first n - ceil(LEAST n / 100) + 1 of
-both hold a common one. Four orders are used, and a pair must pass all before it is verified:
+least with any partner, so under *any* order of all shingles the first n - ceil(LEAST n / 100) + k of
+both hold k common ones. Four orders are used, and a pair must pass all before it is verified:
 
-- plain order of hashes: sets of which no prefix shingle is a prefix shingle elsewhere go; most do.
+- plain order of hashes, with k growing with n: sets of which fewer prefix shingles are prefix
+  shingles elsewhere go. Chance and shared passages don't reach that number, so most sets go.
 - three more orders, in which shingles that many prefixes hold come last, the commonest at the very
-  end, and else order by three different hashes. Under the first of them, sets that share a prefix shingle form a bucket;
-  of a bucket's pairs those that share one under the second and the third are candidates. Their exact
-  overlap decides.
+  end, and which else follow three different hashes; k is 1. Under the first of them, sets that share a prefix shingle form a
+  bucket (shingles with the same sets are one bucket); of a bucket's pairs those that share one under the
+  second and the third are candidates. Their exact overlap decides.
+
+Prefix shingles are cut to 48 bits, which can only add candidates. What is left after the first order
+is shuffled as compressed words, a third of the size of their shingles' hashes.
 
 Sets that are equal are one node, and links are only sought between classes. First each node is compared with the node it
-shares most buckets with, among the buckets' least ones; then each bucket's least and greatest node with all others of it; what
-is open then is cut by size (partners' sizes lie within LEAST percent) and compared in blocks: a bucket's nodes are dealt
-to blocks of a bounded size, each pair of blocks meets in one task, and the task gives links that
-join classes, never the pairs. So every candidate is compared or linked through others.
+shares most buckets with, among the buckets' least ones. Buckets that hold several classes then are
+compared in groups, a family of buckets with many nodes in common as one group or each bucket itself, cut by size (partners'
+sizes lie within LEAST percent), whichever is less. A group's nodes are dealt to blocks of a bounded size, each
+pair of blocks meets in one task, and the task gives links that join classes, never the pairs. So
+every candidate is compared or linked through others.
 
 Which shingles come last only decides how much work is left, as every fixed order is right; so
 their table may be bounded (MOST_LAST), and is broadcast.
@@ -31,6 +36,7 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -41,13 +47,15 @@ from .components import components
 SHINGLE, LEAST, SEED = 4, 85, 42
 #: A shingle comes late from so many prefixes on that hold it; entries of that table at most.
 LATE, MOST_LAST = 32, 500_000
-#: Nodes and shingles of a block, about.
-WIDE, HEAVY = 256, 500_000
+#: Of the plain order's prefix, one more for each MORE shingles of a set.
+MORE = 30
+#: Nodes and shingles of a block, about; partners of one representative in a task.
+WIDE, HEAVY, STAR = 256, 500_000, 1024
 #: Sizes of partners lie in one class or in two that adjoin; wider than needed, for rounding.
 SIZE_CLASS = -log(LEAST / 100 - 0.01)
 _ODD, _MASK = (np.random.default_rng(SEED).integers(0, 2**64, 8, dtype=np.uint64) for _ in range(2))
 _ODD |= np.uint64(1)
-ORDERS = 3
+ORDERS, CUT = 3, np.uint64(16)
 
 
 def _mixed(h: np.ndarray, k: int) -> np.ndarray:
@@ -57,9 +65,8 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
     return h * _ODD[k]
 
 
-def shingles(text: str) -> np.ndarray:
+def shingles_of(words: list[bytes]) -> np.ndarray:
     """Hashes of the distinct shingles, sorted."""
-    words = words_of(text)
     if not words:
         return np.empty(0, np.uint64)
     w = np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
@@ -70,32 +77,47 @@ def shingles(text: str) -> np.ndarray:
     return np.unique(_mixed(h ^ np.uint64(wide), 6))
 
 
+def shingles(text: str) -> np.ndarray:
+    return shingles_of(words_of(text))
+
+
 def prefix_size(n: int) -> int:
     return n + LEAST * n // -100 + 1
 
 
+def wide_prefix_size(n: int) -> int:
+    """Of the plain order's prefix: any partner shares shared_at_least(n) of it, in its own."""
+    return min(n, prefix_size(n) + n // MORE)
+
+
+def shared_at_least(size: Column) -> Column:
+    """1 and as many more as the least partner's prefix has."""
+    return 1 + F.floor(F.floor((LEAST * size + 99) / 100) / MORE)
+
+
 class Late:
-    """The shingles that come late, and how late."""
+    """The shingles that come late, and how late; known by their values under the plain order."""
 
-    def __init__(self, shingle: np.ndarray, level: np.ndarray):
-        order = np.argsort(shingle)
-        self.shingle, self.level = shingle[order], level[order]
+    def __init__(self, value: np.ndarray, level: np.ndarray):
+        order = np.argsort(value)
+        self.value, self.level = value[order], level[order]
 
     def of(self, h: np.ndarray) -> np.ndarray | None:
-        if not len(self.shingle):
+        if not len(self.value):
             return None
-        at = np.minimum(np.searchsorted(self.shingle, h), len(self.shingle) - 1)
-        found = self.shingle[at] == h
+        value = _mixed(h, 0) >> CUT
+        at = np.minimum(np.searchsorted(self.value, value), len(self.value) - 1)
+        found = self.value[at] == value
         return np.where(found, self.level[at], 0) if found.any() else None
 
 
-def prefix(h: np.ndarray, order: int, late: Late | None = None) -> np.ndarray:
+def prefix(h: np.ndarray, order: int, late: Late | None = None, size: int | None = None) -> np.ndarray:
     """The prefix under an order, as values that stand for the shingles there."""
-    value, size = _mixed(h, order), prefix_size(len(h))
+    value, size = _mixed(h, order), size or prefix_size(len(h))
     level = late.of(h) if late else None
-    if level is None:
-        return np.partition(value, size - 1)[:size] if size < len(value) else value
-    return value[np.lexsort((value, level))[:size]]
+    if level is not None:
+        return value[np.lexsort((value, level))[:size]] >> CUT
+    return (np.partition(value, size - 1)[:size] if size < len(value) else value) >> CUT
 
 
 def linked(a: int, b: int, both: int) -> bool:
@@ -119,22 +141,27 @@ def prints(docs: DataFrame) -> DataFrame:
         for b in batches:
             sets = [shingles(t.as_py()) for t in b.column(2)]
             node = np.array([xxh64_intdigest(h.tobytes(), SEED) for h in sets], np.uint64).view(np.int64)
-            first = _longs([prefix(h, 0) if len(h) else h for h in sets])
+            first = _longs([prefix(h, 0, size=wide_prefix_size(len(h))) if len(h) else h for h in sets])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(h) for h in sets], pa.int64()), pa.array(node), first], ["doc_id", "text_hash", "size", "node", "first"])
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), text_of().alias("__text"))
     return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, size long, node long, first array<long>")
 
 
-def sets_of(texts: DataFrame) -> DataFrame:
-    """(node, size, h): the set of each node."""
+def packed(texts: DataFrame) -> DataFrame:
+    """(id, size, z): the words of each text, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
         for t in batches:
-            sets = [shingles(x.as_py()) for x in t.column(1)]
-            yield pa.RecordBatch.from_arrays([t.column(0), pa.array([len(h) for h in sets], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())], ["node", "size", "h"])
+            z = [press.compress(b" ".join(words_of(x.as_py()))) for x in t.column(2)]
+            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(z, pa.binary())], ["id", "size", "z"])
 
-    return texts.select("node", "text").mapInArrow(run, "node long, size long, h binary")
+    return texts.select("id", "size", "text").mapInArrow(run, "id long, size long, z binary")
+
+
+def unpacked(z: bytes) -> np.ndarray:
+    return shingles_of(zstandard.decompress(z).split(b" "))
 
 
 def late_shingles(shared: DataFrame) -> Late:
@@ -145,49 +172,51 @@ def late_shingles(shared: DataFrame) -> Late:
         if (total := total + n) > MOST_LAST:
             break
         least = level
-    got = often.where(F.col("level") >= least).toArrow() if least is not None else None
-    value = got.column("value").to_numpy().view(np.uint64) if got else np.empty(0, np.uint64)
-    return Late(_unmixed(value), got.column("level").to_numpy() if got else np.empty(0, np.int32))
-
-
-def _unmixed(value: np.ndarray) -> np.ndarray:
-    """The shingles that have these values under the plain order."""
-    inverse = np.uint64(pow(int(_ODD[0]), -1, 2**64))
-    h = value * inverse
-    h ^= h >> np.uint64(31) ^ h >> np.uint64(62)
-    return (h * inverse) ^ _MASK[0]
+    if least is None:
+        return Late(np.empty(0, np.uint64), np.empty(0, np.int32))
+    got = often.where(F.col("level") >= least).toArrow()
+    return Late(got.column("value").to_numpy().view(np.uint64), got.column("level").to_numpy())
 
 
 def buckets(sets: DataFrame, late) -> DataFrame:
-    """(node, size, key): each node's prefix under the first of the orders that put common shingles last."""
+    """(id, key): the nodes that share a prefix shingle under the first of the orders that put common shingles last. Shingles with the same nodes have one key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            lists = [prefix(np.frombuffer(x.as_buffer(), np.uint64), 1, late.value) for x in t.column(2)]
-            n = [len(x) for x in lists]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(t.column(0).to_numpy(), n)), pa.array(np.repeat(t.column(1).to_numpy(), n)), _longs(lists).values], ["node", "size", "key"])
+            lists = [prefix(unpacked(x.as_py()), 1, late.value) for x in t.column(1)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(t.column(0).to_numpy(), [len(x) for x in lists])), _longs(lists).values], ["id", "value"])
 
-    return sets.mapInArrow(run, "node long, size long, key long")
+    cells = materialise(sets.select("id", "z").mapInArrow(run, "id long, value long"), "jaccard-cells")
+    alike = F.xxhash64(F.count("*"), F.bit_xor(F.xxhash64("id")), F.bit_xor(F.xxhash64("id", F.lit(1))))
+    of_value = cells.groupBy("value").agg(F.count("*").alias("n"), alike.alias("key")).where("n > 1").drop("n")
+    got = materialise(cells.join(of_value, "value").select("id", "key").distinct(), "jaccard-members")
+    drop(cells)
+    return got
 
 
 def joined(pairs: DataFrame, sets: DataFrame, late) -> DataFrame:
-    """The pairs (a, b) of nodes that pass the other orders' filters and are linked."""
-    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("h").alias("h_b")), "b")
-    both = both.join(sets.select(F.col("node").alias("a"), F.col("h").alias("h_a")), "a").select("a", "b", "h_a", "h_b")
-
-    def similar(a: np.ndarray, b: np.ndarray) -> bool:
-        if not linked(len(a), len(b), min(len(a), len(b))):
-            return False
-        if any(not np.isin(prefix(a, k, late.value), prefix(b, k, late.value)).any() for k in range(2, ORDERS + 1)):
-            return False
-        return linked(len(a), len(b), overlap(a, b))
+    """The pairs (a, b) of nodes that pass the other orders' filters and are linked. An a meets its b's in tasks of STAR at most."""
+    stars = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("g"))
+    dealt = pairs.join(stars, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("g")).cast("int"))
+    heads = stars.select("a", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("salt"), F.lit(0).alias("turn"), F.col("a").alias("id"))
+    want = heads.unionByName(dealt.select("a", "salt", F.lit(1).alias("turn"), F.col("b").alias("id")))
+    rows = want.join(sets.select("id", "z"), "id").select("a", "salt", "turn", "id", "z")
+    rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "turn")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, own, filters = None, None, []
         for t in batches:
-            hit = [similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(t.column(2), t.column(3), strict=True)]
-            yield t.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
+            found = []
+            for a, turn, b, z in zip(*(t.column(n).to_pylist() for n in ("a", "turn", "id", "z")), strict=True):
+                h = unpacked(z)
+                if turn == 0:
+                    head, own = a, h
+                    filters = [(k, prefix(own, k, late.value)) for k in range(2, ORDERS + 1)]
+                elif linked(len(own), len(h), min(len(own), len(h))) and all(np.isin(prefix(h, k, late.value), f).any() for k, f in filters) and linked(len(own), len(h), overlap(own, h)):
+                    found.append((head, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, "a long, b long")
 
 
 class Sharing:
@@ -207,12 +236,11 @@ class Sharing:
         return both
 
 
-def block_links(node: list[int], root: list[int], block: list[int], h: list[bytes], late: Late) -> list[tuple[int, int]]:
+def block_links(node: list[int], root: list[int], block: list[int], sets: list[np.ndarray], late: Late) -> list[tuple[int, int]]:
     """Links that join the classes of one pair of blocks: nodes of different blocks, or of one block where there is only one."""
-    sets = [np.frombuffer(x, np.uint64) for x in h]
     sizes, label, block = np.array([len(x) for x in sets]), np.unique(np.array(root), return_inverse=True)[1], np.array(block)
     alone, whole, out = len(set(block.tolist())) == 1, None, []
-    filters = [Sharing([prefix(x, k, late) for x in sets]) for k in range(2, ORDERS + 1)]
+    filters = [Sharing([prefix(x, k, late) for x in sets]) for k in range(1, ORDERS + 1)]
     for k in range(len(sets)):
         near = (label != label[k]) & (alone | (block != block[k])) & linked(sizes, sizes[k], np.minimum(sizes, sizes[k]))
         near[: k + 1] = False
@@ -233,11 +261,11 @@ def block_links(node: list[int], root: list[int], block: list[int], h: list[byte
 
 
 def in_blocks(live: DataFrame, sets: DataFrame, late, wide: int = WIDE) -> DataFrame:
-    """(a, b): links between classes of each bucket's nodes. live: node, root, key, n (nodes of the bucket), total (their shingles)."""
+    """(a, b): links between classes of each group's nodes. live: id, root, key (of the group) and the group's n (nodes) and total (their shingles)."""
     blocks = F.greatest(F.ceil(F.col("n") / wide), F.ceil(F.col("total") / HEAVY)).cast("int")
-    dealt = live.withColumn("g", blocks).withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("g")).cast("int"))
-    met = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).select("key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "node", "root", "block")
-    met = met.join(sets.select("node", "h"), "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    dealt = live.withColumn("g", blocks).withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), F.col("g")).cast("int"))
+    met = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).select("key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "id", "root", "block")
+    met = met.join(sets.select("id", "z"), "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, ([], [], [], [])
@@ -247,12 +275,12 @@ def in_blocks(live: DataFrame, sets: DataFrame, late, wide: int = WIDE) -> DataF
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in got], pa.int64()) for k in (0, 1)], ["a", "b"])
 
         for t in batches:
-            for key, i, j, *row in zip(*(t.column(n).to_pylist() for n in ("key", "i", "j", "node", "root", "block", "h")), strict=True):
+            for key, i, j, *row in zip(*(t.column(n).to_pylist() for n in ("key", "i", "j", "id", "root", "block", "z")), strict=True):
                 if (key, i, j) != now and now is not None:
                     yield close()
                     held = [], [], [], []
                 now = key, i, j
-                for kept, x in zip(held, row, strict=True):
+                for kept, x in zip(held, (*row[:3], unpacked(row[3])), strict=True):
                     kept.append(x)
         if now is not None:
             yield close()
@@ -261,39 +289,53 @@ def in_blocks(live: DataFrame, sets: DataFrame, late, wide: int = WIDE) -> DataF
 
 
 def _open(members: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """members (node, size, key) of the buckets that hold several classes, with root, and the bucket's lo, hi, n and total."""
-    if roots is not None:
-        members = members.join(roots.select(F.col("node").alias("r_node"), "root"), F.col("node") == F.col("r_node"), "left").drop("r_node")
-    seen = members.select("node", "size", "key", (F.lit(None).cast("long") if roots is None else F.col("root")).alias("root")).withColumn("root", F.coalesce("root", "node"))
-    end = F.struct("node", "root")
-    stats = seen.groupBy("key").agg(F.min(end).alias("lo"), F.max(end).alias("hi"), F.count("*").alias("n"), F.sum("size").alias("total"), (F.min("root") != F.max("root")).alias("open"))
+    """members (id, key and more) of the buckets that hold several classes, with root, and the bucket's lo, hi and n (and total of sizes)."""
+    if roots is None:
+        seen = members.withColumn("root", F.col("id"))
+    else:
+        seen = members.join(roots.select(F.col("node").alias("r_node"), "root"), F.col("id") == F.col("r_node"), "left").drop("r_node").withColumn("root", F.coalesce("root", "id"))
+    end = F.struct("id", "root")
+    total = [F.sum("size").alias("total")] if "size" in members.columns else []
+    stats = seen.groupBy("key").agg(F.min(end).alias("lo"), F.max(end).alias("hi"), F.count("*").alias("n"), *total, (F.min("root") != F.max("root")).alias("open"))
     return seen.join(stats.where("open").drop("open"), "key")
 
 
-def _ordered(a: Column, b: Column) -> list[Column]:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+def _groups(live: DataFrame, roots: DataFrame, sets: DataFrame, wide: int) -> DataFrame:
+    """What in_blocks() takes for the open buckets live (id, key, root, lo, n): groups in which all their pairs meet.
+
+    Near copies share many buckets, which hold the same pairs again and again. So buckets whose least nodes have the same home,
+    the largest bucket of a node, make a family. A family is compared as one group where that ships fewer texts than its
+    buckets do; else they are compared, those of more than a block cut by size.
+    """
+    blocks = F.greatest(F.ceil(F.col("n") / wide), F.ceil(F.col("total") / HEAVY))
+    homes = live.groupBy("id").agg(F.max_by("key", F.struct("n", "key")).alias("family"))
+    families = live.where(F.col("id") == F.col("lo.id")).join(homes, "id").select("key", "family")
+    sized = live.select("id", "key", "root", "n").join(families, "key").join(sets.select("id", "size"), "id")
+    own = F.floor(F.log("size") / SIZE_CLASS)
+    classes = F.when(F.col("n") > wide, F.array(own, own - 1)).otherwise(F.array(F.lit(0).cast("long")))
+    cut = sized.select("id", "size", "family", F.explode(classes).alias("c"), "key").select("id", "size", "family", F.xxhash64("key", "c").alias("key"))
+    parts = materialise(_open(cut, roots).select("id", "size", "root", "family", "key", "n", "total"), "jaccard-parts")
+    whole = parts.groupBy("family", "id").agg(F.first("size").alias("size"), F.first("root").alias("root"))
+    sums = whole.groupBy("family").agg(F.count("*").alias("n"), F.sum("size").alias("total"))
+    cost = parts.groupBy("family").agg(F.sum(blocks).alias("apart"))
+    chosen = materialise(sums.join(cost, "family").withColumn("one", F.col("n") * blocks <= F.col("apart")), "jaccard-chosen")
+    together = whole.join(chosen.where("one"), "family").select("id", "root", F.col("family").alias("key"), "n", "total")
+    apart = parts.join(chosen.where("not one").select("family"), "family").select("id", "root", "key", "n", "total")
+    return together.unionByName(apart)
 
 
 def links(members: DataFrame, sets: DataFrame, late, wide: int = WIDE) -> DataFrame:
-    """(a, b): links that span every class of nodes."""
+    """(a, b): links that span every class of nodes. members: buckets()."""
     live = materialise(_open(members, None), "jaccard-live")
-    other = live.where("root != lo.root").groupBy("node", F.col("lo.node").alias("p")).count()
-    best = other.groupBy("node").agg(F.max_by("p", F.struct("count", "p")).alias("p")).select(*_ordered(F.col("node"), F.col("p"))).distinct()
+    other = live.where("root != lo.root").groupBy("id", F.col("lo.id").alias("p")).count()
+    best = other.groupBy("id").agg(F.max_by("p", F.struct("count", "p")).alias("a")).select("a", F.col("id").alias("b"))
     found = materialise(joined(best, sets, late), "jaccard-links")
     roots = materialise(components(found).distinct(), "jaccard-roots")
-    live2 = materialise(_open(live.select("node", "size", "key"), roots), "jaccard-live")
-    drop(live, roots)
-    ends = live2.select("node", "root", F.explode(F.array("lo", "hi")).alias("p")).where("root != p.root").select(*_ordered(F.col("node"), F.col("p.node"))).distinct()
-    more = materialise(found.unionByName(joined(ends, sets, late)), "jaccard-links")
-    drop(found)
-    roots = materialise(components(more).distinct(), "jaccard-roots")
-    inner = live2.where((F.col("node") != F.col("lo.node")) & (F.col("node") != F.col("hi.node")))
-    own = F.floor(F.log("size") / SIZE_CLASS)
-    cut = inner.select("node", "size", F.explode(F.array(own, own - 1)).alias("c"), "key").select("node", "size", F.xxhash64("key", "c").alias("key"))
-    live3 = materialise(_open(cut, roots), "jaccard-live")
-    drop(live2, roots)
-    out = materialise(more.unionByName(in_blocks(live3, sets, late, wide)), "jaccard-links")
-    drop(more, live3)
+    left = materialise(_open(live.select("id", "key"), roots), "jaccard-live")
+    drop(live)
+    groups = materialise(_groups(left, roots, sets, wide), "jaccard-groups")
+    out = materialise(found.unionByName(in_blocks(groups, sets, late, wide)), "jaccard-links")
+    drop(left, roots, groups, found)
     return out
 
 
@@ -302,25 +344,32 @@ def join(docs: DataFrame, wide: int = WIDE) -> DataFrame:
     spark = docs.sparkSession
     rows = materialise(prints(docs), "jaccard-rows")
     rank = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")
-    nodes = rows.where("size > 0").groupBy("node").agg(F.min(rank).alias("r"), F.first("first").alias("first"))
-    nodes = materialise(nodes.select("node", F.col("r.doc_id").alias("k_id"), F.col("r.text_hash").alias("k_hash"), "first"), "jaccard-nodes")
-    cells = nodes.select("node", F.explode("first").alias("value"))
+    nodes = rows.where("size > 0").groupBy("node").agg(F.min(rank).alias("r"), F.first("size").alias("size"), F.first("first").alias("first"))
+    nodes = nodes.select("node", "size", F.col("r.doc_id").alias("k_id"), F.col("r.text_hash").alias("k_hash"), "first")
+    nodes = materialise(nodes.withColumn("id", F.monotonically_increasing_id()), "jaccard-nodes")  # small numbers shuffle in fewer bytes
+    cells = nodes.select("id", F.explode("first").alias("value"))
     shared = materialise(cells.groupBy("value").agg(F.count("*").alias("n")).where("n > 1"), "jaccard-shared")
     late = spark.sparkContext.broadcast(late_shingles(shared))
-    some = materialise(cells.join(shared.select("value"), "value").select("node").distinct(), "jaccard-some")
-    want = nodes.join(some, "node").select("node", "k_id", "k_hash")
+    some = cells.join(shared.select("value"), "value").groupBy("id").agg(F.count("*").alias("shared"))
+    want = nodes.join(some, "id").where(F.col("shared") >= shared_at_least(F.col("size"))).select("id", "size", "k_id", "k_hash")
+    want = materialise(want, "jaccard-want")
+    drop(shared)
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    texts = keyed.join(want, keyed["doc_id"].eqNullSafe(want["k_id"]) & (keyed["text_hash"] == want["k_hash"])).select("node", "text")
-    sets = materialise(sets_of(texts.dropDuplicates(["node"])), "jaccard-sets")
-    drop(shared, some)
-    found = links(buckets(sets, late), sets, late, wide)
+    texts = keyed.join(want, keyed["doc_id"].eqNullSafe(want["k_id"]) & (keyed["text_hash"] == want["k_hash"]))
+    sets = materialise(packed(texts), "jaccard-sets")
+    if sets.count() != want.count():  # repeated rows
+        once = materialise(sets.dropDuplicates(["id"]), "jaccard-sets")
+        drop(sets)
+        sets = once
+    members = buckets(sets, late)
+    found = links(members, sets, late, wide)
     roots = components(found).distinct().withColumnRenamed("node", "r_node")
-    best = nodes.select("node", F.col("k_id").alias("best")).join(roots, F.col("node") == F.col("r_node"), "left").select("node", "best", F.coalesce("root", "node").alias("root"))
+    best = nodes.select("id", "node", F.col("k_id").alias("best")).join(roots, F.col("id") == F.col("r_node"), "left").select("node", "best", F.coalesce("root", "id").alias("root"))
     best = materialise(best, "jaccard-best")
     ids = best.join(best.groupBy("root").agg(F.min("best").alias("component_id")), "root").select("node", "component_id")
     ids = materialise(ids, "jaccard-ids")
-    drop(sets, nodes, best, found)
-    got = rows.join(ids, "node", "left")
+    drop(sets, members, want, nodes, best, found)
+    got = rows.select("doc_id", "size", "node").join(ids, "node", "left")
     return got.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 

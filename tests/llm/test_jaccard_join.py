@@ -69,9 +69,10 @@ def test_blocks_alone_find_all_links():
     """Without the rounds before them; nodes of different blocks only where there are two."""
     sets = [s for _, t in ROWS[:180] if len(s := jj.shingles(t))]
     nodes = list(range(len(sets)))
-    late = jj.Late(np.unique(np.concatenate(sets))[::7], np.arange(len(np.unique(np.concatenate(sets))[::7])) % 3 + 1)
+    some = jj._mixed(np.unique(np.concatenate(sets))[::7], 0) >> jj.CUT
+    late = jj.Late(some, np.arange(len(some)) % 3 + 1)
     for block in ([0] * len(sets), [k % 2 for k in nodes]):
-        got = jj.block_links(nodes, nodes, block, [s.tobytes() for s in sets], late)
+        got = jj.block_links(nodes, nodes, block, sets, late)
         label = np.arange(len(sets))
         for a, b in got:
             assert jj.linked(len(sets[a]), len(sets[b]), jj.overlap(sets[a], sets[b])) and (len(set(block)) == 1 or block[a] != block[b])
@@ -89,15 +90,27 @@ def test_linked_sets_share_a_prefix_under_every_order():
         b = np.unique(np.r_[a[rng.random(len(a)) > 0.08], rng.integers(0, 2**64, rng.integers(0, 6), dtype=np.uint64)])
         if not len(b) or not jj.linked(len(a), len(b), jj.overlap(a, b)):
             continue
-        late = jj.Late(a[::3], np.arange(len(a[::3])) % 4 + 1)
+        late = jj.Late(jj._mixed(a[::3], 0) >> jj.CUT, np.arange(len(a[::3])) % 4 + 1)
         for k in range(jj.ORDERS + 1):
             for held in (None, late):
                 assert np.isin(jj.prefix(a, k, held), jj.prefix(b, k, held)).any()
 
 
-def test_values_of_the_plain_order_can_be_undone():
-    h = np.random.default_rng(2).integers(0, 2**64, 1000, dtype=np.uint64)
-    assert (jj._unmixed(jj._mixed(h, 0)) == h).all()
+def test_linked_sets_share_enough_of_the_wide_prefix(spark):
+    rng, n = np.random.default_rng(6), 400
+    need = [r[0] for r in spark.range(n).select(jj.shared_at_least(jj.F.col("id"))).collect()]
+    for _ in range(300):
+        a = np.unique(rng.integers(0, 2**64, rng.integers(1, n), dtype=np.uint64))
+        b = np.unique(np.r_[a[rng.random(len(a)) > 0.1], rng.integers(0, 2**64, rng.integers(0, 20), dtype=np.uint64)])
+        if len(b) and jj.linked(len(a), len(b), jj.overlap(a, b)):
+            both = np.isin(jj.prefix(a, 0, size=jj.wide_prefix_size(len(a))), jj.prefix(b, 0, size=jj.wide_prefix_size(len(b)))).sum()
+            assert both >= max(need[len(a)], need[len(b)] if len(b) < n else 0)
+
+
+def test_packing_keeps_the_words():
+    for text in ("a", "a b c d e", "É  b\nc\td E", "x " * 5000):
+        z = jj.zstandard.ZstdCompressor().compress(b" ".join(jj.words_of(text)))
+        assert (jj.unpacked(z) == jj.shingles(text)).all()
 
 
 def test_sql_equals_brute_force():
