@@ -2,32 +2,107 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import materialise
+from ..scratch import drop, materialise
 from .running import places
 
 
+#: Steps along the edges in one job.
+HOPS = 10
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
+
+
 def _spread(frontier: DataFrame, seen: DataFrame, edges: DataFrame) -> DataFrame:
-    """seen with all nodes below the frontier (node, depth), one join for each depth."""
+    """seen with all nodes below the frontier (node, depth); a job for each HOPS depths."""
     while True:
-        found = frontier.join(edges, frontier["node"] == edges["source"]).groupBy(F.col("target").alias("node")).agg((F.min("depth") + 1).alias("depth"))
-        frontier = materialise(found.join(seen, "node", "left_anti"), "layout-frontier")
-        if frontier.isEmpty():
+        steps, at = [], frontier
+        for _ in range(HOPS):
+            found = at.join(edges, at["node"] == edges["source"]).groupBy(F.col("target").alias("node")).agg((F.min("depth") + 1).alias("depth"))
+            at = found.join(seen.select("node"), "node", "left_anti")
+            steps.append(at)
+        fresh = materialise(_union(steps).groupBy("node").agg(F.min("depth").alias("depth")), "layout-frontier")
+        deepest = fresh.agg(F.max("depth")).first()[0]
+        if deepest is None:
+            drop(fresh)
             return seen
-        seen = materialise(seen.unionByName(frontier), "layout-seen")
+        old, seen = seen, materialise(seen.unionByName(fresh), "layout-seen")
+        frontier = fresh.where(F.col("depth") == deepest)  # what stands above had its edges followed
+        drop(old)
+
+
+def least_ancestors(edges: DataFrame) -> DataFrame:
+    """(node, root): the least node from which each node can be reached, itself included.
+
+    Taking nodes by id, each that none before it reaches starts a layout anew. So it is a root exactly if it is its own
+    least ancestor, and what it reaches first is what has it as the least. All roots are found at once:
+    least ids run along the edges, and in a round only those that changed. edges: source, target.
+    """
+    ids = edges.select(F.col("source").alias("node")).union(edges.select("target")).distinct()
+    state = materialise(ids.withColumn("root", F.col("node")), "layout-roots")
+    frontier = state
+    while True:
+        steps, at = [], frontier
+        for _ in range(HOPS):
+            told = at.join(edges, at["node"] == edges["source"]).groupBy(F.col("target").alias("node")).agg(F.min("root").alias("told"))
+            at = told.join(state, "node").where("told < root").select("node", F.col("told").alias("root"))
+            steps.append(at)
+        fresh = materialise(_union(steps).groupBy("node").agg(F.min("root").alias("root")), "layout-told")
+        if frontier is not state:
+            drop(frontier)
+        if fresh.isEmpty():
+            drop(fresh)
+            return state
+        merged = state.join(fresh.withColumnRenamed("root", "told"), "node", "left").select("node", F.coalesce("told", "root").alias("root"))
+        old, state, frontier = state, materialise(merged, "layout-roots"), fresh
+        drop(old)
 
 
 def depths(edges: DataFrame) -> DataFrame:
-    """(node, depth): nodes without incoming edges are at 0; then, by id, what they do not reach starts anew at 0."""
+    """(node, depth): nodes without incoming edges are at 0; then, by id, what they do not reach starts anew at 0. The jobs do not grow with the number of cycles."""
     ids = materialise(edges.select(F.col("source").alias("node")).union(edges.select("target")).distinct(), "layout-nodes")
-    seen = ids.join(edges.select(F.col("target").alias("node")), "node", "left_anti").withColumn("depth", F.lit(0))
-    seen = _spread(seen, materialise(seen, "layout-seen"), edges)
-    while (first := ids.join(seen, "node", "left_anti").agg(F.min("node")).first()[0]) is not None:
-        root = ids.where(F.col("node") == first).withColumn("depth", F.lit(0))
-        seen = _spread(root, materialise(seen.unionByName(root), "layout-seen"), edges)
-    return seen
+    first = materialise(ids.join(edges.select(F.col("target").alias("node")), "node", "left_anti").withColumn("depth", F.lit(0)), "layout-seen")
+    seen = _spread(first, first, edges)
+    rest = materialise(ids.join(seen, "node", "left_anti"), "layout-rest")
+    drop(ids)
+    if rest.isEmpty():
+        return seen
+    ends = edges.select("source", "target").where("source != target").distinct()
+    inner = materialise(ends.join(rest.withColumnRenamed("node", "source"), "source").join(rest.withColumnRenamed("node", "target"), "target"), "layout-inner")
+    roots = least_ancestors(inner)
+    alone = rest.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    alone = materialise(alone, "layout-rooted")
+    # below a root only what it is the least ancestor of; all roots start together
+    own = inner.join(alone.select(F.col("node").alias("source"), F.col("root").alias("r0")), "source").join(alone.select(F.col("node").alias("target"), F.col("root").alias("r1")), "target").where("r0 = r1")
+    own = materialise(own.select("source", "target"), "layout-own")
+    start = materialise(alone.where("node = root").select("node", F.lit(0).alias("depth")), "layout-seen")
+    found = _spread(start, start, own)
+    both = materialise(seen.unionByName(found), "layout-seen")
+    drop(seen, found, rest, roots, inner, alone, own)
+    return both
+
+
+def path_ranks(rows: DataFrame) -> DataFrame:
+    """rows (node, parent, depth) with rank: in a layer it orders nodes as their paths from the root order, id by id.
+
+    Pointer doubling: the rank of a path of 2k nodes comes from that of its upper and its lower half, so it
+    takes the logarithm of the depth in rounds, each one range sort of all layers together.
+    """
+    by_id = places(rows.select("node", F.col("parent").alias("up"), "depth"), [F.asc("node")], "layout-ranks").withColumnRenamed("place", "rank")
+    state, deepest = materialise(by_id, "layout-ranks"), rows.agg(F.max("depth")).first()[0] or 0
+    for _ in range(deepest.bit_length()):
+        above = state.select(F.col("node").alias("up"), F.col("rank").alias("upper"), F.col("up").alias("next"))
+        met = state.join(above, "up", "left").select("node", "depth", F.col("next").alias("up"), "upper", "rank")
+        ranked = places(met, [F.asc_nulls_first("upper"), F.asc("rank")], "layout-ranks")
+        old, state = state, materialise(ranked.select("node", "up", "depth", F.col("place").alias("rank")), "layout-ranks")
+        drop(old)
+    return state.select("node", "depth", "rank")
 
 
 def layered(edges: DataFrame) -> DataFrame:
@@ -36,16 +111,12 @@ def layered(edges: DataFrame) -> DataFrame:
     up = edges.join(d.select(F.col("node").alias("source"), F.col("depth").alias("d0")), "source").join(d.select(F.col("node").alias("target"), F.col("depth").alias("d1")), "target")
     best = up.where("d0 = d1 - 1").groupBy(F.col("target").alias("node")).agg(F.min_by(F.struct("id", "source"), F.struct("first_transaction_time", -F.col("amount"), "id")).alias("p"))
     rows = materialise(d.join(best, "node", "left").select("node", "depth", F.col("p.id").alias("primary_edge"), F.col("p.source").alias("parent")), "layout-rows")
-    placed = places(rows.where("depth = 0"), [F.asc("node")], "layout-level").withColumn("place", F.col("place") - 1)
-    out, deepest = placed, rows.agg(F.max("depth")).first()[0] or 0
-    for level in range(1, deepest + 1):
-        above = placed.select(F.col("node").alias("parent"), F.col("place").alias("pp"))
-        met = rows.where(F.col("depth") == level).join(above, "parent", "left")
-        placed = places(met, [F.asc_nulls_last("pp"), F.asc("node")], "layout-level").withColumn("place", F.col("place") - 1).select(out.columns)
-        out = out.unionByName(placed)
-    out = materialise(out, "layout-places")
-    sizes = out.groupBy("depth").agg(F.count("*").alias("n"))
-    return out.join(sizes, "depth").select("node", "depth", "primary_edge", (80 + 260 * F.col("depth")).alias("x"), (60 + (sizes.select(F.max("n")).scalar() - F.col("n")) * 20 + 40 * F.col("place")).cast("double").alias("y"))
+    placed = places(path_ranks(rows), [F.asc("depth"), F.asc("rank")], "layout-places")
+    layers = materialise(placed.groupBy("depth").agg(F.min("place").alias("first"), F.count("*").alias("n")), "layout-layers")
+    most = layers.select(F.max("n")).scalar()
+    out = placed.join(layers, "depth").join(rows.select("node", "primary_edge"), "node")
+    y = 60 + (most - F.col("n")) * 20 + 40 * (F.col("place") - F.col("first"))
+    return out.select("node", "depth", "primary_edge", (80 + 260 * F.col("depth")).alias("x"), y.cast("double").alias("y"))
 
 
 def focus(edges: DataFrame, selected: str) -> DataFrame:

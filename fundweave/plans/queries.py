@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from .. import schema as S
 from ..functions import classify as C
 from ..functions import parse, text
 from ..operators import attribution, dedup, filters, graph, layout, reconcile, running, scoring, trace
-from ..scratch import materialise
+from ..scratch import materialise, scratch_dir
 from ..sources import adapter, generators, repository
 
 VICTIMS = ["U0", "U5", "U10"]
@@ -284,6 +286,40 @@ def jon_reconcile(spark, sf):
     return reconcile.reconcile(two, new, "B", False).select("transaction_id", _dbl(), "origin")
 
 
+@query("jon_reconcile_rows", """SELECT transaction_id, CAST(amount AS DOUBLE) AS amount, 'other' AS origin FROM b UNION ALL
+SELECT transaction_id, CAST(CASE WHEN seq % 2 = 0 AND seq % 3 = 2 AND NOT kept THEN amount + 1 ELSE amount END AS DOUBLE), CASE WHEN seq % 2 = 1 THEN 'leftover' WHEN kept THEN 'kept' ELSE 'updated' END FROM (SELECT *, review_status IN ('confirmed', 'conflict') AS kept FROM a)""", f"{TX}, {TWO}")
+def jon_reconcile_rows(spark, sf):
+    """All rows of a source have one serial or none; only sheet and row tell them apart, and a null sheet is no blank one. Every second row is read again."""
+    two = adapter.two_sources(spark, sf)
+    e = F.col("seq")
+    two = two.withColumns({"serial_number": F.when(e % 3 > 0, F.when(e % 3 > 1, "S").otherwise("")), "sheet_name": F.when(e % 4 > 1, F.when(e % 8 > 3, "").otherwise("1")), "row_number": F.when(e % 4 < 2, F.floor(e / 8)).otherwise(F.floor(e / 8) + 1).cast("int"), "archive_member_path": F.when(e % 4 == 0, "1").when(e % 8 == 2, F.lit("")), "page_number": (e % 8).cast("int")})
+    new = two.where("source_file_id = 'A' AND seq % 2 = 0").withColumns({"transaction_id": F.concat(F.lit("N"), "transaction_id"), "amount": F.when(F.col("serial_number") == "S", F.col("amount") + 1).otherwise(F.col("amount")).cast(S.MONEY)})
+    return reconcile.reconcile(two, new, "A", False).select("transaction_id", _dbl(), "origin")
+
+
+@query("mut_case", """SELECT transaction_id, CAST(amount AS DOUBLE) AS amount, CASE WHEN review_status = 'pending' OR transaction_id = 'T42' THEN 'confirmed' ELSE review_status END AS review_status,
+coalesce(review_status = 'pending', false) AS noted, EXISTS (SELECT 1 FROM kept k WHERE k.serial_number = kept.serial_number AND k.amount = kept.amount AND k.transaction_id <> kept.transaction_id) AS duplicate,
+EXISTS (SELECT 1 FROM kept k WHERE k.serial_number = kept.serial_number AND k.amount <> kept.amount) AS conflict FROM kept""", f"{TX}, {TWO}, kept AS (SELECT * REPLACE (CASE WHEN transaction_id = 'T42' THEN 'rejected' ELSE review_status END AS review_status) FROM a UNION ALL SELECT * FROM b WHERE seq % 20 = 0)")
+def mut_case(spark, sf):
+    """A case's folder over time: two sources are added, one is read again with half its rows, a draft is edited, all pending ones are confirmed."""
+    folder = f"{scratch_dir(spark)}/case-{uuid.uuid4().hex}"
+    two = adapter.two_sources(spark, sf)
+    source = F.struct("source_file_id", *(F.lit(None).cast(t).alias(n) for n, t in (("archive_member_path", "string"), ("page_number", "int"), ("sheet_name", "string"), ("table_number", "int"), ("paragraph_number", "int"))), (F.col("seq") % 10**9).cast("int").alias("row_number"), F.lit(None).cast("array<double>").alias("region"))
+    two = two.withColumn("source", source).drop("source_file_id")
+    repository.add_drafts(two.where("source.source_file_id = 'A'"), folder)
+    repository.replace_source(two.where("source.source_file_id = 'B'"), folder, "B")
+    repository.replace_source(two.where("source.source_file_id = 'B' AND seq % 20 = 0").withColumn("transaction_id", F.concat(F.lit("N"), "transaction_id")), folder, "B")
+    repository.update_draft(spark, folder, "T42", {"review_status": "confirmed"})
+    repository.confirm_all(spark, folder)
+    got = repository.list_drafts(spark, folder)
+    return got.select("transaction_id", _dbl(), "review_status", (F.col("review_note") == repository.BULK_NOTE).alias("noted"), F.col("duplicate_group").isNotNull().alias("duplicate"), F.col("conflict_status").isNotNull().alias("conflict")).fillna(False, "noted")
+
+
+query("set_first_seen", "SELECT user_id, CAST(row_number() OVER (ORDER BY min(event_id)) AS BIGINT) AS place FROM events GROUP BY user_id", "")(
+    lambda s, sf: running.places(s.read.parquet(f"{sf}/events.parquet").groupBy("user_id").agg(F.min("event_id").alias("first")), [F.asc("first")], "first-seen").select("user_id", "place")
+)
+
+
 @query("jon_replace", """SELECT transaction_id, CAST(amount AS DOUBLE) AS amount, review_status, 'other' AS origin FROM b UNION ALL
 SELECT transaction_id, CAST(CASE WHEN kept THEN amount ELSE amount + 1 END AS DOUBLE), review_status, CASE WHEN kept THEN 'kept' ELSE 'updated' END FROM (SELECT *, review_status IN ('confirmed', 'conflict') OR seq % 13 = 0 AS kept FROM a WHERE seq % 20 = 0)
 UNION ALL SELECT 'X' || transaction_id, CAST(amount AS DOUBLE), 'pending', 'new' FROM a WHERE seq % 20 = 5""", f"{TX}, {TWO}")
@@ -321,8 +357,20 @@ def _layout(spark, sf):
     return layout.layered(e)
 
 
-query("lay_positions")(lambda s, sf: _layout(s, sf).select("node", "depth", "x", "y"))
-query("lay_primary_edges")(lambda s, sf: _layout(s, sf).where("primary_edge is not null").select("node", "primary_edge"))
+_LAYOUT = f"""{TX},
+le AS MATERIALIZED (SELECT payer_account || '>' || payee_account AS id, payer_account AS source, payee_account AS target, sum(amount) AS amount, min(transaction_time) AS first FROM live GROUP BY ALL),
+ids AS MATERIALIZED (SELECT source AS node FROM le UNION SELECT target FROM le),
+down AS (SELECT node, 0 AS depth FROM ids WHERE node NOT IN (SELECT target FROM le) UNION SELECT target, depth + 1 FROM down JOIN le ON source = node WHERE depth < (SELECT count(*) FROM ids)),
+d0 AS MATERIALIZED (SELECT node, min(depth) AS depth FROM down GROUP BY node),
+rest AS MATERIALIZED (SELECT node FROM ids WHERE node NOT IN (SELECT node FROM d0)),
+reached AS (SELECT node AS a, node AS b FROM rest UNION SELECT a, target FROM reached JOIN le ON source = b WHERE target IN (SELECT node FROM rest)),
+rooted AS MATERIALIZED (SELECT b AS node, min(a) AS root FROM reached GROUP BY b),
+walked AS (SELECT DISTINCT root, root AS node, 0 AS depth FROM rooted UNION SELECT walked.root, target, depth + 1 FROM walked JOIN le ON source = walked.node JOIN rooted ON rooted.node = target AND rooted.root = walked.root WHERE depth < (SELECT count(*) FROM ids)),
+dep AS MATERIALIZED (SELECT node, depth FROM d0 UNION ALL SELECT node, min(depth) FROM walked GROUP BY node),
+prim AS MATERIALIZED (SELECT target AS node, arg_min(id, row(first, -amount, id)) AS primary_edge, arg_min(source, row(first, -amount, id)) AS parent FROM le JOIN dep s ON s.node = source JOIN dep t ON t.node = target WHERE s.depth = t.depth - 1 GROUP BY target),
+path AS (SELECT node, [node] AS p FROM dep WHERE depth = 0 UNION ALL SELECT prim.node, list_append(path.p, prim.node) FROM path JOIN prim ON prim.parent = path.node)"""
+query("lay_positions", "SELECT node, CAST(depth AS INT) AS depth, CAST(80 + 260 * depth AS INT) AS x, CAST(60 + 20 * (max(n) OVER () - n) + 40 * (place - 1) AS DOUBLE) AS y FROM (SELECT node, depth, count(*) OVER (PARTITION BY depth) AS n, row_number() OVER (PARTITION BY depth ORDER BY p) AS place FROM path JOIN dep USING (node))", _LAYOUT)(lambda s, sf: _layout(s, sf).select("node", "depth", "x", "y"))
+query("lay_primary_edges", "SELECT node, primary_edge FROM prim", _LAYOUT)(lambda s, sf: _layout(s, sf).where("primary_edge is not null").select("node", "primary_edge"))
 query("lay_focus", "SELECT node, CASE WHEN node = 'U0' THEN 'selected' WHEN max(last_in) > max(last_out) THEN 'incoming-neighbor' WHEN max(last_out) >= 0 THEN 'outgoing-neighbor' ELSE 'inactive' END AS state FROM (SELECT payer_account AS node, CASE WHEN payee_account = 'U0' THEN min(seq) ELSE -1 END AS last_in, -1 AS last_out FROM live GROUP BY payer_account, payee_account UNION ALL SELECT payee_account, -1, CASE WHEN payer_account = 'U0' THEN min(seq) ELSE -1 END FROM live GROUP BY payer_account, payee_account) GROUP BY node")(lambda s, sf: layout.focus(graph.edge_totals(live(s, sf)), "U0"))
 
 

@@ -221,3 +221,53 @@ def test_cases_and_materials(spark, tmp_path):
     assert repository.list_materials(spark, folder).count() == 1
     seen = spark.createDataFrame([(2, "x"), (1, "y"), (3, "x"), (4, "y")], "seq long, warning string")
     assert [r[0] for r in repository.first_seen(seen, "warning").collect()] == ["y", "x"]
+
+
+def plain_depths(edges):
+    """Roots without incoming edges by id, then what they do not reach, by id."""
+    ids = sorted({n for e in edges for n in e})
+    depth = {}
+
+    def walk(starts):
+        queue = list(starts)
+        for n in queue:
+            for s, t in edges:
+                if s == n and t not in depth:
+                    depth[t] = depth[n] + 1
+                    queue.append(t)
+
+    roots = [n for n in ids if all(t != n for _, t in edges)]
+    depth.update(dict.fromkeys(roots, 0))
+    walk(roots)
+    for n in ids:
+        if n not in depth:
+            depth[n] = 0
+            walk([n])
+    return depth
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_depths_of_graphs_with_cycles(spark, seed):
+    """Cycles that no root reaches, chained cycles, self-loops and trees; more steps than one job takes."""
+    import random
+
+    from fundweave.operators import layout
+
+    rng = random.Random(seed)
+    edges = {(f"r{rng.randrange(25):02d}", f"r{rng.randrange(25):02d}") for _ in range(28)}
+    edges |= {(f"c{k:02d}", f"c{(k + 1) % 30:02d}") for k in range(30)} | {("z1", "z2"), ("z2", "z1"), ("z2", "b1"), ("b1", "b2"), ("b2", "b1"), ("s", "s")}
+    edges |= {(f"a{k:02d}", f"a{k + 1:02d}") for k in range(14)}
+    edges = sorted(edges)
+    got = {r.node: r.depth for r in layout.depths(spark.createDataFrame(edges, "source string, target string")).collect()}
+    assert got == plain_depths(edges)
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    from fundweave.operators import layout
+
+    calls, own = [], layout.places
+    monkeypatch.setattr(layout, "places", lambda *a: calls.append(1) or own(*a))
+    n = 5000
+    rows = spark.createDataFrame([(f"{(k * 7919) % n:05d}", f"{((k - 1) * 7919) % n:05d}" if k else None, k) for k in range(n)] + [("x", f"{0:05d}", 1)], "node string, parent string, depth int")
+    got = {r.node: r["rank"] for r in layout.path_ranks(rows).collect()}
+    assert len(got) == n + 1 and len(calls) == 14 and got["x"] > got[f"{7919 % n:05d}"]
