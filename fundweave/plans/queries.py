@@ -12,7 +12,7 @@ from ..functions import classify as C
 from ..functions import parse, text
 from ..operators import attribution, dedup, filters, graph, layout, reconcile, running, scoring, trace
 from ..scratch import materialise, scratch_dir
-from ..sources import adapter, generators, repository
+from ..sources import adapter, csv_rows, generators, repository
 
 VICTIMS = ["U0", "U5", "U10"]
 V, P = 5000.0, 2000.0
@@ -315,6 +315,15 @@ def mut_case(spark, sf):
     return got.select("transaction_id", _dbl(), "review_status", (F.col("review_note") == repository.BULK_NOTE).alias("noted"), F.col("duplicate_group").isNotNull().alias("duplicate"), F.col("conflict_status").isNotNull().alias("conflict")).fillna(False, "noted")
 
 
+@query("src_csv", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents", "")
+def src_csv(spark, sf):
+    """documents as CSV files with line ends inside quoted cells, read back by byte ranges."""
+    path = f"{scratch_dir(spark)}/csv-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang", "source", "text")
+    docs.write.option("header", True).option("quoteAll", True).option("escape", '"').option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return csv_rows.read_csv(spark, path).select(*(F.col("row_data")[c].alias(c) for c in docs.columns))
+
+
 query("set_first_seen", "SELECT user_id, CAST(row_number() OVER (ORDER BY min(event_id)) AS BIGINT) AS place FROM events GROUP BY user_id", "")(
     lambda s, sf: running.places(s.read.parquet(f"{sf}/events.parquet").groupBy("user_id").agg(F.min("event_id").alias("first")), [F.asc("first")], "first-seen").select("user_id", "place")
 )

@@ -166,13 +166,6 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     return small.unionByName(large).mapInPandas(run, CHUNK_DDL)
 
 
-def read_csv_rows(spark: SparkSession, path: str) -> DataFrame:
-    """Large CSV files by Spark's own reader, split over tasks: every column as text, blanks as empty text."""
-    rows = spark.read.option("header", True).option("inferSchema", False).option("multiLine", False).csv(path)
-    pairs = [x for c in rows.columns for x in (F.lit(c), F.coalesce(F.col(f"`{c}`"), F.lit("")))]
-    return rows.select(F.create_map(*pairs).alias("row_data"), F.lit("Sheet1").alias("sheet_name"), F.input_file_name().alias("path"))
-
-
 def read_drafts(spark: SparkSession, path: str) -> DataFrame:
     """Drafts as JSON lines with the canonical schema."""
     return spark.read.schema(RECORD_DDL).json(path)
