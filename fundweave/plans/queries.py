@@ -12,7 +12,7 @@ from ..functions import classify as C
 from ..functions import parse, text
 from ..operators import attribution, dedup, filters, graph, layout, reconcile, running, scoring, trace
 from ..scratch import materialise, scratch_dir
-from ..sources import adapter, csv_rows, generators, repository
+from ..sources import adapter, csv_rows, files, generators, repository
 
 VICTIMS = ["U0", "U5", "U10"]
 V, P = 5000.0, 2000.0
@@ -324,6 +324,15 @@ def src_csv(spark, sf):
     return csv_rows.read_csv(spark, path).select(*(F.col("row_data")[c].alias(c) for c in docs.columns))
 
 
+@query("src_pdf", """SELECT doc_id, CAST(k + 1 AS INT) AS page_number, CASE WHEN p = '' THEN '' ELSE p || chr(10) END AS text FROM (SELECT doc_id, k, array_to_string(lines[40 * k + 1:40 * k + 40], chr(10)) AS p
+FROM (SELECT doc_id, lines, unnest(range((len(lines) + 39) // 40)) AS k FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents)))""", "")
+def src_pdf(spark, sf):
+    """documents as PDF files, 40 lines a page, and the text of their pages."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")).alias("name"), "text")
+    pages = files.chunks(materialise(files.as_pdf(docs), "pdf-files"))
+    return pages.select(F.regexp_extract("path", r"(\d+)\.pdf$", 1).cast("long").alias("doc_id"), "page_number", "text")
+
+
 query("set_first_seen", "SELECT user_id, CAST(row_number() OVER (ORDER BY min(event_id)) AS BIGINT) AS place FROM events GROUP BY user_id", "")(
     lambda s, sf: running.places(s.read.parquet(f"{sf}/events.parquet").groupBy("user_id").agg(F.min("event_id").alias("first")), [F.asc("first")], "first-seen").select("user_id", "place")
 )

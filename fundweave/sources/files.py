@@ -1,8 +1,8 @@
-"""Statement files to chunks: CSV, XLSX, DOCX, images and ZIP archives of these.
+"""Statement files to chunks: CSV, XLSX, DOCX, PDF, images and ZIP archives of these.
 
 Files are read as binaryFile rows and cut into chunks inside tasks with the standard library; a file is
 one row, so its size is bounded by MAX_BYTES (larger files are refused, not cut). Cells are read as
-text: account numbers keep their leading zeros and digits. PDF, XLS and RAR need libraries that are
+text: account numbers keep their leading zeros and digits. XLS and RAR need libraries that are
 not assumed and are refused with a reason.
 """
 
@@ -23,11 +23,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import RECORD_DDL
+from . import pdf
 
 MAX_BYTES, MAX_MEMBERS, MAX_UNPACKED, ROWS_PER_CHUNK = 100 << 20, 2000, 1 << 30, 8
 IMAGES = (".png", ".jpg", ".jpeg", ".webp", ".bmp", ".tif", ".tiff")
 CHUNK_DDL = """path string, archive_member_path string, suffix string, text string, row_data map<string,string>, sheet_name string, row_number int,
-paragraph_number int, table_number int, row_evidence array<struct<row_number:int,text:string>>, requires_vision boolean, region array<double>, error string"""
+paragraph_number int, table_number int, page_number int, row_evidence array<struct<row_number:int,text:string>>, requires_vision boolean, region array<double>, error string"""
 FIELDS = [x.split()[0] for x in CHUNK_DDL.replace("\n", " ").split(", ")]
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _X = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -99,6 +100,11 @@ def _docx(data: bytes) -> Iterator[dict]:
                 yield {"text": text, "table_number": n, "row_evidence": some}
 
 
+def _pdf(data: bytes) -> Iterator[dict]:
+    for n, text in enumerate(pdf.page_texts(data), start=1):
+        yield {"text": text, "page_number": n}
+
+
 def _size(data: bytes) -> tuple[int, int]:
     """Width and height from the headers of PNG, BMP and JPEG; zeros for others."""
     if data[:8] == b"\x89PNG\r\n\x1a\n":
@@ -136,7 +142,7 @@ def _zip(data: bytes) -> Iterator[dict]:
                     yield c | {"archive_member_path": "/".join(filter(None, (m.filename, c.get("archive_member_path"))))}
 
 
-READERS = {".csv": _csv, ".xlsx": _xlsx, ".docx": _docx, ".zip": _zip} | dict.fromkeys(IMAGES, _image)
+READERS = {".csv": _csv, ".xlsx": _xlsx, ".docx": _docx, ".pdf": _pdf, ".zip": _zip} | dict.fromkeys(IMAGES, _image)
 
 
 def chunks_of(path: str, data: bytes | None, length: int | None = None) -> Iterator[dict]:
@@ -153,17 +159,35 @@ def chunks_of(path: str, data: bytes | None, length: int | None = None) -> Itera
         yield {"path": path, "suffix": suffix, "text": "", "error": f"{type(e).__name__}: {e}"}
 
 
-def read_chunks(spark: SparkSession, path: str) -> DataFrame:
+def chunks(files: DataFrame) -> DataFrame:
+    """Chunks of files (path, length, content; content null where it is too large)."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for p, data, length in zip(pdf["path"], pdf["content"], pdf["length"], strict=True):
+        for pdf_ in batches:
+            for p, data, length in zip(pdf_["path"], pdf_["content"], pdf_["length"], strict=True):
                 if got := list(chunks_of(p, data, length)):
                     yield pd.DataFrame(got, columns=FIELDS).astype(object).where(lambda d: d.notna(), None)
 
+    return files.select("path", "length", "content").mapInPandas(run, CHUNK_DDL)
+
+
+def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     small = files.where(F.col("length") <= MAX_BYTES).select("path", "length", "content")  # reaches the source: larger files are not loaded
     large = files.where(F.col("length") > MAX_BYTES).select("path", "length", F.lit(None).cast("binary").alias("content"))
-    return small.unionByName(large).mapInPandas(run, CHUNK_DDL)
+    return chunks(small.unionByName(large))
+
+
+def as_pdf(texts: DataFrame, lines: int = 40) -> DataFrame:
+    """(path, length, content): a PDF file of each text (name, text), `lines` lines a page, written in tasks."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            said = [(t or "").split("\n") for t in b["text"]]
+            data = [pdf.write([s[i : i + lines] for i in range(0, len(s), lines)]) for s in said]
+            yield pd.DataFrame({"path": b["name"], "length": list(map(len, data)), "content": data})
+
+    return texts.select("name", "text").mapInPandas(run, "path string, length long, content binary")
 
 
 def read_drafts(spark: SparkSession, path: str) -> DataFrame:
