@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,22 +10,23 @@ from .running import places
 
 
 #: Steps along the edges in one job.
-HOPS = 10
+HOPS = 5
 
 
-def _union(tables: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, tables)
+def _with_stays(edges: DataFrame) -> DataFrame:
+    """(source, target, step): the edges, and for each node a step of length 0 to itself, so that several steps are one chain of joins."""
+    ends = edges.select("source", "target").where("source != target").distinct()
+    nodes = edges.select(F.explode(F.array("source", "target")).alias("source")).distinct()
+    return materialise(ends.withColumn("step", F.lit(1)).unionByName(nodes.select("source", F.col("source").alias("target"), F.lit(0).alias("step"))), "layout-steps")
 
 
 def _spread(frontier: DataFrame, seen: DataFrame, edges: DataFrame) -> DataFrame:
-    """seen with all nodes below the frontier (node, depth); a job for each HOPS depths."""
+    """seen with all nodes below the frontier (node, depth); a job for each HOPS depths. edges: _with_stays()."""
     while True:
-        steps, at = [], frontier
+        at = frontier
         for _ in range(HOPS):
-            found = at.join(edges, at["node"] == edges["source"]).groupBy(F.col("target").alias("node")).agg((F.min("depth") + 1).alias("depth"))
-            at = found.join(seen.select("node"), "node", "left_anti")
-            steps.append(at)
-        fresh = materialise(_union(steps).groupBy("node").agg(F.min("depth").alias("depth")), "layout-frontier")
+            at = at.join(edges, at["node"] == edges["source"]).groupBy(F.col("target").alias("node")).agg(F.min(F.col("depth") + F.col("step")).alias("depth"))
+        fresh = materialise(at.join(seen.select("node"), "node", "left_anti"), "layout-frontier")
         deepest = fresh.agg(F.max("depth")).first()[0]
         if deepest is None:
             drop(fresh)
@@ -42,18 +41,16 @@ def least_ancestors(edges: DataFrame) -> DataFrame:
 
     Taking nodes by id, each that none before it reaches starts a layout anew. So it is a root exactly if it is its own
     least ancestor, and what it reaches first is what has it as the least. All roots are found at once:
-    least ids run along the edges, and in a round only those that changed. edges: source, target.
+    least ids run along the edges, and in a round only those that changed. edges: _with_stays().
     """
-    ids = edges.select(F.col("source").alias("node")).union(edges.select("target")).distinct()
-    state = materialise(ids.withColumn("root", F.col("node")), "layout-roots")
+    state = materialise(edges.where("step = 0").select(F.col("source").alias("node"), F.col("source").alias("root")), "layout-roots")
     frontier = state
     while True:
-        steps, at = [], frontier
+        at = frontier
         for _ in range(HOPS):
-            told = at.join(edges, at["node"] == edges["source"]).groupBy(F.col("target").alias("node")).agg(F.min("root").alias("told"))
-            at = told.join(state, "node").where("told < root").select("node", F.col("told").alias("root"))
-            steps.append(at)
-        fresh = materialise(_union(steps).groupBy("node").agg(F.min("root").alias("root")), "layout-told")
+            at = at.join(edges, at["node"] == edges["source"]).groupBy(F.col("target").alias("node")).agg(F.min("root").alias("root"))
+        told = at.withColumnRenamed("root", "told").join(state, "node").where("told < root")
+        fresh = materialise(told.select("node", F.col("told").alias("root")), "layout-told")
         if frontier is not state:
             drop(frontier)
         if fresh.isEmpty():
@@ -68,19 +65,21 @@ def depths(edges: DataFrame) -> DataFrame:
     """(node, depth): nodes without incoming edges are at 0; then, by id, what they do not reach starts anew at 0. The jobs do not grow with the number of cycles."""
     ids = materialise(edges.select(F.col("source").alias("node")).union(edges.select("target")).distinct(), "layout-nodes")
     first = materialise(ids.join(edges.select(F.col("target").alias("node")), "node", "left_anti").withColumn("depth", F.lit(0)), "layout-seen")
-    seen = _spread(first, first, edges)
+    steps = _with_stays(edges)
+    seen = _spread(first, first, steps)
+    drop(steps)
     rest = materialise(ids.join(seen, "node", "left_anti"), "layout-rest")
     drop(ids)
     if rest.isEmpty():
         return seen
-    ends = edges.select("source", "target").where("source != target").distinct()
-    inner = materialise(ends.join(rest.withColumnRenamed("node", "source"), "source").join(rest.withColumnRenamed("node", "target"), "target"), "layout-inner")
+    inner = edges.select("source", "target").join(rest.withColumnRenamed("node", "source"), "source").join(rest.withColumnRenamed("node", "target"), "target")
+    inner = _with_stays(inner)
     roots = least_ancestors(inner)
     alone = rest.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
     alone = materialise(alone, "layout-rooted")
     # below a root only what it is the least ancestor of; all roots start together
     own = inner.join(alone.select(F.col("node").alias("source"), F.col("root").alias("r0")), "source").join(alone.select(F.col("node").alias("target"), F.col("root").alias("r1")), "target").where("r0 = r1")
-    own = materialise(own.select("source", "target"), "layout-own")
+    own = materialise(own.select("source", "target", "step"), "layout-own")
     start = materialise(alone.where("node = root").select("node", F.lit(0).alias("depth")), "layout-seen")
     found = _spread(start, start, own)
     both = materialise(seen.unionByName(found), "layout-seen")
