@@ -187,6 +187,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sql() -> str:
+    """The same rule: units, their lines, and heads that an earlier unit left open (a head that goes on to a longer head included)."""
     known = ", ".join(f"('{v}', '{k}')" for k, v in SENTENCES.items())
     steps, hits = [], []
     for k, (name, seq) in enumerate(RULES):
@@ -194,11 +195,22 @@ def sql() -> str:
         steps.append(f"replace({before}, {want}, ' | ') AS s{k}")
         hits.append(f"CASE WHEN contains({before}, {want}) THEN '{name}' END")
     restricted = ", ".join(f"'{r}'" for r in RESTRICTED)
+    heads = "[" + ", ".join(f"'{h}'" for h in HEADS) + "]"
+    nested = max(sum(h.startswith(g) for g in HEADS) for h in HEADS)  # units that a head is made of
+    opened = "list_filter({heads}, lambda h: list_contains(list_transform(coalesce({before}, []), lambda g: g || ' ' || us[1]), h)) AS o{k}"
+    opens = [f"e{k} AS (SELECT *, {opened.format(heads=heads, before=f'x{k}', k=k)} FROM (SELECT *, lag(o{k - 1}) OVER (PARTITION BY doc_id ORDER BY p) AS x{k} FROM e{k - 1}))" for k in range(2, nested + 1)]
+    is_open = " OR ".join(f"list_contains(o{k}, h)" for k in range(1, nested + 1))
     norm = lambda x: f"trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))"
     return rf"""
 WITH known(sentence, id) AS (VALUES {known}),
 u AS (SELECT doc_id, p, unit FROM (SELECT doc_id, unnest(cut) AS unit, generate_subscripts(cut, 1) AS p FROM (SELECT doc_id, string_split_regex(regexp_replace(text, '([.!?;:])\s+', '\1' || chr(1), 'g'), chr(1) || '|\n\s*\n') AS cut FROM documents WHERE text IS NOT NULL))),
-c AS (SELECT doc_id, p, 0 AS i, {norm('unit')} AS s FROM u UNION ALL SELECT doc_id, p, i, {norm('line')} FROM (SELECT doc_id, p, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (SELECT doc_id, p, string_split(unit, chr(10)) AS ls FROM u WHERE contains(unit, chr(10))))),
+v AS (SELECT doc_id, p, CASE WHEN contains(unit, chr(10)) THEN list_prepend({norm('unit')}, list_transform(string_split(unit, chr(10)), lambda l: {norm('l')})) ELSE [{norm('unit')}] END AS us FROM u),
+e1 AS (SELECT *, list_filter({heads}, lambda h: h = us[1] OR h = us[-1]) AS o1 FROM v),
+{', '.join(opens)},
+o AS (SELECT doc_id, p, us, coalesce(lag(list_filter({heads}, lambda h: {is_open})) OVER (PARTITION BY doc_id ORDER BY p), []) AS open FROM e{nested}),
+m AS (SELECT doc_id, p, us, flatten(list_transform(open, lambda h: list_transform(us[1:2], lambda t: h || ' ' || t))) AS made FROM o),
+a AS (SELECT doc_id, p, list_concat(list_filter(made, lambda x, i: list_position(made, x) = i), us) AS every FROM m),
+c AS (SELECT doc_id, p, unnest(every) AS s, generate_subscripts(every, 1) AS i FROM a),
 h AS (SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY p, i) AS ids FROM c JOIN known ON c.s = known.sentence GROUP BY doc_id),
 r AS (SELECT doc_id, coalesce(n, 0) AS n, coalesce(ids, '') AS ids, ' ' || replace(coalesce(ids, ''), ',', ' ') || ' ' AS s FROM documents LEFT JOIN h USING (doc_id)),
 q AS (SELECT *, {', '.join(steps)} FROM r),

@@ -208,6 +208,20 @@ def test_licenses_in_their_usual_text(spark):
         assert (got[k].sentences, got[k].licenses) == (ids, [name]), text
 
 
+def test_licence_sql_equals_the_operator(spark, tmp_path):
+    """On every standard text, alone and within others; and on cut, wrapped, empty and null ones."""
+    import duckdb
+
+    texts = [STANDARD[i] for i in STANDARD] + ["\n\n".join(["Some words here.", *(STANDARD[i] for i in seq), "More words."]) for _, seq in licenses.RULES]
+    texts += [f"# {STANDARD[i]}" for i in STANDARD if i.startswith("spdx")] + [STANDARD["gpl-1"].replace(" ", "\n", 9), STANDARD["gpl-1"] * 2, None, "", "SPDX-License-Identifier:", "x. SPDX-License-Identifier:\nMIT\nmore", "Words. All rights\nreserved."]
+    spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = sorted(map(tuple, licenses.op10_licenses(spark, str(tmp_path)).collect()))
+    assert got == sorted(con.execute(licenses.sql()).fetchall())
+    assert sum(r[1] > 0 for r in got) > 100
+
+
 def test_licenses_need_no_hint(spark):
     texts = ["This work is dedicated to the public\ndomain.", "This work is dedicated to the public  domain.", "Words. All rights\nreserved.", STANDARD["gpl-2"]]
     got = {r.doc_id: r.sentences for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
