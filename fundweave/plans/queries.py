@@ -333,6 +333,12 @@ def src_pdf(spark, sf):
     return pages.select(F.regexp_extract("path", r"(\d+)\.pdf$", 1).cast("long").alias("doc_id"), "page_number", "text")
 
 
+query("agg_reported_losses", "SELECT region AS case_id, CAST(sum(amount) AS DOUBLE) AS reported_loss FROM tx GROUP BY region")(
+    lambda s, sf: repository.reported_losses(adapter.transactions(s, sf).select(F.col("region").alias("case_id"), F.col("amount").alias("reported_loss"))).select("case_id", _dbl("reported_loss"))
+)
+query("agg_seed_total", "SELECT CAST(coalesce(sum(amount), 0) AS DOUBLE) AS amount FROM a WHERE review_status = 'confirmed' AND payer_account IN ('U0', 'U5', 'U10')", f"{TX}, {TWO}")(
+    lambda s, sf: repository.seed_total(adapter.two_sources(s, sf).where(F.col("payer_account").isin(*VICTIMS) & (F.col("source_file_id") == "A") & filters.status("confirmed"))).select(_dbl())
+)
 query("set_first_seen", "SELECT user_id, CAST(row_number() OVER (ORDER BY min(event_id)) AS BIGINT) AS place FROM events GROUP BY user_id", "")(
     lambda s, sf: running.places(s.read.parquet(f"{sf}/events.parquet").groupBy("user_id").agg(F.min("event_id").alias("first")), [F.asc("first")], "first-seen").select("user_id", "place")
 )

@@ -105,8 +105,37 @@ def _pdf(data: bytes) -> Iterator[dict]:
         yield {"text": text, "page_number": n}
 
 
+def _webp_size(data: bytes) -> tuple[int, int]:
+    kind = data[12:16]
+    if kind == b"VP8 " and data[23:26] == b"\x9d\x01\x2a":  # lossy: 14 bits each, then a scale
+        return tuple(x & 0x3FFF for x in struct.unpack("<HH", data[26:30]))
+    if kind == b"VP8L" and data[20:21] == b"\x2f":  # lossless: 14 bits each, less one
+        bits = int.from_bytes(data[21:25], "little")
+        return (bits & 0x3FFF) + 1, (bits >> 14 & 0x3FFF) + 1
+    if kind == b"VP8X" and len(data) >= 30:  # extended: 24 bits each, less one
+        return int.from_bytes(data[24:27], "little") + 1, int.from_bytes(data[27:30], "little") + 1
+    return 0, 0
+
+
+def _tiff_size(data: bytes) -> tuple[int, int]:
+    """Of the first directory, in either byte order."""
+    order = "<" if data[:2] == b"II" else ">"
+    at = struct.unpack(f"{order}I", data[4:8])[0]
+    found = {}
+    for k in range(struct.unpack(f"{order}H", data[at : at + 2])[0]):
+        entry = data[at + 2 + 12 * k : at + 14 + 12 * k]
+        tag, kind = struct.unpack(f"{order}HH", entry[:4])
+        if tag in (256, 257) and kind in (3, 4):
+            found[tag] = struct.unpack(f"{order}{'H' if kind == 3 else 'I'}", entry[8 : 10 if kind == 3 else 12])[0]
+    return found.get(256, 0), found.get(257, 0)
+
+
 def _size(data: bytes) -> tuple[int, int]:
-    """Width and height from the headers of PNG, BMP and JPEG; zeros for others."""
+    """Width and height from the headers of PNG, BMP, JPEG, WebP and TIFF; zeros for others."""
+    if data[:4] == b"RIFF" and data[8:12] == b"WEBP":
+        return _webp_size(data)
+    if data[:4] in (b"II*\0", b"MM\0*"):
+        return _tiff_size(data)
     if data[:8] == b"\x89PNG\r\n\x1a\n":
         return struct.unpack(">II", data[16:24])
     if data[:2] == b"BM":

@@ -418,6 +418,16 @@ def material_counts(materials: DataFrame) -> DataFrame:
     return materials.agg(of("queued", "parsing").alias("active"), of("failed").alias("failed"), of("partial").alias("partial"))
 
 
+def reported_losses(victims: DataFrame) -> DataFrame:
+    """(case_id, reported_loss): what a case's victims reported together."""
+    return victims.groupBy("case_id").agg(F.sum("reported_loss").alias("reported_loss"))
+
+
+def seed_total(seeds: DataFrame) -> DataFrame:
+    """What all seeds amount to, 0 for none."""
+    return seeds.agg(F.coalesce(F.sum("amount"), F.lit(0)).alias("amount"))
+
+
 def labelled(records: DataFrame, materials: DataFrame) -> DataFrame:
     """records (source_file_id) with their material's file name, which is unknown for deleted ones."""
     names = materials.select(F.col("material_id").alias("source_file_id"), "file_name")
