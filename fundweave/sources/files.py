@@ -1,9 +1,10 @@
-"""Statement files to chunks: CSV, XLSX, DOCX, PDF, images and ZIP archives of these.
+"""Statement files to chunks: CSV, XLSX, XLS, DOCX, PDF, images and ZIP archives of these.
 
 Files are read as binaryFile rows and cut into chunks inside tasks with the standard library; a file is
-one row, so its size is bounded by MAX_BYTES (larger files are refused, not cut). Cells are read as
-text: account numbers keep their leading zeros and digits. XLS and RAR need libraries that are
-not assumed and are refused with a reason.
+one row, so its size is bounded by MAX_BYTES (larger files are refused, not cut). An archive's members
+are rows of their own. Cells are read as
+text: account numbers keep their leading zeros and digits. RAR needs a library that is
+not assumed and is refused with a reason.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import posixpath
 import re
 import struct
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -23,7 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import RECORD_DDL
-from . import pdf
+from ..scratch import materialise
+from . import pdf, xls
 
 MAX_BYTES, MAX_MEMBERS, MAX_UNPACKED, ROWS_PER_CHUNK = 100 << 20, 2000, 1 << 30, 8
 IMAGES = (".png", ".jpg", ".jpeg", ".webp", ".bmp", ".tif", ".tiff")
@@ -84,6 +87,11 @@ def _xlsx(data: bytes) -> Iterator[dict]:
             yield from _row_chunks(sheet.get("name"), rows)
 
 
+def _xls(data: bytes) -> Iterator[dict]:
+    for name, rows in xls.sheets(data):
+        yield from _row_chunks(name, rows)
+
+
 def _docx(data: bytes) -> Iterator[dict]:
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{_W}body")
@@ -154,24 +162,54 @@ def _image(data: bytes) -> Iterator[dict]:
     yield {"text": "", "requires_vision": True, "region": [0.0, 0.0, *map(float, _size(data))]}
 
 
+def _members(z: zipfile.ZipFile) -> list[zipfile.ZipInfo]:
+    """Members of supported kinds. Paths that leave the archive, and archives beyond the limits, are refused as a whole."""
+    members = [m for m in z.infolist() if not m.is_dir()]
+    if len(members) > MAX_MEMBERS or sum(m.file_size for m in members) > MAX_UNPACKED:
+        raise Unsupported("archive beyond the limits")
+    for m in members:
+        name = m.filename.replace("\\", "/")
+        if name.startswith("/") or ":" in name or ".." in name.split("/"):
+            raise Unsupported(f"unsafe member path {m.filename}")
+    return [m for m in members if posixpath.splitext(m.filename)[1].lower() in READERS]
+
+
+def _member_chunks(name: str, data: bytes) -> Iterator[dict]:
+    for c in READERS[posixpath.splitext(name)[1].lower()](data):
+        yield c | {"archive_member_path": "/".join(filter(None, (name, c.get("archive_member_path"))))}
+
+
 def _zip(data: bytes) -> Iterator[dict]:
-    """Chunks of all members of supported kinds. Paths that leave the archive, and archives beyond the limits, are refused as a whole."""
+    """Chunks of all members of supported kinds."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        members = [m for m in z.infolist() if not m.is_dir()]
-        if len(members) > MAX_MEMBERS or sum(m.file_size for m in members) > MAX_UNPACKED:
-            raise Unsupported("archive beyond the limits")
-        for m in members:
-            name = m.filename.replace("\\", "/")
-            if name.startswith("/") or ":" in name or ".." in name.split("/"):
-                raise Unsupported(f"unsafe member path {m.filename}")
-        for m in members:
-            suffix = posixpath.splitext(m.filename)[1].lower()
-            if suffix in READERS:
-                for c in READERS[suffix](z.read(m)):
-                    yield c | {"archive_member_path": "/".join(filter(None, (m.filename, c.get("archive_member_path"))))}
+        for m in _members(z):
+            yield from _member_chunks(m.filename, z.read(m))
+
+
+def packed_members(path: str, data: bytes | None, length: int) -> Iterator[dict]:
+    """The members of an archive by its central directory, as they lie in it; one row with the reason where it can't be read."""
+    try:
+        if data is None or length > MAX_BYTES:
+            raise Unsupported("file over the size limit")
+        out = []
+        with zipfile.ZipFile(io.BytesIO(data)) as z:
+            for n, m in enumerate(_members(z)):
+                first = m.header_offset + 30 + sum(struct.unpack_from("<HH", data, m.header_offset + 26))
+                plain = m.compress_type not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED) or m.flag_bits & 1  # other methods, and a password's refusal
+                out.append({"path": path, "n": n, "member": m.filename, "deflated": m.compress_type == zipfile.ZIP_DEFLATED and not plain, "crc": m.CRC, "size": m.file_size, "content": z.read(m) if plain else data[first : first + m.compress_size]})
+        yield from out
+    except Exception as e:  # noqa: BLE001  whatever a broken file raises concerns that file alone
+        yield {"path": path, "n": -1, "error": f"{type(e).__name__}: {e}"}
+
 
+def unpack(content: bytes, deflated: bool, crc: int, size: int) -> bytes:
+    out = zlib.decompressobj(-15).decompress(content, size + 1) if deflated else content
+    if len(out) != size or zlib.crc32(out) != crc:
+        raise zipfile.BadZipFile("Bad CRC-32 or size of a member")
+    return out
 
-READERS = {".csv": _csv, ".xlsx": _xlsx, ".docx": _docx, ".pdf": _pdf, ".zip": _zip} | dict.fromkeys(IMAGES, _image)
+
+READERS = {".csv": _csv, ".xlsx": _xlsx, ".xls": _xls, ".docx": _docx, ".pdf": _pdf, ".zip": _zip} | dict.fromkeys(IMAGES, _image)
 
 
 def chunks_of(path: str, data: bytes | None, length: int | None = None) -> Iterator[dict]:
@@ -192,19 +230,60 @@ def chunks(files: DataFrame) -> DataFrame:
     """Chunks of files (path, length, content; content null where it is too large)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf_ in batches:
-            for p, data, length in zip(pdf_["path"], pdf_["content"], pdf_["length"], strict=True):
+        for b in batches:
+            for p, data, length in zip(b["path"], b["content"], b["length"], strict=True):
                 if got := list(chunks_of(p, data, length)):
-                    yield pd.DataFrame(got, columns=FIELDS).astype(object).where(lambda d: d.notna(), None)
+                    yield _frame(got)
 
     return files.select("path", "length", "content").mapInPandas(run, CHUNK_DDL)
 
 
+def _frame(rows: list[dict], names: list[str] = FIELDS) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=names).astype(object).where(lambda d: d.notna(), None)
+
+
+def archive_chunks(files: DataFrame) -> DataFrame:
+    """Chunks of ZIP archives (path, length, content), each member in a task of its own choosing.
+
+    A first pass takes archives apart without unpacking them; their members are dealt to all tasks and
+    unpacked and read there. A member that can't be read fails its archive, as where that is read in one piece.
+    """
+    names = ["path", "n", "member", "deflated", "crc", "size", "content", "error"]
+
+    def take_apart(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for p, data, length in zip(b["path"], b["content"], b["length"], strict=True):
+                for m in packed_members(p, data, length):
+                    yield _frame([m], names)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for m in b.to_dict("records"):
+                base = {"path": m["path"], "suffix": ".zip", "n": m["n"]}
+                try:
+                    if m["error"] is not None:
+                        got = [base | {"text": "", "error": m["error"]}]
+                    else:
+                        got = [base | c for c in _member_chunks(m["member"], unpack(bytes(m["content"]), m["deflated"], int(m["crc"]), int(m["size"])))]
+                except Exception as e:  # noqa: BLE001
+                    got = [base | {"text": "", "error": f"{type(e).__name__}: {e}"}]
+                if got:
+                    yield _frame(got, [*FIELDS, "n"])
+
+    apart = files.select("path", "length", "content").mapInPandas(take_apart, "path string, n long, member string, deflated boolean, crc long, size long, content binary, error string")
+    read = materialise(apart.repartition("path", "n").mapInPandas(run, f"{CHUNK_DDL}, n long"), "archive-chunks")
+    failed = read.where("error is not null").groupBy("path").agg(F.min_by("error", "n").alias("error"))
+    refused = failed.select("path", F.lit(".zip").alias("suffix"), F.lit("").alias("text"), "error")
+    return read.join(failed.select("path"), "path", "left_anti").select(*FIELDS).unionByName(refused, allowMissingColumns=True)
+
+
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     small = files.where(F.col("length") <= MAX_BYTES).select("path", "length", "content")  # reaches the source: larger files are not loaded
     large = files.where(F.col("length") > MAX_BYTES).select("path", "length", F.lit(None).cast("binary").alias("content"))
-    return chunks(small.unionByName(large))
+    every = small.unionByName(large)
+    archive = F.lower("path").endswith(".zip")
+    return chunks(every.where(~archive)).unionByName(archive_chunks(every.where(archive)))
 
 
 def as_pdf(texts: DataFrame, lines: int = 40) -> DataFrame:
