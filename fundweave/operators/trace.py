@@ -105,3 +105,13 @@ def bundle(tx: DataFrame, start: str, end: str, hops: int) -> DataFrame:
         "upstream": listed(reach(backward, start, hops), "node"), "downstream": listed(reach(forward, start, hops), "node"),
         "shortest_path": shortest_path(forward, start, end).scalar() if end else F.array().cast("array<string>"), "cycles": listed(cycles(forward, start, hops), "path"),
     })
+
+
+def bundle_rows(tx: DataFrame, start: str, end: str, hops: int) -> DataFrame:
+    """(kind, item, depth): the same as rows: upstream and downstream nodes with their depth, the shortest path and the cycles as lists. However much the hops reach, no row grows with it."""
+    forward = materialise(account_edges(tx), "trace-edges")
+    backward = forward.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    nodes = lambda kind, edges: reach(edges, start, hops).select(F.lit(kind).alias("kind"), F.array("node").alias("item"), F.col("depth").cast("int").alias("depth"))
+    paths = lambda kind, found: found.select(F.lit(kind).alias("kind"), F.col("path").alias("item"), F.lit(None).cast("int").alias("depth"))
+    got = nodes("upstream", backward).unionByName(nodes("downstream", forward)).unionByName(paths("cycle", cycles(forward, start, hops)))
+    return got.unionByName(paths("shortest_path", shortest_path(forward, start, end))) if end else got

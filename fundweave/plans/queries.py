@@ -262,6 +262,16 @@ query("trace_path", f"SELECT array_to_string(p, '>') AS path FROM (SELECT p FROM
     lambda s, sf: trace.shortest_path(trace.account_edges(adapter.transactions(s, sf)), START, END).select(F.array_join("path", ">").alias("path"))
 )
 query("trace_bundle")(lambda s, sf: trace.bundle(adapter.transactions(s, sf), START, END, HOPS))
+_BUNDLE = f"""{TX}{_E},
+up AS (SELECT '{START}' AS node, 0 AS depth UNION SELECT e.src, depth + 1 FROM up JOIN e ON e.dst = up.node WHERE depth < {HOPS}),
+down AS (SELECT '{START}' AS node, 0 AS depth UNION SELECT e.dst, depth + 1 FROM down JOIN e ON e.src = down.node WHERE depth < {HOPS}),
+way AS (SELECT ['{START}'] AS p UNION ALL SELECT list_append(p, e.dst) FROM way JOIN e ON e.src = p[-1] WHERE len(p) < 8 AND p[-1] <> '{END}' AND NOT list_contains(p, e.dst)),
+ring AS (SELECT ['{START}'] AS p UNION ALL SELECT list_append(p, e.dst) FROM ring JOIN e ON e.src = p[-1] WHERE len(p) < {HOPS + 2} AND NOT list_contains(p, e.dst))"""
+query("trace_bundle_rows", f"""SELECT 'upstream' AS kind, node AS item, CAST(min(depth) AS INT) AS depth FROM up GROUP BY node UNION ALL SELECT 'downstream', node, CAST(min(depth) AS INT) FROM down GROUP BY node
+UNION ALL SELECT 'shortest_path', array_to_string(p, '>'), NULL FROM (SELECT p FROM way WHERE p[-1] = '{END}' ORDER BY len(p), p LIMIT 1)
+UNION ALL SELECT 'cycle', path, NULL FROM (SELECT array_to_string(list_append(p, '{START}'), '>') AS path FROM ring JOIN e ON e.src = ring.p[-1] WHERE e.dst = '{START}' AND len(p) > 1 ORDER BY list_append(p, '{START}') LIMIT 50)""", _BUNDLE)(
+    lambda s, sf: trace.bundle_rows(adapter.transactions(s, sf), START, END, HOPS).withColumn("item", F.array_join("item", ">"))
+)
 
 for _o, _sql in (("time_asc", "transaction_time, seq"), ("time_desc", "transaction_time DESC, seq"), ("amount_desc", "amount DESC, seq")):
     query(f"sort_{_o}", f"SELECT transaction_id, CAST(row_number() OVER (ORDER BY {_sql}) AS BIGINT) AS place FROM tx")(
