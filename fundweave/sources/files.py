@@ -29,6 +29,7 @@ from ..scratch import materialise
 from . import pdf, xls
 
 MAX_BYTES, MAX_MEMBERS, MAX_UNPACKED, ROWS_PER_CHUNK = 100 << 20, 2000, 1 << 30, 8
+BATCH = 1000
 IMAGES = (".png", ".jpg", ".jpeg", ".webp", ".bmp", ".tif", ".tiff")
 CHUNK_DDL = """path string, archive_member_path string, suffix string, text string, row_data map<string,string>, sheet_name string, row_number int,
 paragraph_number int, table_number int, page_number int, row_evidence array<struct<row_number:int,text:string>>, requires_vision boolean, region array<double>, error string"""
@@ -230,10 +231,14 @@ def chunks(files: DataFrame) -> DataFrame:
     """Chunks of files (path, length, content; content null where it is too large)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = []
         for b in batches:
             for p, data, length in zip(b["path"], b["content"], b["length"], strict=True):
-                if got := list(chunks_of(p, data, length)):
-                    yield _frame(got)
+                held += chunks_of(p, data, length)
+                if len(held) >= BATCH:
+                    yield _frame(held)
+                    held = []
+        yield _frame(held)
 
     return files.select("path", "length", "content").mapInPandas(run, CHUNK_DDL)
 

@@ -16,6 +16,8 @@ from collections.abc import Iterator
 
 SPACE, DELIMITERS = b"\0\t\n\x0c\r ", b"()<>[]{}/%"
 _TOKEN = re.compile(rb"[^\0\t\n\x0c\r ()<>\[\]{}/%]+")
+#: The common tokens behind white space: a name, a hex string, a number or word.
+_NEXT = re.compile(rb"[\0\t\n\x0c\r ]*(?:/([^\0\t\n\x0c\r ()<>\[\]{}/%#]*+)(?!#)|<([0-9A-Fa-f\0\t\n\x0c\r ]*)>|([^\0\t\n\x0c\r ()<>\[\]{}/%]+))")
 _ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
 #: A kerning step beyond this, in thousandths of the font size, is a space; indirect references are followed so deep; pages in a file.
 GAP, DEPTH, MOST_PAGES = -200, 40, 100_000
@@ -53,7 +55,12 @@ class Lexer:
                 return
 
     def next(self):
-        """The next object; None at the end. References are left to value()."""
+        """The next object; None at the end. References are left to _push()."""
+        if m := _NEXT.match(self.data, self.at):
+            self.at, kind = m.end(), m.lastindex
+            if kind == 1:
+                return Name(m[1].decode("latin-1"))
+            return self._hex(m[2]) if kind == 2 else self._word(m[3])
         self.skip()
         d, at = self.data, self.at
         c = d[at : at + 1]
@@ -73,8 +80,7 @@ class Lexer:
             if end < 0:
                 raise Broken("hex string does not end")
             self.at = end + 1
-            digits = bytes(x for x in d[at + 1 : end] if x not in SPACE)
-            return bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode("latin-1"))
+            return self._hex(d[at + 1 : end])
         if c == b"[":
             self.at += 1
             out = []
@@ -85,11 +91,23 @@ class Lexer:
             return out
         m = _TOKEN.match(d, at)
         self.at = m.end() if m else at + 1
-        word = m[0] if m else c
+        return self._word(m[0] if m else c)
+
+    @staticmethod
+    def _hex(digits: bytes) -> bytes:
+        digits = digits.translate(None, SPACE)
+        return bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode("latin-1"))
+
+    @staticmethod
+    def _word(word: bytes):
+        if word.isdigit():
+            return int(word)
+        if word[0] not in b"+-.0123456789":
+            return {b"true": True, b"false": False}.get(word, Word(word))
         try:
             return float(word) if b"." in word else int(word)
         except ValueError:
-            return {b"true": True, b"false": False}.get(word, Word(word))
+            return Word(word)
 
     @staticmethod
     def _push(out: list, x) -> None:
@@ -351,7 +369,19 @@ class Pdf:
         if not isinstance(cmap, tuple):
             return (lambda raw: "�" * (len(raw) // 2)) if font.get("Subtype") == "Type0" else None
         wide, table = to_unicode(cmap[1])
-        return lambda raw: "".join(table.get(raw[i : i + wide], "�") for i in range(0, len(raw), wide))
+        if wide > 2:
+            return lambda raw: "".join(table.get(raw[i : i + wide], "�") for i in range(0, len(raw), wide))
+        mapped = _Mapped({int.from_bytes(c, "big"): s for c, s in table.items() if len(c) == wide})
+        if wide == 1:
+            return lambda raw: raw.decode("latin-1").translate(mapped)
+        # two bytes a code: read as UTF-16 where no code looks like half a pair
+        pairs = any(0xD800 <= c < 0xE000 for c in mapped)
+        return lambda raw: "".join(mapped[int.from_bytes(raw[i : i + 2], "big")] for i in range(0, len(raw), 2)) if pairs or len(raw) % 2 else raw.decode("utf-16-be", "replace").translate(mapped)
+
+
+class _Mapped(dict):
+    def __missing__(self, code: int) -> str:
+        return "�"
 
 
 def to_unicode(data: bytes) -> tuple[int, dict[bytes, str]]:
@@ -385,7 +415,9 @@ def page_texts(data: bytes) -> Iterator[str]:
 
 def write(pages: list[list[str]], packed: bool = True) -> bytes:
     """A PDF file of pages of lines. packed: objects in an object stream and a cross-reference stream, else a plain table."""
-    codes = {c: k for k, c in enumerate(sorted({c for p in pages for line in p for c in line}), 1)}
+    used = sorted({c for p in pages for line in p for c in line})
+    codes = {c: k if k < 0xD800 else k + 0x800 for k, c in enumerate(used, 1)}  # none is half a pair of UTF-16
+    coded = str.maketrans({c: chr(k) for c, k in codes.items()})
     maps = [f"<{k:04x}> <{c.encode('utf-16-be', 'surrogatepass').hex()}>" for c, k in codes.items()]
     cmap = "1 begincodespacerange <0000> <ffff> endcodespacerange\n" + "\n".join(f"{len(maps[i : i + 100])} beginbfchar\n" + "\n".join(maps[i : i + 100]) + "\nendbfchar" for i in range(0, len(maps), 100))
     plain = {1: "<< /Type /Catalog /Pages 2 0 R >>", 3: "<< /Type /Font /Subtype /Type0 /BaseFont /Text /Encoding /Identity-H /ToUnicode 4 0 R /DescendantFonts [<< /Type /Font /Subtype /CIDFontType2 /BaseFont /Text >>] >>"}
@@ -395,7 +427,7 @@ def write(pages: list[list[str]], packed: bool = True) -> bytes:
         page, content = 5 + 2 * k, 6 + 2 * k
         kids.append(f"{page} 0 R")
         plain[page] = f"<< /Type /Page /Parent 2 0 R /Contents {content} 0 R >>"
-        shown = [f"<{''.join(f'{codes[c]:04x}' for c in line)}> Tj T*" for line in lines]
+        shown = [f"<{line.translate(coded).encode('utf-16-be').hex()}> Tj T*" for line in lines]
         streams[content] = ("BT /F 10 Tf 12 TL 40 800 Td\n" + "\n".join(shown) + "\nET").encode()
     plain[2] = f"<< /Type /Pages /Kids [{' '.join(kids)}] /Count {len(kids)} /MediaBox [0 0 595 842] /Resources << /Font << /F 3 0 R >> >> >>"
     out, where = bytearray(b"%PDF-1.5\n%\xe2\xe3\xcf\xd3\n"), {}
