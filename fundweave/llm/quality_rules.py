@@ -1,14 +1,20 @@
 """Quality rules with adaptive thresholds, in DataFrame operations only.
 
-Features of each text go into mergeable KLL quantile sketches for each (lang, source). The sketches
-merge into one for each lang and one for all. Fences come from the sketches' quartiles: for each
-feature, upper = q3 + REACH * max(q3 - q1, SPREAD) and, for word length, lower alike. A (lang,
-source) with fewer than LEAST_ROWS sketched texts takes its lang's fences, such a lang those of all.
-A source of which most is junk would widen its own fences, so a source's fence is held within SLACK
+Features and sizes of each text go into mergeable KLL quantile sketches for each (lang, source). The
+sketches merge into one for each lang and one for all. Fences come from the sketches alone (RULES): a
+feature's upper fence is outer + REACH * max(outer - inner, units / typical size), with two of its
+quantiles and the median size of the group's texts. Word length has a lower fence alike. The last term
+is what a few symbols, lines or words make of a typical text of the group: most texts have no symbols
+or repeated lines, so both quantiles may be zero, and texts of a group of long ones are held to less.
+A (lang, source) with fewer than LEAST_ROWS sketched texts takes its lang's fences, such a lang those of
+all. A source of which most is junk would widen its own fences, so a source's fence is held within SLACK
 times its lang's reach. The verdict comes from joining texts with their group's fences.
 
 Null text: no words, base_failed. Null lang or source is a group of its own. Repeated rows are judged
-alike. Ties at a fence are kept. With no sketched text there are no fences and base_failed decides.
+alike. Ties at a fence are kept. With no sketched text, or an empty table, there are no fences and
+base_failed decides. Only doc_id, text, lang and source are read: other columns, whatever their names,
+do not matter and are not returned. A text is one row whatever its length; its words and windows are
+arrays of that row alone.
 KLL keeps groups of up to SKETCH_K rows whole; beyond that its rank error is about 1/SKETCH_K.
 """
 
@@ -19,8 +25,10 @@ from pyspark.sql import functions as F
 
 from .common import WHITE, materialise, table, text_of
 
-#: feature -> least spread; all have upper fences, LOWER_FENCED also lower ones.
-SPREAD = {"symbol_ratio": 0.05, "dup_line_ratio": 0.1, "repeat_ratio": 0.1, "mean_word_chars": 0.4}
+#: feature -> (inner quantile, outer quantile, units, size): all have upper fences, LOWER_FENCED also lower ones.
+#: Symbols take a lower outer quantile, since junk that consists of them may be a twentieth of a group.
+RULES = {"symbol_ratio": (0.5, 0.9, 3, "n_words"), "dup_line_ratio": (0.5, 0.95, 0.5, "n_lines"), "repeat_ratio": (0.5, 0.95, 8, "n_words"), "mean_word_chars": (0.25, 0.75, 10, "n_words")}
+SIZES = ("n_words", "n_lines")
 LOWER_FENCED = ("mean_word_chars",)
 REACH, SLACK, LEAST_ROWS, SKETCH_K, MOST_BROADCAST = 4.0, 2.0, 30, 2000, 100_000
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -66,35 +74,39 @@ def metrics(docs: DataFrame) -> DataFrame:
     })
 
 
-def _quartiles(sketches: DataFrame, keys: list[str], prefix: str) -> DataFrame:
-    got = [F.kll_sketch_get_quantile_double(f"k_{f}", F.lit(q)).alias(f"{prefix}_{f}_q{i}") for f in SPREAD for i, q in ((1, 0.25), (3, 0.75))]
-    return sketches.select(*keys, F.col("n").alias(f"{prefix}_n"), *got)
+def _quantiles(sketches: DataFrame, keys: list[str], prefix: str) -> DataFrame:
+    at = lambda c, q: F.kll_sketch_get_quantile_double(f"k_{c}", F.lit(q))
+    got = [c for f, (inner, outer, _, _) in RULES.items() for c in (at(f, inner).alias(f"{prefix}_{f}_inner"), at(f, outer).alias(f"{prefix}_{f}_outer"))]
+    return sketches.select(*keys, F.col("n").alias(f"{prefix}_n"), *got, *(at(c, 0.5).alias(f"{prefix}_{c}") for c in SIZES))
 
 
 def thresholds(measured: DataFrame) -> DataFrame:
     """One row for each (lang, source) seen: hi_<feature> and lo_<feature>, null where nothing was sketched."""
     good = ~F.col("base_failed")
     null_safe = {"g_lang": F.struct("lang"), "g_source": F.struct("source")}  # a struct that holds null is not null
+    kept = (*RULES, *SIZES)
     by_source = measured.withColumns(null_safe).groupBy("g_lang", "g_source").agg(
-        F.count_if(good).alias("n"), *(F.kll_sketch_agg_double(F.when(good, F.col(f)), F.lit(SKETCH_K)).alias(f"k_{f}") for f in SPREAD)
+        F.count_if(good).alias("n"), *(F.kll_sketch_agg_double(F.when(good, F.col(c).cast("double")), F.lit(SKETCH_K)).alias(f"k_{c}") for c in kept)
     )
     by_source = materialise(by_source, "quality-sketches")
-    merged = [F.kll_merge_agg_double(f"k_{f}").alias(f"k_{f}") for f in SPREAD]
+    merged = [F.kll_merge_agg_double(f"k_{c}").alias(f"k_{c}") for c in kept]
     some = by_source.where("n > 0")
-    by_lang = _quartiles(some.groupBy("g_lang").agg(F.sum("n").alias("n"), *merged), ["g_lang"], "l")
-    of_all = _quartiles(some.agg(F.sum("n").alias("n"), *merged).where("n > 0"), [], "a")
-    source = _quartiles(some, ["g_lang", "g_source"], "s")
+    by_lang = _quantiles(some.groupBy("g_lang").agg(F.sum("n").alias("n"), *merged), ["g_lang"], "l")
+    of_all = _quantiles(some.agg(F.sum("n").alias("n"), *merged).where("n > 0"), [], "a")
+    source = _quantiles(some, ["g_lang", "g_source"], "s")
     joined = by_source.select("g_lang", "g_source").join(source, ["g_lang", "g_source"], "left").join(by_lang, "g_lang", "left")
     joined = joined.join(F.broadcast(of_all), F.lit(True), "left")  # one row: the sketch of everything
     out = []
-    for f, spread in SPREAD.items():
-        def fence(prefix: str, sign: int, f=f, spread=spread) -> Column:
-            q1, q3 = F.col(f"{prefix}_{f}_q1"), F.col(f"{prefix}_{f}_q3")
-            return (q3 if sign > 0 else q1) + sign * REACH * F.greatest(q3 - q1, F.lit(spread))
-
-        def held(sign: int, f=f, spread=spread) -> Column:
-            lang = F.when(F.col("l_n") >= LEAST_ROWS, fence("l", sign)).otherwise(fence("a", sign))
-            mid = F.when(F.col("l_n") >= LEAST_ROWS, F.col(f"l_{f}_q{3 if sign > 0 else 1}")).otherwise(F.col(f"a_{f}_q{3 if sign > 0 else 1}"))
+    for f, (_, _, units, size) in RULES.items():
+        def fence(prefix: str, sign: int, f=f, units=units, size=size) -> Column:
+            inner, outer = F.col(f"{prefix}_{f}_inner"), F.col(f"{prefix}_{f}_outer")
+            least = F.lit(float(units)) / F.greatest(F.col(f"{prefix}_{size}"), F.lit(1.0))
+            return (outer if sign > 0 else inner) + sign * REACH * F.greatest(outer - inner, least)
+
+        def held(sign: int, f=f, fence=fence) -> Column:
+            many, edge = F.col("l_n") >= LEAST_ROWS, "outer" if sign > 0 else "inner"
+            lang = F.when(many, fence("l", sign)).otherwise(fence("a", sign))
+            mid = F.when(many, F.col(f"l_{f}_{edge}")).otherwise(F.col(f"a_{f}_{edge}"))
             most = mid + SLACK * (lang - mid)
             own = F.when(F.col("s_n") >= LEAST_ROWS, fence("s", sign)).otherwise(lang)
             return F.least(own, most) if sign > 0 else F.greatest(own, most)
@@ -113,7 +125,7 @@ def judge(docs: DataFrame) -> DataFrame:
         fences = F.broadcast(fences)
     keyed = measured.withColumns({"g_lang": F.struct("lang"), "g_source": F.struct("source")})
     ok = ~F.col("base_failed")
-    for f in SPREAD:
+    for f in RULES:
         ok = ok & (F.col(f"hi_{f}").isNull() | (F.col(f) <= F.col(f"hi_{f}")))
         if f in LOWER_FENCED:
             ok = ok & (F.col(f"lo_{f}").isNull() | (F.col(f) >= F.col(f"lo_{f}")))
@@ -125,21 +137,23 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sql() -> str:
-    """The same with exact quartiles: equal to the sketches while groups have at most SKETCH_K rows."""
-    q = ", ".join(f"quantile_disc({f}, {v}) FILTER (WHERE NOT base_failed) AS {f}_q{i}" for f in SPREAD for i, v in ((1, 0.25), (3, 0.75)))
+    """The same with exact quantiles: equal to the sketches while groups have at most SKETCH_K rows."""
+    at = lambda c, v, name: f"quantile_disc({c}, {v}) FILTER (WHERE NOT base_failed) AS {name}"
+    q = ", ".join([*(at(f, v, f"{f}_{name}") for f, (inner, outer, _, _) in RULES.items() for v, name in ((inner, "inner"), (outer, "outer"))), *(at(c, 0.5, f"typical_{c}") for c in SIZES)])
     n = "count(*) FILTER (WHERE NOT base_failed) AS n"
 
     def fence(p: str, f: str, sign: int) -> str:
-        return f"({p}.{f}_q{3 if sign > 0 else 1} + {sign * REACH} * greatest({p}.{f}_q3 - {p}.{f}_q1, {SPREAD[f]}))"
+        _, _, units, size = RULES[f]
+        return f"({p}.{f}_{'outer' if sign > 0 else 'inner'} + {sign * REACH}::DOUBLE * greatest({p}.{f}_outer - {p}.{f}_inner, {units}::DOUBLE / greatest({p}.typical_{size}, 1)::DOUBLE))"
 
     tests = ["NOT base_failed"]
-    for f in SPREAD:
+    for f in RULES:
         for sign in (1, -1) if f in LOWER_FENCED else (1,):
             lang = f"(CASE WHEN l.n >= {LEAST_ROWS} THEN {fence('l', f, sign)} ELSE {fence('a', f, sign)} END)"
-            quart = f"{f}_q{3 if sign > 0 else 1}"
+            quart = f"{f}_{'outer' if sign > 0 else 'inner'}"
             mid = f"(CASE WHEN l.n >= {LEAST_ROWS} THEN l.{quart} ELSE a.{quart} END)"
             own = f"(CASE WHEN s.n >= {LEAST_ROWS} THEN {fence('s', f, sign)} ELSE {lang} END)"
-            edge = f"{'least' if sign > 0 else 'greatest'}({own}, {mid} + {SLACK} * ({lang} - {mid}))"
+            edge = f"{'least' if sign > 0 else 'greatest'}({own}, {mid} + {SLACK}::DOUBLE * ({lang} - {mid}))"
             tests.append(f"({edge} IS NULL OR m.{f} {'<=' if sign > 0 else '>='} {edge})")
     return rf"""
 WITH t AS (SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents),
