@@ -34,20 +34,24 @@ def reconcile(drafts: DataFrame, new: DataFrame, source_file_id: str, replace_mi
     """
     file = F.col("source.source_file_id" if "source" in drafts.columns else "source_file_id")
     is_source = file.eqNullSafe(F.lit(source_file_id))
+    merged = merge(drafts.where(is_source), new)
+    if replace_missing:
+        merged = merged.where("origin != 'leftover'")
+    return drafts.where(~is_source).withColumn("origin", F.lit("other")).unionByName(merged)
+
+
+def merge(drafts: DataFrame, new: DataFrame) -> DataFrame:
+    """reconcile() for all earlier records and all new rows of any number of sources, each with its own coordinates; leftovers stay."""
     nth = Window.partitionBy("__id").orderBy("seq")  # repeats of one identity inside one source
     number = lambda d: d.withColumn("__id", identity(d.columns)).withColumn("__k", F.row_number().over(nth))
-    old, fresh = number(drafts.where(is_source)).alias("o"), number(new).alias("n")
-    both = fresh.join(old, ["__id", "__k"], "full")
+    both = number(new).alias("n").join(number(drafts).alias("o"), ["__id", "__k"], "full")
     met, has_new = F.col("o.seq").isNotNull() & F.col("n.seq").isNotNull(), F.col("n.seq").isNotNull()
     human = F.coalesce(F.col("o.provenance"), F.lit("")) == "human_confirmed" if "provenance" in drafts.columns else F.lit(False)
     keep = met & (F.col("o.review_status").isin("confirmed", "conflict") | human)
     origin = F.when(keep, "kept").when(met, "updated").when(has_new, "new").otherwise("leftover")
     from_old = [c for c in ("transaction_id", "review_status", "review_note") if c in drafts.columns]
     value = {c: F.when(keep | ~has_new, F.col(f"o.{c}")).when(met, F.col(f"{'o' if c in from_old else 'n'}.{c}")).otherwise(F.col(f"n.{c}")) for c in drafts.columns if c != "seq"}
-    merged = both.select(*(v.alias(c) for c, v in value.items()), origin.alias("origin"), F.when(has_new, F.col("n.seq") + ORDER).otherwise(F.col("o.seq") + 2 * ORDER).alias("seq"))
-    if replace_missing:
-        merged = merged.where("origin != 'leftover'")
-    return drafts.where(~is_source).withColumn("origin", F.lit("other")).unionByName(merged)
+    return both.select(*(v.alias(c) for c, v in value.items()), origin.alias("origin"), F.when(has_new, F.col("n.seq") + ORDER).otherwise(F.col("o.seq") + 2 * ORDER).alias("seq"))
 
 
 def evidence_rows(records: DataFrame, chunks: DataFrame) -> DataFrame:

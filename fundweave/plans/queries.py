@@ -13,6 +13,7 @@ from ..functions import parse, text
 from ..operators import attribution, dedup, filters, graph, layout, reconcile, running, scoring, trace
 from ..scratch import materialise, scratch_dir
 from ..sources import adapter, csv_rows, files, generators, repository
+from ..streaming import ingest as stream
 
 VICTIMS = ["U0", "U5", "U10"]
 V, P = 5000.0, 2000.0
@@ -343,6 +344,50 @@ def src_pdf(spark, sf):
     return pages.select(F.regexp_extract("path", r"(\d+)\.pdf$", 1).cast("long").alias("doc_id"), "page_number", "text")
 
 
+#: Headers of a bank statement, by the record's field.
+STATEMENT = {"serial_number": "交易流水号", "transaction_time": "交易时间", "payer_account": "付款账号", "payer_name": "付款户名", "payee_account": "收款账号", "payee_name": "收款户名", "amount": "交易金额", "channel": "交易渠道", "summary": "摘要"}
+
+
+def _statement(spark, sf):
+    """(seq, cells): transactions as rows of a statement; every 97th lacks its payer."""
+    tx = adapter.transactions(spark, sf)
+    cells = {f: F.col(f) for f in STATEMENT} | {"transaction_time": F.date_format("transaction_time", "yyyy-MM-dd HH:mm:ss"), "payer_account": F.when(F.col("seq") % 97 == 0, "").otherwise(F.col("payer_account"))}
+    return tx.select("seq", *(v.cast("string").alias(STATEMENT[f]) for f, v in cells.items()))
+
+
+_CELLS = "serial_number, CAST(date_trunc('second', transaction_time) AS TIMESTAMP) AS transaction_time, payer_account, payee_account, CAST(amount AS DOUBLE) AS amount, channel, summary"
+
+
+@query("snk_xlsx", f"SELECT CAST(seq // 1000 AS VARCHAR) || '.xlsx' AS path, CAST(row_number() OVER (PARTITION BY seq // 1000 ORDER BY seq) + 1 AS INT) AS row_number, serial_number, CASE WHEN seq % 97 = 0 THEN '' ELSE payer_account END AS payer_account, payee_account, CAST(amount AS DOUBLE) AS amount, summary FROM tx")
+def snk_xlsx(spark, sf):
+    """Transactions as XLSX workbooks, written in tasks and read back, every cell as text."""
+    rows = files.chunks(materialise(files.as_tables(_statement(spark, sf), ".xlsx"), "xlsx-files"))
+    cell = lambda f: F.col("row_data")[STATEMENT[f]]
+    return rows.select("path", "row_number", cell("serial_number").alias("serial_number"), cell("payer_account").alias("payer_account"), cell("payee_account").alias("payee_account"), cell("amount").cast("double").alias("amount"), cell("summary").alias("summary"))
+
+
+@query("snk_docx", "SELECT CAST(f AS VARCHAR) || '.docx' AS path, CAST(8 * ((k - 1) // 8) + 2 AS INT) AS first_row, CAST(count(*) AS INT) AS n_rows, string_agg(serial_number, ',' ORDER BY k) AS serials FROM (SELECT serial_number, seq // 1000 AS f, row_number() OVER (PARTITION BY seq // 1000 ORDER BY seq) AS k FROM tx) GROUP BY f, (k - 1) // 8")
+def snk_docx(spark, sf):
+    """Transactions as tables of DOCX files, read back in chunks of eight rows with each row's number."""
+    chunks = files.chunks(materialise(files.as_tables(_statement(spark, sf), ".docx"), "docx-files"))
+    serials = F.transform("row_evidence", lambda e: F.split(e["text"], "\t")[0])
+    return chunks.select("path", F.col("row_evidence")[0]["row_number"].alias("first_row"), F.size("row_evidence").alias("n_rows"), F.array_join(serials, ",").alias("serials"))
+
+
+@query("ing_materials", f"SELECT {_CELLS}, 'pending' AS review_status, 'structured' AS parser_name, true AS located FROM tx WHERE seq % 97 <> 0")
+def ing_materials(spark, sf):
+    """Transactions as CSV statements in a folder that a stream takes into a case, in two runs; the drafts of the case."""
+    base = f"{scratch_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    rows = _statement(spark, sf)
+    for k in (0, 1):
+        some = rows.where(F.col("seq") % 2 == k).drop("seq")
+        some.write.option("header", True).option("maxRecordsPerFile", 200_000).option("emptyValue", "").csv(f"{base}/in/{k}")
+        stream.watch_materials(spark, f"{base}/in", f"{base}/case", f"{base}/checkpoint").awaitTermination()
+    got = repository.list_drafts(spark, f"{base}/case")
+    located = F.col("source.row_number").isNotNull() & (F.size("evidence_locations") == 1)
+    return got.select("serial_number", F.col("transaction_time").cast("timestamp").alias("transaction_time"), "payer_account", "payee_account", _dbl(), "channel", "summary", "review_status", "parser_name", located.alias("located"))
+
+
 query("agg_reported_losses", "SELECT region AS case_id, CAST(sum(amount) AS DOUBLE) AS reported_loss FROM tx GROUP BY region")(
     lambda s, sf: repository.reported_losses(adapter.transactions(s, sf).select(F.col("region").alias("case_id"), F.col("amount").alias("reported_loss"))).select("case_id", _dbl("reported_loss"))
 )

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..schema import RECORD_DDL
 from ..scratch import materialise
-from . import pdf, xls
+from . import ooxml, pdf, xls
 
 MAX_BYTES, MAX_MEMBERS, MAX_UNPACKED, ROWS_PER_CHUNK = 100 << 20, 2000, 1 << 30, 8
 BATCH = 1000
@@ -282,7 +282,7 @@ def archive_chunks(files: DataFrame) -> DataFrame:
     return read.join(failed.select("path"), "path", "left_anti").select(*FIELDS).unionByName(refused, allowMissingColumns=True)
 
 
-def read_chunks(spark: SparkSession, path: str) -> DataFrame:
+def read_chunks(spark: SparkSession, path: str | list[str]) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     small = files.where(F.col("length") <= MAX_BYTES).select("path", "length", "content")  # reaches the source: larger files are not loaded
     large = files.where(F.col("length") > MAX_BYTES).select("path", "length", F.lit(None).cast("binary").alias("content"))
@@ -303,6 +303,23 @@ def as_pdf(texts: DataFrame, lines: int = 40) -> DataFrame:
     return texts.select("name", "text").mapInPandas(run, "path string, length long, content binary")
 
 
+def as_tables(rows: DataFrame, suffix: str, rows_a_file: int = 1000) -> DataFrame:
+    """(path, length, content): rows (seq, then cells) as XLSX or DOCX files of a header and `rows_a_file` rows at most, by seq; written in tasks.
+
+    A file holds the rows whose seq lies in one range of `rows_a_file` numbers, so seq must not repeat.
+    """
+    names = [c for c in rows.columns if c != "seq"]
+    make = {".xlsx": lambda cells: ooxml.workbook({"Sheet1": cells}), ".docx": lambda cells: ooxml.document([], [cells])}[suffix]
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("seq")
+        data = make([names, *part[names].astype(object).where(part[names].notna(), None).values.tolist()])
+        return pd.DataFrame({"path": [f"{part['__file'].iloc[0]}{suffix}"], "length": [len(data)], "content": [data]})
+
+    dealt = rows.select("seq", *(F.col(c).cast("string").alias(c) for c in names)).withColumn("__file", F.floor(F.col("seq") / rows_a_file))
+    return dealt.groupBy("__file").applyInPandas(run, "path string, length long, content binary")
+
+
 def read_drafts(spark: SparkSession, path: str) -> DataFrame:
     """Drafts as JSON lines with the canonical schema."""
     return spark.read.schema(RECORD_DDL).json(path)

@@ -28,7 +28,7 @@ from . import commits
 SEED_DDL = "seed_id string, victim_id string, transaction_id string, amount decimal(18,2), note string"
 VERSION_DDL = "version_id string, name string, created_at string, record_count long, sha256 string, csv_path string"
 CASE_DDL = "case_id string, name string, status string, reported_loss double, updated_at string"
-MATERIAL_DDL = "material_id string, file_name string, status string, sha256 string"
+MATERIAL_DDL = "material_id string, file_name string, status string, sha256 string, chunk_count long, draft_count long, error_count long"
 NESTED = ("source", "evidence_locations", "confidence")
 
 
@@ -136,7 +136,7 @@ def _write(spark: SparkSession, folder: str, entry: dict, affected: set[int], ro
     dealt.write.partitionBy("part").parquet(path)
     made = {n.split("=")[1]: f"{path}/{n}" for n in commits.names(spark, path) if n.startswith("part=")}
     kept = {k: v for k, v in entry.get("parts", {}).items() if int(k) not in affected}
-    return {"of": parts, "parts": kept | made, "next_seq": entry.get("next_seq", 1), "read_parts": sorted(affected), "fresh": [path], **fields}
+    return {"of": parts, "parts": kept | made, "next_seq": entry.get("next_seq", 1), "batches": entry.get("batches", {}), "read_parts": sorted(affected), "fresh": [path], **fields}
 
 
 def _change(spark: SparkSession, folder: str, change, parts: int = PARTS) -> tuple[int, dict]:
@@ -216,6 +216,44 @@ def reconcile_source(new: DataFrame, folder: str, source_file_id: str, replace_m
     return _read(spark, entry, set(entry["read_parts"])).where((F.col("seq") >= entry["first_seq"]) & (F.col("seq") < entry["first_seq"] + entry["created"]))
 
 
+def reconcile_sources(new: DataFrame, folder: str, sources: DataFrame, batch: tuple[str, int]) -> bool:
+    """reconcile_source() for many sources in one commit. sources: source_file_id and replace_missing, a row for each source of new.
+
+    batch: (stream, number). The commit holds the stream's last number; a number that is not above it changes
+    nothing, so a batch that comes again after a crash is taken once. Whether anything changed.
+    """
+    spark = new.sparkSession
+    stream, number = batch
+    before = commits.latest(spark, _log(folder, "drafts"))[1]
+    if before.get("batches", {}).get(stream, -1) >= number:
+        return False
+    new = _complete(new)
+    mine = materialise(sources.select(F.col("source_file_id").alias("__file"), "replace_missing"), "drafts-sources")
+    n_new = new.count()
+
+    def change(entry: dict) -> dict | None:
+        if entry.get("batches", {}).get(stream, -1) >= number:
+            return None
+        old = _read(spark, entry).join(mine, _source() == F.col("__file"), "left_semi")
+        merged = reconcile.merge(old, new).join(mine, _source() == F.col("__file"), "left")
+        merged = merged.where((F.col("origin") != "leftover") | ~F.col("replace_missing")).drop("__file", "replace_missing")
+        merged = materialise(merged, "drafts-merged")
+        placed = running.places(merged, [F.asc("seq")], "drafts-placed").withColumn("seq", F.col("place") + entry["next_seq"] - 1).drop("place")
+        placed = materialise(placed, "drafts-placed")
+        affected = _touched(old, entry["of"]) | _touched(placed, entry["of"])
+        rest = _read(spark, entry, affected).join(mine, _source() == F.col("__file"), "left_anti")
+        event = _event("source_drafts_reconciled", source_file_id=f"{stream}-{number}", count=n_new)
+        after = _write(spark, folder, entry, affected, rest.unionByName(placed.drop("origin")), event=event, batches=entry.get("batches", {}) | {stream: number})
+        total = placed.count()
+        drop(merged, placed)
+        return after | {"next_seq": entry["next_seq"] + total}
+
+    start = commits.latest(spark, _log(folder, "drafts"))[0]
+    changed = _change(spark, folder, change)[0] > start
+    drop(new, mine)
+    return changed
+
+
 def replace_source(new: DataFrame, folder: str, source_file_id: str) -> DataFrame:
     return reconcile_source(new, folder, source_file_id, True)
 
@@ -412,6 +450,13 @@ def save_materials(materials: DataFrame, folder: str) -> None:
     _replace(materials.sparkSession, folder, "materials", MATERIAL_DDL, lambda old: materials)
 
 
+def update_materials(changed: DataFrame, folder: str) -> None:
+    """Replace the materials that changed, by id; the others stay."""
+    fields = changed.sparkSession.createDataFrame([], MATERIAL_DDL).columns
+    rows = changed.select(*(c for c in fields if c in changed.columns))
+    _replace(changed.sparkSession, folder, "materials", MATERIAL_DDL, lambda old: old.join(rows.select("material_id"), "material_id", "left_anti").unionByName(rows, allowMissingColumns=True))
+
+
 def material_counts(materials: DataFrame) -> DataFrame:
     """How many materials are in work, failed or read in part."""
     of = lambda *names: F.count_if(F.col("status").isin(*names))
