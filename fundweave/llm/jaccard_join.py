@@ -6,8 +6,10 @@ both hold k common ones. Four orders are used, and a pair must pass all before i
 
 - plain order of hashes, with k growing with n: sets of which fewer prefix shingles are prefix
   shingles elsewhere go. Chance and shared passages don't reach that number, so most sets go.
-- three more orders, in which shingles that many prefixes hold come last, the commonest at the very
-  end, and which else follow three different hashes; k is 1. Under the first of them, sets that share a prefix shingle form a
+- three more orders, in which shingles that only one of the sets left holds come first and those that many hold last, the
+  commonest at the very end, and which else follow three different hashes; k is 1. A lone shingle is shared with nobody, so it
+  takes a place of the prefix and is left out; a set with a prefix of lone shingles only goes, and two sets share at most
+  what either has besides. Under the first of these orders, sets that share a prefix shingle form a
   bucket (shingles with the same sets are one bucket); of a bucket's pairs those that share one under the
   second and the third are candidates. Their exact overlap decides.
 
@@ -22,7 +24,7 @@ pair of blocks meets in one task, and the task gives links that join classes, ne
 every candidate is compared or linked through others.
 
 Which shingles come last only decides how much work is left, as every fixed order is right; so
-their table may be bounded (MOST_LAST), and is broadcast.
+their table may be bounded (MOST_LAST), and is broadcast. Lone shingles stand with their set.
 
 Fewer than SHINGLE words are one shingle. Null and empty texts, and texts without words, have no shingles and link with
 nothing, so each is a class of its own. Repeated rows share a class. component_id is the least doc_id that is not null; a class of null ids only has none.
@@ -45,7 +47,7 @@ from .common import drop, materialise, ship, table, text_of, words_of
 from .components import components
 
 SHINGLE, LEAST, SEED = 4, 85, 42
-#: A shingle comes late from so many prefixes on that hold it; entries of that table at most.
+#: A shingle comes late from so many sets on that hold it; entries of that table at most.
 LATE, MOST_LAST = 32, 500_000
 #: Of the plain order's prefix, one more for each MORE shingles of a set.
 MORE = 30
@@ -164,8 +166,40 @@ def unpacked(z: bytes) -> np.ndarray:
     return shingles_of(zstandard.decompress(z).split(b" "))
 
 
+def held_by(sets: DataFrame) -> DataFrame:
+    """(value, n, id): the shingles, under the plain order, that one set alone holds (id) or LATE sets or more (id is one of them)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            lists = [_mixed(unpacked(x.as_py()), 0) >> CUT for x in t.column(1)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(t.column(0).to_numpy(), [len(x) for x in lists])), _longs(lists).values], ["id", "value"])
+
+    cells = sets.select("id", "z").mapInArrow(run, "id long, value long")
+    return cells.groupBy("value").agg(F.count("*").alias("n"), F.min("id").alias("id")).where((F.col("n") == 1) | (F.col("n") >= LATE))
+
+
+def with_lone(sets: DataFrame, held: DataFrame) -> DataFrame:
+    """sets with lone, the values of the shingles that no other set holds, without the sets whose prefix holds no others."""
+    lone = held.where("n = 1").groupBy("id").agg(F.collect_list("value").alias("lone"))
+    known = sets.join(lone, "id", "left").withColumn("lone", F.coalesce("lone", F.array().cast("array<long>")))
+    return known.where(F.size("lone") <= F.col("size") - F.floor((LEAST * F.col("size") + 99) / 100))
+
+
+def common(z: bytes, lone: list[int]) -> tuple[np.ndarray, int]:
+    """The shingles of a set that others hold, and the size of the set."""
+    h = unpacked(z)
+    if not lone:
+        return h, len(h)
+    return h[~np.isin(_mixed(h, 0) >> CUT, np.array(lone, np.int64).view(np.uint64))], len(h)
+
+
+def prefix_of_common(h: np.ndarray, size: int, order: int, late: Late) -> np.ndarray:
+    """The prefix of a set of that size, of which h are common(), without its lone shingles."""
+    return prefix(h, order, late, prefix_size(size) - size + len(h))
+
+
 def late_shingles(shared: DataFrame) -> Late:
-    """The shingles of MOST_LAST at most that the most prefixes hold. shared: value (under the plain order), n (prefixes)."""
+    """The shingles of MOST_LAST at most that the most sets hold. shared: value (under the plain order), n (sets)."""
     often = shared.where(F.col("n") >= LATE).select("value", F.floor(F.log2("n")).cast("int").alias("level"))
     total, least = 0, None
     for level, n in sorted(map(tuple, often.groupBy("level").count().collect()), reverse=True):  # 60 rows at most
@@ -183,10 +217,10 @@ def buckets(sets: DataFrame, late) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            lists = [prefix(unpacked(x.as_py()), 1, late.value) for x in t.column(1)]
+            lists = [prefix_of_common(*common(z, lone), 1, late.value) for z, lone in zip(t.column(1).to_pylist(), t.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(t.column(0).to_numpy(), [len(x) for x in lists])), _longs(lists).values], ["id", "value"])
 
-    cells = materialise(sets.select("id", "z").mapInArrow(run, "id long, value long"), "jaccard-cells")
+    cells = materialise(sets.select("id", "z", "lone").mapInArrow(run, "id long, value long"), "jaccard-cells")
     alike = F.xxhash64(F.count("*"), F.bit_xor(F.xxhash64("id")), F.bit_xor(F.xxhash64("id", F.lit(1))))
     of_value = cells.groupBy("value").agg(F.count("*").alias("n"), alike.alias("key")).where("n > 1").drop("n")
     got = materialise(cells.join(of_value, "value").select("id", "key").distinct(), "jaccard-members")
@@ -200,19 +234,19 @@ def joined(pairs: DataFrame, sets: DataFrame, late) -> DataFrame:
     dealt = pairs.join(stars, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("g")).cast("int"))
     heads = stars.select("a", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("salt"), F.lit(0).alias("turn"), F.col("a").alias("id"))
     want = heads.unionByName(dealt.select("a", "salt", F.lit(1).alias("turn"), F.col("b").alias("id")))
-    rows = want.join(sets.select("id", "z"), "id").select("a", "salt", "turn", "id", "z")
+    rows = want.join(sets.select("id", "z", "lone"), "id").select("a", "salt", "turn", "id", "z", "lone")
     rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "turn")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, own, filters = None, None, []
+        head, own, size, filters = None, None, 0, []
         for t in batches:
             found = []
-            for a, turn, b, z in zip(*(t.column(n).to_pylist() for n in ("a", "turn", "id", "z")), strict=True):
-                h = unpacked(z)
+            for a, turn, b, z, lone in zip(*(t.column(n).to_pylist() for n in ("a", "turn", "id", "z", "lone")), strict=True):
+                h, n = common(z, lone)
                 if turn == 0:
-                    head, own = a, h
-                    filters = [(k, prefix(own, k, late.value)) for k in range(2, ORDERS + 1)]
-                elif linked(len(own), len(h), min(len(own), len(h))) and all(np.isin(prefix(h, k, late.value), f).any() for k, f in filters) and linked(len(own), len(h), overlap(own, h)):
+                    head, own, size = a, h, n
+                    filters = [(k, prefix_of_common(own, size, k, late.value)) for k in range(2, ORDERS + 1)]
+                elif linked(size, n, min(len(own), len(h))) and all(np.isin(prefix_of_common(h, n, k, late.value), f).any() for k, f in filters) and linked(size, n, overlap(own, h)):
                     found.append((head, b))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
@@ -236,13 +270,14 @@ class Sharing:
         return both
 
 
-def block_links(node: list[int], root: list[int], block: list[int], sets: list[np.ndarray], late: Late) -> list[tuple[int, int]]:
-    """Links that join the classes of one pair of blocks: nodes of different blocks, or of one block where there is only one."""
-    sizes, label, block = np.array([len(x) for x in sets]), np.unique(np.array(root), return_inverse=True)[1], np.array(block)
+def block_links(node: list[int], root: list[int], block: list[int], sets: list[np.ndarray], late: Late, sizes: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links that join the classes of one pair of blocks: nodes of different blocks, or of one block where there is only one. sizes: of the whole sets, if sets lack lone shingles."""
+    held, label, block = np.array([len(x) for x in sets]), np.unique(np.array(root), return_inverse=True)[1], np.array(block)
+    sizes = held if sizes is None else np.array(sizes)
     alone, whole, out = len(set(block.tolist())) == 1, None, []
-    filters = [Sharing([prefix(x, k, late) for x in sets]) for k in range(1, ORDERS + 1)]
+    filters = [Sharing([prefix_of_common(x, n, k, late) for x, n in zip(sets, sizes.tolist(), strict=True)]) for k in range(1, ORDERS + 1)]
     for k in range(len(sets)):
-        near = (label != label[k]) & (alone | (block != block[k])) & linked(sizes, sizes[k], np.minimum(sizes, sizes[k]))
+        near = (label != label[k]) & (alone | (block != block[k])) & linked(sizes, sizes[k], np.minimum(held, held[k]))
         near[: k + 1] = False
         for f in filters:
             if near.any():
@@ -265,22 +300,22 @@ def in_blocks(live: DataFrame, sets: DataFrame, late, wide: int = WIDE) -> DataF
     blocks = F.greatest(F.ceil(F.col("n") / wide), F.ceil(F.col("total") / HEAVY)).cast("int")
     dealt = live.withColumn("g", blocks).withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), F.col("g")).cast("int"))
     met = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).select("key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "id", "root", "block")
-    met = met.join(sets.select("id", "z"), "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    met = met.join(sets.select("id", "z", "lone"), "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, ([], [], [], [])
+        now, held = None, ([], [], [], [], [])
 
         def close():
-            got = block_links(*held, late.value) if len(held[0]) > 1 else []
+            got = block_links(*held[:4], late.value, held[4]) if len(held[0]) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in got], pa.int64()) for k in (0, 1)], ["a", "b"])
 
         for t in batches:
-            for key, i, j, *row in zip(*(t.column(n).to_pylist() for n in ("key", "i", "j", "id", "root", "block", "z")), strict=True):
+            for key, i, j, *row in zip(*(t.column(n).to_pylist() for n in ("key", "i", "j", "id", "root", "block", "z", "lone")), strict=True):
                 if (key, i, j) != now and now is not None:
                     yield close()
-                    held = [], [], [], []
+                    held = [], [], [], [], []
                 now = key, i, j
-                for kept, x in zip(held, (*row[:3], unpacked(row[3])), strict=True):
+                for kept, x in zip(held, (*row[:3], *common(*row[3:])), strict=True):
                     kept.append(x)
         if now is not None:
             yield close()
@@ -348,9 +383,8 @@ def join(docs: DataFrame, wide: int = WIDE) -> DataFrame:
     nodes = nodes.select("node", "size", F.col("r.doc_id").alias("k_id"), F.col("r.text_hash").alias("k_hash"), "first")
     nodes = materialise(nodes.withColumn("id", F.monotonically_increasing_id()), "jaccard-nodes")  # small numbers shuffle in fewer bytes
     cells = nodes.select("id", F.explode("first").alias("value"))
-    shared = materialise(cells.groupBy("value").agg(F.count("*").alias("n")).where("n > 1"), "jaccard-shared")
-    late = spark.sparkContext.broadcast(late_shingles(shared))
-    some = cells.join(shared.select("value"), "value").groupBy("id").agg(F.count("*").alias("shared"))
+    shared = materialise(cells.groupBy("value").count().where("count > 1").select("value"), "jaccard-shared")
+    some = cells.join(shared, "value").groupBy("id").agg(F.count("*").alias("shared"))
     want = nodes.join(some, "id").where(F.col("shared") >= shared_at_least(F.col("size"))).select("id", "size", "k_id", "k_hash")
     want = materialise(want, "jaccard-want")
     drop(shared)
@@ -361,6 +395,10 @@ def join(docs: DataFrame, wide: int = WIDE) -> DataFrame:
         once = materialise(sets.dropDuplicates(["id"]), "jaccard-sets")
         drop(sets)
         sets = once
+    held = materialise(held_by(sets), "jaccard-held")
+    late = spark.sparkContext.broadcast(late_shingles(held))
+    whole, sets = sets, materialise(with_lone(sets, held), "jaccard-sets")
+    drop(whole, held)
     members = buckets(sets, late)
     found = links(members, sets, late, wide)
     roots = components(found).distinct().withColumnRenamed("node", "r_node")

@@ -118,3 +118,21 @@ def test_sql_equals_brute_force():
     con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
     con.executemany("INSERT INTO documents VALUES (?, ?)", [r for r in ROWS])
     assert sorted((str(r[0]), r[1], str(r[2])) for r in con.execute(jj.SQL).fetchall()) == plain(ROWS)
+
+
+def test_sets_whose_prefix_no_other_set_holds_meet_nobody(spark):
+    """A family below the threshold: each text has a tenth to a fifth of shingles of its own. Only those with few enough stay, and they share what others hold."""
+    base, texts = [f"w{i}" for i in range(200)], []
+    for k in range(12):
+        texts.append(" ".join([*base, *(f"u{k}x{i}" for i in range(24 if k < 6 else 60))]))
+    docs = spark.createDataFrame([(k, len(jj.shingles(t)), t) for k, t in enumerate(texts)], "id long, size long, text string")
+    sets = jj.packed(docs)
+    got = {r.id: r for r in jj.with_lone(sets, jj.held_by(sets)).collect()}
+    assert sorted(got) == [0, 1, 2, 3, 4, 5]
+    for k, r in got.items():
+        h, n = jj.common(r.z, r.lone)
+        assert n == len(jj.shingles(texts[k])) and len(h) == 197 and len(r.lone) == n - 197
+        for order in range(1, jj.ORDERS + 1):
+            assert len(jj.prefix_of_common(h, n, order, jj.Late(np.empty(0, np.uint64), np.empty(0, np.int32)))) == jj.prefix_size(n) - len(r.lone)
+    a, b = (jj.shingles(t) for t in texts[:2])
+    assert not jj.linked(len(a), len(b), jj.overlap(a, b))
