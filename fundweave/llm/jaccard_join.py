@@ -49,6 +49,8 @@ from .components import components
 SHINGLE, LEAST, SEED = 4, 85, 42
 #: A shingle comes late from so many sets on that hold it; entries of that table at most.
 LATE, MOST_LAST = 32, 500_000
+#: Bits of the table of wanted texts, 4 MB.
+BITS = 2**25
 #: Of the plain order's prefix, one more for each MORE shingles of a set.
 MORE = 30
 #: Nodes and shingles of a block, about; partners of one representative in a task.
@@ -150,16 +152,35 @@ def prints(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, size long, node long, first array<long>")
 
 
-def packed(texts: DataFrame) -> DataFrame:
-    """(id, size, z): the words of each text, compressed."""
+def marks(want: DataFrame) -> np.ndarray:
+    """BITS bits, as bytes: those of the text hashes k_hash are set. In 32,768 bits a row through the driver."""
+    bit = F.pmod("k_hash", F.lit(BITS)) + 1
+    rows = want.groupBy(F.bitmap_bucket_number(bit).alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).toArrow()
+    out = np.zeros(BITS // 8, np.uint8)
+    for n, bits in zip(rows.column("n").to_pylist(), rows.column("bits").to_pylist(), strict=True):
+        out[(n - 1) * len(bits) : n * len(bits)] = np.frombuffer(bits, np.uint8)
+    return out
+
+
+def packed(docs: DataFrame, want: DataFrame) -> DataFrame:
+    """(id, size, z): the words of the texts of want (id, size, k_id, k_hash), compressed before they are shuffled.
+
+    Most texts are not wanted: the bits of marks() leave few of them, and the join decides.
+    """
+    ship(docs.sparkSession)
+    bits = docs.sparkSession.sparkContext.broadcast(marks(want))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
         for t in batches:
+            at = t.column(1).to_numpy() % BITS
+            t = t.filter(pa.array((bits.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
             z = [press.compress(b" ".join(words_of(x.as_py()))) for x in t.column(2)]
-            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(z, pa.binary())], ["id", "size", "z"])
+            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(z, pa.binary())], ["doc_id", "text_hash", "z"])
 
-    return texts.select("id", "size", "text").mapInArrow(run, "id long, size long, z binary")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), text_of().alias("__text"))
+    some = rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, z binary")
+    return some.join(want, some["doc_id"].eqNullSafe(want["k_id"]) & (some["text_hash"] == want["k_hash"])).select("id", "size", "z")
 
 
 def unpacked(z: bytes) -> np.ndarray:
@@ -388,9 +409,7 @@ def join(docs: DataFrame, wide: int = WIDE) -> DataFrame:
     want = nodes.join(some, "id").where(F.col("shared") >= shared_at_least(F.col("size"))).select("id", "size", "k_id", "k_hash")
     want = materialise(want, "jaccard-want")
     drop(shared)
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    texts = keyed.join(want, keyed["doc_id"].eqNullSafe(want["k_id"]) & (keyed["text_hash"] == want["k_hash"]))
-    sets = materialise(packed(texts), "jaccard-sets")
+    sets = materialise(packed(docs, want), "jaccard-sets")
     if sets.count() != want.count():  # repeated rows
         once = materialise(sets.dropDuplicates(["id"]), "jaccard-sets")
         drop(sets)

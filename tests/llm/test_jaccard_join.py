@@ -3,6 +3,7 @@ import re
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fundweave.llm import jaccard_join as jj
 
@@ -125,8 +126,11 @@ def test_sets_whose_prefix_no_other_set_holds_meet_nobody(spark):
     base, texts = [f"w{i}" for i in range(200)], []
     for k in range(12):
         texts.append(" ".join([*base, *(f"u{k}x{i}" for i in range(24 if k < 6 else 60))]))
-    docs = spark.createDataFrame([(k, len(jj.shingles(t)), t) for k, t in enumerate(texts)], "id long, size long, text string")
-    sets = jj.packed(docs)
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate([*texts, "not wanted"])], "doc_id long, text string")
+    size = F.when(F.col("doc_id") < 6, 221).otherwise(257).cast("long")
+    want = docs.where("doc_id < 12").select(F.col("doc_id").alias("id"), size.alias("size"), F.col("doc_id").alias("k_id"), F.xxhash64("text").alias("k_hash"))
+    sets = jj.packed(docs, want)
+    assert sets.count() == 12 and np.unpackbits(jj.marks(want)).sum() == 12
     got = {r.id: r for r in jj.with_lone(sets, jj.held_by(sets)).collect()}
     assert sorted(got) == [0, 1, 2, 3, 4, 5]
     for k, r in got.items():
