@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from heapq import heapify, heappop, heappush
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,81 +12,101 @@ from ..scratch import drop, materialise
 from .running import places
 
 
-#: Steps along the edges in one job.
-HOPS = 5
+#: Edges of a block, which one task walks to its end.
+BLOCK = 100_000
 
 
-def _with_stays(edges: DataFrame) -> DataFrame:
-    """(source, target, step): the edges, and for each node a step of length 0 to itself, so that several steps are one chain of joins."""
+def _blocks(edges: DataFrame) -> DataFrame:
+    """(source, target, block): the edges in the order of their ends, BLOCK to a block. A node of many edges lies in several blocks."""
     ends = edges.select("source", "target").where("source != target").distinct()
-    nodes = edges.select(F.explode(F.array("source", "target")).alias("source")).distinct()
-    return materialise(ends.withColumn("step", F.lit(1)).unionByName(nodes.select("source", F.col("source").alias("target"), F.lit(0).alias("step"))), "layout-steps")
-
-
-def _spread(frontier: DataFrame, seen: DataFrame, edges: DataFrame) -> DataFrame:
-    """seen with all nodes below the frontier (node, depth); a job for each HOPS depths. edges: _with_stays()."""
+    placed = places(ends, [F.asc("source"), F.asc("target")], "layout-ends")
+    return materialise(placed.select("source", "target", F.floor((F.col("place") - 1) / BLOCK).alias("block")), "layout-blocks")
+
+
+def _walk(step: int):
+    def run(edges: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        """The lesser values that the fresh ones of known (node, value, fresh) give to nodes along one block's edges."""
+        below, best, told = {}, dict(zip(known["node"], known["value"], strict=True)), {}
+        for source, target in zip(edges["source"], edges["target"], strict=True):
+            below.setdefault(source, []).append(target)
+        heap = [(v, n) for n, v, fresh in zip(known["node"], known["value"], known["fresh"], strict=True) if fresh]
+        heapify(heap)
+        while heap:
+            value, node = heappop(heap)
+            if best[node] < value:
+                continue
+            value = value + step if step else value
+            for n in below.get(node, ()):
+                if n not in best or value < best[n]:
+                    best[n] = told[n] = value
+                    heappush(heap, (value, n))
+        return pd.DataFrame({"node": list(told), "value": list(told.values())}, dtype=object)
+
+    return run
+
+
+def settled(blocks: DataFrame, start: DataFrame, step: int) -> DataFrame:
+    """(node, value): the least value that reaches each node from start (node, value), `step` more along each edge.
+
+    In a round every block that has fresh values is walked to its end by one task, so the rounds are as many as the times
+    that a path changes blocks, not as its edges. blocks: _blocks().
+    """
+    homes = materialise(blocks.select(F.col("source").alias("node"), "block").distinct(), "layout-homes")
+    kind = start.schema["value"].dataType.simpleString()
+    state, fresh = start, start
     while True:
-        at = frontier
-        for _ in range(HOPS):
-            at = at.join(edges, at["node"] == edges["source"]).groupBy(F.col("target").alias("node")).agg(F.min(F.col("depth") + F.col("step")).alias("depth"))
-        fresh = materialise(at.join(seen.select("node"), "node", "left_anti"), "layout-frontier")
-        deepest = fresh.agg(F.max("depth")).first()[0]
-        if deepest is None:
+        flag = fresh.select("node", F.lit(True).alias("fresh"))
+        live = materialise(homes.join(flag, "node").select("block").distinct(), "layout-live")
+        known = homes.join(live, "block").join(state, "node").join(flag, "node", "left").select("block", "node", "value", F.coalesce("fresh", F.lit(False)).alias("fresh"))
+        told = blocks.join(live, "block").groupBy("block").cogroup(known.groupBy("block")).applyInPandas(_walk(step), f"node string, value {kind}")
+        told = told.groupBy("node").agg(F.min("value").alias("told"))
+        new = told.join(state, "node", "left").where("value IS NULL OR told < value").select("node", F.col("told").alias("value"))
+        new = materialise(new, "layout-fresh")
+        if fresh is not start:
             drop(fresh)
-            return seen
-        old, seen = seen, materialise(seen.unionByName(fresh), "layout-seen")
-        frontier = fresh.where(F.col("depth") == deepest)  # what stands above had its edges followed
-        drop(old)
+        drop(live)
+        if new.isEmpty():
+            drop(new, homes)
+            return state
+        old, fresh = state, new
+        both = state.withColumnRenamed("value", "was").join(new, "node", "full")
+        state = materialise(both.select("node", F.coalesce("value", "was").alias("value")), "layout-state")
+        if old is not start:
+            drop(old)
 
 
-def least_ancestors(edges: DataFrame) -> DataFrame:
-    """(node, root): the least node from which each node can be reached, itself included.
+def least_ancestors(blocks: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, root): the least node from which each of nodes (node) can be reached, itself included.
 
     Taking nodes by id, each that none before it reaches starts a layout anew. So it is a root exactly if it is its own
-    least ancestor, and what it reaches first is what has it as the least. All roots are found at once:
-    least ids run along the edges, and in a round only those that changed. edges: _with_stays().
+    least ancestor, and what it reaches first is what has it as the least. All roots are found at once. blocks: _blocks().
     """
-    state = materialise(edges.where("step = 0").select(F.col("source").alias("node"), F.col("source").alias("root")), "layout-roots")
-    frontier = state
-    while True:
-        at = frontier
-        for _ in range(HOPS):
-            at = at.join(edges, at["node"] == edges["source"]).groupBy(F.col("target").alias("node")).agg(F.min("root").alias("root"))
-        told = at.withColumnRenamed("root", "told").join(state, "node").where("told < root")
-        fresh = materialise(told.select("node", F.col("told").alias("root")), "layout-told")
-        if frontier is not state:
-            drop(frontier)
-        if fresh.isEmpty():
-            drop(fresh)
-            return state
-        merged = state.join(fresh.withColumnRenamed("root", "told"), "node", "left").select("node", F.coalesce("told", "root").alias("root"))
-        old, state, frontier = state, materialise(merged, "layout-roots"), fresh
-        drop(old)
+    return settled(blocks, nodes.select("node", F.col("node").alias("value")), 0).withColumnRenamed("value", "root")
 
 
 def depths(edges: DataFrame) -> DataFrame:
     """(node, depth): nodes without incoming edges are at 0; then, by id, what they do not reach starts anew at 0. The jobs do not grow with the number of cycles."""
     ids = materialise(edges.select(F.col("source").alias("node")).union(edges.select("target")).distinct(), "layout-nodes")
-    first = materialise(ids.join(edges.select(F.col("target").alias("node")), "node", "left_anti").withColumn("depth", F.lit(0)), "layout-seen")
-    steps = _with_stays(edges)
-    seen = _spread(first, first, steps)
-    drop(steps)
+    first = materialise(ids.join(edges.select(F.col("target").alias("node")), "node", "left_anti").withColumn("value", F.lit(0)), "layout-first")
+    seen = first
+    if not first.isEmpty():
+        blocks = _blocks(edges)
+        seen = settled(blocks, first, 1)
+        drop(blocks)
     rest = materialise(ids.join(seen, "node", "left_anti"), "layout-rest")
     drop(ids)
     if rest.isEmpty():
-        return seen
+        return seen.withColumnRenamed("value", "depth")
     inner = edges.select("source", "target").join(rest.withColumnRenamed("node", "source"), "source").join(rest.withColumnRenamed("node", "target"), "target")
-    inner = _with_stays(inner)
-    roots = least_ancestors(inner)
-    alone = rest.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-    alone = materialise(alone, "layout-rooted")
+    inner = _blocks(inner)
+    rooted = materialise(least_ancestors(inner, rest), "layout-rooted")
     # below a root only what it is the least ancestor of; all roots start together
-    own = inner.join(alone.select(F.col("node").alias("source"), F.col("root").alias("r0")), "source").join(alone.select(F.col("node").alias("target"), F.col("root").alias("r1")), "target").where("r0 = r1")
-    own = materialise(own.select("source", "target", "step"), "layout-own")
-    start = materialise(alone.where("node = root").select("node", F.lit(0).alias("depth")), "layout-seen")
-    found = _spread(start, start, own)
-    both = materialise(seen.unionByName(found), "layout-seen")
-    drop(seen, found, rest, roots, inner, alone, own)
+    own = inner.join(rooted.select(F.col("node").alias("source"), F.col("root").alias("r0")), "source").join(rooted.select(F.col("node").alias("target"), F.col("root").alias("r1")), "target").where("r0 = r1")
+    own = materialise(own.select("source", "target", "block"), "layout-own")
+    start = materialise(rooted.where("node = root").select("node", F.lit(0).alias("value")), "layout-start")
+    found = settled(own, start, 1)
+    both = materialise(seen.unionByName(found).withColumnRenamed("value", "depth"), "layout-depths")
+    drop(first, seen, found, start, rest, inner, rooted, own)
     return both
 
 

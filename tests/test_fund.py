@@ -227,3 +227,32 @@ def test_report(spark, tmp_path):
     report = repository.write_report(metrics, totals, f"file://{tmp_path}")
     assert not report["passed"] and [f[:5] for f in report["failures"]] == [".xlsx"] and report["graph"] == {"transaction_count": 120, "total_amount": 2928760.0}
     assert "| .docx | 25 | 24 | 96.00% | 1 | 0 | 0 |" in (tmp_path / "report.md").read_text()
+
+
+@pytest.mark.parametrize("block", [5, 100_000])
+def test_layout_depths_equal_brute_force(spark, monkeypatch, block):
+    """A long cycle takes a few rounds, not one for some steps each; also where paths change blocks all the time, with self-loops and a hub."""
+    from fundweave.operators import layout
+
+    ring = [(f"U{i}", f"U{(i + d) % 120}") for i in range(120) for d in (1, 2)] if block > 5 else [(f"U{i}", f"U{(i + 1) % 12}") for i in range(12)]
+    pairs = [*ring, ("U7", "U7"), ("U3", "x0"), ("x0", "x1"), ("r", "s1"), ("r", "s2"), ("s1", "s2"), ("s2", "z1"), ("z1", "z2"), ("z2", "z1"), *(("h", f"k{i}") for i in range(13)), ("k4", "h")]
+    below = {}
+    for a, b in pairs:
+        below.setdefault(a, set()).add(b)
+
+    def walk(starts, seen):
+        depth, at = dict.fromkeys(starts, 0), starts
+        while at:
+            at = list(dict.fromkeys(n for a in at for n in sorted(below.get(a, ())) if n not in seen and n not in depth and not depth.update({n: depth[a] + 1})))
+        return depth
+
+    ids = sorted({x for p in pairs for x in p})
+    want = walk([n for n in ids if all(n != b for _, b in pairs)], {})
+    for n in ids:
+        if n not in want:
+            want |= walk([n], want)
+    calls, own = [], layout.materialise
+    monkeypatch.setattr(layout, "BLOCK", block)
+    monkeypatch.setattr(layout, "materialise", lambda df, name, *a: calls.append(name) or own(df, name, *a))
+    assert {r.node: r.depth for r in layout.depths(spark.createDataFrame(pairs, "source string, target string")).collect()} == want
+    assert block == 5 or len(calls) < 40
