@@ -1,7 +1,9 @@
 """Near-duplicates of the pipeline: documents whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more are linked.
 
-MinHash proposes: BANDS keys of ROWS minima each, so a pair at 0.8 shares no key in one case of 20,000.
-The exact similarity decides. Documents of one shingle set are one node. The nodes of a key are a
+SimHash proposes first: fingerprints of the five-word shingles are joined by simhash's trie, and the pairs of
+its forest that are similar enough are links. At 0.8 fingerprints differ in up to 11 bits, more than the trie's
+walk can join, so what lies beyond its MAX_BITS is left to MinHash: BANDS keys of ROWS minima each, so a pair at
+0.8 shares no key in one case of 20,000. The exact similarity decides on all. Documents of one shingle set are one node. The nodes of a key are a
 bucket; a bucket whose nodes are in one class already is done. In REPRESENTED rounds a bucket's least
 and greatest node are compared with all others of other classes and then leave it, so that a large group
 of near copies takes a few comparisons a node. What is still open then is compared in blocks: a bucket's
@@ -57,22 +59,25 @@ def keys_of(h: np.ndarray) -> np.ndarray:
 
 
 def nodes(keyed: DataFrame) -> DataFrame:
-    """doc_id, __h, node (hash of the shingle set) and keys of every row."""
+    """doc_id, __h, node (hash of the shingle set), keys and fp (SimHash, as a signed long) of every row."""
+    from .simhash import majority  # which imports keep_one from here
+
     ship(keyed.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for b in batches:
-            ids, keys = [], []
+            ids, keys, fps = [], [], []
             for v in b.column(2):
                 h = shingles(v.as_py())
                 ids.append(xxh64_intdigest(h.tobytes(), SEED))
                 keys.append(keys_of(h))
+                fps.append(majority(h))
             flat = np.concatenate([*keys, np.empty(0, np.int64)])
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(ids, np.uint64).view(np.int64)), lists], ["doc_id", "__h", "node", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (ids, fps)), lists], ["doc_id", "__h", "node", "fp", "keys"])
 
-    return keyed.select("doc_id", "__h", text_of().alias("__text")).mapInArrow(run, f"doc_id {keyed.schema['doc_id'].dataType.simpleString()}, __h long, node long, keys array<long>")
+    return keyed.select("doc_id", "__h", text_of().alias("__text")).mapInArrow(run, f"doc_id {keyed.schema['doc_id'].dataType.simpleString()}, __h long, node long, fp long, keys array<long>")
 
 
 def sets_of(texts: DataFrame) -> DataFrame:
@@ -152,18 +157,37 @@ def in_blocks(live: DataFrame, sets: DataFrame, wide: int = WIDE) -> DataFrame:
     return met.mapInArrow(run, "a long, b long")
 
 
+def proposed(rows: DataFrame) -> DataFrame:
+    """(a, b): nodes whose fingerprints simhash's trie links: each with the least node of its fingerprint, and the least nodes of linked fingerprints. rows: node, fp, keys."""
+    from .simhash import links
+
+    filled = rows.where("size(keys) > 0").select("node", "fp")
+    least = materialise(filled.groupBy("fp").agg(F.min("node").alias("least")), "near-prints")
+    same = filled.join(least, "fp").where("node != least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    near = links(least.select("fp")).where("fp_a IS NOT NULL").select("fp_a", "fp_b")
+    for end in ("a", "b"):
+        near = near.join(least.select(F.col("fp").alias(f"fp_{end}"), F.col("least").alias(end)), f"fp_{end}")
+    got = materialise(same.unionByName(near.select("a", "b")), "near-proposed")
+    drop(least)
+    return got
+
+
 def classes(printed: DataFrame, keyed: DataFrame, wide: int = WIDE) -> DataFrame:
     """(node, root) of the nodes that are linked to another one. printed: nodes(keyed)."""
     rank = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "__h")
-    rows = printed.groupBy("node").agg(F.min(rank).alias("r"), F.first("keys").alias("keys"))
+    rows = printed.groupBy("node").agg(F.min(rank).alias("r"), F.first("keys").alias("keys"), F.first("fp").alias("fp"))
     rows = materialise(rows, "near-nodes")
     cells = rows.select("node", F.explode("keys").alias("key"))
     shared = cells.groupBy("key").count().where("count > 1").select("key")
     members = materialise(cells.join(shared, "key"), "near-members")
-    want = rows.join(members.select("node").distinct(), "node").select("node", F.col("r.doc_id").alias("k_id"), F.col("r.__h").alias("k_h"))
+    offered = proposed(rows)
+    met = members.select("node").unionByName(offered.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    want = rows.join(met, "node").select("node", F.col("r.doc_id").alias("k_id"), F.col("r.__h").alias("k_h"))
     texts = keyed.join(want, keyed["doc_id"].eqNullSafe(want["k_id"]) & (keyed["__h"] == want["k_h"])).select("node", "text")
     sets = materialise(sets_of(texts.dropDuplicates(["node"])), "near-sets")
-    links, roots, at = None, keyed.sparkSession.createDataFrame([], "node long, root long"), 0
+    links, at = materialise(similar(offered, sets), "near-links"), 0
+    roots = materialise(components(links).distinct(), "near-roots")
+    drop(offered)
     while True:
         seen = members.join(roots.withColumnRenamed("node", "r_node"), F.col("node") == F.col("r_node"), "left").select("node", "key", F.coalesce("root", "node").alias("root"))
         open_ = seen.groupBy("key").agg(F.min(F.struct("node", "root")).alias("lo"), F.max(F.struct("node", "root")).alias("hi"), F.count("*").alias("n"), (F.min("root") != F.max("root")).alias("open")).where("open")
@@ -175,7 +199,7 @@ def classes(printed: DataFrame, keyed: DataFrame, wide: int = WIDE) -> DataFrame
             found = similar(ends.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct(), sets)
         else:
             found = in_blocks(live, sets, wide)
-        old, links = links, materialise(found if links is None else links.unionByName(found), "near-links")
+        old, links = links, materialise(links.unionByName(found), "near-links")
         drop(members, old)
         members = live.where((F.col("node") != F.col("lo.node")) & (F.col("node") != F.col("hi.node"))).select("node", "key")
         roots = materialise(components(links).distinct(), "near-roots")

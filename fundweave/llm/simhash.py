@@ -44,6 +44,11 @@ def fingerprint(text: str) -> int:
         return 0
     shingles = map(b" ".join, zip(*(w[k:] for k in range(SHINGLE)), strict=False)) if len(w) >= SHINGLE else [b" ".join(w)]
     h = np.array([xxh64_intdigest(s, SEED) for s in shingles], dtype="<u8")
+    return majority(h)
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that over half of the 64-bit values have."""
     n, ones = len(h), np.zeros(64, np.int64)
     for i in range(0, n, 255 * 256):
         bits = np.unpackbits(h[i : i + 255 * 256].view(np.uint8), bitorder="little").reshape(-1, 64)

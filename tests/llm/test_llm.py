@@ -269,6 +269,24 @@ def test_near_dedup_equals_brute_force(spark):
     assert sorted(r.doc_id for r in near_dup.keep_one(docs, 3).collect()) == want
 
 
+def test_near_dedup_joins_fingerprints(spark):
+    """The trie proposes texts that differ in a word, and texts of one fingerprint; not unlike ones, nor texts without words."""
+    from fundweave.llm import near_dup
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(3)
+    base = [f"w{x}" for x in rng.integers(0, 10**6, 3000)]
+    near = [*base[:1500], "other", *base[1501:]]
+    texts = [" ".join(base), " ".join(near), " ".join(f"v{x}" for x in rng.integers(0, 10**6, 3000)), "a b c d e f", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("__h", F.xxhash64("text"))
+    rows = near_dup.nodes(docs).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.first("keys").alias("keys")).localCheckpoint()
+    name = {r.node: r.doc_id for r in rows.collect()}
+    assert [{name[r.a], name[r.b]} for r in near_dup.proposed(rows).collect()] == [{0, 1}]
+    one = rows.withColumn("fp", F.lit(5).cast("long"))
+    assert sorted(len({name[r.a], name[r.b]}) for r in near_dup.proposed(one).collect()) == [2, 2, 2]
+    assert [r.doc_id for r in near_dup.keep_one(docs.drop("__h")).orderBy("doc_id").collect()] == [0, 2, 3, 4]
+
+
 SF = "/root/testdata/sf0.001"
 LONG = "word " * 60_000
 
