@@ -29,6 +29,8 @@ from ..scratch import materialise
 
 #: Characters of a record at most, which bounds what a quote that never closes can gather; rows of an Arrow batch.
 MOST_CHARS, BATCH = 1 << 27, 4096
+#: Rows that a task has as Python objects at once, about; characters after which it gives what it has.
+PIECE, CHARS = 256, 1 << 20
 
 
 def inside_after(line: str, inside: bool) -> bool:
@@ -65,9 +67,14 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("value").alias("line"))
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of PIECE rows: rows of texts take several times their size as Python objects."""
+    return (b.slice(k, PIECE) for b in batches for k in range(0, b.num_rows, PIECE))
+
+
 def _ranges(batches: Iterator[pa.RecordBatch]):
     """The lines of each (file, start) in turn."""
-    rows = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    rows = (row for b in _pieces(batches) for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
     for (file, start), own in groupby(rows, key=lambda r: (r[0], r[1])):
         lines = (r[2] for r in own)
         if start == 0:
@@ -123,20 +130,20 @@ def records(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for file, start, own in _ranges(batches):
-            (inside, n), out = held.value[file, start], []
+            (inside, n), out, chars = held.value[file, start], [], 0
             for at, line in enumerate(own):
                 after = inside_after(line, inside)
                 n += not inside
                 cells, error = _cells(line) if not inside and not after else (None, None)
                 out.append({"file": file, "record": n, "start": start, "at": at, "line": None if cells is not None or error else line, "cells": cells, "error": error})
-                inside = after
-                if len(out) >= BATCH:
+                inside, chars = after, chars + len(line)
+                if len(out) >= BATCH or chars >= CHARS:
                     yield pa.RecordBatch.from_pylist(out, _RECORD)
-                    out = []
+                    out, chars = [], 0
             yield pa.RecordBatch.from_pylist(out, _RECORD)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _pieces(batches):
             got = [_cells(t) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([c for c, _ in got], pa.list_(pa.string())), pa.array([e for _, e in got], pa.string())], ["file", "record", "cells", "error"])
 

@@ -63,3 +63,13 @@ def test_lines_equal_a_plain_scan():
         for inside in (False, True):
             rows = list(csv.reader(io.StringIO(('"' if inside else "") + line + "\nend")))
             assert csv_rows.inside_after(line, inside) == (len(rows) == 1), (line, inside)
+
+
+def test_a_task_takes_a_few_rows_at_once():
+    """Batches are read in small parts, whatever they hold."""
+    import pyarrow as pa
+
+    b = pa.RecordBatch.from_pydict({"file": ["f"] * 1000, "start": [0] * 1000, "line": [str(k) for k in range(1000)]})
+    parts = list(csv_rows._pieces(iter([b, b.slice(0, 3)])))
+    assert max(p.num_rows for p in parts) <= csv_rows.PIECE and sum(p.num_rows for p in parts) == 1003
+    assert [line for _, _, own in csv_rows._ranges(iter([b])) for line in own] == [str(k) for k in range(1000)]
