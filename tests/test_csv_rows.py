@@ -73,3 +73,33 @@ def test_a_task_takes_a_few_rows_at_once():
     parts = list(csv_rows._pieces(iter([b, b.slice(0, 3)])))
     assert max(p.num_rows for p in parts) <= csv_rows.PIECE and sum(p.num_rows for p in parts) == 1003
     assert [line for _, _, own in csv_rows._ranges(iter([b])) for line in own] == [str(k) for k in range(1000)]
+
+
+def test_chunks_of_a_large_file_are_not_held(monkeypatch):
+    from fundweave.sources import files
+
+    alive, most = [0], [0]
+
+    class Chunk(dict):
+        def __init__(self, k):
+            super().__init__(text=str(k))
+            alive[0] += 1
+            most[0] = max(most[0], alive[0])
+
+        def __del__(self):
+            alive[0] -= 1
+
+    def read(data):
+        for k in range(int(data)):
+            yield Chunk(k)
+        if data.endswith(b" "):
+            raise ValueError("broken")
+
+    monkeypatch.setitem(files.READERS, ".csv", read)
+    for n in (0, 1, files.BATCH, files.BATCH + 1, 7 * files.BATCH):
+        count = 0
+        for count, c in enumerate(files.chunks_of("a.csv", str(n).encode()), start=1):
+            assert c["text"] == str(count - 1)
+        assert count == n
+    assert most[0] <= files.BATCH + 3
+    assert [c["error"] for c in files.chunks_of("a.csv", f"{5 * files.BATCH} ".encode())] == ["ValueError: broken"]
