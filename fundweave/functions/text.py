@@ -23,7 +23,7 @@ def clean_identifier(c: Column) -> Column:
 
 def normal_header(c: Column) -> Column:
     """White space, underscores, hyphens, brackets and colons gone, lower case."""
-    return F.lower(F.regexp_replace(c, r"[\s_\-（）()：:]", ""))
+    return F.lower(F.translate(c, " \t\n\x0b\f\r_-（）()：:", ""))
 
 
 def contains_any(c: Column, words) -> Column:

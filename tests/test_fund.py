@@ -142,6 +142,15 @@ def test_amounts_times_and_headers(spark):
     assert got[0].payer_account in "12" and got[0].reject_reason is None and got[1].reject_reason == "缺少或无法解析交易金额"
 
 
+def test_a_cell_is_looked_up_once(spark):
+    """However often a rule reads it: a header's name stands once for each lookup in the plan."""
+    rows = spark.createDataFrame([({"交易 时间": "2026-01-01 1:02:03.0120009Z", "付款账号": "1", "收款账号": " ", "收款账户": "3", "金额": "5"},)], "row_data map<string,string>")
+    got = parse.normalise_rows(rows).select("transaction_time", "payee_account", "amount", "reject_reason")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert all(plan.count(header) <= 2 for header in ("交易日期", "付款账户", "发生额")) and plan.count("regexp_replace") < 20
+    assert got.first() == (datetime(2026, 1, 1, 1, 2, 3, 12000), "", Decimal("5.00"), "缺少付款账号或收款账号")
+
+
 @pytest.mark.parametrize("name,data", [("a.png", b"\x89PNG\r\n\x1a\n\0"), ("a.docx", b"PK"), ("a.zip", b"PK\3\4"), ("a.xlsx", b""), ("a.csv", b"\xff\xfe\0")])
 def test_broken_files_are_one_error_row(name, data):
     got = list(files.chunks_of(name, data))
