@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_identifier
@@ -16,6 +16,23 @@ def exact_key() -> Column:
     )
 
 
+def family() -> Column:
+    """What rows that can be duplicates or in conflict have in common: their serial, without one the exact key."""
+    serial = clean_identifier(F.col("serial_number"))
+    return F.when(serial != "", serial).otherwise(exact_key())
+
+
+def mark_together(df: DataFrame, dealt: list[str]) -> DataFrame:
+    """mark() where each family lies in one partition already, dealt by the columns named: nothing is shuffled. A family is one window, so none should be very large."""
+    at = Window.partitionBy(*dealt, "__family").orderBy("__key")
+    same, whole = at.rangeBetween(Window.currentRow, Window.currentRow), at.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    kept = df.drop("duplicate_group", "conflict_status").withColumns({"__family": family(), "__key": exact_key()})
+    counted = kept.withColumns({"__n": F.count("*").over(same), "__least": F.min("__key").over(whole), "__most": F.max("__key").over(whole)})
+    group = F.when(F.col("__n") > 1, F.concat(F.lit("DUP-"), F.upper(F.substring(F.sha2("__key", 256), 1, 12))))
+    conflict = F.when(F.col("__least") != F.col("__most"), F.lit("same_serial_conflicting_fields"))
+    return counted.withColumns({"duplicate_group": group, "conflict_status": conflict}).drop("__family", "__key", "__n", "__least", "__most")
+
+
 def mark(df: DataFrame) -> DataFrame:
     """df with duplicate_group and conflict_status.
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_account, clean_identifier, random_id
+from ..functions.text import clean_account, random_id
 from ..operators import dedup, filters, reconcile, running
 from ..schema import RECORD_DDL
 from ..scratch import drop, materialise
@@ -34,6 +34,8 @@ NESTED = ("source", "evidence_locations", "confidence")
 
 #: Parts of a new case's drafts; a change rewrites the parts of the serials that it touches.
 PARTS = 16
+#: Tasks that write a part; families are counted in so many slots, and those of a slot with more than BUSY rows are marked by joins, not as windows.
+WRITERS, SLOTS, BUSY = 8, 1 << 16, 200_000
 BULK_NOTE = "批量人工确认"
 
 
@@ -110,8 +112,7 @@ DRAFT_DDL = f"seq long, {RECORD_DDL}"
 
 
 def _part(parts: int) -> Column:
-    serial = clean_identifier(F.col("serial_number"))
-    return F.pmod(F.xxhash64(F.when(serial != "", serial).otherwise(dedup.exact_key())), F.lit(parts)).cast("int")
+    return F.pmod(F.xxhash64(dedup.family()), F.lit(parts)).cast("int")
 
 
 def _source() -> Column:
@@ -127,16 +128,33 @@ def _touched(rows: DataFrame, parts: int) -> set[int]:
     return {r[0] for r in rows.select(_part(parts).alias("p")).distinct().collect()}  # the number of parts at most
 
 
-def _write(spark: SparkSession, folder: str, entry: dict, affected: set[int], rows: DataFrame, **fields) -> dict:
-    """The entry after the affected parts were replaced by rows, marked anew; the other parts stay as they are."""
-    parts, path = entry["of"], f"{folder}/drafts/data/{uuid.uuid4().hex}"
-    dealt = dedup.mark(rows).select(*rows.columns).withColumn("part", _part(parts))
-    # a part with very many rows of one serial is written by several tasks; sorted so that a source's rows lie together
-    dealt = dealt.repartition("part", F.pmod(F.xxhash64("transaction_id"), F.lit(8))).sortWithinPartitions("part", _source())
+def _marked(rows: DataFrame, parts: int) -> DataFrame:
+    """rows with part and their marks, dealt to WRITERS tasks a part by family. Rows of a very large family are marked by joins and dealt one by one."""
+    slot = F.pmod(F.xxhash64(dedup.family()), F.lit(SLOTS)).cast("int")
+    busy = [r[0] for r in rows.groupBy(slot.alias("s")).count().where(F.col("count") > BUSY).collect()]  # a share of 1 / BUSY of the rows at most
+    placed = rows.withColumn("part", _part(parts))
+    calm = placed.where(~slot.isin(busy)) if busy else placed
+    # one shuffle: what the marks need lies together then, in the order in which it is written
+    calm = calm.withColumn("__writer", F.pmod(F.shiftright(F.xxhash64(dedup.family()), 24), F.lit(WRITERS)).cast("int")).repartition("part", "__writer")
+    calm = dedup.mark_together(calm, ["part", "__writer"]).select(*placed.columns)
+    if not busy:
+        return calm
+    large = dedup.mark(placed.where(slot.isin(busy))).select(*placed.columns).repartition("part", F.pmod(F.xxhash64("transaction_id"), F.lit(WRITERS)))
+    return calm.unionByName(large)
+
+
+def _stored(spark: SparkSession, folder: str, entry: dict, affected: set[int], dealt: DataFrame, **fields) -> dict:
+    """The entry after the affected parts were replaced by dealt, rows with part."""
+    path = f"{folder}/drafts/data/{uuid.uuid4().hex}"
     dealt.write.partitionBy("part").parquet(path)
     made = {n.split("=")[1]: f"{path}/{n}" for n in commits.names(spark, path) if n.startswith("part=")}
     kept = {k: v for k, v in entry.get("parts", {}).items() if int(k) not in affected}
-    return {"of": parts, "parts": kept | made, "next_seq": entry.get("next_seq", 1), "batches": entry.get("batches", {}), "read_parts": sorted(affected), "fresh": [path], **fields}
+    return {"of": entry["of"], "parts": kept | made, "next_seq": entry.get("next_seq", 1), "batches": entry.get("batches", {}), "read_parts": sorted(affected), "fresh": [path], **fields}
+
+
+def _write(spark: SparkSession, folder: str, entry: dict, affected: set[int], rows: DataFrame, **fields) -> dict:
+    """The entry after the affected parts were replaced by rows, marked anew; the other parts stay as they are."""
+    return _stored(spark, folder, entry, affected, _marked(rows, entry["of"]), **fields)
 
 
 def _change(spark: SparkSession, folder: str, change, parts: int = PARTS) -> tuple[int, dict]:
@@ -288,7 +306,8 @@ def confirm_all(spark: SparkSession, folder: str) -> int:
         events = f"{folder}/drafts/data/{uuid.uuid4().hex}-events"
         lines = _event("draft_updated", fields=["review_status", "review_note"])
         open_.select(*(F.lit(v).alias(k) for k, v in lines.items()), "transaction_id").write.json(events)
-        after = _write(spark, folder, entry, affected, reconcile.confirm_all(done), events=events)
+        # neither marks nor parts depend on what changes here, so rows are written where they were read
+        after = _stored(spark, folder, entry, affected, reconcile.confirm_all(done).withColumn("part", _part(entry["of"])), events=events)
         return after | {"fresh": [*after["fresh"], events]}
 
     _, entry = _change(spark, folder, change)

@@ -174,6 +174,27 @@ def test_parts_equal_a_full_mark(spark, tmp_path):
     assert files.read_drafts(spark, f"{folder}/lines").count() == 51
 
 
+def test_drafts_are_dealt_once_and_confirmed_in_place(spark, tmp_path, monkeypatch):
+    """Marking and writing share one shuffle, confirming needs none; families too large for a window get the same marks by joins."""
+    import random
+
+    rng, key = random.Random(5), ("transaction_id", "duplicate_group", "conflict_status")
+    rows = records(spark, [{"transaction_id": f"T{k}", "serial_number": rng.choice(["", None, *(f"S-{x}" for x in range(20)), "s3", *["hot"] * 9]), "amount": Decimal(rng.choice(["1.00", "2.00"])), "payer_account": rng.choice(["1", "2", None]), "source": ("F", k)} for k in range(90)])
+    full = sorted(map(str, dedup.mark(rows).select(*key).collect()))
+    for busy in (repository.BUSY, 4):
+        monkeypatch.setattr(repository, "BUSY", busy)
+        got = repository._marked(rows, 4)
+        if busy > 90:
+            assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+        assert sorted(map(str, got.select(*key).collect())) == full
+    folder = f"file://{tmp_path}/case"
+    repository.save_drafts(rows, folder)
+    monkeypatch.setattr(repository, "_marked", None)
+    assert repository.confirm_all(spark, folder) == 90
+    done = repository.list_drafts(spark, folder)
+    assert {(r.review_status, r.provenance) for r in done.collect()} == {("confirmed", "human_confirmed")} and sorted(map(str, done.select(*key).collect())) == full
+
+
 def test_version_bytes(spark, tmp_path):
     """Equal to a csv and json writer that is given all fields of each record, nulls and blank lists too."""
     folder = f"file://{tmp_path}/case"
