@@ -27,6 +27,13 @@ def views(vec: np.ndarray, head: int) -> dict[str, np.ndarray]:
     return out
 
 
+def layers(vec: np.ndarray, head: int) -> tuple[np.ndarray, np.ndarray]:
+    """The weights of classes and of words, each with its biases, which follow it in the vector, as a last row."""
+    words = (HIDDEN + 1) * head
+    classes = (HIDDEN + 1) * shapes(head)["bc"][0]
+    return vec[-words - classes : -words].reshape(HIDDEN + 1, -1), vec[-words:].reshape(HIDDEN + 1, -1)
+
+
 def class_of(head: int) -> np.ndarray:
     return np.r_[np.arange(head) // CLASS, -(-head // CLASS) + np.arange(BINS)]
 
@@ -80,6 +87,13 @@ def _step(weights: np.ndarray, bn: np.ndarray, h: np.ndarray, a: np.ndarray, out
     return zr, n, gn
 
 
+def _with_one(states: np.ndarray) -> np.ndarray:
+    """States with a 1 behind each, which biases are multiplied with."""
+    out = np.ones((len(states), HIDDEN + 1), states.dtype)
+    out[:, :HIDDEN] = states
+    return out
+
+
 def _rows(x: np.ndarray) -> np.ndarray:
     """(steps, width, streams) as rows in the order of steps and streams."""
     return np.ascontiguousarray(x.transpose(0, 2, 1)).reshape(-1, x.shape[1])
@@ -96,13 +110,14 @@ def _softmax(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """In place over the first axis: exponentials of w less its maximum, and their sums."""
     w -= w.max(0)
     np.exp(w, w)
-    return w, w.sum(0)
+    return w, np.ones(len(w), w.dtype) @ w
 
 
-def log_probs(p: dict, states: np.ndarray, y: np.ndarray, head: int, classes: np.ndarray) -> np.ndarray:
+def log_probs(vec: np.ndarray, states: np.ndarray, y: np.ndarray, head: int, classes: np.ndarray) -> np.ndarray:
     """Natural log of P(code y) after each state (a row of states)."""
-    c = classes[y]
-    e, total = _softmax(p["Wc"].T @ states.T + p["bc"][:, None])
+    c, states = classes[y], _with_one(states)
+    to_class, to_word = layers(vec, head)
+    e, total = _softmax(to_class.T @ states.T)
     tiny = np.finfo(np.float32).tiny
     out = np.log(np.maximum(e[c, np.arange(len(y))], tiny)) - np.log(total)
     order, parts = _by_class(c, -(-head // CLASS))
@@ -110,7 +125,7 @@ def log_probs(p: dict, states: np.ndarray, y: np.ndarray, head: int, classes: np
     word = y[order] % CLASS
     for k, i, j in parts:
         cut = slice(k * CLASS, min(head, (k + 1) * CLASS))
-        e, total = _softmax(p["Wh"][:, cut].T @ own[i:j].T + p["bh"][cut, None])
+        e, total = _softmax(to_word[:, cut].T @ own[i:j].T)
         within[i:j] = np.log(np.maximum(e[word[i:j], np.arange(j - i)], tiny)) - np.log(total)
     out[order] += within
     return out
@@ -132,7 +147,7 @@ def score(vec: np.ndarray, head: int, end: int, codes: np.ndarray, lengths: np.n
 
     def flush():
         states, ys, rows = (np.concatenate(x) for x in zip(*kept, strict=True))
-        np.add(total, np.bincount(rows, log_probs(p, states, ys, head, classes), len(n)), total)
+        np.add(total, np.bincount(rows, log_probs(vec, states, ys, head, classes), len(n)), total)
         kept.clear()
 
     for t0 in range(0, int(n.max(initial=0)), window):
@@ -173,7 +188,8 @@ def train(vec: np.ndarray, head: int, end: int, codes: np.ndarray, rate: float)
     given = np.vstack([np.full((1, streams), end), target[:-1]])
     m, s, done = np.zeros_like(vec), np.zeros_like(vec), 0
     grad, buffer = np.zeros_like(vec), np.empty_like(vec)
-    g = views(grad, head)
+    g, (to_class, to_word), (of_class, of_word) = views(grad, head), layers(vec, head), layers(grad, head)
+    inputs = np.arange(3 * k)[None, :, None]
     last = np.zeros((k, streams), np.float32)
     for t0 in range(0, len(target), STEPS):
         x, y = given[t0 : t0 + STEPS], target[t0 : t0 + STEPS].ravel()
@@ -185,24 +201,26 @@ def train(vec: np.ndarray, head: int, end: int, codes: np.ndarray, rate: float)
             np.multiply(last, kept[t], old[t])
             gates.append(_step(weights, bn, old[t], a[t], states[t]))
             last = states[t]
-        rows, n = _rows(states), len(y)
+        rows, n = _with_one(_rows(states)), len(y)
         grad.fill(0)
         c = classes[y]
-        d, total = _softmax(p["Wc"].T @ rows.T + p["bc"][:, None])
-        d /= total
-        d[c, np.arange(n)] -= 1
-        g["Wc"][:], g["bc"][:] = (d @ rows).T, d.sum(1)
+        d, total = _softmax(to_class.T @ rows.T)
+        # d is `total` times the gradient of each place; what it is multiplied with is divided, being narrower
+        d[c, np.arange(n)] -= total
+        share = 1 / total
+        of_class[:] = (d @ (rows * share[:, None])).T
         dh = d.T @ p["Wc"].T
+        dh *= share[:, None]
         order, parts = _by_class(c, heads)
         own, word = rows.take(order, 0), y[order] % CLASS
-        back = np.empty_like(own)
+        back = np.empty((len(own), k), np.float32)
         for q, i, j in parts:
             cut = slice(q * CLASS, min(head, (q + 1) * CLASS))
-            d, total = _softmax(p["Wh"][:, cut].T @ own[i:j].T + p["bh"][cut, None])
-            d /= total
-            d[word[i:j], np.arange(j - i)] -= 1
-            g["Wh"][:, cut], g["bh"][cut] = (d @ own[i:j]).T, d.sum(1)
-            back[i:j] = d.T @ p["Wh"][:, cut].T
+            d, total = _softmax(to_word[:, cut].T @ own[i:j].T)
+            d[word[i:j], np.arange(j - i)] -= total
+            share = 1 / total
+            of_word[:, cut] = (d @ (own[i:j] * share[:, None])).T
+            np.multiply(d.T @ p["Wh"][:, cut].T, share[:, None], back[i:j])
         dh[order] += back
         dh = np.ascontiguousarray(dh.reshape(len(x), streams, k).transpose(0, 2, 1))
         da, dg, carried = np.empty((len(x), 3 * k, streams), np.float32), np.empty((len(x), 3 * k, streams), np.float32), 0.0
@@ -225,11 +243,10 @@ def train(vec: np.ndarray, head: int, end: int, codes: np.ndarray, rate: float)
             carried += dt
             carried *= kept[t]
         g["U"][:], g["bu"][:] = _rows(old).T @ _rows(dg), dg.sum((0, 2))
-        codes_in = x.ravel()
-        for q in range(3 * k):
-            g["E"][:, q] = np.bincount(codes_in, da[:, q].ravel(), len(g["E"]))
-        grad /= n
-        grad *= min(1.0, 1.0 / max(float(np.sqrt(grad @ grad)), 1e-9))
+        at_input = x[:, None] * (3 * k) + inputs
+        g["E"][:] = np.bincount(at_input.ravel(), da.ravel(), g["E"].size).reshape(g["E"].shape)
+        # the mean over the places, of a length of 1 at most
+        grad *= min(1.0, 1.0 / max(float(np.sqrt(grad @ grad)) / n, 1e-9)) / n
         done += 1
         # Adam in place: m and s are running means of the gradient and its square
         np.multiply(grad, grad, buffer)
@@ -239,10 +256,10 @@ def train(vec: np.ndarray, head: int, end: int, codes: np.ndarray, rate: float)
         grad -= m
         grad *= 0.1
         m += grad
-        np.multiply(s, 1 / (1 - 0.99**done), buffer)
-        np.sqrt(buffer, buffer)
-        buffer += 1e-6
+        unbias = np.sqrt(1 - 0.99**done)
+        np.sqrt(s, buffer)
+        buffer += np.float32(1e-6 * unbias)
         np.divide(m, buffer, buffer)
-        buffer *= rate / (1 - 0.9**done)
+        buffer *= np.float32(rate * unbias / (1 - 0.9**done))
         vec -= buffer
     return vec

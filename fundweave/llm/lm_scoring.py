@@ -21,17 +21,19 @@ seen once (all of it if there are none), as one event, as in the base score.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from . import gru
-from .common import drop, materialise, ship, table, words_of
+from .common import drop, materialise, ship, table
 
 FOLDS, HELD_FOLD = 5, 1
 BLOCK_CHARS, HEAD, PER_ROOT, ROUNDS, RATE, CHUNKS = 12_000_000, 1024, 2.0, 3, 0.01, 16
@@ -40,10 +42,24 @@ BUCKET_DOCS, LEAST_BUCKETS, MOST_BUCKETS = 1000, 64, 65536
 END_HASH = xxh64_intdigest(b"")
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
+def _numbered(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(words, numbers, lengths): the distinct words of all texts, the end before them, and every text's words and its end as numbers into them.
+
+    Words are those of common.words_of(), split and looked up by Arrow.
+    """
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words, owner = pc.list_flatten(split), pc.list_parent_indices(split)
+    some = pc.not_equal(pc.binary_length(words), 0)  # white space at either end of a text splits off an empty word
+    coded = words.filter(some).dictionary_encode()
+    lengths = np.bincount(owner.filter(some).to_numpy(), minlength=len(texts)) + 1
+    numbers, is_word = np.zeros(int(lengths.sum()), np.uint32), np.ones(int(lengths.sum()), bool)
+    is_word[np.cumsum(lengths) - 1] = False
+    numbers[is_word] = coded.indices.to_numpy() + 1
+    found = coded.dictionary.cast(pa.large_binary())
+    _, offsets, data = found.buffers()
+    at = np.frombuffer(offsets, "<i8")[found.offset : found.offset + len(found) + 1].tolist() if len(found) else []
+    data = data.to_pybytes() if data else b""
+    return [b"", *(data[i:j] for i, j in pairwise(at))], numbers, lengths
 
 
 def _list_of(values: pa.Array) -> pa.ListArray:
@@ -63,13 +79,10 @@ def _cut(docs: DataFrame, block_chars: int, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bid = TaskContext.get().partitionId() << 24
 
-        def fresh():
-            return _Words({b"": 0}), [], [], [], [], 0
-
         def block():
-            lengths = np.array([len(x) for x in ids], np.int64)
-            flat = np.concatenate(ids)
-            counts = np.bincount(flat[np.repeat(~np.array(held, bool), lengths)], minlength=len(known))
+            known, flat, lengths = _numbered(pa.concat_arrays(texts))
+            out = np.concatenate(held)
+            counts = np.bincount(flat[np.repeat(~out, lengths)], minlength=len(known))
             h = np.fromiter((xxh64_intdigest(w) for w in known), np.uint64, len(known))
             bucket = np.fromiter(map(crc32, known), np.int64, len(known)) * buckets >> 32
             order = np.argsort(bucket, kind="stable")
@@ -78,25 +91,27 @@ def _cut(docs: DataFrame, block_chars: int, buckets: int) -> DataFrame:
             edge = np.flatnonzero(np.diff(bucket[order], prepend=-1))
             of_list = lambda x, t: pa.array([y.tobytes() for y in np.split(x[order].astype(t), edge[1:])], pa.binary())
             owned = pa.concat_arrays(doc_ids)
-            yield pa.RecordBatch.from_arrays([pa.array([bid]), _list_of(owned), _list_of(pa.array(held, pa.bool_())), _list_of(pa.array(lengths)), pa.array([number[flat].astype("<u4").tobytes()], pa.binary()), pa.nulls(1, pa.int32()), *(pa.nulls(1, pa.binary()),) * 2], names)
+            yield pa.RecordBatch.from_arrays([pa.array([bid]), _list_of(owned), _list_of(pa.array(out)), _list_of(pa.array(lengths)), pa.array([number[flat].astype("<u4").tobytes()], pa.binary()), pa.nulls(1, pa.int32()), *(pa.nulls(1, pa.binary()),) * 2], names)
             k = len(edge)
             yield pa.RecordBatch.from_arrays([pa.array([bid] * k), pa.nulls(k, pa.list_(owned.type)), pa.nulls(k, pa.list_(pa.bool_())), pa.nulls(k, pa.list_(pa.int64())), pa.nulls(k, pa.binary()), pa.array(bucket[order][edge].astype(np.int32)), of_list(h, "<u8"), of_list(counts, "<i8")], names)
 
-        known, ids, doc_ids, held, _, size = fresh()
+        texts, doc_ids, held, size = [], [], [], 0
         for b in batches:
-            for k in range(b.num_rows):
-                text = b.column(1)[k].as_py() or ""
-                words = words_of(text)
-                words.append(b"")
-                ids.append(np.fromiter(map(known.__getitem__, words), np.uint32, len(words)))
-                doc_ids.append(b.column(0).slice(k, 1))
-                held.append(b.column(2)[k].as_py())
-                size += len(text)
+            ends = np.cumsum(pc.fill_null(pc.utf8_length(b.column(1)), 0).to_numpy().astype(np.int64))
+            first, before = 0, 0
+            while first < b.num_rows:
+                # a block ends behind the text that fills it
+                last = min(int(np.searchsorted(ends, before + block_chars - size)) + 1, b.num_rows)
+                texts.append(b.column(1).slice(first, last - first))
+                doc_ids.append(b.column(0).slice(first, last - first))
+                held.append(b.column(2).slice(first, last - first).to_numpy(zero_copy_only=False))
+                size += int(ends[last - 1]) - before
+                first, before = last, int(ends[last - 1])
                 if size >= block_chars:
                     yield from block()
                     bid += 1
-                    known, ids, doc_ids, held, _, size = fresh()
-        if ids:
+                    texts, doc_ids, held, size = [], [], [], 0
+        if texts:
             yield from block()
 
     slim = docs.select("doc_id", "text", (fold == HELD_FOLD).alias("held"))

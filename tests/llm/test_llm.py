@@ -416,3 +416,24 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     for r in got:
         total[r.doc_id] = total.get(r.doc_id, 0) + r.length
     assert total == want and corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_words_numbered_by_arrow_equal_plain_splitting():
+    """Also where white space of other scripts, control characters and blanks at either end stand."""
+    import random
+
+    import pyarrow as pa
+
+    from fundweave.llm.common import words_of
+    from fundweave.llm.lm_scoring import _numbered
+
+    rng = random.Random(3)
+    texts = [None, "", " ", "A b\x0bÉ\x1cx\x85y z  ", "\x00 x\x00Y", "İ K", *("".join(rng.choices("aAbBÉ \t\n\x0b\x0c\r\x1c\x1f\x85　中", k=rng.randint(0, 30))) for _ in range(300))]
+    for some in (pa.array(texts), pa.array(texts).slice(4, 90), pa.array([None, ""], pa.string())):
+        words, numbers, lengths = _numbered(some)
+        assert len(set(words)) == len(words)
+        got, at = [words[k] for k in numbers], 0
+        for text, n in zip(some.to_pylist(), lengths, strict=True):
+            assert got[at : at + n] == [*words_of(text or ""), b""]
+            at += n
+        assert at == len(got)
