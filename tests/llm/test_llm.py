@@ -1,3 +1,4 @@
+import os
 import re
 import zlib
 
@@ -133,6 +134,27 @@ def test_quality_model(spark, docs, empty):
     assert quality_model.keep_good(docs, labels.limit(0)).count() == docs.count() and quality_model.keep_good(empty, labels).count() == 0
 
 
+def test_quality_model_is_fitted_in_a_task(spark, monkeypatch):
+    """The driver gets no features and fits nothing; the model equals a fit here of the same rows in the order of their ids."""
+    rng = np.random.default_rng(3)
+    rows = [(k, " ".join(rng.choice(["good", "fine", "words"] if k % 2 else ["spam***", "fine", "junk$$$"], 12)) + f" {k}") for k in range(300)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(300)], "doc_id long, quality int, toxic int")
+    own = [(k, t) for k, t in rows if zlib.crc32(str(k).encode()) % 4 != 2]
+    y = np.array([k % 2 for k, _ in own])
+    want = quality_model.fit([quality_model.features(t) for _, t in own], y, float(y.mean()))
+    driver = os.getpid()
+    for name in ("fit", "features"):
+
+        def elsewhere(*args, _f=getattr(quality_model, name)):
+            assert os.getpid() != driver
+            return _f(*args)
+
+        monkeypatch.setattr(quality_model, name, elsewhere)
+    got = quality_model.train(d, labels)
+    assert (got.weight == want.weight).all() and (got.square == want.square).all() and (got.bias, got.slope, got.shift) == (want.bias, want.slope, want.shift)
+
+
 def test_chat(spark):
     t = spark.createDataFrame([(1, 0, "user", "hi"), (2, 0, "user", "hi"), (2, 1, "assistant", "yo"), (3, 0, "user", "hi"), (3, 1, "assistant", "yo"), (4, 0, None, ""), (None, 0, "user", "x"), (2, 1, "assistant", "yo")], "conv_id long, turn long, role string, text string")
     assert sorted((r.conv_id, r.n_copies) for r in chat.collapse(t).collect()) == [(2, 2), (4, 1)] and chat.collapse(t.limit(0)).count() == 0
