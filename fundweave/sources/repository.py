@@ -28,7 +28,9 @@ from . import commits
 SEED_DDL = "seed_id string, victim_id string, transaction_id string, amount decimal(18,2), note string"
 VERSION_DDL = "version_id string, name string, created_at string, record_count long, sha256 string, csv_path string"
 CASE_DDL = "case_id string, name string, status string, reported_loss double, updated_at string"
-MATERIAL_DDL = "material_id string, file_name string, status string, sha256 string, chunk_count long, draft_count long, error_count long"
+MATERIAL_DDL = "material_id string, file_name string, status string, sha256 string"
+#: As materials are kept: those that were not read yet have no counts.
+KEPT_MATERIAL_DDL = f"{MATERIAL_DDL}, chunk_count long, draft_count long, error_count long"
 NESTED = ("source", "evidence_locations", "confidence")
 
 
@@ -462,18 +464,18 @@ def set_status(cases: DataFrame, case_id: str, status: str) -> DataFrame:
 
 
 def list_materials(spark: SparkSession, folder: str) -> DataFrame:
-    return _current(spark, folder, "materials", MATERIAL_DDL)
+    return _current(spark, folder, "materials", KEPT_MATERIAL_DDL)
 
 
 def save_materials(materials: DataFrame, folder: str) -> None:
-    _replace(materials.sparkSession, folder, "materials", MATERIAL_DDL, lambda old: materials)
+    _replace(materials.sparkSession, folder, "materials", KEPT_MATERIAL_DDL, lambda old: materials)
 
 
 def update_materials(changed: DataFrame, folder: str) -> None:
     """Replace the materials that changed, by id; the others stay."""
-    fields = changed.sparkSession.createDataFrame([], MATERIAL_DDL).columns
+    fields = changed.sparkSession.createDataFrame([], KEPT_MATERIAL_DDL).columns
     rows = changed.select(*(c for c in fields if c in changed.columns))
-    _replace(changed.sparkSession, folder, "materials", MATERIAL_DDL, lambda old: old.join(rows.select("material_id"), "material_id", "left_anti").unionByName(rows, allowMissingColumns=True))
+    _replace(changed.sparkSession, folder, "materials", KEPT_MATERIAL_DDL, lambda old: old.join(rows.select("material_id"), "material_id", "left_anti").unionByName(rows, allowMissingColumns=True))
 
 
 def material_counts(materials: DataFrame) -> DataFrame:
