@@ -58,6 +58,15 @@ def test_rows_as_files_of_bounded_size(spark):
     assert files.as_tables(d.limit(0), ".docx").count() == 0
 
 
+def test_files_are_dealt_by_their_number(spark):
+    """A task makes some sixteen files, however many rows there are and however few bytes they take."""
+    d = spark.range(5000).select(F.col("id").alias("seq"), F.concat(F.lit("x"), "id").alias("a"))
+    made = files.as_tables(d, ".xlsx", 10)
+    held = made.groupBy(F.spark_partition_id()).count().select("count").collect()
+    assert sum(r[0] for r in held) == 500 and max(r[0] for r in held) <= 48
+    assert sorted(r.row_data["a"] for r in files.chunks(made).select("row_data").collect()) == sorted(f"x{k}" for k in range(5000))
+
+
 def test_statuses_chunk_files_and_repeated_batches(spark, tmp_path):
     inbox, case = tmp_path / "in", str(tmp_path / "case")
     put(inbox, "good.csv", as_csv(rows("S1", "S2")))
