@@ -5,25 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scratch import materialise
+from ..scratch import materialise, reads
 
 
 def ranged(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """df in a total order, written once, with the range partition __part of each row and its number __row there, from 0."""
+    """df in a total order, written once, with the range partition __part of each row and its number __row there, from 0. drop() removes what was written."""
     at = F.monotonically_increasing_id()  # partition * 2^33 + row
     table = materialise(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", at), name)
-    return table.withColumns({"__part": F.shiftright("__at", 33), "__row": F.col("__at").bitwiseAND(F.lit(2**33 - 1))}).drop("__at")
+    return reads(table.withColumns({"__part": F.shiftright("__at", 33), "__row": F.col("__at").bitwiseAND(F.lit(2**33 - 1))}).drop("__at"), table)
 
 
 def places(df: DataFrame, order: list[Column], name: str = "places") -> DataFrame:
-    """df with place, from 1 on, in a total order. The driver sees one number for each range partition."""
+    """df with place, from 1 on, in a total order. The driver sees one number for each range partition. drop() removes what was written."""
     rows = ranged(df, order, name)
     bases, done = [], 0
     for part, n in sorted(map(tuple, rows.groupBy("__part").count().collect())):
         bases.append((part, done))
         done += n
     offsets = F.broadcast(df.sparkSession.createDataFrame(bases, "__part long, __base long"))
-    return rows.join(offsets, "__part").withColumn("place", F.col("__base") + F.col("__row") + 1).drop("__part", "__row", "__base")
+    return reads(rows.join(offsets, "__part").withColumn("place", F.col("__base") + F.col("__row") + 1).drop("__part", "__row", "__base"), rows)
 
 
 def running_sum(df: DataFrame, key: str, order: list[Column], value: str, name: str) -> DataFrame:

@@ -27,6 +27,12 @@ def materialise(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return got
 
 
+def reads(df: DataFrame, table: DataFrame) -> DataFrame:
+    """df, which reads a table of materialise(), so that drop(df) removes it."""
+    df._scratch_path = table._scratch_path
+    return df
+
+
 def drop(*tables: DataFrame | None) -> None:
     """Remove tables of materialise() that nothing will read again; other frames are left alone."""
     for df in tables:

@@ -24,6 +24,8 @@ ROW_FIELDS = ("transaction_time", "serial_number", "payer_account", "payer_name"
 DEFAULTS = {"record_type": "bank_transfer", "event_status": "success"}
 LOCATED = ("archive_member_path", "page_number", "sheet_name", "table_number", "paragraph_number", "row_number", "region")
 NEEDS_REVIEW = "needs_manual_review"
+#: Extracted rows are kept compressed, in files of so many rows, since a compressed file is read by one task.
+EXTRACTED = {"compression": "gzip", "maxRecordsPerFile": 200_000}
 
 
 def _plain(path: str) -> str:
@@ -62,17 +64,19 @@ def parse_materials(spark: SparkSession, paths: list[str], folder: str, batch: t
     of_batch = f"{folder}/extracted/{batch[0]}-{batch[1]:020d}"
     materials = materialise(materials_of(spark, paths), "ingest-materials")
     repository.update_materials(materials.select("material_id", "file_name", F.lit("parsing").alias("status"), F.col("material_id").alias("sha256")), folder)
+    read = files.read_chunks(spark, [_plain(p) for p in paths])
     # ids rise within a task, and a file or an archive's member is read by one task
-    read = files.read_chunks(spark, [_plain(p) for p in paths]).withColumn("chunk_index", F.monotonically_increasing_id())
-    chunks = materialise(read.join(materials.select("path", "material_id"), "path"), "ingest-chunks")
-    chunks.write.mode("overwrite").json(f"{of_batch}/raw")
-    classified(chunks).write.mode("overwrite").json(f"{of_batch}/classified")
+    numbered = read.withColumn("chunk_index", F.monotonically_increasing_id())
+    chunks = materialise(numbered.join(materials.select("path", "material_id"), "path"), "ingest-chunks", "zstd")
+    drop(read)
+    chunks.write.mode("overwrite").options(**EXTRACTED).json(f"{of_batch}/raw")
+    classified(chunks).write.mode("overwrite").options(**EXTRACTED).json(f"{of_batch}/classified")
     records = materialise(records_of(chunks.where("error IS NULL")), "ingest-records")
     at = ("material_id", "chunk_index", "source.sheet_name", "source.row_number", "source.page_number")
     refused = records.where("reject_reason IS NOT NULL").select(*at, F.col("reject_reason").alias("error"), F.lit(NEEDS_REVIEW).alias("status"))
     broken = chunks.where("error IS NOT NULL").select("material_id", "chunk_index", "sheet_name", "row_number", "page_number", "error", F.lit("failed").alias("status"))
     errors = materialise(refused.unionByName(broken), "ingest-errors")
-    errors.write.mode("overwrite").json(f"{of_batch}/errors")
+    errors.write.mode("overwrite").options(**EXTRACTED).json(f"{of_batch}/errors")
     accepted = records.where("reject_reason IS NULL").drop("reject_reason")
 
     count = lambda d, name: d.groupBy("material_id").agg(F.count("*").alias(name))
@@ -80,10 +84,12 @@ def parse_materials(spark: SparkSession, paths: list[str], folder: str, batch: t
     counts = counts.fillna(0, ["chunk_count", "draft_count", "error_count"])
     done = counts.withColumns({"status": reconcile.material_status(F.col("error_count"), F.col("draft_count"), F.lit(False)), "sha256": F.col("material_id")})
     done = materialise(done, "ingest-done")
+    drop(materials, chunks, errors)
     # a source that was read without errors is replaced; one that was read in part keeps its earlier records
     sources = done.where("draft_count > 0").select(F.col("material_id").alias("source_file_id"), (F.col("error_count") == 0).alias("replace_missing"))
     placed = running.places(accepted, [F.asc("material_id"), F.asc("source.archive_member_path"), F.asc("chunk_index")], "ingest-placed")
+    drop(records)
     repository.reconcile_sources(placed.withColumn("seq", F.col("place")).drop("place", "material_id", "chunk_index"), folder, sources, batch)
     repository.update_materials(done, folder)
-    drop(materials, chunks, records, errors)
+    drop(placed)
     return done

@@ -221,14 +221,16 @@ def reconcile_source(new: DataFrame, folder: str, source_file_id: str, replace_m
         of_source = _source().eqNullSafe(F.lit(source_file_id))
         old = _read(spark, entry).where(of_source)
         merged = materialise(reconcile.reconcile(old, new, source_file_id, replace_missing), "drafts-merged")
-        placed = running.places(merged, [F.asc("seq")], "drafts-placed").withColumn("seq", F.col("place") + entry["next_seq"] - 1).drop("place")
-        placed = materialise(placed, "drafts-placed")
+        ordered = running.places(merged, [F.asc("seq")], "drafts-ordered")
+        drop(merged)
+        placed = materialise(ordered.withColumn("seq", F.col("place") + entry["next_seq"] - 1).drop("place"), "drafts-placed")
+        drop(ordered)
         total, created = placed.agg(F.count("*"), F.count_if(F.col("origin") != "leftover")).first()
         affected = _touched(old, entry["of"]) | _touched(placed, entry["of"])
         rest = _read(spark, entry, affected).where(~of_source)
         event = _event("source_drafts_reconciled", source_file_id=source_file_id, count=created, replace_missing=replace_missing)
         after = _write(spark, folder, entry, affected, rest.unionByName(placed.drop("origin")), event=event)
-        drop(merged, placed)
+        drop(placed)
         return after | {"first_seq": entry["next_seq"], "created": created, "next_seq": entry["next_seq"] + total}
 
     _, entry = _change(spark, folder, change)
@@ -258,14 +260,16 @@ def reconcile_sources(new: DataFrame, folder: str, sources: DataFrame, batch: tu
         merged = reconcile.merge(old, new).join(mine, _source() == F.col("__file"), "left")
         merged = merged.where((F.col("origin") != "leftover") | ~F.col("replace_missing")).drop("__file", "replace_missing")
         merged = materialise(merged, "drafts-merged")
-        placed = running.places(merged, [F.asc("seq")], "drafts-placed").withColumn("seq", F.col("place") + entry["next_seq"] - 1).drop("place")
-        placed = materialise(placed, "drafts-placed")
+        ordered = running.places(merged, [F.asc("seq")], "drafts-ordered")
+        drop(merged)
+        placed = materialise(ordered.withColumn("seq", F.col("place") + entry["next_seq"] - 1).drop("place"), "drafts-placed")
+        drop(ordered)
         affected = _touched(old, entry["of"]) | _touched(placed, entry["of"])
         rest = _read(spark, entry, affected).join(mine, _source() == F.col("__file"), "left_anti")
         event = _event("source_drafts_reconciled", source_file_id=f"{stream}-{number}", count=n_new)
         after = _write(spark, folder, entry, affected, rest.unionByName(placed.drop("origin")), event=event, batches=entry.get("batches", {}) | {stream: number})
         total = placed.count()
-        drop(merged, placed)
+        drop(placed)
         return after | {"next_seq": entry["next_seq"] + total}
 
     start = commits.latest(spark, _log(folder, "drafts"))[0]

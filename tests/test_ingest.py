@@ -2,11 +2,14 @@
 
 import csv
 import io
+import os
 import random
 import zipfile
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
+from fundweave import scratch
 from fundweave.sources import commits, files, ingest, ooxml, repository
 from fundweave.streaming import ingest as stream
 
@@ -102,6 +105,21 @@ def test_statuses_chunk_files_and_repeated_batches(spark, tmp_path):
     assert state(spark, case) == before and commits.latest(spark, f"{case}/drafts/log")[0] == number + 1
 
 
+def test_a_batch_leaves_no_tables_and_its_rows_compressed(spark, tmp_path):
+    inbox, case, shared = tmp_path / "in", str(tmp_path / "case"), Path(scratch.scratch_dir(spark).removeprefix("file://"))
+    put(inbox, "a.csv", as_csv(rows(*(f"S{k}" for k in range(500)))))
+    paths, before = [f"file:{inbox}/a.csv"], set(os.listdir(shared)) if shared.exists() else set()
+    for batch in (0, 1):  # the second finds earlier records
+        ingest.parse_materials(spark, paths, case, ("s", batch))
+    assert {n.rpartition("-")[0] for n in set(os.listdir(shared)) - before} == {"ingest-done"}  # what the result reads
+    for name in ("raw", "classified"):
+        made = list(Path(case).glob(f"extracted/s-{1:020d}/{name}/part-*"))
+        back = spark.read.json(f"{case}/extracted/s-{1:020d}/{name}")
+        assert back.count() == 500 and sum(p.stat().st_size for p in made) < 500 * 60  # some 600 bytes a row as text
+        assert sorted(r.row_number for r in back.select("row_number").collect()) == list(range(2, 502))
+    assert [d[0] for d in state(spark, case)[0]] == sorted(f"S{k}" for k in range(500))
+
+
 def test_a_stream_takes_each_file_once(spark, tmp_path):
     inbox, case, at = tmp_path / "in", str(tmp_path / "case"), str(tmp_path / "checkpoint")
     go = lambda where=at: stream.watch_materials(spark, f"file:{inbox}", case, where, files_per_batch=2).awaitTermination()
